@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, langid
+from . import audio, decontaminate, langid
 from .common import crc32_mod
 
 
@@ -15,6 +15,33 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+OP5_SQL = """
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(regexp_replace(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(regexp_replace(lower_az, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[^ ]+')
+  FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM benchmark)
+), item_windows AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM words WHERE kind = 'b' AND len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM item_windows),
+doc_windows AS (
+  SELECT id AS doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS phrase
+  FROM (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM words, lengths WHERE kind = 'd' AND len(w) >= n)
+), found AS (
+  SELECT d.doc_id, d.p, d.n, i.item_id FROM doc_windows d JOIN item_windows i ON d.n = i.n AND d.phrase = i.phrase
+), hits AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS k FROM found) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id
+)
+SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hits h ON h.doc_id = w.id LEFT JOIN items i ON i.doc_id = w.id WHERE w.kind = 'd'
+"""
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, padded with zero bytes to a positive multiple of 64, as 8-bit WAV and back."""
     docs = _documents(spark, sf_dir, "doc_id", "text")
@@ -37,6 +64,20 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside any 10-word window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    out = decontaminate.find_spans(_documents(spark, sf_dir, "doc_id", "text"), items)
+    return out.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose crc32(doc_id) mod 4 is not 2."""
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -49,9 +90,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_audio_features": op4_audio_features,
+        "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": OP5_SQL,
+    }
