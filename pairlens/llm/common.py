@@ -7,6 +7,7 @@ whole slice, so no Python object is made per word. A name is a 64-bit hash of a
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def crc32_mod(column: str, divisor: int) -> Column:
     """crc32 of the column's decimal text, modulo ``divisor``; null stays null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid
-from .common import crc32_mod
+from . import audio, decontaminate, langid, sharding, warc
+from .common import crc32_mod, cut, shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -87,15 +87,74 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "lang_pred", F.greatest(F.lit(0.0), "score").alias("score"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards under the law ``key``, in random order, with their places."""
+    out = sharding.shuffled(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", shards=16)
+    doc_id, text = F.col("record.c0"), F.col("record.c1")
+    return out.select(
+        doc_id.alias("doc_id"),
+        "size",
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("long").alias("slot"),
+        sharding.shard_of(doc_id, 17, seed=20).cast("int").alias("grown_shard"),
+    )
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
+), b AS (
+  SELECT page_id, payload, h, array_to_string(list_transform(string_split(h, ''), lambda d:
+    ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', d)]), '') AS bits
+  FROM p
+), w AS (SELECT h, max(page_id) AS winner FROM p GROUP BY h)
+SELECT b.page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    16 * CAST(substr(bits, 5*i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5*i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5*i + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5*i + 4, 1) AS INT) + CAST(substr(bits, 5*i + 5, 1) AS INT) + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN b.page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN b.page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM b JOIN w ON b.h = w.h
+"""
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives with revisits and segments, and read back."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    path = shared_path(spark, "warc")
+    warc.write_archives(pages, path)
+    back = cut(
+        warc.read_archives(spark, path)
+        .withColumns({"page": warc.page_of(F.col("id")), "named": warc.page_of(F.col("refers"))})
+        .select(
+            F.expr("try_cast(page as bigint)").alias("page_id"),
+            "payload_bytes",
+            F.regexp_replace("digest", "^sha1:", "").alias("payload_digest"),
+            F.col("type").alias("record_type"),
+            F.expr("try_cast(named as bigint)").alias("refers_to"),
+        )
+    )
+    # a revisit's payload is that of the record it names
+    sizes = back.where(F.col("record_type") == "response").groupBy(F.col("page_id").alias("named")).agg(F.max("payload_bytes").alias("named_bytes"))
+    return back.join(sizes, F.col("refers_to") == F.col("named"), "left").select(
+        "page_id", F.coalesce("payload_bytes", "named_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_audio_features": op4_audio_features,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
+        "op8_sharding": op8_sharding,
+        "op10_warc": op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_decontamination": OP5_SQL,
+        "op10_warc": OP10_SQL,
     }
