@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, sharding, warc
+from . import audio, decontaminate, langid, line_dedup, sharding, warc
 from .common import crc32_mod, cut, shared_path
 
 
@@ -42,6 +42,24 @@ FROM words w LEFT JOIN hits h ON h.doc_id = w.id LEFT JOIN items i ON i.doc_id =
 """
 
 
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key),
+marked AS (SELECT k.*, coalesce(f.first < k.doc_id, FALSE) AS gone FROM keyed k LEFT JOIN firsts f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that a document of smaller id also holds are dropped."""
+    out = line_dedup.dedup_lines(_documents(spark, sf_dir, "doc_id", "text"), min_chars=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, padded with zero bytes to a positive multiple of 64, as 8-bit WAV and back."""
     docs = _documents(spark, sf_dir, "doc_id", "text")
@@ -145,6 +163,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op4_audio_features": op4_audio_features,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
@@ -155,6 +174,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": OP1_SQL,
         "op5_decontamination": OP5_SQL,
         "op10_warc": OP10_SQL,
     }
