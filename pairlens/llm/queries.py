@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, line_dedup, sharding, warc
+from . import audio, decontaminate, langid, line_dedup, packing, sharding, warc
 from .common import crc32_mod, cut, shared_path
 
 
@@ -60,6 +60,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces, packed into sequences of 4096."""
+    pieces = cut(packing.tokenized(_documents(spark, sf_dir, "doc_id", "text"), word_tokenizer(), end_id=1, capacity=4096))
+    return packing.pack(pieces, capacity=4096)
+
+
 def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text, padded with zero bytes to a positive multiple of 64, as 8-bit WAV and back."""
     docs = _documents(spark, sf_dir, "doc_id", "text")
@@ -164,6 +176,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_packing": op3_packing,
         "op4_audio_features": op4_audio_features,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
