@@ -205,17 +205,18 @@ class Plan:
 
     def _best_fit(self) -> None:
         """What is left, longest first, each into the smallest gap that holds it, many alike at a time."""
-        open_: dict[int, list[tuple[list[int], int]]] = {}
+        open_: dict[int, list[tuple[list[int], int]]] = {}  # by gap
         for length in np.flatnonzero(self.left)[::-1].tolist():
             n = int(self.left[length])
             for gap in sorted(g for g in open_ if g >= length):
-                while n and open_.get(gap):
+                while n and open_[gap]:
                     lengths, times = open_[gap].pop()
-                    used = min(times, n)
-                    n -= used
+                    each = min(gap // length, n)  # a sequence that takes one takes as many as it holds
+                    used = min(times, n // each)
+                    n -= used * each
                     if times > used:
                         open_[gap].append((lengths, times - used))
-                    open_.setdefault(gap - length, []).append((lengths + [length], used))
+                    open_.setdefault(gap - each * length, []).append((lengths + [length] * each, used))
             each = self.capacity // length
             for times, copies in ((n // each, each), (1, n % each)):
                 if times and copies:
