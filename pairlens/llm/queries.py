@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, line_dedup, packing, sharding, warc
+from . import audio, decontaminate, langid, line_dedup, lm, packing, sharding, warc
 from .common import crc32_mod, cut, shared_path
 
 
@@ -132,6 +132,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every text under bigrams learned from documents whose crc32(doc_id) mod 5 is not 1."""
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    bucket = F.coalesce(crc32_mod("doc_id", 5), F.lit(1))
+    out = lm.score(docs, "text", train=bucket != 1, held=bucket == 4, keep=["doc_id"])
+    return out.select("doc_id", (F.coalesce(crc32_mod("doc_id", 5), F.lit(0)) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages
@@ -181,6 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
         "op8_sharding": op8_sharding,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_warc": op10_warc,
     }
 
