@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, line_dedup, lm, packing, sharding, warc
+from . import audio, decontaminate, langid, line_dedup, lm, packing, sharding, substring_dedup, warc
 from .common import crc32_mod, cut, shared_path
 
 
@@ -117,6 +117,27 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(bucket == 2, F.lit(False)).alias("held_out"), "lang_pred", F.greatest(F.lit(0.0), "score").alias("score"))
 
 
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM d WHERE len(w) >= 13)
+), firsts AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(p, p + 12)) AS k FROM win JOIN firsts ON win.s = firsts.s WHERE doc_id > first
+), g AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(g.n, 0) AS n_removed,
+  sha256(CASE WHEN g.n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ks, i)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text inside a 13-word window that begins in a document of smaller id are removed."""
+    out = substring_dedup.remove_repeats(_documents(spark, sf_dir, "doc_id", "text"), width=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards under the law ``key``, in random order, with their places."""
     out = sharding.shuffled(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", shards=16)
@@ -188,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_audio_features": op4_audio_features,
         "op5_decontamination": op5_decontamination,
         "op6_language_id": op6_language_id,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_sharding": op8_sharding,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_warc": op10_warc,
@@ -198,5 +220,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
         "op5_decontamination": OP5_SQL,
+        "op7_substring_dedup": OP7_SQL,
         "op10_warc": OP10_SQL,
     }
