@@ -4,8 +4,8 @@ Writing: payloads become HTTP responses with chunked transfer framing. Of record
 the one with the largest id is the ``response``; the others are ``revisit`` records that name it. A
 block longer than ``segment_bytes`` is cut: the first segment keeps the record's type, the rest are
 ``continuation`` records with the origin's id, a segment number and, on the last, the total length.
-Segments are dealt over the archive files. Files are written by Spark's text sink on any file system
-that Spark writes to.
+Files are written by Spark's text sink, gzip-compressed, on any file system that Spark writes to; a
+task rolls to a new file after ``archive_records`` records.
 
 Reading: every archive file is parsed on its own, segments are grouped by origin, ordered by number,
 checked for gaps and against the total length, joined, and the chunked framing is taken off. A record
@@ -13,14 +13,14 @@ that fails a check is returned with ``error`` set, not lost.
 
 Defined results: a null payload is the empty payload; null ids are written as ``null`` and never win
 over another id; rows of equal id are records of their own and are told apart by a row number in the
-record id. Payloads of any length are cut into segments. An empty table writes no archive and reads
-as no rows. Other columns of the pages are not archived.
+record id. Payloads of any length are cut into segments. An empty table reads back as no rows. Other columns of the pages are not archived.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,8 +80,8 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4 + size
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, archive_bytes: int = 8 << 20) -> None:
-    """Write all pages under ``path`` as text files, each one WARC archive of about ``archive_bytes``."""
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, archive_records: int = 4000) -> None:
+    """Write all pages under ``path`` as text files, each one WARC archive (``.warc`` content, gzip)."""
     payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
     own = pages.select(
         F.col(f"`{page_id}`").cast("long").alias("id"),
@@ -89,12 +89,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         payload.alias("payload"),
         F.sha1(payload).alias("sha1"),
     )
-    best = pages.select(F.col(f"`{page_id}`").cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    total = best.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    # several rows may share the winning id; the first of them by row is the response
+    best = pages.select(F.col(f"`{page_id}`").cast("long").alias("id"), F.sha1(payload).alias("digest"))
     best = best.groupBy("digest").agg(F.max("id").alias("winner"))
-    joined = own.join(best, own["sha1"] == best["digest"]).select("id", "url", "sha1", "winner", F.when(F.col("id").eqNullSafe(F.col("winner")), F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("n"))
-    files = max(1, -(-total // archive_bytes))
+    joined = own.join(best, own["sha1"] == best["digest"]).select("id", "url", "sha1", "winner", F.when(F.col("id").eqNullSafe(F.col("winner")), F.col("payload")).alias("payload"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,8 +119,8 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     encoded = joined.mapInArrow(encode, "record binary")
-    dealt = encoded.repartition(files)
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).text(path)
+    lines = encoded.select(F.col("record").cast("string").alias("value"))
+    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", archive_records).text(path, compression="gzip")
 
 
 _PART = "id string, type string, digest string, refers string, origin string, number int, total long, block binary, error string"
@@ -134,7 +131,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for f, block in records(content.as_py()):
+            for f, block in records(zlib.decompress(content.as_py(), 47)):  # gzip
                 uid, number, total = f.get("warc-record-id"), f.get("warc-segment-number"), f.get("warc-segment-total-length")
                 rows.append((uid, f["warc-type"], f.get("warc-payload-digest"), f.get("warc-refers-to"), f.get("warc-segment-origin-id", uid if number else None), int(number) if number else None, int(total) if total else None, block, None))
                 if len(rows) == 256:
