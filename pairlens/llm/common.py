@@ -154,8 +154,8 @@ def window_names(names: np.ndarray, width: int) -> np.ndarray:
 
 def sequence_name(names: np.ndarray) -> np.ndarray:
     """Name of one whole short sequence, distinct from names of windows of other widths."""
-    total = np.sum(names * _STEPS[np.arange(len(names)) % 64], dtype=np.uint64) + _U(len(names) * 2 + 1) * _U(0xC2B2AE3D27D4EB4F)
-    return mix(np.array([total], dtype=np.uint64))
+    total = int(np.sum(names * _STEPS[np.arange(len(names)) % 64], dtype=np.uint64)) + (len(names) * 2 + 1) * 0xC2B2AE3D27D4EB4F
+    return mix(np.array([total % 2**64], dtype=np.uint64))
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

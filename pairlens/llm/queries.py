@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, line_dedup, lm, packing, sharding, substring_dedup, warc
+from . import audio, decontaminate, langid, line_dedup, lm, near_dedup, packing, sharding, substring_dedup, warc
 from .common import crc32_mod, cut, shared_path
 
 
@@ -60,6 +60,32 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP2_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS p FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d
+  UNION
+  SELECT r.x, edges.b FROM reach r JOIN edges ON r.y = edges.a
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 5-word shingle similarity of at least 0.85."""
+    return near_dedup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), width=5, percent=85)
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
@@ -205,6 +231,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_packing": op3_packing,
         "op4_audio_features": op4_audio_features,
         "op5_decontamination": op5_decontamination,
@@ -219,6 +246,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op2_minhash_near_dedup": OP2_SQL,
         "op5_decontamination": OP5_SQL,
         "op7_substring_dedup": OP7_SQL,
         "op10_warc": OP10_SQL,
