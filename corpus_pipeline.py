@@ -1,15 +1,79 @@
-"""Corpus preparation: language ID, line dedup, near-dedup, decontamination, packing."""
+"""Corpus preparation: language ID, line dedup, near-dedup, decontamination, packing.
+
+Every stage takes the documents its predecessor kept; all but the last return the columns of
+``documents``, with ``text`` and ``n_chars`` as the stage leaves them. A document that a stage
+leaves without any text goes. Null ids are ids of their own; repeated rows are repeated documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.llm import decontaminate, langid, line_dedup, near_dedup, packing
+from pairlens.llm.common import cut, shared_path
+from pairlens.llm.queries import word_tokenizer
+
+MIN_MARGIN = 0.001  # the two smallest sizes tie, or nearly
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """``columns`` in order, with ``text`` and ``n_chars`` from the column named ``text``."""
+    new = {"text": F.col(text), "n_chars": F.char_length(text).cast("long")}
+    return docs.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without letters or between two languages go. Null ``lang`` is filled in."""
+    out = langid.identify(docs, langid.train(docs), keep=docs.columns, min_margin=MIN_MARGIN).where(~F.col("rejected"))
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document of smaller id holds go, and documents that lose all their text."""
+    out = line_dedup.dedup_lines(docs, keep=[c for c in docs.columns if c != "text"])
+    left = out.where((F.col("n_dropped") == 0) | (F.btrim("kept_text", F.lit(line_dedup.STRIP)) != ""))
+    return _with_text(left, docs.columns, "kept_text")
+
+
+def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by five-word similarity of 0.8 or more, the one of smallest id stays."""
+    found = near_dedup.near_duplicates(docs, width=5, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are nothing else go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    out = decontaminate.find_spans(docs, items, cleaned=True)
+    return _with_text(out.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))), docs.columns, "clean_text")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequences and offsets."""
+    return packing.pack(cut(packing.tokenized(docs.select("doc_id", "text"), word_tokenizer())))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_deduplication),
+    ("MinHash near-dedup", near_deduplication),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Language ID has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = shared_path(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

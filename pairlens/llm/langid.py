@@ -79,7 +79,7 @@ def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text",
     return {k: b"\n".join(plain(t) for _, t in sorted(found[k], reverse=True))[-dict_bytes:] for k in order}
 
 
-def _classifier(model: dict[str, bytes], level: int):
+def _classifier(model: dict[str, bytes], level: int, passed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = list(model)
         coders = []
@@ -99,21 +99,23 @@ def _classifier(model: dict[str, bytes], level: int):
                 order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
                 guess.append(langs[order[0]])
                 margin[i] = 1.0 if len(sizes) == 1 else 1.0 - sizes[order[0]] / sizes[order[1]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(guess, pa.string()), pa.array(margin)], names=[*batch.schema.names[:-1], "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(guess, pa.string()), pa.array(margin)], names=[*batch.schema.names[:passed], "__lang_pred", "__score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level: int = 3, min_margin: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all but the text) plus ``lang_pred``, ``score`` and ``rejected``.
+    The text itself may be among ``keep``.
 
     ``score`` is 1 - best size / second-best size; ``rejected`` holds for ``und`` and for scores
     below ``min_margin``.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    names = [f"__k{i}" for i in range(len(keep))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    out = plain.mapInArrow(_classifier(model, level), schema)
+    names = ["__text" if c == text else f"__k{i}" for i, c in enumerate(keep)]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if c != text], F.col(f"`{text}`").alias("__text"))
+    passed = plain.schema.fields if text in keep else plain.schema.fields[:-1]
+    schema = T.StructType([*passed, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+    out = plain.mapInArrow(_classifier(model, level, len(passed)), schema)
     rejected: Column = (F.col("__lang_pred") == UNKNOWN) | (F.col("__score") < min_margin)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))
