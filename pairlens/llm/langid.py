@@ -104,7 +104,7 @@ def _classifier(model: dict[str, bytes], level: int, passed: int):
     return run
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level: int = 3, min_margin: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level: int = 6, min_margin: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (default: all but the text) plus ``lang_pred``, ``score`` and ``rejected``.
     The text itself may be among ``keep``.
 
