@@ -4,8 +4,9 @@ Documents are stored in chunks (one binary row each, some megabytes of text). A
 distinct 64-bit keys of its n-grams, sorted and pre-aggregated, in slices by key range ("buckets");
 Spark groups the slices of a bucket, the reducer combines equal keys of all chunks, and each chunk
 gets back one value for each key it sent. A key that every chunk holds costs one entry a chunk, so
-no key is hot. As input grows there are more buckets and fewer keys in a slice; a slice is never
-larger than the chunk's own keys and a bucket's mean size is fixed.
+no key is hot. A bucket's mean size is fixed, so as input grows there are more buckets and fewer keys
+in a slice; there are never more slices than distinct keys of chunks, which is what a plain
+``groupBy`` would move as rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import cut, pack_sorted, sliced, unpack_sorted
 
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 6 << 20  # of text for each bucket
+BUCKET_BYTES = 8 << 20  # of text for each bucket, twice that at most
 
 
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
@@ -37,7 +38,7 @@ def _store(parts: list[pa.RecordBatch]) -> bytes:
     with pa.ipc.new_stream(sink, parts[0].schema) as writer:
         for part in parts:
             writer.write_batch(part)
-    return _squeeze(sink.getvalue().to_pybytes())
+    return _squeeze(sink.getvalue().to_pybytes(), 3)
 
 
 def load(payload: bytes) -> pa.RecordBatch:
@@ -68,7 +69,7 @@ def chunked(docs: DataFrame, text: str, apart: str | None = None) -> DataFrame:
                 for part in sliced(batch if mask is None else batch.filter(mask), text, CHUNK_BYTES // 4):
                     parts, size = held[flag]
                     parts.append(part)
-                    held[flag] = (parts, size + part.get_total_buffer_size())
+                    held[flag] = (parts, size + part.nbytes)
                     if held[flag][1] >= CHUNK_BYTES:
                         yield emit(flag)
         for flag in (False, True):
@@ -81,7 +82,7 @@ def chunked(docs: DataFrame, text: str, apart: str | None = None) -> DataFrame:
 def bucket_bits(chunks: DataFrame) -> int:
     """Number of leading key bits that choose the bucket."""
     total = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
-    return max(2, int(-(-total // BUCKET_BYTES)).bit_length())
+    return max(2, int(total // BUCKET_BYTES).bit_length())
 
 
 SLICES = "bucket int, chunk long, keys binary, values binary"
