@@ -1,0 +1,23 @@
+"""Duplicate keys of both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import column
+from .align import duplicate_groups
+
+
+def duplicates_summary(prod: DataFrame, dev: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys duplicated on either side, with ``duplicate_in_prod`` and ``duplicate_in_dev``."""
+    p = duplicate_groups(prod, keys).select(*[column(k) for k in keys], F.lit(True).alias("__p"))
+    d = duplicate_groups(dev, keys).select(*[column(k) for k in keys], F.lit(True).alias("__d"))
+    both = p.join(d, keys, "full_outer")
+    return both.select(*[column(k) for k in keys], F.coalesce("__p", F.lit(False)).alias("duplicate_in_prod"), F.coalesce("__d", F.lit(False)).alias("duplicate_in_dev"))
+
+
+def duplicate_counts(prod: DataFrame, dev: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: groups of equal keys on each side."""
+    one = lambda df, name: duplicate_groups(df, keys).agg(F.count(F.lit(1)).alias(name))
+    return one(prod, "duplicate_prod").crossJoin(one(dev, "duplicate_dev"))  # two single rows
