@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """``df`` of about ``rows`` small rows in as many partitions as hold ``each`` of them."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -128,14 +133,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCK = 1 << 19  # bytes hashed at a time; a longer word is hashed whole
+
+
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit name of each word: a polynomial over its bytes (random byte values), then mixed."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_NAMES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, side="right")))
+        part = data[base : ends[j - 1]]
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_NAMES[part] * up[: len(part)], out=sums[1:])
+        first, last = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 _STEPS = np.random.default_rng(77003).integers(1, 2**63, size=64, dtype=np.uint64) | _U(1)

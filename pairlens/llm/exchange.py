@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pack_sorted, sliced, unpack_sorted
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket, twice that at most
 
 
