@@ -95,6 +95,8 @@ def _taper(n: int) -> np.ndarray:
 
 def resample(x: np.ndarray, cfg: AudioConfig) -> np.ndarray:
     """Polyphase resampling: output sample m is phase (m * down) % up at input m * down // up."""
+    if not len(x):
+        return np.zeros(0, np.float32)
     phases = _filters(cfg)
     n_out = -(-len(x) * cfg.up // cfg.down)
     padded = np.concatenate([np.zeros(cfg.taps - 1, np.float32), x])

@@ -114,9 +114,12 @@ def _scan(blocks: list, shard_bytes: int, cleaned: bool, names_out: list[str]):
         order = np.argsort(owner, kind="stable")
         owner, label = owner[order], label[order]
         hit = np.cumsum(edge[:-1]) > 0
-        run = np.zeros(len(hit) + 2, np.int8)
-        run[1:-1] = hit
-        begin, stop = np.flatnonzero(np.diff(run) == 1), np.flatnonzero(np.diff(run) == -1)
+        # runs of hit words, each within one document
+        edge_of = np.zeros(len(hit) + 1, bool)
+        edge_of[at] = True
+        before, after = np.concatenate([[False], hit[:-1]]), np.concatenate([hit[1:], [False]])
+        begin = np.flatnonzero(hit & (~before | edge_of[:-1]))
+        stop = np.flatnonzero(hit & (~after | edge_of[1:])) + 1
         begin_doc = np.searchsorted(at, begin, side="right") - 1
         cut_at = np.cumsum(np.concatenate([[0], hit]))
         row = 0
@@ -124,7 +127,6 @@ def _scan(blocks: list, shard_bytes: int, cleaned: bool, names_out: list[str]):
             docs = np.arange(row, row + batch.num_rows + 1)
             span_at = np.searchsorted(begin_doc, docs)
             item_at = np.searchsorted(owner, docs)
-            # each run lies in one document: a phrase never crosses a separator, but touching runs may
             pieces, piece_at = [], [0]
             clean = [] if cleaned else None
             for i in range(batch.num_rows):

@@ -32,7 +32,7 @@ _U = np.uint64
 END, BEGIN = _U(0x9D3F5C1B7A2E4D61), _U(0x1F83D9ABFB41BD6B)
 UNIGRAM, BIGRAM = 0, 1
 ORDERS = 24  # context buckets: count 0, 1, 2-3, 4-7, ...
-CELLS = 8  # histogram cells for each factor of two
+CELLS = 4  # histogram cells for each factor of two
 
 
 def _tokens(docs: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ class Symbols:
         """Widen spans by those of neighbours; a missing neighbour (document edge) makes them reach outside."""
         n = len(self.name)
         lo = np.where((left >= 0) & (self.doc[np.maximum(left, 0)] == doc), self.low[np.maximum(left, 0)], -1)
-        r = np.minimum(right, n - 1)
+        r = np.clip(right, 0, n - 1)
         hi = np.where((right < n) & (self.doc[r] == doc), self.high[r], LARGEST)
         np.minimum(low, np.where(left == -2, low, lo), out=low)
         np.maximum(high, np.where(right == -2, high, hi), out=high)

@@ -186,4 +186,4 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def page_of(uid: Column) -> Column:
     """The page id inside a record id or a reference to one."""
-    return F.regexp_extract(uid, r"^<urn:page:(-?\d+)", 1)
+    return F.regexp_extract(uid, r"^<urn:page:(-?\d+|null)", 1)
