@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import column, parsed
 
+#: The checks that a quality report can be limited to.
+CHECKS = frozenset({"null_rate", "distinct_count", "type_inference", "numeric_stats"})
 NUMERIC_SHARE = 0.9  # a column is numeric if more of its rows parse
 
 
@@ -65,7 +67,7 @@ def type_mismatches(prod: DataFrame, dev: DataFrame) -> DataFrame:
     return p.join(d, "column").where("prod_numeric <> dev_numeric").select("column")
 
 
-def quality_report(prod: DataFrame, dev: DataFrame, checks: frozenset[str] = frozenset({"null_rate", "distinct_count", "type_mismatch", "numeric_stats"})) -> DataFrame:
+def quality_report(prod: DataFrame, dev: DataFrame, checks: frozenset[str] = CHECKS) -> DataFrame:
     """Both profiles side by side, a row for each column of either; checks that are off give nulls."""
     names = ["null_rate", "distinct_count", "min", "max", "mean", "std"]
     p, d = (x.select("column", "numeric", *names) for x in (prod, dev))
@@ -76,5 +78,5 @@ def quality_report(prod: DataFrame, dev: DataFrame, checks: frozenset[str] = fro
         for n in names
         for side, name in (("p", "prod"), ("d", "dev"))
     ]
-    mismatch = F.when(F.col("p.numeric") != F.col("d.numeric"), "Yes").otherwise("No") if "type_mismatch" in checks else F.lit("No")
+    mismatch = F.when(F.col("p.numeric") != F.col("d.numeric"), "Yes").otherwise("No") if "type_inference" in checks else F.lit("No")
     return both.select("column", *cells, mismatch.alias("type_mismatch"))

@@ -13,7 +13,7 @@ METRICS = (
     "dup_count_prod", "dup_count_dev", "schema_missing", "schema_extra", "type_mismatch_count",
 )
 OPERATORS = (">", "<", ">=", "<=", "==", "!=")
-LEVELS = ("INFO", "WARNING", "CRITICAL")
+LEVELS = ("ERROR", "WARNING", "INFO")
 MAX_DECIMALS = 18
 
 
@@ -120,6 +120,38 @@ def active_pairs(control: DataFrame) -> DataFrame:
     )
 
 
+REQUIRED = ("run", "files path", "prod file name", "dev file name", "result report name")
+
+
+def control_issues(control: DataFrame, files: DataFrame) -> DataFrame:
+    """``row, field, message`` for problems of a control table's rows.
+
+    ``control`` has a column ``row`` beside its own; ``files`` is (path) of the inputs that exist. A
+    required column that is absent is one issue with a null row.
+    """
+    names = normalised_names(control)
+    absent = [c for c in REQUIRED if c not in names]
+    if absent:
+        return control.sparkSession.createDataFrame([(None, c, "required column is missing") for c in absent], "row long, field string, message string")
+    text = {k: F.coalesce(F.btrim(column(names[k]).cast("string")), F.lit("")) for k in REQUIRED}
+    rows = control.select(F.col("row").cast("long").alias("row"), *[c.alias(f"c{i}") for i, c in enumerate(text.values())])
+    blank = [F.when(F.col(f"c{i}") == "", F.struct(F.lit(k).alias("field"), F.lit("is empty").alias("message"))) for i, k in enumerate(REQUIRED) if k != "run"]
+    empty = rows.select("row", F.inline(F.array_compact(F.array(*blank))))
+    paths = rows.select("row", F.inline(F.array(*[F.struct(F.lit(k).alias("field"), F.concat_ws("/", "c1", f"c{i}").alias("path"), (F.col(f"c{i}") != "").alias("named")) for i, k in ((2, "prod file name"), (3, "dev file name"))])), "c1")
+    lost = paths.where("named and c1 <> ''").join(files.select(F.col("path").alias("known")), F.col("path") == F.col("known"), "left_anti")
+    return empty.unionByName(lost.select("row", "field", F.concat(F.lit("file not found: "), F.col("path")).alias("message")))
+
+
+def quality_switches(switches: DataFrame) -> tuple[frozenset[str], DataFrame]:
+    """(checks that are on, ``check, problem`` of unknown names and unclear values) of a (check, value) table."""
+    from .profile import CHECKS
+
+    value = F.lower(F.btrim(F.col("value").cast("string")))
+    problem = F.when(~F.col("check").isin(*CHECKS), "unknown check").when(~F.coalesce(value, F.lit("")).isin("true", "false", "yes", "no", "1", "0"), "not a yes or no")
+    off = {r.check for r in switches.where(problem.isNull() & value.isin("false", "no", "0")).select("check").distinct().collect()}  # four names
+    return CHECKS - off, switches.select("check", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 SPEC = "job int, prod_path string, dev_path string, keys array<string>, ignore_columns array<string>, tolerance map<string,string>"
 
 

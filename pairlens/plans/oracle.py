@@ -157,6 +157,8 @@ SQL = {
     "preflight_issues": _SUPPLIER_ISSUES,
     "active_pairs": """SELECT p_brand AS result_name, p_name AS prod, p_type AS dev, CASE WHEN p_partkey % 2 = 0 THEN 'p_partkey,p_size' ELSE 'p_partkey' END AS keys, CASE WHEN p_partkey % 3 = 0 THEN 'a,b' ELSE '' END AS ignored, TRUE AS include_pass, count(*) AS pairs
       FROM part WHERE p_partkey % 7 IN (0, 2, 3, 5) GROUP BY ALL""",
+    "control_issues": """WITH i AS (SELECT p_partkey AS r, 'files path' AS field, 'is empty' AS message FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT p_partkey, 'dev file name', 'is empty' FROM part WHERE p_partkey % 5 = 0
+      UNION ALL SELECT p_partkey, 'prod file name', 'file not found: in/b.csv' FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 11 <> 0) SELECT field, message, count(*) AS issues, CAST(sum(r) AS BIGINT) AS row_sum FROM i GROUP BY 1, 2""",
     "batch_summary": f"{_PAIRS} SELECT * FROM sums",
     "overall_pass": f"{_PAIRS} SELECT count(*) AS pairs, bool_and(coalesce(matched_failed, 0) = 0 AND error IS NULL AND coalesce(missing_dev, 0) = 0 AND coalesce(extra_dev, 0) = 0) AS overall_pass FROM sums",
     "run_history": f"{_LOG} SELECT job_id, batch_id, status FROM log WHERE status = 'FAILED' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 10",

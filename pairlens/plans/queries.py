@@ -219,6 +219,17 @@ def active_pairs(spark, sf_dir):
     return rules.active_pairs(control).groupBy("result_name", "prod", "dev", F.array_join("keys", ",").alias("keys"), F.array_join("ignore", ",").alias("ignored"), "include_pass").agg(F.count(F.lit(1)).alias("pairs"))
 
 
+def control_issues(spark, sf_dir):
+    """A control row for each part, with blank cells and files that do not exist."""
+    key = F.col("p_partkey")
+    control = synth.table(spark, sf_dir, "part").select(
+        key.alias("row"), F.lit("yes").alias("Run"), F.when(key % 11 != 0, F.lit("in")).alias("Files Path"), F.when(key % 2 == 0, F.lit("a.csv")).otherwise(F.lit("b.csv")).alias("Prod File Name"),
+        F.when(key % 5 == 0, F.lit(" ")).otherwise(F.lit("c.csv")).alias("Dev File  Name"), F.col("p_brand").alias("Result Report Name"),
+    )
+    files = spark.createDataFrame([("in/a.csv",), ("in/c.csv",)], "path string")
+    return rules.control_issues(control, files).groupBy("field", "message").agg(F.count(F.lit(1)).alias("issues"), F.sum("row").alias("row_sum"))
+
+
 def _summaries(spark, sf_dir) -> DataFrame:
     def pair(make, key):
         return lambda: make(spark, sf_dir)[0], lambda: make(spark, sf_dir)[1], DiffConfig(keys=(key,), enabled=frozenset({"comparison"}))
@@ -379,7 +390,7 @@ def queries() -> dict[str, Query]:
     found = [
         value_differences, missing_extra, pass_report, pass_report_failed, match_summary, diffs_by_column, duplicate_groups, duplicate_summary, seq_alignment, seq_value_differences,
         seq_counted_alignment, schema_differences, schema_items, schema_audit, null_rates, distinct_counts, numeric_stats, type_mismatches, quality_report, approx_distinct_error, tolerance_rules,
-        tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
+        tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, control_issues, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
         clean_names, csv_roundtrip, delimited_roundtrip, delimiter_detect, encoding_detect, fixed_width, blank_separated, parquet_scan, inventory, stored_results,
     ]
     return {f.__name__: f for f in found} | {"overall_pass": overall}

@@ -76,3 +76,14 @@ def test_batch_totals(spark):
         [(1, "SUCCESS", 100.0), (1, "FAILED", 50.0), (2, "RUNNING", 10.0), (3, "SUCCESS", 100.0), (3, "SKIPPED", 0.0), (4, "FAILED", 1.0), (5, "CANCELLED", 0.0)], "batch_id int, status string, progress double"
     )
     assert {r.batch_id: r.status for r in history.batch_totals(jobs).collect()} == {1: "PARTIAL_SUCCESS", 2: "RUNNING", 3: "SUCCESS", 4: "FAILED", 5: "CANCELLED"}
+
+
+def test_control_rows_and_switches(spark):
+    table = spark.createDataFrame([(1, "yes", "in", "a", "b", "r"), (2, "no", "", "a", None, " ")], "row long, RUN string, `Files Path` string, `Prod File Name` string, `dev file name` string, `Result Report Name` string")
+    files = spark.createDataFrame([("in/a",)], "path string")
+    assert {(r.row, r.field, r.message) for r in rules.control_issues(table, files).collect()} == {
+        (1, "dev file name", "file not found: in/b"), (2, "files path", "is empty"), (2, "dev file name", "is empty"), (2, "result report name", "is empty"),
+    }
+    assert [r.field for r in rules.control_issues(table.drop("RUN"), files).collect()] == ["run"]
+    on, issues = rules.quality_switches(spark.createDataFrame([("null_rate", "no"), ("odd", "yes"), ("numeric_stats", "perhaps")], "check string, value string"))
+    assert on == {"distinct_count", "type_inference", "numeric_stats"} and {r.check: r.problem for r in issues.collect()} == {"odd": "unknown check", "numeric_stats": "not a yes or no"}
