@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_WORD, sequence_name, sliced, text_buffers, window_names, word_names, word_spans
+from .common import LOWER, NOT_WORD, lean, sequence_name, sliced, text_buffers, window_names, word_names, word_spans
 from .fm_index import SEPARATOR, FMIndex
 
 
@@ -193,12 +193,12 @@ def _blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes:
     return found
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, keep: list[str] | None = None, cleaned: bool = False, shard_bytes: int = 16 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, keep: list[str] | None = None, cleaned: bool = False, shard_bytes: int = 6 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns plus n_words, n_hit, items (sorted ids), spans (of words) and, if asked, clean_text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"__k{i}" for i in range(len(keep))]
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], F.col(f"`{text}`").alias("__text"))
     added = T._parse_datatype_string("n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + (", clean_text string" if cleaned else ""))
     schema = T.StructType([*plain.schema.fields[:-1], *added.fields])
-    out = plain.mapInArrow(_scan(_blocks(items, item_id, item_text, width, block_bytes), shard_bytes, cleaned, schema.names), schema)
+    out = plain.mapInArrow(lean(_scan(_blocks(items, item_id, item_text, width, block_bytes), shard_bytes, cleaned, schema.names)), schema)
     return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(inner, keep)], *added.names)

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pack_sorted, sliced, unpack_sorted
+from .common import cut, lean, pack_sorted, sliced, unpack_sorted
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket, twice that at most
@@ -76,7 +76,7 @@ def chunked(docs: DataFrame, text: str, apart: str | None = None) -> DataFrame:
             if held[flag][0]:
                 yield emit(flag)
 
-    return cut(docs.mapInArrow(run, "chunk long, apart boolean, bytes long, payload binary"))
+    return cut(docs.mapInArrow(lean(run), "chunk long, apart boolean, bytes long, payload binary"))
 
 
 def bucket_bits(chunks: DataFrame) -> int:
@@ -116,7 +116,7 @@ def send(chunks: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[pa.Re
             for number, payload in zip(batch.column(0), batch.column(1)):
                 yield from make(number.as_py(), load(payload.as_py()))
 
-    return chunks.select("chunk", "payload").mapInArrow(run, SLICES)
+    return chunks.select("chunk", "payload").mapInArrow(lean(run), SLICES)
 
 
 def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], width: int) -> DataFrame:

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 UNKNOWN = "und"
 DICT_BYTES = 96 << 10
 _LETTER = regex.compile(r"\p{L}")
@@ -116,6 +118,6 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if c != text], F.col(f"`{text}`").alias("__text"))
     passed = plain.schema.fields if text in keep else plain.schema.fields[:-1]
     schema = T.StructType([*passed, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
-    out = plain.mapInArrow(_classifier(model, level, len(passed)), schema)
+    out = plain.mapInArrow(lean(_classifier(model, level, len(passed))), schema)
     rejected: Column = (F.col("__lang_pred") == UNKNOWN) | (F.col("__score") < min_margin)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, sliced
+from .common import cut, lean, sliced
 
 CAPACITY = 4096
 
@@ -42,7 +42,7 @@ class WordEncoder:
     they are.
     """
 
-    MEMO = 1_000_000  # words remembered at a time
+    MEMO = 200_000  # words remembered at a time
     PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which can begin a token run
     PARTING = "\u20ac"
 
@@ -174,7 +174,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
                     names=schema.names,
                 )
 
-    out = plain.mapInArrow(run, schema)
+    out = plain.mapInArrow(lean(run), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep)], *added.names)
 
 
