@@ -42,7 +42,7 @@ class WordEncoder:
     they are.
     """
 
-    MEMO = 200_000  # words remembered at a time
+    MEMO = 600_000  # words remembered at a time
     PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # not the apostrophe, which can begin a token run
     PARTING = "\u20ac"
 
