@@ -11,10 +11,12 @@ compared again:
 2. in nodes that still hold several components: nodes of at most ``small`` members are compared
    exhaustively by signatures; larger ones branch on by two further tokens each, and after
    ``more_levels`` levels are compared in blocks of members, which together hold every pair. A pair
-   is passed on in the first tree it meets in only.
+   is passed on only in the first tree that compares it for certain; branching may part it, so a
+   pair of a node that branched is tried again in every later tree.
 
 A pair with Jaccard similarity s meets in a tree with probability s ** depth or more; at s = 0.85,
-16 trees of depth 3 miss it less than once in 10 ** 6, at s = 0.8 once in 10 ** 5. Signatures of
+16 trees of depth 3 miss it less than once in 10 ** 6, at s = 0.8 once in 10 ** 5 (if all its nodes
+branch, three times in 10 ** 5). Signatures of
 ``SIGNATURE`` bytes are made for classes that meet another one; the filter on them keeps pairs down
 to four standard deviations below the threshold.
 
@@ -163,7 +165,7 @@ def _confirm(width: int, percent: int):
 def _compare(members: np.ndarray, labels: np.ndarray, sig: np.ndarray, earlier: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different labels whose signatures agree in ``least`` places or more; smaller id first.
 
-    ``earlier`` holds the members' nodes in earlier trees: pairs that share one were seen there.
+    ``earlier`` holds the members' nodes in earlier trees: pairs that share one were compared there.
     """
     left, right = [], []
     for i in range(len(members) - 1):
@@ -258,11 +260,17 @@ class _Join:
     def exhaustive(self) -> DataFrame:
         """Candidate pairs (a, b) of all nodes with several components."""
         # the members of mixed nodes first, then their signatures
-        signed = lambda rows: rows.join(self.sig.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).drop("sid")
+        signed = lambda rows: rows.join(sig.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).drop("sid")
         rows = self.mixed(self.members.select("node", "tree", "id"))
+        large, sig = rows.where(F.col("size") > self.small), self.sig
+        some = not large.isEmpty()
+        if some and self.more_levels:
+            # a node that branches gets another name for each member: sharing it does not tell that a pair was compared
+            branched = cut(large.groupBy(F.col("id").alias("bid")).agg(F.collect_set("tree").alias("again")))
+            other = F.transform("nodes", lambda node, tree: F.when(F.array_contains("again", tree), F.col("id")).otherwise(node))
+            sig = sig.join(branched, F.col("id") == F.col("bid"), "left").select("id", F.when(F.col("again").isNull(), F.col("nodes")).otherwise(other).alias("nodes"), "sig")
         leaves = [signed(rows.where(F.col("size") <= self.small))]
-        large = rows.where(F.col("size") > self.small)
-        if not large.isEmpty():
+        if some:
             large = signed(large)
             for _ in range(self.more_levels):
                 rows = self.mixed(large.select("node", "tree", "id", "label", "nodes", "sig").mapInArrow(_branch, _MEMBER).distinct())

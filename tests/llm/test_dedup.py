@@ -164,6 +164,20 @@ def test_large_group_near_the_threshold(spark):
         assert rows_of(near_dedup.near_duplicates(docs, percent=85, small=small, more_levels=2), "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_pairs_inside_large_families(spark):
+    """Texts of one family are not linked, but share nodes that branch; copies at the threshold are linked in twos."""
+    rng = np.random.default_rng(23)
+    rows = []
+    for i in range(80):
+        order = rng.permutation(120)
+        for k, chosen in enumerate((order[:60], order[17:77])):
+            rows.append((2 * i + k, " ".join(f"w{x}" for x in chosen)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = brute_components(rows, 50, 1)
+    assert sum(r[3] for r in expected) > 60
+    assert rows_of(near_dedup.near_duplicates(docs, width=1, percent=50, trees=32, depth=1, small=8), "doc_id", "n_shingles", "component_id", "kept") == expected
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)] + [(2000, 2000 + i) for i in range(1, 200)]
     found = dict(rows_of(components(spark.createDataFrame(chain, "a long, b long")), "id", "component"))
