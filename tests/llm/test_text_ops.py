@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pairlens.llm import decontaminate, langid, lm, packing, queries
 from pairlens.llm.fm_index import SEPARATOR, FMIndex
 
@@ -97,6 +98,17 @@ def test_language_id_of_odd_rows(spark, odd_docs):
     assert langid.identify(odd_docs.limit(0), model).count() == 0
 
 
+def test_language_id_of_a_very_long_text(spark):
+    """A clean text of many megabytes has a clear margin."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    english = "\n".join(r.text for r in docs.where("lang = 'en' and text is not null").orderBy("doc_id").collect())
+    assert len(english) > 100_000
+    text = "\n".join(" ".join(np.random.default_rng(k).permutation(english.split())) for k in range(8 * 10**6 // len(english)))
+    rows = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    (row,) = langid.identify(rows, langid.train(docs), min_margin=corpus_pipeline.MIN_MARGIN).collect()
+    assert row.lang_pred == "en" and not row.rejected and row.score > 0.005
+
+
 def brute_model(rows, train, held):
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"] for _, t in rows]
 
