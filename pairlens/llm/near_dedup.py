@@ -1,7 +1,8 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document's set is its distinct word shingles. Documents of equal sets are one class, of which only
-the smallest id goes on. Each of ``trees`` independent trees branches the classes by selected minwise
+a text of the smallest id goes on, under a number of its own: rows of one id with different texts are
+compared each by its own text, and become one vertex only when components are named. Each of ``trees`` independent trees branches the classes by selected minwise
 tokens: at a node, a hash of the node chooses which minwise token leads on. The first ``depth`` levels
 are taken at once; classes that meet in no node are done. Then candidates are confirmed on the full
 sets and merged into components, in rounds, so that pairs which are connected already are not
@@ -41,6 +42,7 @@ from .components import components
 _U = np.uint64
 TOKENS = 96  # minwise tokens that trees choose from
 SIGNATURE = 512
+LEAST = -(2**63)  # stands for a null id
 _RNG = np.random.default_rng(41)
 _MUL = _RNG.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 2**32, SIGNATURE, dtype=np.uint32)
@@ -206,15 +208,16 @@ class _Join:
         self.described = cut(described)
         full = self.described.where("n > 0")
         first = F.min(F.struct("id", "tag")).alias("first")
-        self.classes = cut(full.groupBy("d1", "d2", "n").agg(first, F.any_value("nodes").alias("nodes")).select("d1", "d2", "n", F.col("first.id").alias("id"), F.col("first.tag").alias("tag"), "nodes"))
-        rows = self.classes.select("id", F.posexplode("nodes").alias("tree", "node"))
-        stats = rows.groupBy(F.col("node").alias("of")).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("pivot")).where("size > 1")
+        classes = full.groupBy("d1", "d2", "n").agg(first, F.any_value("nodes").alias("nodes"))
+        self.classes = cut(classes.select("d1", "d2", "n", F.monotonically_increasing_id().alias("id"), F.col("first.id").alias("doc"), F.col("first.tag").alias("tag"), "nodes"))
+        rows = self.classes.select("id", "doc", F.posexplode("nodes").alias("tree", "node"))
+        stats = rows.groupBy(F.col("node").alias("of")).agg(F.count(F.lit(1)).alias("size"), F.min_by("id", "doc").alias("pivot")).where("size > 1")
         self.members = cut(rows.join(stats, F.col("node") == F.col("of")).select("node", "tree", "id", "pivot"))
         self.members = gathered(self.members, self.members.count())
         chosen = self.members.select(F.col("id").alias("chosen")).distinct()
-        wanted = self.classes.join(chosen, F.col("id") == F.col("chosen"), "left_semi").select(F.col("id").alias("wid"), F.col("tag").alias("wtag"), "nodes")
+        wanted = self.classes.join(chosen, F.col("id") == F.col("chosen"), "left_semi").select(F.col("id").alias("class"), F.col("doc").alias("wid"), F.col("tag").alias("wtag"), "nodes")
         texts = docs.join(wanted, (F.col("id") == F.col("wid")) & (F.col("tag") == F.col("wtag")))
-        self.texts = cut(texts.dropDuplicates(["id", "tag"]).select("id", "nodes", "text"))
+        self.texts = cut(texts.dropDuplicates(["id", "tag"]).select(F.col("class").alias("id"), "nodes", "text"))
         self.sig = cut(self.texts.mapInArrow(lean(_sign(width)), "id long, nodes array<long>, sig binary"))
         self.links = self.labels = self.tested = None
 
@@ -302,17 +305,51 @@ class _Join:
         return all_.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row; linked are sets of similarity >= percent / 100."""
-    least = F.lit(-(2**63))
-    plain = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), least).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"))
+def _linked(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, trees: int, depth: int, small: int, more_levels: int) -> tuple[DataFrame, DataFrame]:
+    """(id, tag, n, component) for each row: the smallest id of the texts connected with the row's own text; and ids of several sets."""
+    plain = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"))
     join = _Join(plain, width, percent, trees, depth, small, more_levels)
     stars = join.members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(join.agreeing(stars))
     join.confirm(stars)
     join.confirm(join.exhaustive())
-    classes = join.labelled(join.classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), F.col("id").alias("first")), "first", "component")
+    classes = join.classes.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.col("n").alias("cn"), F.col("id").alias("class"), "doc")
+    if join.labels is None:
+        classes = classes.withColumn("component", F.col("doc"))
+    else:
+        labels = join.labels.select(F.col("id").alias("__l"), F.col("component").alias("__c"))
+        named = labels.join(join.classes.select("id", "doc"), F.col("__l") == F.col("id")).select("__l", "__c", "doc")
+        heads = cut(named.groupBy(F.col("__c").alias("__h")).agg(F.min("doc").alias("head")))
+        named = labels.join(heads, F.col("__c") == F.col("__h")).select("__l", "head")
+        classes = classes.join(named, F.col("class") == F.col("__l"), "left").withColumn("component", F.coalesce("head", "doc"))
+    classes = classes.select("c1", "c2", "cn", "component")
     found = join.described.join(classes, (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2")) & (F.col("n") == F.col("cn")), "left")
-    component = F.coalesce("component", "id")
-    back = lambda c: F.nullif(c, least)
-    return found.select(back(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    ends = [f(c).alias(f"{k}_{c}") for c in ("n", "d1", "d2") for k, f in (("lo", F.min), ("hi", F.max))]
+    several = join.described.groupBy(F.col("id").alias("of")).agg(*ends).where("lo_n <> hi_n or lo_d1 <> hi_d1 or lo_d2 <> hi_d2").select("of")
+    return found.select("id", "tag", "n", F.coalesce("component", "id").alias("component")), several
+
+
+def _one_vertex_each(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` with the components united that share one of the ids ``several``."""
+    several = cut(several)
+    if several.isEmpty():
+        return rows
+    rows = cut(rows)
+    edges = rows.join(several, F.col("id") == F.col("of"), "left_semi").select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").distinct()
+    # an id of several texts and the names of their components are vertices; a name is the id of a text of its component
+    labels = components(edges).select(F.col("id").alias("__l"), F.col("component").alias("__c"))
+    return rows.join(labels, F.col("component") == F.col("__l"), "left").withColumn("component", F.coalesce("__c", "component"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row; linked are sets of similarity >= percent / 100."""
+    found = _one_vertex_each(*_linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels))
+    back = lambda c: F.nullif(F.col(c), F.lit(LEAST))
+    return found.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6) -> DataFrame:
+    """The rows of ``docs`` whose own text is connected with no text of a smaller id."""
+    found, _ = _linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels)
+    gone = found.where("id <> component").select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    return docs.join(gone, (F.col(f"`{doc_id}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__tag")), "left_anti")

@@ -178,6 +178,18 @@ def test_pairs_inside_large_families(spark):
     assert rows_of(near_dedup.near_duplicates(docs, width=1, percent=50, trees=32, depth=1, small=8), "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_different_texts_of_one_id(spark):
+    """Every text is compared as itself; then rows of one id are one vertex. The filter judges each row by its own text."""
+    word = lambda mark, n=60: [f"{mark}{i}" for i in range(n)]
+    near = lambda mark: " ".join([*word(mark), "more"])
+    a, b, c, d, e = (" ".join(word(m)) for m in "abcde")
+    rows = [(None, a), (None, b), (7, near("b")), (8, near("a")), (3, c), (5, c), (5, d), (9, near("d")), (5, ""), (6, e), (6, near("e")), (10, " ".join(word("f"))), (10, near("d")), (11, near("f"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(near_dedup.near_duplicates(docs, percent=80), "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, 80)
+    gone = [(7, near("b")), (8, near("a")), (5, c), (9, near("d")), (10, near("d")), (11, near("f"))]
+    assert rows_of(near_dedup.without_near_duplicates(docs, percent=80), "doc_id", "text") == sorted([x for x in rows if x not in gone], key=repr)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (5, 5)] + [(2000, 2000 + i) for i in range(1, 200)]
     found = dict(rows_of(components(spark.createDataFrame(chain, "a long, b long")), "id", "component"))
