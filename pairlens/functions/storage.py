@@ -8,10 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where it is unset (tests) make a local folder."""
+    """Use ``spark.checkpoint.dir``; where it is unset a local master (tests) gets a local folder, a cluster an error."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pairlens-"))
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="pairlens-")
+    context.setCheckpointDir(folder)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The session's own folder below ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame) -> DataFrame:
