@@ -9,34 +9,45 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import checkpoint_dir, ensure_checkpoint_dir
+
 SLICE_BYTES = 4 << 20
 _U = np.uint64
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only where it is unset (tests) make a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pairlens-checkpoint-"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read from there on (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def apart(columns: Sequence[str], added: Iterable[str]) -> list[str]:
+    """Names of ``columns`` beside the ``added`` ones: one that clashes (in any case) gets ``_`` appended until it is free."""
+    new = {c.lower() for c in added}
+    taken = new | {c.lower() for c in columns}
+    out = []
+    for name in columns:
+        if name.lower() in new:
+            while name.lower() in taken:
+                name += "_"
+            taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """``df`` of about ``rows`` small rows in as many partitions as hold ``each`` of them."""
     return df.coalesce(max(1, -(-rows // each)))
@@ -44,8 +55,23 @@ def gathered(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def rename_files(spark: SparkSession, path: str, old: str, new: str) -> None:
+    """Give the files of a folder another ending, through the file system that holds it (a call for each file)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        where = status.getPath()
+        if where.getName().endswith(old):
+            files.rename(where, spark._jvm.org.apache.hadoop.fs.Path(folder, where.getName()[: -len(old)] + new))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete intermediate data that ``shared_path`` named, through the file system that holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc32_mod(column: str, divisor: int) -> Column:
@@ -172,19 +198,25 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 _STEPS = np.random.default_rng(77003).integers(1, 2**63, size=64, dtype=np.uint64) | _U(1)
+_OTHER_STEPS = np.random.default_rng(90107).integers(1, 2**63, size=64, dtype=np.uint64) | _U(1)
 
 
-def window_names(names: np.ndarray, width: int) -> np.ndarray:
+def window_names(names: np.ndarray, width: int, steps: np.ndarray = _STEPS) -> np.ndarray:
     """Name of every run of ``width`` consecutive names (len(names) - width + 1 of them)."""
     n = len(names) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     total = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        total += names[k : k + n] * _STEPS[k % 64] + _U(k // 64)
+        total += names[k : k + n] * steps[k % 64] + _U(k // 64)
     return mix(total)
 
 
+def other_window_names(names: np.ndarray, width: int) -> np.ndarray:
+    """A second, independent 64-bit name of every run: both together are its 128-bit name."""
+    return window_names(mix(names ^ _U(0x2545F4914F6CDD1D)), width, _OTHER_STEPS)
+
+
 def sequence_name(names: np.ndarray) -> np.ndarray:
     """Name of one whole short sequence, distinct from names of windows of other widths."""
     total = int(np.sum(names * _STEPS[np.arange(len(names)) % 64], dtype=np.uint64)) + (len(names) * 2 + 1) * 0xC2B2AE3D27D4EB4F
