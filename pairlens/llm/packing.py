@@ -2,19 +2,21 @@
 
 Documents become token ids and an end id; only those longer than the capacity are cut. The plan is
 made on the histogram of piece lengths, which has at most ``capacity`` rows whatever the input: for
-each length, longest first, tables of the available counts, addressed by length, give the single, the
-pair and then the triple of lengths that exactly fills the gap, taken as often as counts allow. What
-no exact combination fills goes to the fullest sequence it fits (best-fit decreasing, on counts).
+each length, longest first, an index of single, pair and triple sums gives the lengths that exactly
+fill the gap, taken as often as counts allow. What no exact combination fills goes to the fullest
+sequence it fits (best-fit decreasing, on counts). The plan never takes more sequences than best-fit
+decreasing alone.
 Pieces of a length are numbered in Spark (by salted groups, so that one very common length is many
 groups) and looked up in the plan's number ranges.
 
 Defined results: a null or empty text is the end id alone; null ids are ordinary ids; rows that
 repeat are packed one by one; an empty table gives no rows; a text of any length is tokenized whole.
-Further columns pass through under any name.
+Further columns pass through; one that bears the name of an added column gets ``_`` appended.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, lean, sliced
+from .common import apart, col, cut, lean, sliced
 
 CAPACITY = 4096
 
@@ -132,25 +134,41 @@ class TextEncoder:
         return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+#: The steps of a tokenizer file whose tokens never reach across ASCII white space.
+WORD_STEPS = {
+    "normalizer": [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)],
+    "pre_tokenizer": [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)],
+}
+
+
+def parts_at_blanks(path: str) -> bool:
+    """Whether ``WordEncoder`` gives this file's ids: its steps are the known ones and special tokens begin with ``<|``."""
+    with open(path, encoding="utf-8") as f:
+        stored = json.load(f)
+    steps = lambda s: [(x["type"], x.get("pattern", {}).get("Regex")) for x in (s or {}).get("normalizers", (s or {}).get("pretokenizers", []))]
+    special = all(t["content"].startswith("<|") for t in stored.get("added_tokens", []))
+    return special and stored["model"]["type"] == "BPE" and not stored["model"].get("dropout") and all(steps(stored.get(k)) == v for k, v in WORD_STEPS.items())
+
+
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str, by_word: bool):
-    if (path, by_word) not in _ENCODERS:
-        _ENCODERS[path, by_word] = WordEncoder(path) if by_word else TextEncoder(path)
-    return _ENCODERS[path, by_word]
+def _encoder(path: str):
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path) if parts_at_blanks(path) else TextEncoder(path)
+    return _ENCODERS[path]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep: list[str] | None = None, by_word: bool = True, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each piece: ``keep`` columns, piece, start, length, ids_crc32 and, if asked, ids (binary)."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"__k{i}" for i in range(len(keep))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], F.col(f"`{text}`").alias("__text"))
+    plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, inner)], col(text).alias("__text"))
     added = T._parse_datatype_string("piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
     schema = T.StructType([*plain.schema.fields[:-1], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer, by_word)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in sliced(batch, "__text"):
@@ -175,69 +193,97 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
                 )
 
     out = plain.mapInArrow(lean(run), schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep)], *added.names)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, apart(keep, [*added.names, "sequence_id", "offset"]))], *added.names)
 
 
-class Plan:
-    """Patterns of lengths and how many sequences follow each; exact complements first, then best fit."""
+class _Filling:
+    """One way to fill sequences, with an index of the combinations that are left, by their sum.
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
-        self.capacity = capacity
+    ``left[s]`` is how many pieces of length s are left, ``pairs[s]`` how many pairs of available
+    lengths sum to s, ``triples[s]`` whether three did when the index was last renewed: availability
+    only falls, so a sum without triples stays without.
+    """
+
+    RENEW = 256  # lengths used up between two renewals of the triples
+
+    def __init__(self, counts: dict[int, int], capacity: int, floor: int):
+        self.capacity, self.used_up = capacity, 0
         self.left = np.zeros(capacity + 1, np.int64)
-        for length, n in counts.items():
-            self.left[length] = n
+        self.have = np.zeros(capacity + 1, bool)
+        self.pairs = np.zeros(capacity + 1, np.int64)
         self.patterns: list[tuple[list[int], int]] = []
-        self._exact()
+        for length, n in counts.items():
+            self._add(length, n)
+        self._renew()
+        self._exact(floor)
         self._best_fit()
 
-    def _take(self, lengths: list[int], times: int) -> None:
-        np.subtract.at(self.left, lengths, times)
-        self.patterns.append((lengths, times))
+    def _renew(self) -> None:
+        self.triples = np.convolve(self.have.astype(np.float64), (self.pairs > 0).astype(np.float64))[: self.capacity + 1] > 0.5
+
+    def _add(self, length: int, n: int) -> None:
+        """Change what is left of a length, and the pairs it makes."""
+        before, after = int(self.left[length]), int(self.left[length]) + n
+        self.left[length] = after
+        if (before > 0) != (after > 0):
+            self.have[length] = False
+            self.pairs[length:] += (1 if after else -1) * self.have[: self.capacity + 1 - length]
+            self.have[length] = after > 0
+            self.used_up += not after
+        if (before > 1) != (after > 1) and 2 * length <= self.capacity:
+            self.pairs[2 * length] += 1 if after > 1 else -1
 
     def _times(self, lengths: list[int]) -> int:
         """How many sequences of these lengths the counts allow."""
-        values, need = np.unique(lengths, return_counts=True)
-        return int((self.left[values] // need).min())
+        return min(int(self.left[x]) // lengths.count(x) for x in lengths)
 
-    def _pair(self, gap: int) -> list[int] | None:
-        """The most available a <= b with a + b = gap."""
-        half = gap // 2
-        if half < 1:
-            return None
-        small = self.left[1 : half + 1]
-        both = np.minimum(small, self.left[gap - 1 : gap - half - 1 : -1])
-        if 2 * half == gap:
-            both = both.copy()
+    def _pair(self, total: int) -> list[int]:
+        """The most available a <= b of a sum that has pairs."""
+        half = total // 2
+        both = np.minimum(self.left[1 : half + 1], self.left[total - 1 : total - half - 1 : -1])
+        if 2 * half == total:
             both[-1] = self.left[half] // 2
         k = int(both.argmax())
-        return [k + 1, gap - k - 1] if both[k] > 0 else None
+        return [k + 1, total - k - 1]
 
-    def _fill(self, gap: int) -> list[int] | None:
-        if self.left[gap] > 0:
+    def _complement(self, gap: int) -> list[int] | None:
+        """One, two or three available lengths that sum to ``gap``."""
+        if self.have[gap]:
             return [gap]
-        if pair := self._pair(gap):
-            return pair
-        for a in np.flatnonzero(self.left[1 : gap - 1])[::-1] + 1:  # largest first: later ones stay for others
-            self.left[a] -= 1
-            pair = self._pair(gap - int(a))
-            self.left[a] += 1
-            if pair and self._times([int(a), *pair]) > 0:
-                return [int(a), *pair]
+        if self.pairs[gap]:
+            return self._pair(gap)
+        if not self.triples[gap]:
+            return None
+        for a in np.flatnonzero(self.have[: gap + 1] & (self.pairs[gap::-1] > 0))[::-1].tolist():  # largest first
+            self._add(a, -1)
+            found = [a, *self._pair(gap - a)] if self.pairs[gap - a] else None
+            self._add(a, 1)
+            if found:
+                return found
         return None
 
-    def _exact(self) -> None:
+    def _exact(self, floor: int) -> None:
         c = self.capacity
         if self.left[c]:
-            self._take([c], int(self.left[c]))
-        for length in range(c - 1, 0, -1):
-            while self.left[length] > 0:
-                self.left[length] -= 1
-                others = self._fill(c - length)
-                self.left[length] += 1
-                times = self._times([length, *others]) if others else 0
-                if not times:
+            self.patterns.append(([c], int(self.left[c])))
+            self._add(c, -int(self.left[c]))
+        for length in np.flatnonzero(self.have)[::-1].tolist():
+            if length <= floor:
+                break
+            while self.left[length]:
+                self._add(length, -1)
+                others = self._complement(c - length)
+                self._add(length, 1)
+                if not others:
                     break
-                self._take([length, *others], times)
+                lengths = [length, *others]
+                times = self._times(lengths)
+                for x in lengths:
+                    self._add(x, -times)
+                self.patterns.append((lengths, times))
+                if self.used_up >= self.RENEW:
+                    self.used_up = 0
+                    self._renew()
 
     def _best_fit(self) -> None:
         """What is left, longest first, each into the smallest gap that holds it, many alike at a time."""
@@ -257,9 +303,28 @@ class Plan:
             for times, copies in ((n // each, each), (1, n % each)):
                 if times and copies:
                     open_.setdefault(self.capacity - copies * length, []).append(([length] * copies, times))
-        self.left[:] = 0
         self.patterns += [p for kept in open_.values() for p in kept]
 
+
+class Plan:
+    """Patterns of lengths and how many sequences follow each.
+
+    Exact complements are taken for lengths above a floor, longest first, then best fit places the
+    rest. Several floors are tried, up to best fit alone, and the plan of fewest sequences stands; so
+    short pieces are not spent where longer ones need them. Trying ends at the lower bound.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
+        self.capacity = capacity
+        least = -(-sum(k * n for k, n in counts.items()) // capacity)
+        self.patterns: list[tuple[list[int], int]] = []
+        for floor in (0, capacity // 2, capacity):
+            found = _Filling(counts, capacity, floor).patterns
+            if not self.patterns or sum(t for _, t in found) < self.sequences:
+                self.patterns = found
+            if self.sequences == least:
+                break
+
     def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Arrays sorted by (length, first number): that key, the first number, first sequence, offset."""
         used = np.zeros(self.capacity + 1, np.int64)
@@ -282,13 +347,14 @@ class Plan:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (column ``length``); read twice, so give stored ones."""
+    pieces = pieces.toDF(*apart(pieces.columns, ["sequence_id", "offset"]))
     spark = pieces.sparkSession
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     key, first, base, offset = Plan(counts, capacity).ranges()
     plan = spark.sparkContext.broadcast((key, first, base, offset))
     # the number of a piece among those of its length: by salted group, plus what earlier groups hold
     salts = max(16, sum(counts.values()) // 500_000)
-    salted = pieces.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(pieces.columns)]).alias("row"), F.col("length").alias("n"), F.floor(F.rand(5) * salts).cast("int").alias("salt"))
+    salted = pieces.select(F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(pieces.columns)]).alias("row"), F.col("length").alias("n"), F.floor(F.rand(5) * salts).cast("int").alias("salt"))
     salted = cut(salted.withColumn("order", F.monotonically_increasing_id()))
     sizes = salted.groupBy("n", "salt").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select(F.col("n").alias("bn"), F.col("salt").alias("bs"), (F.sum("size").over(Window.partitionBy("n").orderBy("salt")) - F.col("size")).alias("before"))
