@@ -14,7 +14,8 @@ joins the bitmaps, not texts, back to the documents and applies them.
 
 Defined results: a null or empty text is one empty line. Null ids sort before all others. Rows of one
 id are one document for the choice of the first; each row gets the bitmap of its own text, so
-repeated rows get equal results. Documents of any length are cut whole. Further columns pass through.
+repeated rows get equal results. Documents of any length are cut whole. Further columns pass through;
+one that bears the name of an added column gets ``_`` appended.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import apart, col, cut
 
+PARTITION_ROWS = 1_000_000  # lines that one task streams
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIP = " \t\n\x0b\x0c\r"
 
@@ -89,13 +91,13 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     ``tag`` is a hash of the text, so that rows of one id with other texts keep their own bitmaps.
     """
-    own = F.col(f"`{doc_id}`")
-    source = docs.select(own.cast("long").alias("d0"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.posexplode(F.transform(_lines(F.col(f"`{text}`")), line_key)).alias("pos", "key"))
+    source = docs.select(col(doc_id).cast("long").alias("d0"), F.xxhash64(col(text)).alias("tag"), F.posexplode(F.transform(_lines(col(text)), line_key)).alias("pos", "key"))
     hashed = source.where(F.char_length("key") >= min_chars).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7919), "key").alias("h2"), F.coalesce("d0", F.lit(-(2**63))).alias("d"), "tag", "pos"
     )
+    hashed = cut(hashed)  # range partitioning reads its input twice; hashes are stored, so lines are cut once
     order = ["h1", "h2", "d", "tag", "pos"]
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashed.count() // PARTITION_ROWS))
     ranged = hashed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     streamed = cut(ranged.mapInArrow(_stream, _OUT))
     # one row for each partition: the first document of each key that ends one
@@ -160,13 +162,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     bitmaps = keep_bitmaps(docs, doc_id, text, min_chars)
     inner = [f"__k{i}" for i in range(len(keep))]
     plain = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)],
-        F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("__d"),
-        F.xxhash64(F.col(f"`{text}`")).alias("__tag"),
-        F.col(f"`{text}`").alias("__text"),
+        *[col(c).alias(n) for c, n in zip(keep, inner)],
+        F.coalesce(col(doc_id).cast("long"), F.lit(-(2**63))).alias("__d"),
+        F.xxhash64(col(text)).alias("__tag"),
+        col(text).alias("__text"),
     )
     joined = plain.join(bitmaps, (F.col("__d") == F.col("d")) & (F.col("__tag") == F.col("tag")), "left").select(*inner, "__text", "keep_bitmap")
     added = T.StructType().add("n_lines", "long").add("n_dropped", "long").add("keep_bitmap", "binary").add("kept_text", "string")
     own = plain.select(*inner).schema.fields
     out = joined.mapInArrow(_apply(own, added), T.StructType([*own, *added.fields]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, keep)], *added.names)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, apart(keep, added.names))], *added.names)
