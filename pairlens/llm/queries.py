@@ -116,7 +116,7 @@ def op4_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
         "media_bytes",
         "media_sha256",
-        F.concat_ws("|", F.size("spans").cast("string"), F.size("segments").cast("string"), F.format_string("%.3f", "level"), F.md5("log_mel")).alias("feature"),
+        F.concat_ws("|", F.size("spans").cast("string"), F.size("segments").cast("string"), F.format_string("%.2f", "level"), F.hex("digest")).alias("feature"),
     )
 
 
