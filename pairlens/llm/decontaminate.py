@@ -6,13 +6,15 @@ all phrases backward, locates their occurrences and merges them into spans of wo
 Words are runs of [0-9A-Za-z] and characters above U+007F, with A-Z lower-cased. A run of words that
 are in no phrase is one separator in the index; no phrase can cross it.
 
-The phrases are broadcast in blocks of at most ``block_bytes`` of item text (a longer item stands
-alone), so their size is bounded whatever the size of the test set; every shard is searched for each
-block in turn.
+The items are stored in blocks of about ``block_bytes`` of text. A pass over the documents searches one
+block, which alone is broadcast, and is given up after the pass: the driver and every executor hold
+one block (or one longer item) at a time, whatever the size of the test set. With several blocks a
+pass returns the documents with hits only, and their spans and items are merged at the end.
 
 Defined results: null and empty texts have no words and no spans; items without words do nothing;
 rows of equal item id count as one item; a null item id is written as the empty string. Repeated
-documents get equal results. Further columns pass through under any name.
+documents get equal results. Further columns pass through; one that bears the name of an added column
+gets ``_`` appended.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_WORD, lean, sequence_name, sliced, text_buffers, window_names, word_names, word_spans
+from .common import LOWER, NOT_WORD, apart, col, cut, lean, remove_path, sequence_name, shared_path, sliced, text_buffers, window_names, word_names, word_spans
 from .fm_index import SEPARATOR, FMIndex
 
 
@@ -95,22 +97,19 @@ def _search(names: np.ndarray, at: np.ndarray, block: dict) -> tuple[np.ndarray,
     return start, start + block["lengths"][phrase], pair // len(block["ids"]), pair % len(block["ids"])
 
 
-def _scan(blocks: list, shard_bytes: int, cleaned: bool, names_out: list[str]):
+def _scan(block, shard_bytes: int, cleaned: bool, names_out: list[str], only_hits: bool = False):
     def finish(batches: list, words: list, texts: list) -> Iterator[pa.RecordBatch]:
         names = np.concatenate([w[0] for w in words])
         sizes = np.concatenate([w[1] for w in words])
         at = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.zeros(len(names) + 1, np.int32)
-        owners, found = [], []
-        for block in blocks:
+        owner, label = np.zeros(0, np.int64), np.zeros(0, object)
+        if block is not None:
             b = block.value
-            start, end, doc, item = _search(names, at, b)
+            start, end, owner, item = _search(names, at, b)
             np.add.at(edge, start, 1)
             np.add.at(edge, end, -1)
-            owners.append(doc)
-            found.append(np.array(b["ids"], dtype=object)[item])
-        owner = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
-        label = np.concatenate([*found, np.zeros(0, object)])
+            label = np.array(b["ids"], dtype=object)[item]
         order = np.argsort(owner, kind="stable")
         owner, label = owner[order], label[order]
         hit = np.cumsum(edge[:-1]) > 0
@@ -155,7 +154,8 @@ def _scan(blocks: list, shard_bytes: int, cleaned: bool, names_out: list[str]):
             ]
             if cleaned:
                 columns.append(pa.array([c if c is not None else t for c, t in zip(clean, batch.column(batch.num_columns - 1).to_pylist())], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=names_out)
+            out = pa.RecordBatch.from_arrays(columns, names=names_out)
+            yield out.filter(pa.compute.greater(out.column("n_hit"), 0)) if only_hits else out
             row += batch.num_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,27 +178,87 @@ def _scan(blocks: list, shard_bytes: int, cleaned: bool, names_out: list[str]):
     return run
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: int) -> list:
-    """Broadcast phrase blocks. Items are hashed to blocks of the wanted mean size; one is read at a time."""
-    spark = items.sparkSession
-    rows = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text}`").alias("text")).where(F.octet_length("text") > 0)
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    count = -(-total // block_bytes)
-    found = []
-    for k in range(count):
-        part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k)
-        block = _phrases([(r.id, r.text) for r in part.collect()], width)
-        if block:
-            found.append(spark.sparkContext.broadcast(block))
-    return found
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch united."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _merge(cleaned: bool, names_out: list[str]):
+    """Rows of (kept columns, lists of spans and of items by pass, text) to the operator's columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, batch.schema.names[-1]):
+                text = part.column(part.num_columns - 1)
+                data, at = text_buffers(text)
+                starts, ends, doc_at = word_spans(LOWER[data], at, NOT_WORD)
+                spans = [merged([(s["start"], s["end"]) for some in (found or []) for s in some]) for found in part.column(part.num_columns - 3).to_pylist()]
+                labels = [sorted({x for some in (found or []) for x in some}) for found in part.column(part.num_columns - 2).to_pylist()]
+                columns = [
+                    *part.columns[:-3],
+                    pa.array(np.diff(doc_at), pa.int64()),
+                    pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                    pa.array(labels, pa.list_(pa.string())),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                ]
+                if cleaned:
+                    clean = text.to_pylist()
+                    for i, own in enumerate(spans):
+                        if own:
+                            pieces, last = [], at[i]
+                            for a, b in own:
+                                pieces.append(data[last : starts[doc_at[i] + a]].tobytes())
+                                last = ends[doc_at[i] + b - 1]
+                            clean[i] = b"".join([*pieces, data[last : at[i + 1]].tobytes()]).decode("utf-8", "replace")
+                    columns.append(pa.array(clean, pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
+
+    return run
 
 
-def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, keep: list[str] | None = None, cleaned: bool = False, shard_bytes: int = 6 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, keep: list[str] | None = None, cleaned: bool = False, shard_bytes: int = 4 << 20, block_bytes: int = 4 << 20) -> DataFrame:
     """``keep`` columns plus n_words, n_hit, items (sorted ids), spans (of words) and, if asked, clean_text."""
+    spark = docs.sparkSession
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"__k{i}" for i in range(len(keep))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], F.col(f"`{text}`").alias("__text"))
+    plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, inner)], col(text).alias("__text"))
     added = T._parse_datatype_string("n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>" + (", clean_text string" if cleaned else ""))
     schema = T.StructType([*plain.schema.fields[:-1], *added.fields])
-    out = plain.mapInArrow(lean(_scan(_blocks(items, item_id, item_text, width, block_bytes), shard_bytes, cleaned, schema.names)), schema)
-    return out.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(inner, keep)], *added.names)
+
+    rows = items.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("id"), col(item_text).alias("text")).where(F.octet_length("text") > 0)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    count = max(1, -(-total // block_bytes))
+    phrases = lambda some: _phrases([(r.id, r.text) for r in some.collect()], width)  # noqa: E731  one block
+    if count == 1:
+        block = phrases(rows)
+        shared = spark.sparkContext.broadcast(block) if block else None
+        out = plain.mapInArrow(lean(_scan(shared, shard_bytes, cleaned, schema.names)), schema)
+    else:
+        path = shared_path(spark, "items")
+        rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(count))).write.partitionBy("block").parquet(path)
+        stored = spark.read.parquet(path)
+        numbered = cut(plain.withColumn("__row", F.monotonically_increasing_id()))
+        found = None
+        for k in range(count):
+            block = phrases(stored.where(F.col("block") == k))
+            if not block:
+                continue
+            shared = spark.sparkContext.broadcast(block)
+            hits = _scan(shared, shard_bytes, False, ["row", *added.names[:4]], only_hits=True)
+            hits = cut(numbered.select("__row", "__text").mapInArrow(lean(hits), T.StructType([T.StructField("row", T.LongType()), *added.fields[:4]])).select("row", "items", "spans"))
+            shared.destroy()
+            found = hits if found is None else found.unionByName(hits)
+        remove_path(spark, path)
+        if found is None:
+            out = plain.mapInArrow(lean(_scan(None, shard_bytes, cleaned, schema.names)), schema)
+        else:
+            lists = found.groupBy("row").agg(F.collect_list("spans").alias("__spans"), F.collect_list("items").alias("__items"))  # a list for each block at most
+            joined = numbered.join(lists, F.col("__row") == F.col("row"), "left").select(*inner, "__spans", "__items", "__text")
+            out = joined.mapInArrow(lean(_merge(cleaned, schema.names)), schema)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(inner, apart(keep, added.names))], *added.names)
