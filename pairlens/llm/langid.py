@@ -6,13 +6,15 @@ size hardly differ is rejected. Before either step a text is lower-cased and eve
 characters than letters becomes one space, so that capitals, markup and punctuation do not decide.
 
 Training: the rows with a label are put in the order of a seeded hash of their text and the first
-ones of a language are taken until its dictionary holds ``dict_bytes``; a training text longer than
-``dict_bytes // 8`` is left out, so that one text cannot be the dictionary. This bounded sample is
-the only thing sent to the driver: at most ``dict_bytes`` for each distinct label.
+ones of a language are taken until its dictionary holds ``dict_bytes``; of a training text longer than
+``dict_bytes // 8`` one piece of that length is taken, at a hashed place, so that one text cannot be
+the dictionary and every label has one. This bounded sample is the only thing sent to the driver: at
+most ``dict_bytes`` for each distinct label.
 
 Defined results: a null text, an empty one and one without a letter get ``und`` (size ratio 0,
-rejected). Ties go to the label with the most training rows, then to the one that sorts first. If no labelled row exists every text is ``und``.
-Rows with null ids, repeated rows and further columns pass through. Texts longer than ``PIECE`` bytes
+rejected). Ties go to the label with the most training rows, then to the one that sorts first. If no
+labelled row exists every text is ``und``. Rows with null ids, repeated rows and further columns pass
+through; a column that bears the name of an added one gets ``_`` appended. Texts longer than ``PIECE`` bytes
 are compressed in pieces that each start from the dictionary, and the sizes are summed: all of the
 text counts, and the margin between two languages does not shrink with its length.
 """
@@ -20,7 +22,6 @@ text counts, and the margin between two languages does not shrink with its lengt
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,18 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import apart, col, lean
 
 UNKNOWN = "und"
 DICT_BYTES = 96 << 10
 PIECE = 32 << 10
 _LETTER = regex.compile(r"\p{L}")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+
+
+#: ASCII letters stay, in lower case; all else becomes a space
+_ASCII = bytes(b if chr(b).isascii() and chr(b).isalpha() else 32 for b in range(256))
 
 
 def plain(text: str) -> bytes:
-    """Lower-case letters of the whole text, words parted by one space, as UTF-8."""
-    return _OTHER.sub(" ", text.lower()).encode()
+    """Lower-case letters, with their marks, of the whole text, words parted by one space, as UTF-8."""
+    if text.isascii():
+        return b" ".join(text.lower().encode().translate(_ASCII).split())
+    return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
 def _sampler(dict_bytes: int):
@@ -71,9 +78,12 @@ def _sampler(dict_bytes: int):
 
 def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text", lang: str = "lang", seed: int = 17) -> dict[str, bytes]:
     """{language: dictionary content}, most frequent first, from a bounded sample of the labelled rows."""
-    rows = labelled.select(
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.lit(seed), F.col(text)).alias("rank"), F.col(text).alias("text")
-    ).where(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & (F.octet_length("text") <= dict_bytes // 8))
+    own, most = col(text), dict_bytes // 8
+    rank = F.xxhash64(F.lit(seed), own)
+    # a piece of a long text, cut by characters; at four bytes each it stays below `most` bytes
+    place = F.pmod(rank, F.greatest(F.char_length(own) - most // 4, F.lit(0)) + 1).cast("int") + 1
+    piece = F.when(F.octet_length(own) <= most, own).otherwise(F.substring(own, place, F.lit(most // 4)))
+    rows = labelled.select(col(lang).cast("string").alias("lang"), rank.alias("rank"), piece.alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     schema = "lang string, rank long, text string"
     few = rows.mapInArrow(_sampler(dict_bytes), schema).repartition(F.col("lang")).mapInArrow(_sampler(dict_bytes), schema)
     found: dict[str, list] = {}
@@ -117,9 +127,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", level
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     names = ["__text" if c == text else f"__k{i}" for i, c in enumerate(keep)]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if c != text], F.col(f"`{text}`").alias("__text"))
+    plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, names) if c != text], col(text).alias("__text"))
     passed = plain.schema.fields if text in keep else plain.schema.fields[:-1]
     schema = T.StructType([*passed, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
     out = plain.mapInArrow(lean(_classifier(model, level, len(passed))), schema)
     rejected: Column = (F.col("__lang_pred") == UNKNOWN) | (F.col("__score") < min_margin)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))
+    kept = apart(keep, ["lang_pred", "score", "rejected"])
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), rejected.alias("rejected"))
