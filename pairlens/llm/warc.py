@@ -1,19 +1,25 @@
 """WARC archives: writing with deduplication and segmentation, reading with segment reassembly.
 
 Writing: payloads become HTTP responses with chunked transfer framing. Of records with equal payloads
-the one with the largest id is the ``response``; the others are ``revisit`` records that name it. A
-block longer than ``segment_bytes`` is cut: the first segment keeps the record's type, the rest are
-``continuation`` records with the origin's id, a segment number and, on the last, the total length.
-Files are written by Spark's text sink, gzip-compressed, on any file system that Spark writes to; a
-task rolls to a new file after ``archive_records`` records.
+the one with the largest id is the ``response``; the others are ``revisit`` records that refer to its
+record id. Only the payload of a digest's winner leaves its task: the rest move as ids and digests.
+Record ids follow from the content (id, digest, url, number of the copy). A block longer than
+``segment_bytes`` is cut: the first segment keeps the record's type, the rest are ``continuation``
+records with the origin's id, a segment number and, on the last, the total length. Every record is a
+gzip member of its own (the two line ends after it are another); files are written by Spark's text
+sink on any file system that Spark writes to, and named ``.warc.gz``; a task rolls to a new file after
+``archive_records`` records.
 
 Reading: every archive file is parsed on its own, segments are grouped by origin, ordered by number,
 checked for gaps and against the total length, joined, and the chunked framing is taken off. A record
-that fails a check is returned with ``error`` set, not lost.
+that fails a check, and each damaged or cut-off stretch of a file, is a row with ``error`` set; what
+can be read around it is returned.
 
 Defined results: a null payload is the empty payload; null ids are written as ``null`` and never win
-over another id; rows of equal id are records of their own and are told apart by a row number in the
-record id. Payloads of any length are cut into segments. An empty table reads back as no rows. Other columns of the pages are not archived.
+over another id; of rows of equal id and payload the one whose url sorts last is the response, and
+rows that repeat in all three are copies that revisit the first. Payloads of any length are cut into
+segments. Records without a payload digest are not checked against one. An empty table reads back as
+no rows. Other columns of the pages are not archived.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col, cut, rename_files
+
+STEP = 1 << 16
+GZIP = b"\x1f\x8b"
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -63,64 +73,111 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of each record of an archive."""
+def records(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(named fields in lower case, block) of each record of a decompressed stretch; ValueError where it is damaged."""
     at = 0
-    while at < len(archive):
-        if archive[at : at + 2] == b"\r\n":
+    while at < len(stream):
+        if stream[at : at + 2] == b"\r\n":
             at += 2
             continue
-        stop = archive.index(END, at)
-        version, *lines = archive[at:stop].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        stop = stream.find(END, at)
+        if stop < 0 or stream[at : at + 5] != b"WARC/":
+            raise ValueError("no WARC record where one should begin")
+        lines = stream[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        yield fields, archive[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        size = fields.get("content-length", "")
+        if not size.isdecimal() or "warc-type" not in fields:
+            raise ValueError("record without length or type")
+        at = stop + 4 + int(size)
+        if at > len(stream):
+            raise ValueError("record is cut off")
+        yield fields, stream[stop + 4 : at]
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, archive_records: int = 4000) -> None:
-    """Write all pages under ``path`` as text files, each one WARC archive (``.warc`` content, gzip)."""
-    payload = F.coalesce(F.col(f"`{html}`"), F.lit("")).cast("binary")
+def entries(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(fields, block, error) of each record of a file, plain or of gzip members; after damage the next member goes on."""
+    at = 0
+    while at < len(archive):
+        error = None
+        if archive[at : at + 2] == GZIP:
+            coder, parts, after = zlib.decompressobj(31), [], at
+            try:
+                while not coder.eof and after < len(archive):  # a step at a time: the rest of the file belongs to other members
+                    parts.append(coder.decompress(archive[after : after + STEP]))
+                    after = min(after + STEP, len(archive))
+                after -= len(coder.unused_data)
+                error = None if coder.eof else "archive is cut off"
+            except zlib.error as e:
+                error = f"damaged gzip member: {e}"
+                after = archive.find(GZIP, at + 2)
+                after = len(archive) if after < 0 else after
+            stream = b"".join(parts)
+        else:
+            stream, after = archive[at:], len(archive)
+        try:
+            for fields, block in records(stream):
+                yield fields, block, None
+        except ValueError as e:
+            error = error or str(e)
+        if error:
+            yield {}, b"", error
+        at = after
+
+
+def _written(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
+    """(id, url, sha1, copy, to, payload) rows to write: ``to`` is null and ``payload`` set for responses."""
+    payload = F.coalesce(col(html).cast("string"), F.lit("")).cast("binary")
     own = pages.select(
-        F.col(f"`{page_id}`").cast("long").alias("id"),
-        F.coalesce(F.regexp_replace(F.col(f"`{url}`").cast("string"), r"[\r\n]", ""), F.lit("")).alias("url"),
+        col(page_id).cast("long").alias("id"),
+        F.coalesce(F.regexp_replace(col(url).cast("string"), r"[\r\n]", ""), F.lit("")).alias("url"),
         payload.alias("payload"),
         F.sha1(payload).alias("sha1"),
     )
-    best = pages.select(F.col(f"`{page_id}`").cast("long").alias("id"), F.sha1(payload).alias("digest"))
-    best = best.groupBy("digest").agg(F.max("id").alias("winner"))
-    joined = own.join(best, own["sha1"] == best["digest"]).select("id", "url", "sha1", "winner", F.when(F.col("id").eqNullSafe(F.col("winner")), F.col("payload")).alias("payload"))
+    place = F.struct("id", "url")
+    winners = own.groupBy("sha1").agg(F.max_by(F.struct("id", "url", "payload"), place).alias("w"))
+    light = cut(own.groupBy("sha1", "id", "url").agg(F.count(F.lit(1)).alias("copies")))
+    best = light.groupBy(F.col("sha1").alias("of")).agg(F.max(place).alias("w"))
+    others = light.join(best, F.col("sha1") == F.col("of")).withColumn("first", (F.col("id").eqNullSafe(F.col("w.id")) & (F.col("url") == F.col("w.url"))).cast("int"))
+    others = others.where("copies > first").select("id", "url", "sha1", F.explode(F.sequence(F.col("first").cast("long"), F.col("copies") - 1)).alias("copy"), F.col("w").alias("to"), F.lit(None).cast("binary").alias("payload"))
+    responses = winners.select("w.id", "w.url", "sha1", F.lit(0).cast("long").alias("copy"), F.lit(None).cast(others.schema["to"].dataType).alias("to"), "w.payload")
+    return responses.unionByName(others)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        task, row = TaskContext.get().partitionId(), 0
+def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 16 << 10, chunk_bytes: int = 4 << 10, archive_records: int = 4000) -> None:
+    """Write all pages under ``path`` as ``.warc.gz`` archives."""
+
+    def uid(number: int | None, address: str, sha1: str, copy: int) -> str:
+        place = hashlib.md5(address.encode()).hexdigest()[:16]
+        return f"<urn:page:{'null' if number is None else number}:{sha1}:{place}:{copy}>"
+
+    def member(content: bytes) -> bytes:
+        coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return coder.compress(content) + coder.flush()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[bytes] = []
             for r in batch.to_pylist():
-                name = "null" if r["id"] is None else str(r["id"])
-                row += 1
-                uid = f"<urn:page:{name}:{task}.{row}>"
-                common = [("WARC-Record-ID", uid), ("WARC-Date", DATE), ("WARC-Target-URI", r["url"])]
+                own = uid(r["id"], r["url"], r["sha1"], r["copy"])
+                common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", r["url"]), ("Content-Type", "application/http; msgtype=response")]
                 digest = ("WARC-Payload-Digest", "sha1:" + base32_sha1(r["sha1"]))
-                if r["payload"] is None:
-                    to = [("WARC-Refers-To", f"<urn:page:{r['winner']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                    out.append(record("revisit", [*common, digest, *to], HTTP))
+                if r["to"] is not None:
+                    to = [("WARC-Refers-To", uid(r["to"]["id"], r["to"]["url"], r["sha1"], 0)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+                    out.append(member(record("revisit", [*common, digest, *to], HTTP)))
                     continue
                 block = HTTP + chunked(r["payload"], chunk_bytes)
                 pieces = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
                 number = [("WARC-Segment-Number", "1")] if len(pieces) > 1 else []
-                out.append(record("response", [*common, digest, *number], pieces[0]))
+                out.append(member(record("response", [*common, digest, *number], pieces[0])))
                 for k, piece in enumerate(pieces[1:], 2):
                     last = [("WARC-Segment-Total-Length", str(len(block)))] if k == len(pieces) else []
-                    out.append(record("continuation", [("WARC-Record-ID", f"{uid[:-1]}.{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", uid), ("WARC-Segment-Number", str(k)), *last], piece))
+                    out.append(member(record("continuation", [("WARC-Record-ID", f"{own[:-1]}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)), *last], piece)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    encoded = joined.mapInArrow(encode, "record binary")
-    lines = encoded.select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", archive_records).text(path, compression="gzip")
+    encoded = _written(pages, page_id, url, html).mapInArrow(encode, "record binary")
+    lines = encoded.select(F.col("record").cast("string").alias("value"))  # bytes as they are; the separator is a gzip member
+    lines.write.option("encoding", "ISO-8859-1").option("lineSep", member(END).decode("latin1")).option("maxRecordsPerFile", archive_records).text(path)
+    rename_files(pages.sparkSession, path, ".txt", ".warc.gz")
 
 
 _PART = "id string, type string, digest string, refers string, origin string, number int, total long, block binary, error string"
@@ -128,12 +185,14 @@ _PART = "id string, type string, digest string, refers string, origin string, nu
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"id": pa.string(), "type": pa.string(), "digest": pa.string(), "refers": pa.string(), "origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "block": pa.binary(), "error": pa.string()}
+    whole = lambda text: int(text) if text and text.isdecimal() else None
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for f, block in records(zlib.decompress(content.as_py(), 47)):  # gzip
-                uid, number, total = f.get("warc-record-id"), f.get("warc-segment-number"), f.get("warc-segment-total-length")
-                rows.append((uid, f["warc-type"], f.get("warc-payload-digest"), f.get("warc-refers-to"), f.get("warc-segment-origin-id", uid if number else None), int(number) if number else None, int(total) if total else None, block, None))
+            for f, block, error in entries(content.as_py()):
+                uid, number = f.get("warc-record-id"), whole(f.get("warc-segment-number"))
+                origin = f.get("warc-segment-origin-id", uid if number else None)
+                rows.append((uid, f.get("warc-type"), f.get("warc-payload-digest"), f.get("warc-refers-to"), origin, number, whole(f.get("warc-segment-total-length")), block, error))
                 if len(rows) == 256:
                     yield _batch(rows, kinds)
                     rows = []
@@ -146,37 +205,37 @@ def _batch(rows: list, kinds: dict) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record: id, type, digest, refers, payload (null for revisits), error."""
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_parse, _PART)
-    whole = parsed.where(F.col("number").isNull()).select("id", "type", "digest", "refers", "block", "error")
-    # a group is one record's segments; the block is as large as that record
+    """One row for each record: id, type, digest, refers, payload (null for revisits), payload_bytes, error."""
+    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content").mapInArrow(_parse, _PART)
+    whole = parsed.where(F.col("number").isNull()).select("id", "type", "digest", "refers", F.array("block").alias("blocks"), "error")
+    # a group is one record's segments; the list is as large as that record
     parts = F.array_sort(F.collect_list(F.struct("number", "type", "digest", "block", "total")))
     groups = parsed.where(F.col("number").isNotNull()).groupBy("origin").agg(parts.alias("s"))
-    count = F.size("s")
-    joined = F.reduce("s", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["block"]))
-    gapless = F.col("s")[0]["number"].eqNullSafe(1) & F.col("s")[count - 1]["number"].eqNullSafe(count) & (F.size(F.array_distinct(F.col("s.number"))) == count)
+    count, head, last = F.size("s"), F.col("s")[0], F.element_at("s", -1)
+    gapless = head["number"].eqNullSafe(1) & last["number"].eqNullSafe(count) & (F.size(F.array_distinct(F.col("s.number"))) == count)
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     groups = groups.select(
         F.col("origin").alias("id"),
-        F.col("s")[0]["type"].alias("type"),
-        F.col("s")[0]["digest"].alias("digest"),
+        head["type"].alias("type"),
+        head["digest"].alias("digest"),
         F.lit(None).cast("string").alias("refers"),
-        joined.alias("block"),
-        F.when(~gapless, "segment missing or repeated").when(~F.octet_length(joined).cast("long").eqNullSafe(F.col("s")[count - 1]["total"]), "total length differs").alias("error"),
+        F.col("s.block").alias("blocks"),
+        F.when(~gapless, "segment missing or repeated").when(~total.eqNullSafe(last["total"]), "total length differs").alias("error"),
     )
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payload, error, size = [], batch.column(5).to_pylist(), []
-            digest = batch.column(2).to_pylist()
-            for i, (kind, block) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist())):
+            for i, (kind, digest, blocks) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4))):
                 value = None
                 if kind == "response" and error[i] is None:
+                    block = b"".join(blocks.as_py())
                     try:
                         value = unchunked(block[block.index(END) + 4 :])
-                        if digest[i] != "sha1:" + base64.b32encode(hashlib.sha1(value).digest()).decode():
+                        if digest and digest != "sha1:" + base64.b32encode(hashlib.sha1(value).digest()).decode():
                             error[i] = "payload digest differs"
                     except ValueError as e:
-                        error[i] = str(e)
+                        error[i] = f"broken chunked framing: {e}"
                 payload.append(value)
                 size.append(None if value is None else len(value))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payload, pa.binary()), pa.array(size, pa.int64()), pa.array(error, pa.string())], names=["id", "type", "digest", "refers", "payload", "payload_bytes", "error"])
