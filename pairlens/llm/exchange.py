@@ -5,8 +5,12 @@ distinct 64-bit keys of its n-grams, sorted and pre-aggregated, in slices by key
 Spark groups the slices of a bucket, the reducer combines equal keys of all chunks, and each chunk
 gets back one value for each key it sent. A key that every chunk holds costs one entry a chunk, so
 no key is hot. A bucket's mean size is fixed, so as input grows there are more buckets and fewer keys
-in a slice; there are never more slices than distinct keys of chunks, which is what a plain
-``groupBy`` would move as rows.
+in a slice. A chunk does work only for the buckets it has keys in, so slices, bytes and work are
+bounded by the distinct keys of all chunks, which grow with the input and are what a plain ``groupBy``
+would move as rows. Small slices are stored without a compressor's frame.
+
+Where a key of 64 bits is not enough, its other half is sent as the first value, and equal keys are
+those that agree in both halves (``paired``).
 """
 
 from __future__ import annotations
@@ -25,12 +29,16 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket, twice that at most
 
 
+FRAMED = 64  # bytes from which on compression pays
+
+
 def _squeeze(data: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    """A mark and the data, compressed unless it is small."""
+    return b"z" + zstandard.ZstdCompressor(level=level).compress(data) if len(data) >= FRAMED else b"r" + data
 
 
 def _expand(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
 
 
 def _store(parts: list[pa.RecordBatch]) -> bytes:
@@ -89,21 +97,21 @@ SLICES = "bucket int, chunk long, keys binary, values binary"
 RESULTS = "chunk long, bucket int, values binary, stats array<double>"
 
 
-def bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket's keys begin in sorted ``keys``, and their end."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def bounds(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that sorted ``keys`` fall into, and where each one's keys begin, and their end."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), bucket[1:] != bucket[:-1]]))
+    return bucket[first], np.append(first, len(keys))
 
 
 def slices(chunk: int, stream: int, keys: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows to send for sorted distinct keys and their values (n x k int64); streams never mix."""
-    at = bounds(keys, bits)
-    used = np.flatnonzero(np.diff(at))
+    used, at = bounds(keys, bits)
     columns = [
         pa.array((used + (stream << bits)).astype(np.int32)),
         pa.array(np.full(len(used), chunk, np.int64)),
-        pa.array([_squeeze(pack_sorted(keys[at[b] : at[b + 1]])) for b in used], pa.binary()),
-        pa.array([_squeeze(np.ascontiguousarray(values[at[b] : at[b + 1]].T).tobytes()) for b in used], pa.binary()),
+        pa.array([_squeeze(pack_sorted(keys[a:b])) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+        pa.array([_squeeze(np.ascontiguousarray(values[a:b].T).tobytes()) for a, b in zip(at[:-1], at[1:])], pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "keys", "values"])
 
@@ -119,7 +127,20 @@ def send(chunks: DataFrame, make: Callable[[int, pa.RecordBatch], Iterator[pa.Re
     return chunks.select("chunk", "payload").mapInArrow(lean(run), SLICES)
 
 
-def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], width: int) -> DataFrame:
+def numbered(keys: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The number of each entry's distinct key, and how many there are; ``other`` is the keys' second half."""
+    if other is None:
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        return inverse, len(distinct)
+    order = np.lexsort((other, keys))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return inverse, int(new.sum())
+
+
+def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], width: int, paired: bool = False) -> DataFrame:
     """One result row for each slice.
 
     ``combine(bucket, inverse, values, n)`` gets, of all entries of a bucket, the number of the
@@ -132,8 +153,9 @@ def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int
         owners, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
         keys = [unpack_sorted(_expand(k.as_py())) for k in table.column("keys")]
         values = [np.frombuffer(_expand(v.as_py()), np.int64).reshape(width, -1).T for v in table.column("values")]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        out, stats = combine(bucket, inverse, np.concatenate(values), int(inverse.max()) + 1)
+        entries = np.concatenate(values)
+        inverse, n = numbered(np.concatenate(keys), entries[:, 0] if paired else None)
+        out, stats = combine(bucket, inverse, entries[:, int(paired) :], n)
         at = np.cumsum([0, *map(len, keys)])
         blobs = [_squeeze(np.ascontiguousarray(out[a:b].T).tobytes()) for a, b in zip(at[:-1], at[1:])]
         return pa.table({
@@ -162,8 +184,8 @@ def receive(chunks: DataFrame, results: DataFrame, finish: Callable[[int, pa.Rec
 
 def aligned(found: dict[int, bytes], stream: int, keys: np.ndarray, bits: int, width: int) -> np.ndarray:
     """The results of a stream in the order of the sorted keys that were sent (n x width)."""
-    at = bounds(keys, bits)
+    used, at = bounds(keys, bits)
     out = np.zeros((len(keys), width), np.int64)
-    for b in np.flatnonzero(np.diff(at)):
-        out[at[b] : at[b + 1]] = np.frombuffer(_expand(found[int(b) + (stream << bits)]), np.int64).reshape(width, -1).T
+    for b, first, end in zip(used, at[:-1], at[1:]):
+        out[first:end] = np.frombuffer(_expand(found[int(b) + (stream << bits)]), np.int64).reshape(width, -1).T
     return out

@@ -12,7 +12,8 @@ input.
 
 Defined results: a null or empty text is the end token alone. Null training flags count as not in
 training. Without training documents every token has probability 1 / (V + 1) = 1. Repeated rows
-count and score each on its own; further columns pass through.
+count and score each on its own; further columns pass through, one that bears the name of an added
+column gets ``_`` appended.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WHITE, cut, mix, text_buffers, word_names, word_spans
+from .common import LOWER, WHITE, apart, col, cut, mix, text_buffers, word_names, word_spans
 from .exchange import aligned, bucket_bits, chunked, receive, reduced, send, slices
 
 _U = np.uint64
@@ -137,7 +138,7 @@ def score(docs: DataFrame, text: str, train, held, keep: list[str]) -> DataFrame
     inner = [f"k{i}" for i in range(len(keep))]
     train = F.coalesce(train, F.lit(False))
     plain = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], (train & ~held).alias("counted"), (train & held).alias("held"), F.col(f"`{text}`").alias("text")
+        *[col(c).alias(n) for c, n in zip(keep, inner)], (train & ~held).alias("counted"), (train & held).alias("held"), col(text).alias("text")
     )
     chunks = chunked(plain, "text", apart="held")
     bits = bucket_bits(chunks)
@@ -176,4 +177,5 @@ def score(docs: DataFrame, text: str, train, held, keep: list[str]) -> DataFrame
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in inner] + [pa.array(np.diff(at)), *map(pa.array, sums)], names=schema.names)
 
     out = receive(chunks, results, finish, schema)
-    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep)], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    kept = apart(keep, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, kept)], "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

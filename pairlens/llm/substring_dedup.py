@@ -11,12 +11,14 @@ only cannot lie in a repeat. Spark round 2 (verify): windows that hold a shared
 that hold no complete one at all, are compared by all their words; each learns the smallest document
 with that window. Words covered by a window that begins in a smaller document go.
 
-Windows are compared by 64-bit hashes of their words. Both rounds use ``exchange``: equal keys of a
-chunk of documents are one entry, so a passage in a third of all documents is one entry a chunk.
+Words are named by 64 bits, windows compared by two independent 64-bit hashes of all their words. Both
+rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a passage in a third of
+all documents is one entry a chunk.
 
 Defined results: null and empty texts have no words; a null id counts as larger than all others;
 rows of one id never remove each other's words, though rows of smaller id do; documents of any
-length are handled whole; further columns pass through.
+length are handled whole; further columns pass through, one that bears the name of an added column
+gets ``_`` appended.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, cut, mix, text_buffers, window_names, word_names, word_spans
-from .exchange import aligned, bucket_bits, chunked, receive, reduced, send, slices
+from .common import WHITE, apart, col, cut, mix, other_window_names, text_buffers, window_names, word_names, word_spans
+from .exchange import aligned, bucket_bits, chunked, numbered, receive, reduced, send, slices
 
 _U = np.uint64
 LARGEST = 2**63 - 1
@@ -149,14 +151,17 @@ class Chunk:
         return keys, of, (lowest != highest).astype(np.int64)[:, None]
 
     def candidates(self, shared: np.ndarray):
-        """Distinct candidate windows, their occurrences, key numbers, and smallest ids in this chunk."""
+        """Distinct candidate windows, their occurrences, key numbers, and (other half of the key, smallest id in this chunk)."""
         held = self.over(np.ones(len(self.first), bool))
         at = np.flatnonzero(self.windows & (self.over(shared) | ~held))
-        names = window_names(self.names, self.width)
-        keys, of = np.unique(names[at] if len(at) else np.zeros(0, np.uint64), return_inverse=True)
-        lowest = np.full(len(keys), LARGEST)
+        none = np.zeros(0, np.uint64)
+        names = window_names(self.names, self.width)[at] if len(at) else none
+        others = other_window_names(self.names, self.width)[at].view(np.int64) if len(at) else none.view(np.int64)
+        of, n = numbered(names, others)
+        keys, other, lowest = np.empty(n, np.uint64), np.empty(n, np.int64), np.full(n, LARGEST)
+        keys[of], other[of] = names, others
         np.minimum.at(lowest, of, self.id_of[at])
-        return keys, at, of, lowest
+        return keys, at, of, np.stack([other, lowest], axis=1)
 
 
 def _shared(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
@@ -174,7 +179,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``keep`` columns (default: all but the text) plus n_words, n_removed and kept_text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"k{i}" for i in range(len(keep))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, inner)], col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     chunks = chunked(plain, "text")
     bits = bucket_bits(chunks)
 
@@ -186,8 +191,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         chunk = Chunk(part, width, rounds)
         keys, of, _ = chunk.symbols()
         shared = aligned(found, 0, keys, bits, 1)[of, 0] > 0
-        keys, _, _, lowest = chunk.candidates(shared)
-        yield slices(number, 0, keys, lowest[:, None], bits)
+        keys, _, _, values = chunk.candidates(shared)
+        yield slices(number, 0, keys, values, bits)
 
     schema = T.StructType([*plain.select(*inner).schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
 
@@ -197,8 +202,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         chunk = Chunk(part, width, rounds)
         keys, of, _ = chunk.symbols()
         shared = aligned(shared_found, 0, keys, bits, 1)[of, 0] > 0
-        keys, at, of, lowest = chunk.candidates(shared)
-        lowest = lowest - aligned(window_found, 0, keys, bits, 1)[:, 0]
+        keys, at, of, values = chunk.candidates(shared)
+        lowest = values[:, 1] - aligned(window_found, 0, keys, bits, 1)[:, 0]
         at = at[chunk.id_of[at] > lowest[of]]
         edge = np.zeros(len(chunk.names) + 1, np.int64)
         np.add.at(edge, at, 1)
@@ -215,7 +220,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     revealed = cut(reduced(send(chunks, reveal), _shared, 1))
     candidates = receive(chunks, revealed, verify, "bucket int, chunk long, keys binary, values binary")
-    smallest = reduced(candidates, _smallest, 1)
+    smallest = reduced(candidates, _smallest, 2, paired=True)
     both = revealed.unionByName(smallest.withColumn("bucket", -1 - F.col("bucket")))
     out = receive(chunks, both, finish, schema)
-    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, keep)], "n_words", "n_removed", "kept_text")
+    added = ["n_words", "n_removed", "kept_text"]
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, apart(keep, added))], *added)
