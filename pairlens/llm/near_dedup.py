@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles. Documents of equal sets are one class, of which only
 a text of the smallest id goes on, under a number of its own: rows of one id with different texts are
-compared each by its own text, and become one vertex only when components are named. Each of ``trees`` independent trees branches the classes by selected minwise
-tokens: at a node, a hash of the node chooses which minwise token leads on. The first ``depth`` levels
+compared each by its own text, and become one vertex only when components are named. Each of
+``trees`` independent trees branches the classes by selected minwise tokens: at a node, a hash of the node chooses which minwise token leads on. The first ``depth`` levels
 are taken at once; classes that meet in no node are done. Then candidates are confirmed on the full
 sets and merged into components, in rounds, so that pairs which are connected already are not
 compared again:
@@ -19,11 +19,13 @@ A pair with Jaccard similarity s meets in a tree with probability s ** depth or
 16 trees of depth 3 miss it less than once in 10 ** 6, at s = 0.8 once in 10 ** 5 (if all its nodes
 branch, three times in 10 ** 5). Signatures of
 ``SIGNATURE`` bytes are made for classes that meet another one; the filter on them keeps pairs down
-to four standard deviations below the threshold.
+to ``deviations`` standard deviations below the threshold: with six, a pair at the threshold is lost
+once in 10 ** 9. With ``deviations=None`` no pair that meets is filtered: all are tested on full sets.
 
 Defined results: texts without words have the empty set and are linked with nothing; fewer words than
 a shingle make one shingle. Null ids count as smaller than all others; rows of one id are one vertex.
-Texts of any length are used whole. Further columns pass through.
+Texts of any length are used whole. ``near_duplicates`` returns its four columns only,
+``without_near_duplicates`` the rows of its input as they are, whatever their columns are called.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WHITE, cut, gathered, lean, mix, sequence_name, sliced, text_buffers, window_names, word_names, word_spans
+from .common import LOWER, WHITE, col, cut, gathered, lean, mix, sequence_name, sliced, text_buffers, window_names, word_names, word_spans
 from .components import components
 
 _U = np.uint64
@@ -200,10 +202,10 @@ _MEMBER = "node long, tree int, id long, label long, nodes array<long>, sig bina
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, width: int, percent: int, trees: int, depth: int, small: int, more_levels: int):
+    def __init__(self, docs: DataFrame, width: int, percent: int, trees: int, depth: int, small: int, more_levels: int, deviations: float | None):
         self.width, self.percent, self.small, self.more_levels = width, percent, small, more_levels
         s = percent / 100
-        self.least = math.floor(SIGNATURE * s - 4 * math.sqrt(SIGNATURE * s * (1 - s)))
+        self.least = 0 if deviations is None else max(0, math.floor(SIGNATURE * s - deviations * math.sqrt(SIGNATURE * s * (1 - s))))
         described = docs.mapInArrow(lean(_describe(width, trees, depth)), "id long, tag long, n long, d1 long, d2 long, nodes array<long>")
         self.described = cut(described)
         full = self.described.where("n > 0")
@@ -305,10 +307,10 @@ class _Join:
         return all_.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
-def _linked(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, trees: int, depth: int, small: int, more_levels: int) -> tuple[DataFrame, DataFrame]:
+def _linked(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, trees: int, depth: int, small: int, more_levels: int, deviations: float | None) -> tuple[DataFrame, DataFrame]:
     """(id, tag, n, component) for each row: the smallest id of the texts connected with the row's own text; and ids of several sets."""
-    plain = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("tag"), F.col(f"`{text}`").alias("text"))
-    join = _Join(plain, width, percent, trees, depth, small, more_levels)
+    plain = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(col(text)).alias("tag"), col(text).alias("text"))
+    join = _Join(plain, width, percent, trees, depth, small, more_levels, deviations)
     stars = join.members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     stars = cut(join.agreeing(stars))
     join.confirm(stars)
@@ -341,15 +343,16 @@ def _one_vertex_each(rows: DataFrame, several: DataFrame) -> DataFrame:
     return rows.join(labels, F.col("component") == F.col("__l"), "left").withColumn("component", F.coalesce("__c", "component"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6, deviations: float | None = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; linked are sets of similarity >= percent / 100."""
-    found = _one_vertex_each(*_linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels))
+    found = _one_vertex_each(*_linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels, deviations))
     back = lambda c: F.nullif(F.col(c), F.lit(LEAST))
     return found.select(back("id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, trees: int = 16, depth: int = 3, small: int = 2048, more_levels: int = 6, deviations: float | None = 6) -> DataFrame:
     """The rows of ``docs`` whose own text is connected with no text of a smaller id."""
-    found, _ = _linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels)
+    found, _ = _linked(docs, doc_id, text, width, percent, trees, depth, small, more_levels, deviations)
     gone = found.where("id <> component").select(F.col("id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    return docs.join(gone, (F.col(f"`{doc_id}`").cast("long") == F.col("__id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__tag")), "left_anti")
+    rows = docs.select(F.struct(*[col(c).alias(c) for c in docs.columns]).alias("row"), F.coalesce(col(doc_id).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(col(text)).alias("tag"))
+    return rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag")), "left_anti").select("row.*")
