@@ -1,11 +1,11 @@
 """Line, substring and near-duplicate operators against brute force."""
 
 import hashlib
-import re
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from brute import brute_components, brute_lines, brute_repeats
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,31 +13,10 @@ from pairlens.llm import line_dedup, near_dedup, substring_dedup
 from pairlens.llm.components import components
 from pairlens.llm.substring_dedup import Symbols
 
-WHITE = " \t\n\x0b\x0c\r"
-LOWER = {k: k + 32 for k in range(65, 91)}
-
-
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
-def brute_lines(rows, least=10):
-    key = lambda x: x.strip(WHITE).translate(LOWER)
-    order = lambda d: (d is not None, d or 0)
-    first = {}
-    for d, t in rows:
-        for x in (t or "").split("\n"):
-            k = key(x)
-            if len(k) >= least and (k not in first or order(d) < order(first[k])):
-                first[k] = d
-    out = []
-    for d, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < least or first[key(x)] == d]
-        out.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out, key=repr)
-
-
 @pytest.mark.parametrize("table", ["odd_docs", "documents"])
 def test_lines(request, table):
     docs = request.getfixturevalue(table)
@@ -59,24 +38,6 @@ def test_bitmaps(spark):
     assert np.flatnonzero(~keep).tolist() == gone.tolist() and len(keep) == 100
 
 
-def brute_repeats(rows, width=13):
-    order = lambda d: float("inf") if d is None else d
-    words = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
-    first = {}
-    for d, w in words:
-        for i in range(len(w) - width + 1):
-            k = tuple(w[i : i + width])
-            first[k] = min(first.get(k, float("inf")), order(d))
-    out = []
-    for d, w in words:
-        gone = set()
-        for i in range(len(w) - width + 1):
-            if first[tuple(w[i : i + width])] < order(d):
-                gone.update(range(i, i + width))
-        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    return sorted(out, key=repr)
-
-
 @pytest.mark.parametrize("table", ["odd_docs", "documents"])
 def test_repeats(request, table):
     docs = request.getfixturevalue(table)
@@ -117,28 +78,6 @@ def test_symbols_of_a_passage_recur(passage, before, left, after):
     assert inside(before + passage + after, len(before)) == inside(left + passage, len(left))
 
 
-def brute_components(rows, percent, width=5):
-    sets = []
-    for d, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        sets.append((d, {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())))
-    order = lambda d: (d is not None, d or 0)
-    parent = {d: d for d, _ in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, (a, s) in enumerate(sets):
-        for b, r in sets[i + 1 :]:
-            both = len(s & r)
-            if s and r and 100 * both >= percent * (len(s) + len(r) - both):
-                x, y = sorted((find(a), find(b)), key=order)
-                parent[y] = x
-    return sorted(((d, len(s), find(d), d == find(d)) for d, s in sets), key=repr)
-
-
 @pytest.mark.parametrize("table", ["odd_docs", "documents"])
 def test_components_of_documents(request, table):
     docs = request.getfixturevalue(table)
