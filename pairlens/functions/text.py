@@ -57,7 +57,8 @@ def canonical(df: DataFrame, ignore: list[str] | tuple[str, ...] = (), scales: d
 def rounded(c: Column, decimals: int) -> Column:
     """Text of the number rounded half up to ``decimals`` places; other texts are only trimmed.
 
-    Commas are dropped before parsing. Texts that are no decimal of at most 38 digits stay text.
+    Commas are dropped before parsing. Texts that are no decimal of at most 20 whole digits stay text;
+    digits after the 18th place do not count.
     """
     trimmed = strip(c)
     number = F.replace(trimmed, F.lit(","), F.lit("")).try_cast(T.DecimalType(38, 18))
@@ -90,5 +91,6 @@ def any_of(conditions: list[Column]) -> Column:
 
 def clean_name(name: Column) -> Column:
     """A name safe for file systems: reserved characters become underscores; an empty one gets a default."""
+    # fixed values: the reserved characters and the default
     safe = F.btrim(F.regexp_replace(name, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(". "))
     return F.when(safe == "", F.lit("CompareRecords")).otherwise(safe)

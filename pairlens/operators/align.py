@@ -30,18 +30,43 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*[column(k) for k in keys]).agg(F.count(F.lit(1)).alias("count")).where("count > 1")
 
 
-def with_sequence(df: DataFrame, keys: list[str]) -> DataFrame:
+HOT_ROWS = 1_000_000  # rows of one key that one task numbers
+
+
+def _order_text(df: DataFrame, keys: list[str]) -> Column:
+    rest = [column(c) for c in df.columns if c not in keys]
+    return F.concat_ws("|", *rest) if rest else F.lit("")
+
+
+def with_sequence(df: DataFrame, keys: list[str], hot: DataFrame | None = None) -> DataFrame:
     """Add ``_SEQ_``: the 0-based place in the key group, ordered by all other columns joined with ``|``.
 
-    Only groups of several rows are sorted: unique keys get 0 without a window when the caller splits
-    them off; a single group is one window partition.
+    ``hot`` names keys (columns ``keys``) of very many rows; their rows are spread over partitions by
+    key and order, numbered in each, and moved by the sizes of earlier partitions. All other groups
+    are window partitions.
     """
-    rest = [column(c) for c in df.columns if c not in keys]
-    order = F.concat_ws("|", *rest) if rest else F.lit("")
-    window = Window.partitionBy(*[column(k) for k in keys]).orderBy(order)
+    by = [column(k) for k in keys]
+    if hot is not None:
+        few = F.broadcast(hot.select(*by))  # one key in HOT_ROWS rows at most
+        return with_sequence(df.join(few, keys, "left_anti"), keys).unionByName(_spread_sequence(df.join(few, keys, "left_semi"), keys))
+    window = Window.partitionBy(*by).orderBy(_order_text(df, keys))
     return df.withColumn(SEQ, (F.row_number().over(window) - 1).cast("long"))
 
 
+def _spread_sequence(df: DataFrame, keys: list[str]) -> DataFrame:
+    names = [f"__k{i}" for i in range(len(keys))]
+    packed = df.select(*[column(k).alias(n) for k, n in zip(keys, names)], _order_text(df, keys).alias("__order"), F.struct(*[column(c) for c in df.columns]).alias("__row"))
+    # the last range column settles ties in the order, so that equal rows may part but stay in order
+    tied = packed.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = stored(tied.repartitionByRange(*names, "__order", "__tie").withColumn("__pid", F.spark_partition_id()))
+    sizes = ranged.groupBy(*names, "__pid").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*names).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    inner = F.row_number().over(Window.partitionBy(*names, "__pid").orderBy("__order")) - 1
+    numbered = ranged.withColumn("__at", inner).join(F.broadcast(before), [*names, "__pid"])  # a row for each hot key and partition
+    return numbered.select("__row.*", (F.col("__before") + F.col("__at")).cast("long").alias(SEQ))
+
+
 def with_counted_sequence(df: DataFrame, keys: list[str]) -> DataFrame:
     """``with_sequence`` for keys with very many equal rows: one row for each distinct row and its count.
 
@@ -50,14 +75,22 @@ def with_counted_sequence(df: DataFrame, keys: list[str]) -> DataFrame:
     """
     columns = df.columns
     counted = df.groupBy(*[column(c) for c in columns]).agg(F.count(F.lit(1)).alias("__n"))
-    rest = [column(c) for c in columns if c not in keys]
-    order = F.concat_ws("|", *rest) if rest else F.lit("")
-    window = Window.partitionBy(*[column(k) for k in keys]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    window = Window.partitionBy(*[column(k) for k in keys]).orderBy(_order_text(df, keys)).rowsBetween(Window.unboundedPreceding, -1)
     numbered = counted.withColumn("__from", F.coalesce(F.sum("__n").over(window), F.lit(0)))
     places = F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1)).alias(SEQ)
     return numbered.select(*[column(c) for c in columns], places)
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the most frequent key (0 for an empty table)."""
+    return duplicate_groups(df, keys).agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first().n
+
+
+def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of more than ``rows`` rows."""
+    return duplicate_groups(df, keys).where(F.col("count") > rows).drop("count")
+
+
 def with_row_id(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Add ``_ROW_ID_``: the dense 0-based position, in ``order`` or, without one, in scan order.
 

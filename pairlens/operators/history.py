@@ -12,6 +12,10 @@ def history(log: DataFrame, order: list[Column], status: str | None = None, limi
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+#: States of a job that is over, and the states of a batch below.
+OVER = ("SUCCESS", "FAILED", "CANCELLED", "SKIPPED")
+
+
 def batch_totals(jobs: DataFrame) -> DataFrame:
     """Totals of each batch from its job rows (batch_id, status, progress).
 
@@ -21,7 +25,7 @@ def batch_totals(jobs: DataFrame) -> DataFrame:
     counted = lambda *names: F.count_if(F.col("status").isin(*names))
     sums = jobs.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("total"),
-        counted("SUCCESS", "FAILED", "CANCELLED", "SKIPPED").alias("completed"),
+        counted(*OVER).alias("completed"),
         counted("SUCCESS").alias("successful"),
         counted("FAILED").alias("failed"),
         counted("CANCELLED").alias("__cancelled"),

@@ -17,13 +17,18 @@ def _long(df: DataFrame) -> DataFrame:
     return df.select(F.inline(cells))
 
 
-def profile(df: DataFrame, approx: bool = False, distinct: bool = True) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False, distinct: bool = True, checks: frozenset[str] = CHECKS) -> DataFrame:
     """A row for each column: null_rate, distinct_count, numeric, min, max, mean, std, count.
 
     The statistics are null unless the column is numeric. ``approx`` counts distinct values with a
-    sketch; exact counting shuffles the distinct (column, value) pairs, pre-aggregated.
+    sketch; exact counting shuffles the distinct (column, value) pairs, pre-aggregated. What only
+    checks need that are not among ``checks`` is not computed: values are counted, parsed and summed
+    up around their mean only for ``distinct_count``, for either check of numbers and for
+    ``numeric_stats``.
     """
-    cells = _long(df).withColumn("number", parsed(F.col("value")))
+    distinct = distinct and "distinct_count" in checks
+    number = parsed(F.col("value")) if checks & {"type_inference", "numeric_stats"} else F.lit(None).cast("double")
+    cells = _long(df).withColumn("number", number)
     if distinct and not approx:
         # distinct values first, with how often each occurs: later sums need only the distinct ones
         cells = cells.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
@@ -40,6 +45,15 @@ def profile(df: DataFrame, approx: bool = False, distinct: bool = True) -> DataF
     sums = cells.groupBy("column").agg(
         rows.alias("rows"), blanks.alias("blanks"), several.cast("long").alias("distinct_count"), numbers.alias("count"), F.min("number").alias("lo"), F.max("number").alias("hi"), total.alias("total")
     )
+    if "numeric_stats" not in checks:
+        return sums.select(
+            "column",
+            F.round(F.col("blanks").cast("double") / F.col("rows"), 6).alias("null_rate"),
+            "distinct_count",
+            (F.col("count") / F.col("rows") > NUMERIC_SHARE).alias("numeric"),
+            *[F.lit(None).cast("double").alias(c) for c in ("min", "max", "mean", "std")],
+            F.lit(None).cast("long").alias("count"),
+        )
     # squares around the mean, for a stable deviation
     spread = cells.join(F.broadcast(sums.select(F.col("column").alias("__c"), (F.col("total") / F.nullif("count", F.lit(0))).alias("m"))), F.col("column") == F.col("__c"))
     squares = spread.groupBy(F.col("column").alias("__s")).agg(F.sum(F.col("n") * (F.col("number") - F.col("m")) * (F.col("number") - F.col("m"))).alias("ss"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import column, strip
 
+#: Metrics, operators and levels that alert rules may name, and the largest tolerance.
 METRICS = (
     "matched_failed", "matched_passed", "total_diffs", "missing_dev", "extra_dev", "missing_dev_pct", "extra_dev_pct",
     "dup_count_prod", "dup_count_dev", "schema_missing", "schema_extra", "type_mismatch_count",
@@ -68,22 +69,30 @@ def unpivoted_metrics(one_row: DataFrame) -> DataFrame:
     return one_row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), column(c).cast("double").alias("value")) for c in one_row.columns])))
 
 
-def alert_issues(rules: DataFrame) -> DataFrame:
-    """``rule, problem`` of alert rules that cannot be used."""
+def _alert_problem() -> Column:
+    """Why an alert rule cannot be evaluated; null if it can. Absent operators and thresholds have defaults."""
     operator = F.coalesce(F.btrim("operator"), F.lit(">"))
-    problem = (
+    return (
         F.when(~F.coalesce(F.btrim("metric"), F.lit("")).isin(*METRICS), "unknown metric")
         .when(~operator.isin(*OPERATORS), "unknown operator")
         .when(F.coalesce(F.btrim(F.col("threshold").cast("string")), F.lit("0")).try_cast("double").isNull(), "threshold is not a number")
-        .when(~F.upper(F.coalesce("level", F.lit("WARNING"))).isin(*LEVELS), "unknown level")
     )
+
+
+def alert_issues(rules: DataFrame) -> DataFrame:
+    """``rule, problem`` of alert rules that cannot be used."""
+    problem = F.coalesce(_alert_problem(), F.when(~F.upper(F.coalesce("level", F.lit("WARNING"))).isin(*LEVELS), "unknown level"))
     return rules.select(F.col("metric").alias("rule"), problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules whose condition holds: ``level, metric, operator, threshold, actual_value, message``."""
+    """Rules whose condition holds: ``level, metric, operator, threshold, actual_value, message``.
+
+    A rule of unknown metric or operator, or whose threshold is no number, never fires; an absent
+    threshold is 0, an unknown level is passed on.
+    """
     threshold = F.coalesce(F.btrim(F.col("threshold").cast("string")).try_cast("double"), F.lit(0.0))
-    rule = rules.select(
+    rule = rules.where(_alert_problem().isNull()).select(
         F.upper(F.coalesce("level", F.lit("WARNING"))).alias("level"),
         F.btrim("metric").alias("metric"),
         F.coalesce(F.btrim("operator"), F.lit(">")).alias("operator"),
@@ -102,7 +111,7 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 def active_pairs(control: DataFrame) -> DataFrame:
     """Rows of a control table whose run flag is yes, with parsed keys and options.
 
-    ``result_name, prod, dev, keys, ignore, include_pass``; key columns in numeric order.
+    ``result_name, path, prod, dev, keys, ignore, include_pass``; key columns in numeric order.
     """
     names = normalised_names(control)
     text = lambda k: F.btrim(column(names[k]).cast("string")) if k in names else F.lit(None).cast("string")
@@ -112,6 +121,7 @@ def active_pairs(control: DataFrame) -> DataFrame:
     ignore = F.filter(F.transform(F.split(F.coalesce(text("ignorefields"), F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
     return rows.select(
         text("result report name").alias("result_name"),
+        text("files path").alias("path"),
         text("prod file name").alias("prod"),
         text("dev file name").alias("dev"),
         F.array_compact(F.array(*keys) if keys else F.array().cast("array<string>")).alias("keys"),
@@ -120,6 +130,7 @@ def active_pairs(control: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that a control table must have.
 REQUIRED = ("run", "files path", "prod file name", "dev file name", "result report name")
 
 
@@ -167,10 +178,10 @@ def preflight_issues(specs: DataFrame, columns: DataFrame) -> DataFrame:
     for side in ("prod", "dev"):
         path = F.coalesce(F.btrim(f"{side}_path"), F.lit(""))
         rows = specs.withColumn("__path", path).join(known, F.col("__path") == F.col("path"), "left")
-        found.append(issue(rows.where("__path = ''"), f"{side}_path", f"{side.upper()} path is required."))
-        found.append(issue(rows.where("__path <> '' and names is null"), f"{side}_path", F.concat(F.lit("Cannot read schema from: "), F.col("__path"))))
+        found.append(issue(rows.where("__path = ''"), f"{side}_path", f"No {side.upper()} input is named."))
+        found.append(issue(rows.where("__path <> '' and names is null"), f"{side}_path", F.concat(F.lit("No columns are known of input "), F.col("__path"))))
         missing = rows.where("names is not null").select("job", "__path", "names", F.explode("keys").alias("key")).where(~F.array_contains("names", F.col("key")))
-        found.append(issue(missing, "keys", F.concat(F.lit("Key column '"), F.col("key"), F.lit(f"' not found in {side.upper()} file "), F.col("__path"))))
+        found.append(issue(missing, "keys", F.concat(F.lit(f"{side.upper()} input "), F.col("__path"), F.lit(" has no column for key "), F.col("key"))))
     found.append(issue(specs.where("coalesce(size(keys), 0) <= 0"), "keys", "No key columns specified; rows are compared by position.", "WARNING"))
     levels = specs.select("job", F.explode("tolerance").alias("name", "level"))
     number = F.btrim("level").try_cast("int")

@@ -34,19 +34,28 @@ def first_fields(report: DataFrame, limit: int = 8) -> DataFrame:
     return report.groupBy("side").agg(names.alias("all")).select("side", F.slice("all", 1, limit).alias("fields"), F.greatest(F.size("all") - limit, F.lit(0)).alias("more"))
 
 
-def typed_schema_check(spark: SparkSession, prod: DataFrame, dev: DataFrame, keys: list[str], ignore: list[str] = []) -> DataFrame:
-    """``field, prod_type, dev_type, status`` of both schemas; status is ok, missing, extra, type mismatch or missing key."""
+def typed_schema_check(spark: SparkSession, prod: DataFrame, dev: DataFrame, keys: list[str], ignore: list[str] = [], partitions: tuple[list[str], list[str]] = ([], [])) -> DataFrame:
+    """``field, prod_type, dev_type, status`` of both schemas.
+
+    Status is ok, missing, extra, type mismatch, missing key, case differs (the other side has the
+    name in other letters only) or partition mismatch (``partitions``, the columns that each side is
+    partitioned by, name it for one side only).
+    """
     types = lambda df: {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in ignore}
     left = spark.createDataFrame(list(types(prod).items()), "field string, prod_type string")
     right = spark.createDataFrame(list(types(dev).items()), "field string, dev_type string")
     wanted = spark.createDataFrame([(k,) for k in keys], "key string")
     both = left.join(right, "field", "full_outer").join(wanted, F.col("field") == F.col("key"), "full_outer")
     absent = F.col("prod_type").isNull() | F.col("dev_type").isNull()
+    lower = lambda df, other: [c for c in df.columns if c not in other.columns and c.lower() in {x.lower() for x in other.columns}]
+    cased, uneven = lower(prod, dev) + lower(dev, prod), sorted(set(partitions[0]) ^ set(partitions[1]))
     status = (
         F.when(F.col("key").isNotNull() & absent, "missing key")
+        .when(absent & F.col("field").isin(*cased), "case differs")
         .when(F.col("dev_type").isNull(), "missing")
         .when(F.col("prod_type").isNull(), "extra")
         .when(F.col("prod_type") != F.col("dev_type"), "type mismatch")
+        .when(F.col("field").isin(*uneven), "partition mismatch")
         .otherwise("ok")
     )
     return both.select(F.coalesce("field", "key").alias("field"), "prod_type", "dev_type", status.alias("status"))

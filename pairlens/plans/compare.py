@@ -1,7 +1,8 @@
 """One comparison from two inputs to all result tables, and many comparisons from a control table.
 
-Result tables are lazy; the aligned rows can be persisted because several results read them. Only
-one-row summaries and control tables reach the driver.
+Single result tables are lazy. ``results`` and ``write`` run every step, store its tables and keep the
+aligned rows while they do, because several results read them. Only one-row summaries and control
+tables reach the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.storage import stored
 from ..functions.text import canonical, percent
 from ..operators import align as A
 from ..operators import diff, duplicates, profile, rules, schema_diff
+from ..sources import readers, sinks
 
 #: The order of the built-in steps.
 STEPS = ("tolerance", "comparison", "duplicate", "schema", "data_quality", "alerts")
@@ -41,7 +44,9 @@ class DiffConfig:
     dev_name: str = "dev"
     enabled: frozenset[str] = frozenset(STEPS)
     counted_sequence: bool = False  # keys with very many equal rows
-    persist: bool = False
+    hot_rows: int = A.HOT_ROWS  # rows of a key from which on it is numbered by several tasks
+    quality_checks: frozenset[str] = profile.CHECKS
+    include_pass: bool = True  # whether the pass report is among the results
 
 
 Hook = Callable[["DiffResult"], DataFrame]
@@ -50,20 +55,35 @@ Hook = Callable[["DiffResult"], DataFrame]
 class DiffResult:
     """All results of one pair. Build it with ``compare``."""
 
-    def __init__(self, prod: DataFrame, dev: DataFrame, cfg: DiffConfig):
+    def __init__(self, prod: DataFrame, dev: DataFrame, cfg: DiffConfig, tolerance_rules: DataFrame | None = None):
         self.cfg, self.run_id, self.events = cfg, uuid.uuid4().hex, []
         self.spark = prod.sparkSession
         self.prod = canonical(prod, cfg.ignore, cfg.scales, cfg.na_values)
         self.dev = canonical(dev, cfg.ignore, cfg.scales, cfg.na_values)
         self.keys, self.missing_keys = A.resolve_keys(self.prod, self.dev, list(cfg.keys))
         self.compared = A.common_columns(self.prod, self.dev, self.keys, set(cfg.ignore))
-        self.tolerance = {c: d for c, d in cfg.tolerance.items() if c in self.compared}
+        self.rules = None  # field, decimals, reason of this pair's rules
+        levels = dict(cfg.tolerance)
+        if tolerance_rules is not None:
+            self.rules = rules.pair_tolerance(tolerance_rules, cfg.prod_name, cfg.dev_name, self.prod.columns, self.dev.columns, list(cfg.ignore))
+            levels |= rules.tolerance_map(self.rules)
+        self.tolerance = {c: d for c, d in levels.items() if c in self.compared} if "tolerance" in cfg.enabled else {}
         self._hooks: dict[str, Hook] = {}
 
     @cached_property
+    def largest(self) -> tuple[int, int]:
+        """Rows of the most frequent repeated key of each side, 0 if none repeats (an action each)."""
+        return tuple(A.largest_group(df, self.keys) if self.keys else 0 for df in (self.prod, self.dev))
+
+    @property
     def using_sequence(self) -> bool:
-        """Whether either side repeats a key (a small action)."""
-        return bool(self.keys) and any(not A.duplicate_groups(df, self.keys).isEmpty() for df in (self.prod, self.dev))
+        """Whether either side repeats a key."""
+        return max(self.largest) > 0
+
+    def _numbered(self, df: DataFrame, largest: int) -> DataFrame:
+        if self.cfg.counted_sequence:
+            return A.with_counted_sequence(df, self.keys)
+        return A.with_sequence(df, self.keys, A.hot_keys(df, self.keys, self.cfg.hot_rows) if largest > self.cfg.hot_rows else None)
 
     @cached_property
     def align_keys(self) -> list[str]:
@@ -79,10 +99,8 @@ class DiffResult:
             order = [F.col(f"`{c}`") for c in self.cfg.order] or None
             prod, dev = A.with_row_id(prod, order), A.with_row_id(dev, order)
         elif self.using_sequence:
-            add = A.with_counted_sequence if self.cfg.counted_sequence else A.with_sequence
-            prod, dev = add(prod, self.keys), add(dev, self.keys)
-        out = A.align(prod, dev, self.align_keys)
-        return out.persist(StorageLevel.MEMORY_AND_DISK) if self.cfg.persist else out
+            prod, dev = self._numbered(prod, self.largest[0]), self._numbered(dev, self.largest[1])
+        return A.align(prod, dev, self.align_keys)
 
     def value_differences(self) -> DataFrame:
         return diff.value_differences(self.aligned, self.align_keys, self.compared, self.tolerance)
@@ -109,7 +127,8 @@ class DiffResult:
         return schema_diff.schema_report(self.aligned, self.schema_fields)
 
     def quality_report(self, approx: bool = False) -> DataFrame:
-        return profile.quality_report(profile.profile(self.prod, approx), profile.profile(self.dev, approx))
+        checks = self.cfg.quality_checks
+        return profile.quality_report(*(profile.profile(x, approx, checks=checks) for x in (self.prod, self.dev)), checks)
 
     def counts(self) -> DataFrame:
         """One row of all row and cell counts."""
@@ -126,7 +145,7 @@ class DiffResult:
         mismatches = F.lit(0.0)
         counts = self.counts()
         if "data_quality" in self.cfg.enabled:
-            found = profile.type_mismatches(*(profile.profile(x, distinct=False) for x in (self.prod, self.dev))).agg(F.count(F.lit(1)).alias("mismatches"))
+            found = profile.type_mismatches(*(profile.profile(x, checks=frozenset({"type_inference"})) for x in (self.prod, self.dev))).agg(F.count(F.lit(1)).alias("mismatches"))
             counts, mismatches = counts.crossJoin(found), F.col("mismatches")  # single rows
         row = counts.select(
             "matched_failed", "matched_passed", "total_diffs", "missing_dev", "extra_dev",
@@ -158,6 +177,7 @@ class DiffResult:
 
     def settings(self) -> DataFrame:
         """``setting, value`` rows describing the run."""
+        # fixed values: the labels
         said, c = self._described(), lambda n: F.col(n).cast("string")
         rows = [
             ("Used Keys", said["used_keys"]),
@@ -183,7 +203,7 @@ class DiffResult:
         return self.counts().select(F.inline(F.array(*[F.struct(F.lit(k).alias("setting"), v.alias("value")) for k, v in rows])))
 
     def summary(self, alert_rules: DataFrame | None = None, report_path: str = "") -> DataFrame:
-        """The pair's summary row (20 fields and ``error``)."""
+        """The pair's summary row (20 fields and ``error``); the field names are fixed values."""
         counts = self.counts()
         triggered = F.lit(0).cast("long")
         if alert_rules is not None:
@@ -206,33 +226,60 @@ class DiffResult:
         """Add a result of your own; a built-in step's name replaces that step."""
         self._hooks[name] = check
 
-    def results(self, alert_rules: DataFrame | None = None, order: list[str] | None = None) -> dict[str, DataFrame]:
-        """All result tables of the enabled steps, by name. A failing hook becomes an audit event."""
-        built_in: dict[str, Callable[[], dict[str, DataFrame]]] = {
-            "tolerance": lambda: {},
-            "comparison": lambda: {"value_differences": self.value_differences(), "count_differences": self.count_differences(), "pass_report": self.pass_report()},
+    def _steps(self, alert_rules: DataFrame | None) -> dict[str, Callable[[], dict[str, DataFrame]]]:
+        """The built-in steps and the result tables of each."""
+
+        def comparison() -> dict[str, DataFrame]:
+            found = {"value_differences": self.value_differences(), "count_differences": self.count_differences()}
+            return found | ({"pass_report": self.pass_report()} if self.cfg.include_pass else {})
+
+        return {
+            "tolerance": lambda: {"tolerance": self.rules} if self.rules is not None else {},
+            "comparison": comparison,
             "duplicate": lambda: {"duplicates": self.duplicates()},
             "schema": lambda: {"schema_differences": self.schema_differences()},
             "data_quality": lambda: {"quality_report": self.quality_report()},
             "alerts": lambda: {"alerts": self.alerts(alert_rules)} if alert_rules is not None else {},
         }
-        out: dict[str, DataFrame] = {}
-        for name in order or [*STEPS, *(h for h in self._hooks if h not in STEPS)]:
-            if name in STEPS and name not in self.cfg.enabled:
-                self.events.append((time.time(), name, "SKIPPED", 0.0))
-                continue
-            began = time.time()
-            self.events.append((began, name, "START", 0.0))
-            try:
-                out |= {name: self._hooks[name](self)} if name in self._hooks else built_in[name]()
-                self.events.append((time.time(), name, "DONE", time.time() - began))
-            except Exception as e:  # a hook's failure is a result of the run
-                if name not in self._hooks:
-                    raise
-                self.events.append((time.time(), name, f"FAILED: {e}", time.time() - began))
-        out["settings"] = self.settings()
+
+    def _run(self, keep: Callable[[str, DataFrame], DataFrame], alert_rules: DataFrame | None, order: list[str] | None) -> dict[str, DataFrame]:
+        """Run the enabled steps; ``keep(name, table)`` stores a table, so that a step is done when it says so."""
+        built_in, out = self._steps(alert_rules), {}
+        self.aligned.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for name in order or [*STEPS, *(h for h in self._hooks if h not in STEPS)]:
+                if name in STEPS and name not in self.cfg.enabled:
+                    self.events.append((time.time(), name, "SKIPPED", 0.0))
+                    continue
+                began = time.time()
+                self.events.append((began, name, "START", 0.0))
+                try:
+                    made = {name: self._hooks[name](self)} if name in self._hooks else built_in[name]()
+                    out |= {table: keep(table, df) for table, df in made.items()}
+                    self.events.append((time.time(), name, "DONE", time.time() - began))
+                except Exception as e:  # a hook's failure, also in its job, is a result of the run
+                    if name not in self._hooks:
+                        raise
+                    self.events.append((time.time(), name, f"FAILED: {e}", time.time() - began))
+            out["settings"] = keep("settings", self.settings())
+        finally:
+            self.aligned.unpersist()
         return out
 
+    def results(self, alert_rules: DataFrame | None = None, order: list[str] | None = None) -> dict[str, DataFrame]:
+        """All result tables of the enabled steps, by name, each stored in the checkpoint folder. A failing hook becomes an audit event."""
+        return self._run(lambda name, df: stored(df), alert_rules, order)
+
+    def write(self, root: str, run_id: str, alert_rules: DataFrame | None = None, order: list[str] | None = None, ordered: bool = False) -> dict[str, DataFrame]:
+        """``results`` as Parquet tables under ``root``, which must not hold the run yet; ``ordered`` sorts them by the align keys."""
+
+        def keep(name: str, df: DataFrame) -> DataFrame:
+            path = sinks.result_path(self.spark, root, name, self.cfg.result_name, run_id)
+            sinks.write_table(df, path, self.align_keys if ordered else None)
+            return self.spark.read.parquet(path)
+
+        return self._run(keep, alert_rules, order)
+
     def audit(self) -> DataFrame:
         """``timestamp, capability, event, elapsed`` of the steps so far."""
         return self.spark.createDataFrame(self.events, "timestamp double, capability string, event string, elapsed double")
@@ -242,25 +289,29 @@ def audit_timings(audit: DataFrame) -> DataFrame:
     return audit.groupBy("capability").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("elapsed"), 4).alias("elapsed"))
 
 
-def compare(prod: DataFrame, dev: DataFrame, cfg: DiffConfig = DiffConfig()) -> DiffResult:
-    """Compare two versions of a dataset."""
-    return DiffResult(prod, dev, cfg)
+def compare(prod: DataFrame, dev: DataFrame, cfg: DiffConfig = DiffConfig(), tolerance_rules: DataFrame | None = None) -> DiffResult:
+    """Compare two versions of a dataset. ``tolerance_rules`` (see ``rules.tolerance_rules``) add to the configured tolerances."""
+    return DiffResult(prod, dev, cfg, tolerance_rules)
 
 
 Pair = tuple[str, Callable[[], DataFrame], Callable[[], DataFrame], DiffConfig]
 
 
-def compare_many(spark: SparkSession, pairs: list[Pair], alert_rules: DataFrame | None = None, workers: int = 4) -> DataFrame:
+def compare_many(spark: SparkSession, pairs: list[Pair], alert_rules: DataFrame | None = None, workers: int = 4, tolerance_rules: DataFrame | None = None, root: str | None = None, run_id: str = "") -> DataFrame:
     """Summary rows of many pairs. A pair that fails, also while it is built, is a row with ``error``.
 
-    Pairs are independent Spark jobs, submitted from a few driver threads.
+    Pairs are independent Spark jobs, submitted from a few driver threads. With ``root`` all result
+    tables are written there.
     """
 
     def one(pair: Pair) -> list:
         name, prod, dev, cfg = pair
         began = time.time()
         try:
-            row = compare(prod(), dev(), replace(cfg, result_name=name)).summary(alert_rules).first().asDict()  # one row
+            result = compare(prod(), dev(), replace(cfg, result_name=name), tolerance_rules)
+            if root:
+                result.write(root, run_id or result.run_id, alert_rules)
+            row = result.summary(alert_rules, root or "").first().asDict()  # one row
             return [{**row, "elapsed_seconds": round(time.time() - began, 2)}]
         except Exception as e:
             return [{"result_name": name, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}]
@@ -272,6 +323,23 @@ def compare_many(spark: SparkSession, pairs: list[Pair], alert_rules: DataFrame
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
 
 
+def compare_control(spark: SparkSession, control: DataFrame, tolerance: DataFrame | None = None, switches: DataFrame | None = None, alert_rules: DataFrame | None = None, read: Callable[[str], DataFrame] | None = None, root: str | None = None, run_id: str = "", workers: int = 4) -> DataFrame:
+    """Summary rows of all active rows of a control table (a small table, one row for each pair).
+
+    ``tolerance`` is a table of tolerance rules, ``switches`` one of quality checks and their values.
+    Inputs are read by ``read`` (default: ``read_any``) from the row's path and file names.
+    """
+    checks = rules.quality_switches(switches)[0] if switches is not None else profile.CHECKS
+    parsed = rules.tolerance_rules(tolerance) if tolerance is not None else None
+    load = read or (lambda path: readers.read_any(spark, path))
+    place = lambda r, name: f"{r.path}/{name}" if r.path else name
+    pairs: list[Pair] = []
+    for r in rules.active_pairs(control).collect():
+        cfg = DiffConfig(keys=tuple(r["keys"]), ignore=tuple(r.ignore), prod_name=r["prod"], dev_name=r.dev, quality_checks=checks, include_pass=r.include_pass)
+        pairs.append((r.result_name, lambda r=r: load(place(r, r["prod"])), lambda r=r: load(place(r, r.dev)), cfg))
+    return compare_many(spark, pairs, alert_rules, workers, parsed, root, run_id)
+
+
 def overall_pass(summaries: DataFrame, strict: bool = False) -> DataFrame:
     """One row: whether every pair has no failed row, error or alert (and, if strict, no row on one side only)."""
     zero = lambda c: F.coalesce(c, F.lit(0)) == 0

@@ -94,9 +94,9 @@ WHERE CASE operator WHEN '>' THEN v > threshold WHEN '<' THEN v < threshold WHEN
 )
 
 _SUPPLIER_ISSUES = """WITH s AS (SELECT CAST(s_suppkey + 1 AS INT) AS job, s_suppkey AS k FROM supplier)
-SELECT job, 'prod_path' AS field, 'PROD path is required.' AS message, 'ERROR' AS severity FROM s WHERE k % 7 = 0
-UNION ALL SELECT job, 'dev_path', 'Cannot read schema from: nowhere', 'ERROR' FROM s WHERE k % 5 = 0
-UNION ALL SELECT job, 'keys', 'Key column ''o_orderkey'' not found in DEV file customer', 'ERROR' FROM s WHERE k % 5 <> 0 AND k % 3 <> 0
+SELECT job, 'prod_path' AS field, 'No PROD input is named.' AS message, 'ERROR' AS severity FROM s WHERE k % 7 = 0
+UNION ALL SELECT job, 'dev_path', 'No columns are known of input nowhere', 'ERROR' FROM s WHERE k % 5 = 0
+UNION ALL SELECT job, 'keys', 'DEV input customer has no column for key o_orderkey', 'ERROR' FROM s WHERE k % 5 <> 0 AND k % 3 <> 0
 UNION ALL SELECT job, 'keys', 'No key columns specified; rows are compared by position.', 'WARNING' FROM s WHERE k % 3 = 0
 UNION ALL SELECT job, 'tolerance', 'Tolerance of ''price'' must be a whole number from 0 to 18.', 'ERROR' FROM s WHERE k % 4 = 0"""
 
@@ -143,7 +143,35 @@ SQL = {
     "quality_report": _CUSTOMER_PROFILE + ' SELECT a."column", a.null_rate AS null_rate_prod, b.null_rate AS null_rate_dev, a.distinct_count AS distinct_count_prod, b.distinct_count AS distinct_count_dev, '
       + ", ".join(f"{_NUM(c, s)} AS {n}_{side}" for c, n in (("lo", "min"), ("hi", "max"), ("mean", "mean"), ("std", "std")) for s, side in (("a", "prod"), ("b", "dev")))
       + ", CASE WHEN a.is_num <> b.is_num THEN 'Yes' ELSE 'No' END AS type_mismatch FROM pr a JOIN pr b ON a.\"column\" = b.\"column\" AND a.side = 'prod' AND b.side = 'dev'",
-    "approx_distinct_error": "SELECT '' AS \"column\", count(*) AS exact FROM part WHERE FALSE GROUP BY 1",
+    "approx_distinct_error": "SELECT c AS \"column\", n AS exact, TRUE AS within FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c, unnest([count(DISTINCT p_partkey), count(DISTINCT p_name), count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_size), count(DISTINCT p_retailprice)]) AS n FROM part)",
+    "quality_switches": _CUSTOMER_PROFILE + ' SELECT a."column", a.null_rate AS null_rate_prod, b.null_rate AS null_rate_dev, CAST(NULL AS BIGINT) AS distinct_count_prod, CAST(NULL AS BIGINT) AS distinct_count_dev, '
+      + ", ".join(f"CAST(NULL AS DOUBLE) AS {n}_{side}" for n in ("min", "max", "mean", "std") for side in ("prod", "dev"))
+      + ", CASE WHEN a.is_num <> b.is_num THEN 'Yes' ELSE 'No' END AS type_mismatch FROM pr a JOIN pr b ON a.\"column\" = b.\"column\" AND a.side = 'prod' AND b.side = 'dev'",
+    "control_batch": f"""{ORDERS}, own AS (SELECT x_o_custkey::INT + x_o_totalprice::INT + x_o_orderdate::INT AS n FROM m),
+      cust AS (SELECT (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0)::INT AS n FROM customer)
+      SELECT 'orders' AS result_name, (SELECT count(*) FROM prod) AS total_prod, (SELECT count(*) FROM own WHERE n = 0) AS matched_passed, (SELECT count(*) FROM own WHERE n > 0) AS matched_failed,
+        (SELECT count(*) FROM dev) AS total_dev, 'o_totalprice' AS tolerances, CAST(NULL AS VARCHAR) AS error, (SELECT CAST(sum(n) AS BIGINT) FROM own) AS value_differences, CAST(NULL AS BIGINT) AS pass_report, CAST(2 AS BIGINT) AS tolerance
+      UNION ALL SELECT 'customer', count(*), count(*) FILTER (WHERE n = 0), count(*) FILTER (WHERE n > 0), count(*), '', NULL, CAST(sum(n) AS BIGINT), count(*), NULL FROM cust
+      UNION ALL SELECT 'broken', NULL, NULL, NULL, NULL, NULL, 'no input nowhere', NULL, NULL, NULL""",
+    "run_summary": f"{_PAIRS} SELECT result_name, matched_failed, FALSE AS overall_pass, 'r1' AS run_id FROM sums",
+    "audit_log": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS capability, count(*) AS events FROM events GROUP BY 1, 2",
+    "ignored_fields": f"{ORDERS} SELECT \"column\", count(*) AS n FROM cells WHERE \"column\" <> 'o_totalprice' GROUP BY 1 UNION ALL SELECT field, \"count\" FROM fields WHERE field <> 'o_priority'",
+    "missing_keys": f"""{ORDERS} SELECT 'Used Keys' AS setting, 'o_orderkey' AS "value" UNION ALL SELECT 'Missing Key Columns', 'o_priority' UNION ALL SELECT 'Matched Rows', CAST(count(*) AS VARCHAR) FROM m
+      UNION ALL SELECT 'Only in Prod', CAST(count(*) AS VARCHAR) FROM sides WHERE side = 'Missing in Dev'""",
+    "empty_side": f"""{ORDERS}, z AS (SELECT CAST(0 AS BIGINT) AS z) SELECT 'dev' AS empty, (SELECT count(*) FROM prod) AS total_prod, z AS total_dev, (SELECT count(*) FROM prod) AS missing_dev, z AS extra_dev, z AS matched_passed, z AS matched_failed, z AS total_diffs FROM z
+      UNION ALL SELECT 'prod', z, (SELECT count(*) FROM dev), z, (SELECT count(*) FROM dev), z, z, z FROM z""",
+    "rule_issues": f"""{ORDERS}, c AS (SELECT (SELECT count(*) FROM cells) AS total_diffs, (SELECT count(*) FROM sides WHERE side = 'Extra in Dev') AS extra_dev),
+      r AS (SELECT ['extra_dev', 'nothing', 'total_diffs'][s_suppkey % 3 + 1] AS metric, ['>', '>=', '=>', '<'][s_suppkey % 4 + 1] AS op, ['0', 'x', '1e2', NULL, '-1'][s_suppkey % 5 + 1] AS t, s_suppkey % 7 = 2 AS loud FROM supplier),
+      p AS (SELECT *, CASE WHEN metric = 'nothing' THEN 'unknown metric' WHEN op = '=>' THEN 'unknown operator' WHEN t = 'x' THEN 'threshold is not a number' END AS fault, CASE WHEN t = 'x' THEN NULL ELSE CAST(coalesce(t, '0') AS DOUBLE) END AS n,
+        CASE metric WHEN 'extra_dev' THEN extra_dev ELSE total_diffs END AS v FROM r, c),
+      x AS (SELECT coalesce(fault, CASE WHEN loud THEN 'unknown level' END) AS problem FROM p
+      UNION ALL SELECT 'fires: ' || op || ' ' || CAST(CAST(n AS INT) AS VARCHAR) FROM p WHERE fault IS NULL AND CASE op WHEN '>' THEN v > n WHEN '>=' THEN v >= n ELSE v < n END)
+      SELECT problem, count(*) AS rules FROM x WHERE problem IS NOT NULL GROUP BY 1""",
+    "step_switches": f"""{ORDERS}, e AS (SELECT count(*) FILTER (WHERE x_o_custkey) + count(*) FILTER (WHERE x_o_orderstatus) + count(*) FILTER (WHERE p_o_totalprice <> d_o_totalprice) + count(*) FILTER (WHERE x_o_orderdate) AS cells FROM m)
+      SELECT capability, event, cells FROM e, (VALUES ('schema', 'DONE'), ('tolerance', 'SKIPPED'), ('comparison', 'DONE'), ('alerts', 'SKIPPED')) AS v(capability, event)""",
+    "row_counts": "SELECT 'orders' AS name, count(*) AS rows, count(o_orderkey) AS scanned FROM orders UNION ALL SELECT 'lineitem', count(*), count(l_orderkey) FROM lineitem UNION ALL SELECT 'events', count(*), count(event_id) FROM events",
+    "header_columns": " UNION ALL ".join(f"SELECT '{t}' AS path, '{c}' AS name, count({c}) AS filled FROM {t}" for t, cs in (("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")), ("customer", _CUSTOMER_COLUMNS), ("part", _PART_COLUMNS)) for c in cs),
+    "ordered_results": f"{ORDERS} SELECT 'value_differences' AS result, count(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM cells UNION ALL SELECT 'count_differences', count(*), 0 FROM sides",
     "tolerance_rules": f"{TOLERANCE} SELECT prod_name, field, decimals, count(*) AS rules FROM rr WHERE reason IS NULL GROUP BY 1, 2, 3",
     "tolerance_rejects": f"{TOLERANCE} SELECT reason, count(*) AS rules FROM rr WHERE reason IS NOT NULL GROUP BY 1",
     "pair_tolerance": f"""{TOLERANCE}, x AS (SELECT field, CASE WHEN reason IS NULL THEN decimals END AS decimals, coalesce(reason, CASE WHEN field IN ('c_7', 'c_8') THEN 'ignored' WHEN CAST(substr(field, 3) AS INT) >= 40 THEN 'absent from PROD'
@@ -179,6 +207,9 @@ SQL = {
     "clean_names": "SELECT '_' || p_type || '_' || p_name || '_' AS name, count(*) AS rows FROM part GROUP BY 1",
     "csv_roundtrip": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || ', "' || p_brand || '"' AS p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""",
     "delimited_roundtrip": _SUPPLIER_TEXT,
+    "delimited_mixed": _SUPPLIER_TEXT,
+    "mixed_formats": f"WITH {CUSTOMER} SELECT p.c_custkey, 'c_acctbal' AS \"column\", p.c_acctbal AS prod_value, d.c_acctbal AS dev_value FROM prod p JOIN dev d ON p.c_custkey = d.c_custkey WHERE p.c_acctbal <> d.c_acctbal UNION ALL SELECT p.c_custkey, 'c_mktsegment', p.c_mktsegment, d.c_mktsegment FROM prod p JOIN dev d ON p.c_custkey = d.c_custkey WHERE p.c_mktsegment <> d.c_mktsegment",
+    "fixed_width_late": "SELECT CASE WHEN c_custkey = 7 THEN 'k' WHEN c_custkey >= 120 THEN CAST(c_custkey AS VARCHAR) || '-wider' ELSE CAST(c_custkey AS VARCHAR) END AS k, CASE WHEN c_custkey = 7 THEN 'name' ELSE c_name END AS name, CASE WHEN c_custkey = 7 THEN 'nation' ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer",
     "delimiter_detect": f"SELECT unnest({_LIST(['|', ',', ';', '~', '^'])} || [chr(9)]) AS written, unnest({_LIST(['|', ',', ';', '~', '^'])} || [chr(9)]) AS delimiter",
     "encoding_detect": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, '“é€ ' || s_name AS s_name FROM supplier",
     "fixed_width": _SUPPLIER_TEXT,

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import ensure_checkpoint_dir
+from ..functions.storage import checkpoint_dir
 from ..functions.text import canonical, clean_name, column, parsed, rounded
 from ..operators import align as A
 from ..operators import history, profile, rules, schema_diff
 from ..sources import readers, sinks
 from . import synth
-from .compare import DiffConfig, DiffResult, audit_timings, compare, compare_many, overall_pass, union_all
+from .compare import DiffConfig, DiffResult, audit_timings, compare, compare_control, compare_many, overall_pass, union_all
 
 Query = Callable[[SparkSession, str], DataFrame]
 ORDERS = DiffConfig(keys=("o_orderkey",), tolerance={"o_totalprice": 2}, result_name="orders")
@@ -135,10 +137,16 @@ def quality_report(spark, sf_dir):
 
 
 def approx_distinct_error(spark, sf_dir):
-    """Columns whose approximate distinct count is over a tenth off (none are expected)."""
+    """Exact distinct counts, and whether the sketch is within a tenth of them."""
     part = canonical(synth.table(spark, sf_dir, "part"))
     exact, rough = (profile.profile(part, approx=a).select("column", F.col("distinct_count").alias(n)) for a, n in ((False, "exact"), (True, "rough")))
-    return exact.join(rough, "column").where("abs(exact - rough) > 0.1 * exact").select("column", "exact")
+    return exact.join(rough, "column").select("column", "exact", (F.abs(F.col("exact") - F.col("rough")) <= 0.1 * F.col("exact")).alias("within"))
+
+
+def quality_switches(spark, sf_dir):
+    """Two of the four quality checks switched off."""
+    cfg = DiffConfig(keys=("c_custkey",), quality_checks=frozenset({"null_rate", "type_inference"}))
+    return compare(*synth.customer_pair(spark, sf_dir), cfg).quality_report()
 
 
 def _tolerance_table(spark, sf_dir) -> DataFrame:
@@ -178,13 +186,10 @@ def alerts(spark, sf_dir):
 
 
 def row_order_diff(spark, sf_dir):
-    result = compare(*synth.supplier_pair(spark, sf_dir), DiffConfig(order=(), ignore=()))
-    order = [column("s_suppkey").cast("long")]
-    prod, dev = A.with_row_id(result.prod, order), A.with_row_id(result.dev, order)
-    from ..operators import diff
-
-    aligned = A.align(prod, dev, [A.ROW_ID])
-    return diff.value_differences(aligned, [A.ROW_ID], ["s_name", "s_nationkey"], {}).withColumnRenamed(A.ROW_ID, "row_id")
+    """Rows compared by their place in the order of a padded key."""
+    pair = [x.select(F.lpad(F.col("s_suppkey").cast("string"), 12, "0").alias("place"), "s_name", "s_nationkey") for x in synth.supplier_pair(spark, sf_dir)]
+    result = compare(*pair, DiffConfig(order=("place",)))
+    return result.value_differences().where("column <> 'place'").withColumnRenamed(A.ROW_ID, "row_id")
 
 
 def chunk_counts(spark, sf_dir):
@@ -257,6 +262,128 @@ def overall(spark, sf_dir):
     return overall_pass(_summaries(spark, sf_dir), strict=True)
 
 
+def _tolerances(spark) -> DataFrame:
+    """Rules of the control-table pairs; one is refused."""
+    columns = "`Prod File Name` string, `Dev File Name` string, `Field Name` string, `Tolerance Level (in decimal)` string"
+    return spark.createDataFrame([("orders_prod", "orders_dev", "o_totalprice", "2"), ("orders_prod", "orders_dev", "o_custkey", "0.5")], columns)
+
+
+def _control(spark) -> DataFrame:
+    """A control table over inputs that the test tables stand for, one of them unknown."""
+    columns = "Run string, `Files Path` string, `Prod File Name` string, `Dev File Name` string, `Result Report Name` string, `Key Column1` string, IgnoreFields string, `Include Pass Report` string"
+    rows = [
+        ("Yes", "", "orders_prod", "orders_dev", "orders", "o_orderkey", "o_orderstatus", "no"), ("y", "", "customer_prod", "customer_dev", "customer", "c_custkey", "", "yes"),
+        ("no", "", "part_prod", "part_dev", "part", "p_partkey", "", "no"), ("1", "", "nowhere", "customer_dev", "broken", "c_custkey", "", "no"),
+    ]
+    return spark.createDataFrame(rows, columns)
+
+
+def control_batch(spark, sf_dir):
+    """The active rows of a control table compared, written, and their stored tables counted."""
+    orders, customer = synth.orders_pair(spark, sf_dir), synth.customer_pair(spark, sf_dir)
+    inputs = {"orders_prod": orders[0], "orders_dev": orders[1], "customer_prod": customer[0], "customer_dev": customer[1]}
+
+    def read(path: str) -> DataFrame:
+        if path not in inputs:
+            raise ValueError(f"no input {path}")
+        return inputs[path]
+
+    root = _scratch(spark, "batch")
+    off = spark.createDataFrame([("numeric_stats", "no")], "check string, value string")
+    found = compare_control(spark, _control(spark), _tolerances(spark), off, read=read, root=root, run_id="r1")
+    stored = lambda table: spark.read.parquet(f"{root}/{table}").groupBy("result_name").agg(F.count(F.lit(1)).alias(table)).withColumnRenamed("result_name", f"__{table}")
+    out = found.select("result_name", "total_prod", "matched_passed", "matched_failed", "total_dev", F.array_join(F.map_keys("tolerance_used"), ",").alias("tolerances"), "error")
+    for table in ("value_differences", "pass_report", "tolerance"):
+        out = out.join(stored(table), F.col("result_name") == F.col(f"__{table}"), "left").drop(f"__{table}")
+    return out
+
+
+def run_summary(spark, sf_dir):
+    """The summary of many pairs written as JSON with ``overall_pass``, and read back."""
+    path = _scratch(spark, "summary")
+    sinks.write_summary(_summaries(spark, sf_dir), path, "r1")
+    return spark.read.json(path).select("result_name", "matched_failed", "overall_pass", "run_id")
+
+
+def audit_log(spark, sf_dir):
+    """Events appended twice as audit lines, counted by day from disk."""
+    path = _scratch(spark, "audit")
+    events = synth.table(spark, sf_dir, "events").select(F.unix_timestamp("ts").cast("double").alias("timestamp"), F.col("event_type").alias("capability"), F.lit("DONE").alias("event"), F.col("value").alias("elapsed"))
+    for k in range(2):
+        sinks.append_audit(events.where(F.pmod(F.floor("timestamp"), F.lit(2)) == k), path)
+    text = "year string, month string, day string"
+    lines = spark.read.schema(f"timestamp double, capability string, event string, elapsed double, {text}").json(path)
+    return lines.groupBy(F.concat_ws("-", "year", "month", "day").alias("day"), "capability").agg(F.count(F.lit(1)).alias("events"))
+
+
+def ignored_fields(spark, sf_dir):
+    result = compare(*synth.orders_pair(spark, sf_dir), DiffConfig(keys=("o_orderkey",), ignore=("o_totalprice", "o_priority")))
+    cells = result.value_differences().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    return cells.unionByName(result.schema_differences().select(F.col("field").alias("column"), F.col("count").alias("n")))
+
+
+def missing_keys(spark, sf_dir):
+    """A key that one side lacks is reported, and the others are used."""
+    result = compare(*synth.orders_pair(spark, sf_dir), DiffConfig(keys=("o_orderkey", "o_priority")))
+    return result.settings().where("setting in ('Used Keys', 'Missing Key Columns', 'Matched Rows', 'Only in Prod')")
+
+
+def empty_side(spark, sf_dir):
+    """Either side without rows: all rows of the other are missing or extra."""
+    prod, dev = synth.orders_pair(spark, sf_dir)
+    sides = [("dev", compare(prod, dev.where("o_orderkey < 0"), ORDERS)), ("prod", compare(prod.where("o_orderkey < 0"), dev, ORDERS))]
+    return union_all([r.counts().select(F.lit(n).alias("empty"), "total_prod", "total_dev", "missing_dev", "extra_dev", "matched_passed", "matched_failed", "total_diffs") for n, r in sides])
+
+
+def rule_issues(spark, sf_dir):
+    """Alert rules made of suppliers, with faults by their keys; and what remains of them when they are used."""
+    key = F.col("s_suppkey")
+    pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (key % n + 1).cast("int"))
+    made = synth.table(spark, sf_dir, "supplier").select(
+        pick(3, "extra_dev", "nothing", "total_diffs").alias("metric"), pick(4, ">", ">=", "=>", "<").alias("operator"), pick(5, "0", "x", "1e2", None, "-1").alias("threshold"),
+        pick(7, "ERROR", "info", "LOUD", None, "WARNING", "Info", "error").alias("level"), F.lit("m").alias("message"),
+    )
+    fired = _orders(spark, sf_dir).alerts(made).groupBy(F.concat(F.lit("fires: "), F.col("operator"), F.lit(" "), F.col("threshold").cast("int").cast("string")).alias("problem")).agg(F.count(F.lit(1)).alias("rules"))
+    return rules.alert_issues(made).groupBy("problem").agg(F.count(F.lit(1)).alias("rules")).unionByName(fired)
+
+
+def step_switches(spark, sf_dir):
+    """Two steps on, in an order of one's own; tolerances are off, so more cells differ."""
+    result = compare(*synth.orders_pair(spark, sf_dir), DiffConfig(keys=("o_orderkey",), tolerance={"o_totalprice": 2}, enabled=frozenset({"comparison", "schema"})))
+    tables = result.results(order=["schema", "tolerance", "comparison", "alerts"])
+    events = result.audit().groupBy("capability").agg(F.max_by("event", "timestamp").alias("event"))
+    return events.crossJoin(tables["value_differences"].agg(F.count(F.lit(1)).alias("cells")))  # one row
+
+
+def row_counts(spark, sf_dir):
+    """Rows of stored tables from their footers, beside those of a scan."""
+    tables = ("orders", "lineitem", "events")
+    counted = spark.createDataFrame([(t, readers.row_count(spark, f"{sf_dir}/{t}.parquet")) for t in tables], "name string, rows long")
+    scanned = union_all([synth.table(spark, sf_dir, t).agg(F.lit(t).alias("of"), F.count_if(column(c).isNotNull()).alias("scanned")) for t, c in zip(tables, ("o_orderkey", "l_orderkey", "event_id"))])
+    return counted.join(scanned, F.col("name") == F.col("of")).select("name", "rows", "scanned")
+
+
+def header_columns(spark, sf_dir):
+    """Columns of the inputs, known without reading rows, with how many cells each has filled."""
+    inputs = {n: synth.table(spark, sf_dir, n) for n in ("orders", "customer", "part")}
+    names = spark.createDataFrame(rules.columns_of(inputs), "path string, name string")
+    filled = [df.select(F.lit(n).alias("p"), F.inline(F.array(*[F.struct(F.lit(c).alias("c"), column(c).isNotNull().cast("int").alias("full")) for c in df.columns]))) for n, df in inputs.items()]
+    counts = union_all([x.groupBy("p", "c").agg(F.sum("full").alias("filled")) for x in filled])
+    return names.join(counts, (F.col("path") == F.col("p")) & (F.col("name") == F.col("c"))).select("path", "name", "filled")
+
+
+def ordered_results(spark, sf_dir):
+    """Result tables written in the order of the align keys: rows, and rows that stand before a smaller key of their file."""
+    result = _orders(spark, sf_dir)
+    tables = result.write(_scratch(spark, "ordered"), "r1", ordered=True)
+    found = []
+    for name in ("value_differences", "count_differences"):
+        rows = tables[name].select("o_orderkey", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+        before = F.lag("o_orderkey").over(Window.partitionBy("file").orderBy("at"))
+        found.append(rows.withColumn("before", before).agg(F.lit(name).alias("result"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") > F.col("o_orderkey")).alias("out_of_order")))
+    return union_all(found)
+
+
 def run_history(spark, sf_dir):
     return history.history(synth.run_log(spark, sf_dir), [F.desc("created_at"), F.col("job_id")], status="failed", limit=20, offset=10).select("job_id", "batch_id", "status")
 
@@ -300,10 +427,7 @@ def clean_names(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def csv_roundtrip(spark, sf_dir):
@@ -313,17 +437,19 @@ def csv_roundtrip(spark, sf_dir):
     return canonical(readers.read_delimited(spark, path, sep=","))
 
 
-def _lines(df: DataFrame, path: str) -> None:
-    """One text file with a header line (a row of lowest order), for the readers to detect."""
-    df.coalesce(1).write.text(path)
+def _text_files(df: DataFrame, line: Column, header: str, path: str, encoding: str = "UTF-8") -> None:
+    """Lines as text files, the header line first in each of them."""
+    writer = df.select(line.alias(header)).write.option("header", True).option("sep", "\x01").option("quote", "").option("encoding", encoding)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def _suppliers(spark, sf_dir) -> DataFrame:
+    return canonical(synth.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
 
 
 def _delimited(spark, sf_dir, sep: str, name: str) -> str:
-    path = _scratch(spark, name)
-    rows = canonical(synth.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
-    body = rows.select(F.concat_ws(sep, *rows.columns).alias("value"))
-    header = spark.range(1).select(F.lit(sep.join(rows.columns)).alias("value"))
-    _lines(header.unionByName(body), path)
+    path, rows = _scratch(spark, name), _suppliers(spark, sf_dir)
+    _text_files(rows, F.concat_ws(sep, *rows.columns), sep.join(rows.columns), path)
     return path
 
 
@@ -332,8 +458,29 @@ def delimited_roundtrip(spark, sf_dir):
     return canonical(readers.read_any(spark, path))
 
 
+def delimited_mixed(spark, sf_dir):
+    """One folder whose files differ in separator and in the order of their columns."""
+    root, rows = _scratch(spark, "mixed"), _suppliers(spark, sf_dir)
+    for k, (sep, names) in enumerate((("|", rows.columns), (";", rows.columns[::-1]), ("\t", rows.columns))):
+        some = rows.where(F.col("s_suppkey").cast("long") % 3 == k)
+        _text_files(some, F.concat_ws(sep, *names), sep.join(names), f"{root}/{k}")
+    return canonical(readers.read_delimited(spark, f"{root}/*"))
+
+
+def mixed_formats(spark, sf_dir):
+    """PROD as Parquet without a telling name, DEV as CSV in which N/A and NULL stand for blank."""
+    prod, dev = synth.customer_pair(spark, sf_dir)
+    root = _scratch(spark, "formats")
+    prod.write.parquet(f"{root}/prod")
+    blank = F.when(F.col("c_custkey") % 2 == 0, F.lit("N/A")).otherwise(F.lit("NULL"))
+    segment = F.when(F.trim("c_mktsegment") == "", blank).otherwise(F.col("c_mktsegment"))
+    sinks.write_csv(canonical(dev.withColumn("c_mktsegment", segment)), f"{root}/dev.csv")
+    result = compare(readers.read_any(spark, f"{root}/prod"), readers.read_any(spark, f"{root}/dev.csv"), DiffConfig(keys=("c_custkey",)))
+    return result.value_differences()
+
+
 def delimiter_detect(spark, sf_dir):
-    found = [readers.delimiters(spark, _delimited(spark, sf_dir, sep, f"d{i}")).select(F.lit(sep).alias("written"), "delimiter") for i, sep in enumerate(readers.DELIMITERS)]
+    found = [readers.delimiters(spark, _delimited(spark, sf_dir, sep, f"d{i}")).select(F.lit(sep).alias("written"), "delimiter").distinct() for i, sep in enumerate(readers.DELIMITERS)]
     return union_all(found)
 
 
@@ -341,22 +488,32 @@ def encoding_detect(spark, sf_dir):
     """Suppliers with accents written in UTF-8 and in cp1252, read back as one table."""
     root = _scratch(spark, "encodings")
     rows = synth.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), F.concat(F.lit("“é€ "), "s_name").alias("s_name"))
-    for k, coding in enumerate(("UTF-8", "cp1252")):
+    for k, coding in enumerate(("UTF-8", "ISO-8859-1")):
         some = rows.where(F.col("s_suppkey").cast("long") % 2 == k)
         text = F.concat_ws(",", "s_suppkey", "s_name")
-        if coding == "cp1252":
-            text = F.encode(F.translate(text, readers.CP1252, readers.LATIN1), "ISO-8859-1").cast("string")
-        header = spark.range(1).select(F.lit("s_suppkey,s_name").alias("value"))
-        _lines(header.unionByName(some.select(text.alias("value"))), f"{root}/{k}")
+        _text_files(some, F.translate(text, readers.CP1252, readers.LATIN1) if k else text, "s_suppkey,s_name", f"{root}/{k}", coding)
     return canonical(readers.read_delimited(spark, f"{root}/*", sep=","))
 
 
+def _fixed(spark, rows: DataFrame, name: str, widths: tuple[int, ...]) -> str:
+    path = _scratch(spark, name)
+    header = "".join(c.ljust(w) for c, w in zip(rows.columns, widths))
+    _text_files(rows, F.concat(*[F.rpad(column(c), w, " ") for c, w in zip(rows.columns, widths)]), header, path)
+    return path
+
+
 def fixed_width(spark, sf_dir):
-    path = _scratch(spark, "fixed")
-    rows = canonical(synth.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"))
-    line = lambda cells: F.concat(*[F.rpad(c, w, " ") for c, w in zip(cells, (12, 24, 12))]).alias("value")
-    header = spark.range(1).select(line([F.lit(c) for c in rows.columns]))
-    _lines(header.unionByName(rows.select(line([F.col(c) for c in rows.columns]))), path)
+    path = _fixed(spark, _suppliers(spark, sf_dir), "fixed", (12, 24, 12))
+    return canonical(readers.read_fixed_width(spark, path))
+
+
+def fixed_width_late(spark, sf_dir):
+    """Values after the first hundred lines are wider than any before, and lines that look like the header are data."""
+    rows = canonical(synth.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")).toDF("k", "name", "nation")
+    number = F.col("k").cast("long")
+    wide = F.when(number >= 120, F.concat(F.col("k"), F.lit("-wider"))).otherwise(F.col("k"))
+    rows = rows.select(F.when(number == 7, F.lit("k")).otherwise(wide).alias("k"), F.when(number == 7, F.lit("name")).otherwise(F.col("name")).alias("name"), F.when(number == 7, F.lit("nation")).otherwise(F.col("nation")).alias("nation"))
+    path = _fixed(spark, rows, "late", (16, 24, 12))
     return canonical(readers.read_fixed_width(spark, path))
 
 
@@ -381,9 +538,9 @@ def inventory(spark, sf_dir):
 
 def stored_results(spark, sf_dir):
     """Result tables of the orders pair written, and their rows counted from disk."""
-    result = _orders(spark, sf_dir)
-    paths = sinks.write_results({k: v for k, v in result.results().items() if k in ("value_differences", "count_differences", "schema_differences")}, _scratch(spark, "results"), " a<b ", "r1")
-    return union_all([spark.read.parquet(p).agg(F.lit(t).alias("result"), F.count(F.lit(1)).alias("rows")) for t, p in sorted(paths.items())])
+    cfg = replace(ORDERS, result_name=" a<b ", enabled=frozenset({"comparison", "tolerance", "schema"}), include_pass=False)
+    tables = compare(*synth.orders_pair(spark, sf_dir), cfg).write(_scratch(spark, "results"), "r1")
+    return union_all([df.agg(F.lit(t).alias("result"), F.count(F.lit(1)).alias("rows")) for t, df in sorted(tables.items()) if t != "settings"])
 
 
 def queries() -> dict[str, Query]:
@@ -391,7 +548,8 @@ def queries() -> dict[str, Query]:
         value_differences, missing_extra, pass_report, pass_report_failed, match_summary, diffs_by_column, duplicate_groups, duplicate_summary, seq_alignment, seq_value_differences,
         seq_counted_alignment, schema_differences, schema_items, schema_audit, null_rates, distinct_counts, numeric_stats, type_mismatches, quality_report, approx_distinct_error, tolerance_rules,
         tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, control_issues, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
-        clean_names, csv_roundtrip, delimited_roundtrip, delimiter_detect, encoding_detect, fixed_width, blank_separated, parquet_scan, inventory, stored_results,
+        clean_names, csv_roundtrip, delimited_roundtrip, delimited_mixed, mixed_formats, delimiter_detect, encoding_detect, fixed_width, fixed_width_late, blank_separated, parquet_scan, inventory, stored_results,
+        quality_switches, control_batch, run_summary, audit_log, ignored_fields, missing_keys, empty_side, rule_issues, step_switches, row_counts, header_columns, ordered_results,
     ]
     return {f.__name__: f for f in found} | {"overall_pass": overall}
 

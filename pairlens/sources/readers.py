@@ -1,40 +1,56 @@
 """Delimited, fixed-width, blank-separated and Parquet inputs, with encoding and format detection.
 
-Detection is a Spark job over the files of a path; only a row for each file comes back.
+Detection is a Spark job over the files of a path; only a row for each file comes back, as many as the
+driver's file index holds anyway.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import CSV_NA, column
+
 #: Delimiters that are looked for, in this order, and the cp1252 characters of bytes 80 to 9F.
 DELIMITERS = ("|", ",", "\t", ";", "~", "^")
 UNDEFINED_CP1252 = "\x81\x8d\x8f\x90\x9d"
 CP1252 = "".join(bytes([b]).decode("cp1252", "replace") if chr(b) not in UNDEFINED_CP1252 else chr(b) for b in range(0x80, 0xA0))
 LATIN1 = "".join(map(chr, range(0x80, 0xA0)))
 SAMPLE_LINES = 100
+BOM = "﻿"
+#: Endings that settle the format of a file without looking into it.
+PARQUET_ENDINGS = (".parquet", ".parq")
+OTHER_ENDINGS = (".csv", ".txt", ".tsv", ".json", ".gz", ".crc", "_success")
 
 
-def encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``file, encoding`` for every text file below a path: utf-8, cp1252 or latin1."""
+def _traits(spark: SparkSession, path: str) -> DataFrame:
+    """``file, encoding, broken`` for every text file: utf-8, cp1252 or latin1, and whether a line has an odd number of quotes."""
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
     raw = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    quotes = F.length(raw) - F.length(F.replace(raw, F.lit('"'), F.lit("")))
     return lines.groupBy("file").agg(
-        F.when(F.every(F.is_valid_utf8("value")), "utf-8").when(F.every(~raw.rlike(f"[{UNDEFINED_CP1252}]")), "cp1252").otherwise("latin1").alias("encoding")
+        F.when(F.every(F.is_valid_utf8("value")), "utf-8").when(F.every(~raw.rlike(f"[{UNDEFINED_CP1252}]")), "cp1252").otherwise("latin1").alias("encoding"),
+        F.bool_or(quotes % 2 == 1).alias("broken"),
     )
 
 
+def encodings(spark: SparkSession, path: str) -> DataFrame:
+    """``file, encoding`` for every text file below a path: utf-8, cp1252 or latin1."""
+    return _traits(spark, path).select("file", "encoding")
+
+
 def _head(spark: SparkSession, path: str, lines: int) -> DataFrame:
-    """The first non-empty lines of every file: ``file, line, value``. A file's start is one split's start."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value").where(F.length(F.trim("value")) > 0)
-    # keep the smallest positions of each file, pre-aggregated to a bounded list for each task
-    first = F.slice(F.array_sort(F.collect_list(F.struct("at", "value"))), 1, lines)
-    parts = rows.withColumn("pid", F.spark_partition_id()).where((F.col("at") % 2**33) < 1_000_000).groupBy("file", "pid").agg(first.alias("head"))
-    whole = parts.groupBy("file").agg(F.slice(F.array_sort(F.flatten(F.collect_list("head"))), 1, lines).alias("head"))
-    return whole.select("file", F.posexplode("head").alias("line", "row")).select("file", "line", "row.value")
+    """The first non-empty lines of every file: ``file, line, value``.
+
+    Only the block that begins a file is looked at; a task passes on at most ``lines`` rows of it,
+    because Spark applies the limit on the row number before the exchange.
+    """
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.where((F.col("begin") == 0) & (F.length(F.trim("value")) > 0))
+    numbered = rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at")))
+    return numbered.where(F.col("line") <= lines).select("file", (F.col("line") - 1).alias("line"), "value")
 
 
 def delimiters(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) -> DataFrame:
@@ -43,52 +59,59 @@ def delimiters(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) -> Dat
     Of several, the most frequent, then the first in the list; without any, the most frequent on the
     first line; else a comma.
     """
-    head = _head(spark, path, lines)
+    return _delimiters(_head(spark, path, lines)).select("file", "delimiter")
+
+
+def _delimiters(head: DataFrame) -> DataFrame:
+    """``file, delimiter, header`` from the first lines of every file."""
     count = lambda d: F.length("value") - F.length(F.replace("value", F.lit(d)))
-    counts = head.select("file", "line", *[count(d).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+    counts = head.select("file", "line", "value", *[count(d).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
     sums = [x for i in range(len(DELIMITERS)) for x in (F.min(f"n{i}").alias(f"lo{i}"), F.max(f"n{i}").alias(f"hi{i}"), F.min_by(f"n{i}", "line").alias(f"first{i}"))]
-    per_file = counts.groupBy("file").agg(*sums)
+    per_file = counts.groupBy("file").agg(*sums, F.min_by("value", "line").alias("header"))
     even = F.array(*[F.struct(F.when((F.col(f"lo{i}") == F.col(f"hi{i}")), F.col(f"lo{i}")).otherwise(0).alias("n"), F.lit(-i).alias("at")) for i in range(len(DELIMITERS))])
     first = F.array(*[F.struct(F.col(f"first{i}").alias("n"), F.lit(-i).alias("at")) for i in range(len(DELIMITERS))])
     names = F.array(*[F.lit(d) for d in DELIMITERS])
     pick = lambda a: F.element_at(names, -F.array_max(a)["at"] + 1)
     best = F.when(F.array_max(even)["n"] > 0, pick(even)).when(F.array_max(first)["n"] > 0, pick(first)).otherwise(",")
-    return per_file.select("file", best.alias("delimiter"))
+    return per_file.select("file", best.alias("delimiter"), "header")
 
 
-def _one(table: DataFrame, value: str, files: int = 1000) -> dict[str, list[str]]:
-    """{value: files}; a listing of input files, which the driver's file index holds anyway."""
-    found: dict[str, list[str]] = {}
-    for row in table.collect():
-        found.setdefault(row[value], []).append(row["file"])
-    return found
+def _blank(df: DataFrame, na_values: tuple[str, ...]) -> DataFrame:
+    """Cells that stand for blank become null."""
+    return df.select(*[F.when(~column(c).isin(*na_values), column(c)).alias(c) for c in df.columns]) if na_values else df
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool = True, strip_header: bool = True) -> DataFrame:
-    """CSV or delimited text with a header, all columns strings. Unknown separator and encoding are detected.
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, multiline: bool | None = None, strip_header: bool = True, na_values: tuple[str, ...] = CSV_NA) -> DataFrame:
+    """CSV or delimited text with a header, all columns strings; ``na_values`` become null.
 
-    Files of several encodings under one path are united by column name. ``multiline`` keeps quoted
-    line breaks but reads each file in one task; turn it off for very large files without them.
+    Separator, encoding and quoted line breaks are found for each file unless given. Files of one
+    separator, encoding and header line are read together, and these tables united by column name.
+    A file is read by one task (``multiline``) only if a line of it holds an odd number of quotes.
     """
-    sep = sep or next(iter(_one(delimiters(spark, path), "delimiter")), ",")
-    by_encoding = {encoding: [path]} if encoding else _one(encodings(spark, path), "encoding") or {"utf-8": [path]}
+    heads = _delimiters(_head(spark, path, SAMPLE_LINES)).select(F.col("file").alias("f"), F.lit(sep).alias("sep") if sep else F.col("delimiter").alias("sep"), "header")
+    rows = _traits(spark, path).join(heads, F.col("file") == F.col("f")).orderBy("file").collect()  # a row for each file
+    groups: dict[tuple, list[str]] = {}
+    for r in rows:
+        groups.setdefault((r.sep, encoding or r.encoding, r.broken if multiline is None else multiline, r.header), []).append(r.file)
+    if not groups:
+        groups = {(sep or ",", encoding or "utf-8", False, ""): [path]}
     parts = []
-    for name, files in sorted(by_encoding.items()):
-        reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multiline)
-        reader = reader.option("ignoreLeadingWhiteSpace", sep != "," or False).option("encoding", "UTF-8" if name == "utf-8" else "ISO-8859-1")
+    for (own, name, broken, _), files in groups.items():
+        reader = spark.read.option("header", True).option("inferSchema", False).option("sep", own).option("quote", '"').option("escape", '"').option("multiLine", broken)
+        reader = reader.option("ignoreLeadingWhiteSpace", own != ",").option("encoding", "UTF-8" if name == "utf-8" else "ISO-8859-1")
         df = reader.csv(files)
         if name == "cp1252":
-            df = df.select(*[F.translate(F.col(f"`{c}`"), LATIN1, CP1252).alias(c.translate(str.maketrans(LATIN1, CP1252))) for c in df.columns])
+            df = df.select(*[F.translate(column(c), LATIN1, CP1252).alias(c.translate(str.maketrans(LATIN1, CP1252))) for c in df.columns])
         if strip_header:
-            df = df.toDF(*[c.strip().lstrip("﻿") for c in df.columns])
+            df = df.toDF(*[c.strip().lstrip(BOM) for c in df.columns])
         parts.append(df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _blank(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), na_values)
 
 
-def fixed_width_edges(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) -> list[tuple[int, int]]:
-    """(first character, length) of each column: runs of places that are not blank on every sampled line."""
-    cells = _head(spark, path, lines).select(F.posexplode(F.split("value", "")).alias("place", "c"))
-    used = [r.place for r in cells.groupBy("place").agg(F.every(F.trim("c") == "").alias("blank")).where(~F.col("blank")).orderBy("place").collect()]  # a row for each character of a line
+def _runs(lines: DataFrame) -> list[tuple[int, int]]:
+    """(first character, length) of runs of places that are not blank on every line."""
+    cells = lines.select(F.posexplode(F.split("value", "")).alias("place", "c"))
+    used = [r.place for r in cells.where(F.trim("c") != "").select("place").distinct().orderBy("place").collect()]  # a row for each character of a line
     edges: list[tuple[int, int]] = []
     for p in used:
         if edges and p == sum(edges[-1]):
@@ -98,55 +121,107 @@ def fixed_width_edges(spark: SparkSession, path: str, lines: int = SAMPLE_LINES)
     return edges
 
 
-def _with_header(lines: DataFrame, cells: list[Column], header: list[str]) -> DataFrame:
-    """Cells as columns, without lines that repeat the header."""
-    names = [h.strip() or f"column_{i}" for i, h in enumerate(header)]
-    rows = lines.select(*[F.btrim(c).alias(n) for c, n in zip(cells, names)])
-    same = reduce(lambda a, b: a & b, (F.col(f"`{n}`").eqNullSafe(F.lit(h.strip())) for n, h in zip(names, header)))
-    return rows.where(~same)
+def fixed_width_edges(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) -> list[tuple[int, int]]:
+    """(first character, length) of each column: runs of places that are not blank on every line.
+
+    The first ``lines`` lines of each file decide, unless a later line holds text between two of
+    their columns or before the first; then all lines decide, so that no text lies outside a column.
+    """
+    edges = _runs(_head(spark, path, lines))
+    gaps = [(0, edges[0][0])] if edges and edges[0][0] else []
+    gaps += [(sum(a), b[0] - sum(a)) for a, b in zip(edges, edges[1:])]
+    if gaps:
+        text = spark.read.text(path)
+        between = reduce(lambda a, b: a | b, (F.trim(F.substring("value", at + 1, n)) != "" for at, n in gaps))
+        if not text.where(between).isEmpty():
+            edges = _runs(text)
+    return edges
+
+
+def _body(spark: SparkSession, path: str) -> DataFrame:
+    """All lines but the first of each file, and no blank ones. The CSV source drops the header of each file, not its like."""
+    lines = spark.read.option("header", True).option("sep", "\x01").option("quote", "").schema("value string").csv(path)
+    return lines.where(F.length(F.trim("value")) > 0)
 
 
-def read_fixed_width(spark: SparkSession, path: str, edges: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Fixed-width text with a header line; column edges are inferred unless given."""
-    edges = edges or fixed_width_edges(spark, path)
-    head = _head(spark, path, 1).first()
-    header = [head.value[a : a + n] for a, n in edges]
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    widths = [(a, n) for a, n in edges[:-1]] + [(edges[-1][0], 1 << 20)]
-    return _with_header(lines, [F.substring("value", a + 1, n) for a, n in widths], header)
+def _cells(lines: DataFrame, cells: list[Column], header: list[str], na_values: tuple[str, ...]) -> DataFrame:
+    names = [h.strip().lstrip(BOM) or f"column_{i}" for i, h in enumerate(header)]
+    return _blank(lines.select(*[F.btrim(c).alias(n) for c, n in zip(cells, names)]), na_values)
+
 
+def read_fixed_width(spark: SparkSession, path: str, edges: list[tuple[int, int]] | None = None, na_values: tuple[str, ...] = CSV_NA) -> DataFrame:
+    """Fixed-width text whose files begin with a header line; column edges are inferred unless given.
 
-def read_blank_separated(spark: SparkSession, path: str) -> DataFrame:
-    """Columns parted by runs of white space, with a header line."""
-    head = _head(spark, path, 1).first()
+    A column reaches to the start of the next, the last one to the end of the line. An input without
+    lines gives no columns.
+    """
+    edges = edges or fixed_width_edges(spark, path)
+    head = _head(spark, path, 1).orderBy("file").first()
+    if head is None:
+        return spark.createDataFrame([], "value string").select()
+    starts = [a for a, _ in edges]
+    header = [head.value[a:b] for a, b in zip(starts, [*starts[1:], None])]
+    cells = [F.substring("value", a + 1, b - a) for a, b in zip(starts, starts[1:])] + [F.expr(f"substring(value, {starts[-1] + 1})")]
+    return _cells(_body(spark, path), cells, header, na_values)
+
+
+def read_blank_separated(spark: SparkSession, path: str, na_values: tuple[str, ...] = CSV_NA) -> DataFrame:
+    """Columns parted by runs of white space, with a header line in each file; an input without lines gives no columns."""
+    head = _head(spark, path, 1).orderBy("file").first()
+    if head is None:
+        return spark.createDataFrame([], "value string").select()
     header = head.value.split()
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parts = F.split(F.btrim("value"), r"\s+")
-    return _with_header(lines, [F.get(parts, F.lit(i)) for i in range(len(header))], header)
+    return _cells(_body(spark, path), [F.get(parts, F.lit(i)) for i in range(len(header))], header, na_values)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
     """Parquet with only the wanted columns and rows; both reach the scan."""
     df = spark.read.parquet(path)
     df = df.where(where) if where is not None else df
-    return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    return df.select(*[column(c) for c in columns]) if columns else df
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, length`` of all files below a path; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+
+
+def _begins_as_parquet(spark: SparkSession, file: str) -> bool:
+    """Whether the first four bytes say Parquet; four bytes are read through the file's own file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.read() & 0xFF for _ in range(4)) == b"PAR1"
+    finally:
+        stream.close()
 
 
 def source_inventory(spark: SparkSession, path: str) -> DataFrame:
     """``file, length, is_parquet, partition_columns`` of all files below a path.
 
-    Parquet is known by its first four bytes; partition columns by key=value folders.
+    The ending tells the format; of files with an unknown ending the first four bytes are looked at.
+    Partition columns come from key=value folders.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    magic = F.substring("content", 1, 4) == F.lit(b"PAR1")
-    return files.select(F.col("path").alias("file"), "length", magic.alias("is_parquet"), F.expr(r"regexp_extract_all(path, '([^/=]+)=[^/]*/', 1)").alias("partition_columns"))
+    files = _files(spark, path)
+    ending = lambda endings: reduce(lambda a, b: a | b, (F.lower("file").endswith(e) for e in endings))
+    unknown = files.where((F.col("length") >= 4) & ~ending(PARQUET_ENDINGS) & ~ending(OTHER_ENDINGS)).select("file").collect()  # the files to look into
+    found = [r.file for r in unknown if _begins_as_parquet(spark, r.file)]
+    by_look = spark.createDataFrame([(f,) for f in found], "known string")
+    marked = files.join(by_look, F.col("file") == F.col("known"), "left")
+    return marked.select("file", "length", (ending(PARQUET_ENDINGS) | F.col("known").isNotNull()).alias("is_parquet"), F.expr(r"regexp_extract_all(file, '([^/=]+)=[^/]*/', 1)").alias("partition_columns"))
 
 
 def is_parquet(spark: SparkSession, path: str) -> bool:
-    """Whether a path names Parquet: by its ending, else by the first bytes of its files."""
-    if path.rstrip("/").lower().endswith((".parquet", ".parq")):
-        return True
-    return not source_inventory(spark, path).where("is_parquet").isEmpty()
+    """Whether a path names Parquet: by its ending, by that of a file in it, else by the first bytes of its first file."""
+    name = path.rstrip("/").lower()
+    if name.endswith(PARQUET_ENDINGS) or name.endswith(OTHER_ENDINGS):
+        return name.endswith(PARQUET_ENDINGS)
+    files = _files(spark, path).where("length >= 4 and not endswith(file, '/_SUCCESS')")
+    first = files.orderBy("file").first()
+    if first is None:
+        return False
+    return first.file.lower().endswith(PARQUET_ENDINGS) or (not first.file.lower().endswith(OTHER_ENDINGS) and _begins_as_parquet(spark, first.file))
 
 
 def row_count(spark: SparkSession, path: str) -> int:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_name
+from ..functions.text import clean_name, column
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -13,16 +13,28 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_results(tables: dict[str, DataFrame], root: str, result_name: str, run_id: str) -> dict[str, str]:
+def result_path(spark: SparkSession, root: str, table: str, result_name: str, run_id: str) -> str:
+    """Where a result table of a run lies: ``root/table/run_id=.../result_name=...``."""
+    name = spark.range(1).select(clean_name(F.lit(result_name))).first()[0]
+    return f"{root}/{table}/run_id={run_id}/result_name={name}"
+
+
+def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One Parquet table that must not exist yet; sorted over all files by the columns of ``order`` that it has."""
+    by = [column(c) for c in order or [] if c in df.columns]
+    (df.orderBy(*by) if by else df).write.mode("errorifexists").parquet(path)
+
+
+def write_results(tables: dict[str, DataFrame], root: str, result_name: str, run_id: str, order: list[str] | None = None) -> dict[str, str]:
     """Every result table as Parquet under ``root/table/run_id=.../result_name=...``; {table: path}.
 
-    An empty result is an empty table. A run that exists already is refused.
+    An empty result is an empty table. A run that exists already is refused. ``DiffResult.write`` writes
+    the results of one pair and reads its aligned rows once.
     """
-    name = next(iter(tables.values())).sparkSession.range(1).select(clean_name(F.lit(result_name))).first()[0]
     paths = {}
     for table, df in tables.items():
-        paths[table] = f"{root}/{table}/run_id={run_id}/result_name={name}"
-        df.write.mode("errorifexists").parquet(paths[table])
+        paths[table] = result_path(df.sparkSession, root, table, result_name, run_id)
+        write_table(df, paths[table], order)
     return paths
 
 

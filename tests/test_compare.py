@@ -132,6 +132,34 @@ def test_hooks_and_switches(spark):
     assert {("mine", "DONE"), ("fails", "FAILED"), ("schema", "SKIPPED")} <= events
 
 
+def test_steps_are_done_when_they_say_so(spark, tmp_path):
+    """Tables are stored under the timer, and a hook whose job fails is a result of the run."""
+    result = pair(spark, "1,A|2,B", "1,B|2,B")
+    result.register_check("fails_in_its_job", lambda r: r.value_differences().selectExpr("raise_error('in the job')"))
+    tables = result.write(str(tmp_path / "out"), "r1", ordered=True)
+    events = {r.capability: r for r in result.audit().where("event <> 'START'").collect()}
+    assert events["fails_in_its_job"].event.startswith("FAILED") and "in the job" in events["fails_in_its_job"].event
+    assert events["comparison"].event == "DONE" and events["comparison"].elapsed > 0
+    assert tables["value_differences"].count() == 1 and "fails_in_its_job" not in tables
+    assert not result.aligned.is_cached
+    with pytest.raises(Exception, match="(?i)exist"):
+        pair(spark, "1,A", "1,A").write(str(tmp_path / "out"), "r1")
+
+
+def test_tolerance_can_be_switched_off_and_comes_from_rules(spark):
+    rule = spark.createDataFrame([("prod", "dev", "V", 1, None), ("prod", "dev", "gone", 1, None)], "prod_name string, dev_name string, field string, decimals int, reason string")
+    data = frame(spark, "1,1.04", "ID,V"), frame(spark, "1,1.01", "ID,V")
+    assert compare(*data, DiffConfig(keys=("ID",)), rule).value_differences().isEmpty()
+    assert compare(*data, DiffConfig(keys=("ID",), enabled=frozenset({"comparison"})), rule).value_differences().count() == 1
+    tables = compare(*data, DiffConfig(keys=("ID",), include_pass=False), rule).results()
+    assert {(r.field, r.reason) for r in tables["tolerance"].collect()} == {("V", None), ("gone", "absent from PROD")} and "pass_report" not in tables
+
+
+def test_hot_key_alignment(spark):
+    rows = "|".join(f"A,{i % 50}" for i in range(300)) + "|B,1"
+    assert counts(pair(spark, rows, rows, hot_rows=100)) == (301, 0, 0, 0)
+
+
 def test_one_exchange_for_each_side_and_no_python(spark):
     result = pair(spark, "1,A|2,B", "1,A|2,X")
     result.aligned  # noqa: B018  settles the sequence question

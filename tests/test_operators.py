@@ -23,6 +23,17 @@ def test_counted_sequence_equals_plain(spark):
     assert a == b
 
 
+def test_hot_keys_are_numbered_by_several_tasks(spark):
+    rows = [("hot", str(i % 7)) for i in range(400)] + [("hot", str(i)) for i in range(300)] + [("cold", "b"), ("cold", "a"), ("one", "z")]
+    df = canonical(spark.createDataFrame(rows, "k string, v string").repartition(5))
+    assert align.largest_group(df, ["k"]) == 700
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # tiny partitions stay apart
+    spread = align.with_sequence(df, ["k"], align.hot_keys(df, ["k"], 100))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(tuple(r) for r in spread.collect()) == sorted(tuple(r) for r in align.with_sequence(df, ["k"]).collect())
+    assert spread.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("1", "x"), ("2", ""), ("4", "x"), ("", "y")], "n string, t string")
     rows = {r.column: r for r in profile.profile(df).collect()}
@@ -64,6 +75,27 @@ def test_alert_issues(spark):
     assert [r.problem for r in rules.alert_issues(table).collect()] == ["unknown metric", "unknown operator", "threshold is not a number", "unknown level"]
 
 
+def test_unusable_alerts_never_fire(spark):
+    metrics = spark.createDataFrame([("extra_dev", 5.0)], "metric string, value double")
+    table = spark.createDataFrame([("extra_dev", ">", "x", "INFO", "a"), ("extra_dev", "=>", "1", None, "b"), ("extra_dev", None, None, None, "c"), ("extra_dev", ">", " 4 ", "odd", "d")], "metric string, operator string, threshold string, level string, message string")
+    assert {(r.message, r.threshold, r.level) for r in rules.alerts(metrics, table).collect()} == {("c", 0.0, "WARNING"), ("d", 4.0, "ODD")}
+
+
+def test_checks_that_are_off_are_not_computed(spark):
+    df = spark.createDataFrame([("1",), ("2",)], "a string")
+    plan = lambda checks: profile.profile(df, checks=frozenset(checks))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan({"null_rate"}).lower() and "rlike" not in plan({"null_rate"}).lower() and "Join" not in plan({"type_inference"})
+    (row,) = profile.profile(df, checks=frozenset({"type_inference"})).collect()
+    assert (row.numeric, row.distinct_count, row["mean"]) == (True, None, None)
+
+
+def test_partition_and_case_mismatches(spark):
+    a = spark.createDataFrame([], "k long, Name string, day string, hour string")
+    b = spark.createDataFrame([], "k long, name string, day string, hour string")
+    rows = {r.field: r.status for r in schema_diff.typed_schema_check(spark, a, b, ["k"], partitions=(["day", "hour"], ["day"])).collect()}
+    assert rows == {"k": "ok", "Name": "case differs", "name": "case differs", "day": "ok", "hour": "partition mismatch"}
+
+
 def test_typed_schema(spark):
     a = spark.createDataFrame([], "k long, same string, kind int, gone string")
     b = spark.createDataFrame([], "k long, same string, kind string, new string")

@@ -40,6 +40,57 @@ def test_fixed_width_and_blanks(spark, tmp_path):
     assert [tuple(r) for r in readers.read_any(spark, path, "blank").collect()] == [("1", "x"), ("2", "y")]
 
 
+def test_separators_of_one_folder(spark, tmp_path):
+    write(tmp_path / "in/a.txt", "id|v\n1|x;y\n")
+    write(tmp_path / "in/b.txt", "id;v\n2;b\n")
+    write(tmp_path / "in/c.txt", "v;id\nc;3\n")
+    assert {(r.id, r.v) for r in readers.read_delimited(spark, str(tmp_path / "in")).collect()} == {("1", "x;y"), ("2", "b"), ("3", "c")}
+
+
+def test_blank_cells(spark, tmp_path):
+    path = write(tmp_path / "x.csv", "ID,V\n1,N/A\n2,NULL\n3, NA\n4,x\n")
+    assert {r.ID: r.V for r in readers.read_any(spark, path).collect()} == {"1": None, "2": None, "3": " NA", "4": "x"}
+    other = write(tmp_path / "y.csv", "ID,V\n1,\n2,nan\n3, NA\n4,x\n")
+    result = compare(readers.read_any(spark, path), readers.read_any(spark, other), DiffConfig(keys=("ID",)))
+    assert result.value_differences().isEmpty()
+    assert {r.V for r in readers.read_delimited(spark, path, sep=",", na_values=()).collect()} >= {"N/A", "NULL"}
+
+
+def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
+    write(tmp_path / "in/a.csv", 'ID,V\n1,"two\nlines"\n')
+    write(tmp_path / "in/b.csv", 'ID,V\n2,"one ""line"""\n')
+    assert {r.file[-5:]: r.broken for r in readers._traits(spark, str(tmp_path / "in")).collect()} == {"a.csv": True, "b.csv": False}
+    assert {(r.ID, r.V) for r in readers.read_delimited(spark, str(tmp_path / "in"), sep=",").collect()} == {("1", "two\nlines"), ("2", 'one "line"')}
+
+
+def test_fixed_width_loses_nothing(spark, tmp_path):
+    head = "ID   Name      N\n"
+    lines = [f"{k:<5}{'n' + str(k):<10}{k}\n" for k in range(10, 99)]
+    late = "123456Long name 7\n" + "ID   Name      N\n" + "1    x         " + "9" * 40 + "\n"
+    path = write(tmp_path / "f.txt", head + "".join(lines * 2) + late)
+    rows = [tuple(r) for r in readers.read_any(spark, path, "fixed").collect()]
+    assert len(rows) == 178 + 3
+    assert "".join(rows[-3]).replace(" ", "") == "123456Longname7" and "".join(rows[-2]).replace(" ", "") == "IDNameN" and "".join(rows[-1]).replace(" ", "") == "1x" + "9" * 40
+    wider = write(tmp_path / "w.txt", head + "".join(lines * 2) + "1234 x         7\n")
+    assert readers.fixed_width_edges(spark, wider) == [(0, 4), (5, 4), (15, 2)]
+    assert tuple(readers.read_any(spark, wider, "fixed").collect()[-1]) == ("1234", "x", "7")
+
+
+def test_detection_reads_beginnings_only(spark, tmp_path):
+    write(tmp_path / "a/x", b"PAR1 and more")
+    write(tmp_path / "b/x", "ID,V\n1,A\n")
+    assert readers.is_parquet(spark, str(tmp_path / "a")) and not readers.is_parquet(spark, str(tmp_path / "b"))
+    assert not readers.is_parquet(spark, str(tmp_path / "no.csv"))  # its ending says so, nothing is opened
+    plan = readers._files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    head = readers._head(spark, str(tmp_path / "b"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in head
+    with pytest.raises(Exception, match="(?i)exist"):
+        readers.read_any(spark, str(tmp_path / "absent"))
+    write(tmp_path / "e/x.txt", "")
+    assert readers.read_any(spark, str(tmp_path / "e/x.txt"), "fixed").columns == [] and readers.read_any(spark, str(tmp_path / "e/x.txt"), "blank").columns == []
+
+
 def test_inventory_and_mixed_formats(spark, tmp_path):
     df = spark.createDataFrame([("1", "A", "2020"), ("2", "B", "2021")], "ID string, V string, year string")
     df.write.partitionBy("year").parquet(str(tmp_path / "t/p"))
