@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,9 +83,10 @@ def with_counted_sequence(df: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.select(*[column(c) for c in columns], places)
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the most frequent key (0 for an empty table)."""
-    return duplicate_groups(df, keys).agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first().n
+def largest_groups(tables: list[DataFrame], keys: list[str]) -> list[int]:
+    """Rows of the most frequent repeated key of each table, 0 if none repeats; one action for all."""
+    sizes = [duplicate_groups(df, keys).agg(F.lit(i).alias("table"), F.coalesce(F.max("count"), F.lit(0)).alias("n")) for i, df in enumerate(tables)]
+    return [r.n for r in sorted(reduce(DataFrame.unionByName, sizes).collect(), key=lambda r: r.table)]  # a row for each table
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows: int = HOT_ROWS) -> DataFrame:

@@ -71,9 +71,9 @@ class DiffResult:
         self._hooks: dict[str, Hook] = {}
 
     @cached_property
-    def largest(self) -> tuple[int, int]:
-        """Rows of the most frequent repeated key of each side, 0 if none repeats (an action each)."""
-        return tuple(A.largest_group(df, self.keys) if self.keys else 0 for df in (self.prod, self.dev))
+    def largest(self) -> list[int]:
+        """Rows of the most frequent repeated key of each side, 0 if none repeats (one action)."""
+        return A.largest_groups([self.prod, self.dev], self.keys) if self.keys else [0, 0]
 
     @property
     def using_sequence(self) -> bool:
