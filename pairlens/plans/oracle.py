@@ -134,7 +134,7 @@ SQL = {
     "schema_items": f"{ORDERS} SELECT side, field AS fields, CAST(0 AS INT) AS more FROM fields",
     "schema_audit": """WITH p AS (SELECT * FROM orders WHERE o_orderkey % 97 <> 0), d AS (SELECT * FROM orders WHERE o_orderkey % 89 <> 0), n AS (SELECT (SELECT count(*) FROM p) AS a, (SELECT count(*) FROM d) AS b)
       SELECT field, pt AS prod_type, dt AS dev_type, status, CAST(CASE k WHEN 2 THEN a + b WHEN 1 THEN a WHEN 0 THEN b ELSE 0 END AS BIGINT) AS filled FROM n, (VALUES
-      ('o_orderkey', 'int64', 'int64', 'ok', 2), ('o_custkey', 'int64', 'string', 'type mismatch', 2), ('o_orderstatus', 'string', 'string', 'ok', 2), ('o_totalprice', 'decimal(18,4)', 'decimal(18,4)', 'ok', 2),
+      ('o_orderkey', 'int64', 'int64', 'ok', 2), ('o_custkey', 'int64', 'string', 'type mismatch', 2), ('o_orderstatus', 'string', 'string', 'partition mismatch', 2), ('o_totalprice', 'decimal(18,4)', 'decimal(18,4)', 'ok', 2),
       ('o_orderdate', 'timestamp', 'timestamp', 'ok', 2), ('o_orderpriority', 'string', NULL, 'missing', 1), ('o_priority', NULL, 'string', 'extra', 0), ('o_missing', NULL, NULL, 'missing key', -1)) AS v(field, pt, dt, status, k)""",
     "null_rates": f'{_CUSTOMER_PROFILE} SELECT side, "column", null_rate FROM pr',
     "distinct_counts": f'{_PART_PROFILE} SELECT side, "column", distinct_count FROM pr',

@@ -104,10 +104,10 @@ def schema_items(spark, sf_dir):
 
 
 def schema_audit(spark, sf_dir):
-    """Typed schemas of the orders pair, with the number of cells that are not null on either side."""
+    """Typed schemas of the orders pair, PROD partitioned by status, with the number of cells that are not null on either side."""
     prod, dev = synth.orders_pair(spark, sf_dir)
     dev = dev.withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    check = schema_diff.typed_schema_check(spark, prod, dev, ["o_orderkey", "o_missing"])
+    check = schema_diff.typed_schema_check(spark, prod, dev, ["o_orderkey", "o_missing"], partitions=(["o_orderstatus"], []))
     filled = union_all([df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), column(c).isNotNull().cast("int").alias("full")) for c in df.columns]))) for df in (prod, dev)])
     counts = filled.groupBy("name").agg(F.sum("full").alias("filled"))
     types = {"bigint": "int64", "decimal(18,4)": "decimal(18,4)", "string": "text", "timestamp": "timestamp"}
