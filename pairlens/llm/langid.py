@@ -5,8 +5,9 @@ with each dictionary; the language that makes it smallest wins. A text whose bes
 size hardly differ is rejected. Before either step a text is lower-cased and every run of other
 characters than letters becomes one space, so that capitals, markup and punctuation do not decide.
 
-Training: the rows with a label are put in the order of a seeded hash of their text and the first
-ones of a language are taken until its dictionary holds ``dict_bytes``; of a training text longer than
+Training: the distinct texts of a label are put in the order of a seeded hash and the first ones
+are taken until its dictionary holds ``dict_bytes``, so copies of a text do not fill it, however many
+there are; of a training text longer than
 ``dict_bytes // 8`` one piece of that length is taken, at a hashed place, so that one text cannot be
 the dictionary and every label has one. This bounded sample is the only thing sent to the driver: at
 most ``dict_bytes`` for each distinct label.
@@ -22,6 +23,7 @@ text counts, and the margin between two languages does not shrink with its lengt
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,26 +54,38 @@ def plain(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).strip().encode()
 
 
+_SAMPLE = "lang string, rank long, text string, n long"
+
+
 def _sampler(dict_bytes: int):
-    """Per task, keep for each language the first texts in hash order that fill a dictionary."""
+    """Per task, keep for each language the first distinct texts in hash order that fill a dictionary; one row of it carries the sum of ``n``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list] = {}
-        held: dict[str, int] = {}
+        held: Counter[str] = Counter()
+        seen: set[tuple[str, int, str]] = set()
+        total: Counter[str] = Counter()
         for batch in batches:
-            for lang, rank, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                size = len(text.encode())
+            texts = batch.column(2)
+            for i, (lang, rank, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)))):
+                total[lang] += n
                 heap = kept.setdefault(lang, [])
+                if held[lang] >= dict_bytes and rank > -heap[0][0]:
+                    continue  # behind a full dictionary
+                text = texts[i].as_py()
+                if (lang, rank, text) in seen:
+                    continue
+                seen.add((lang, rank, text))
                 heapq.heappush(heap, (-rank, text))
-                held[lang] = held.get(lang, 0) + size
+                held[lang] += len(text.encode())
                 while held[lang] - len(heap[0][1].encode()) >= dict_bytes:
-                    held[lang] -= len(heapq.heappop(heap)[1].encode())
-        rows = [(lang, -rank, text) for lang, heap in kept.items() for rank, text in heap]
+                    back, gone = heapq.heappop(heap)
+                    seen.discard((lang, -back, gone))
+                    held[lang] -= len(gone.encode())
+        rows = [(lang, -rank, text, 0 if i else total[lang]) for lang, heap in kept.items() for i, (rank, text) in enumerate(heap)]
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())],
-                names=["lang", "rank", "text"],
-            )
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=["lang", "rank", "text", "n"])
 
     return run
 
@@ -83,13 +97,18 @@ def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text",
     # a piece of a long text, cut by characters; at four bytes each it stays below `most` bytes
     place = F.pmod(rank, F.greatest(F.char_length(own) - most // 4, F.lit(0)) + 1).cast("int") + 1
     piece = F.when(F.octet_length(own) <= most, own).otherwise(F.substring(own, place, F.lit(most // 4)))
-    rows = labelled.select(col(lang).cast("string").alias("lang"), rank.alias("rank"), piece.alias("text")).where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    schema = "lang string, rank long, text string"
-    few = rows.mapInArrow(_sampler(dict_bytes), schema).repartition(F.col("lang")).mapInArrow(_sampler(dict_bytes), schema)
+    rows = labelled.select(col(lang).cast("string").alias("lang"), rank.alias("rank"), piece.alias("text"), F.lit(1).cast("long").alias("n"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    few = rows.mapInArrow(_sampler(dict_bytes), _SAMPLE)
+    # the samples of very many tasks are merged by several tasks for each language, then by one
+    for by in (["lang", F.pmod("rank", F.lit(64))], ["lang"]):
+        few = few.repartition(*by).mapInArrow(_sampler(dict_bytes), _SAMPLE)
     found: dict[str, list] = {}
+    total: Counter[str] = Counter()
     for row in few.collect():  # at most dict_bytes and one text more for each language
         found.setdefault(row.lang, []).append((row.rank, row.text))
-    order = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]  # a row for each label
+        total[row.lang] += row.n
+    order = sorted(total, key=lambda k: (-total[k], k))
     return {k: b"\n".join(plain(t) for _, t in sorted(found[k], reverse=True))[-dict_bytes:] for k in order}
 
 

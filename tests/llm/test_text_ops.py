@@ -124,6 +124,17 @@ def test_language_of_long_texts_only(spark):
     assert {r.doc_id: r.lang_pred for r in langid.identify(probe, model).collect()} == {1: "hi", 2: "en"}
 
 
+def test_copies_do_not_fill_a_dictionary(spark):
+    """Many copies of one text are one training text, wherever its hash puts it; labels are still ordered by rows."""
+    texts = [f"text number {k} of " + " ".join(f"w{k}x{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(200)) for k in range(6)]
+    for copied in texts:
+        rows = [(t, "aa") for t in texts for _ in range(200 if t == copied else 1)] + [("andere sprache hier", "bb")] * 100
+        docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+        model = langid.train(docs, dict_bytes=16 << 10)
+        assert list(model) == ["aa", "bb"] and model["bb"] == b"andere sprache hier"
+        assert sorted(model["aa"].split(b"\n")) == sorted(langid.plain(t) for t in texts)
+
+
 def test_language_id_of_odd_rows(spark, odd_docs):
     model = langid.train(odd_docs)
     assert set(model) == {"en", "de"}
