@@ -10,7 +10,7 @@ bounded by the distinct keys of all chunks, which grow with the input and are wh
 would move as rows. Small slices are stored without a compressor's frame.
 
 Where a key of 64 bits is not enough, its other half is sent as the first value, and equal keys are
-those that agree in both halves (``paired``).
+those that agree in both halves (buckets that are ``paired``).
 """
 
 from __future__ import annotations
@@ -140,11 +140,11 @@ def numbered(keys: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndar
     return inverse, int(new.sum())
 
 
-def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], width: int, paired: bool = False) -> DataFrame:
+def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], paired: Callable[[int], bool] = lambda bucket: False) -> DataFrame:
     """One result row for each slice.
 
     ``combine(bucket, inverse, values, n)`` gets, of all entries of a bucket, the number of the
-    distinct key (0 .. n - 1) and the values (entries x width), and returns a value for each entry
+    distinct key (0 .. n - 1) and the values (entries x their number), and returns a value for each entry
     (entries x m int64) and the bucket's statistics, which one row of the bucket carries.
     """
 
@@ -152,10 +152,10 @@ def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int
         table = table.combine_chunks()
         owners, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
         keys = [unpack_sorted(_expand(k.as_py())) for k in table.column("keys")]
-        values = [np.frombuffer(_expand(v.as_py()), np.int64).reshape(width, -1).T for v in table.column("values")]
-        entries = np.concatenate(values)
-        inverse, n = numbered(np.concatenate(keys), entries[:, 0] if paired else None)
-        out, stats = combine(bucket, inverse, entries[:, int(paired) :], n)
+        values = [np.frombuffer(_expand(v.as_py()), np.int64).reshape(-1, len(k)).T for k, v in zip(keys, table.column("values"))]
+        entries, halves = np.concatenate(values), paired(bucket)
+        inverse, n = numbered(np.concatenate(keys), entries[:, 0] if halves else None)
+        out, stats = combine(bucket, inverse, entries[:, int(halves) :], n)
         at = np.cumsum([0, *map(len, keys)])
         blobs = [_squeeze(np.ascontiguousarray(out[a:b].T).tobytes()) for a, b in zip(at[:-1], at[1:])]
         return pa.table({

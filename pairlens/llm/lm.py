@@ -142,7 +142,7 @@ def score(docs: DataFrame, text: str, train, held, keep: list[str]) -> DataFrame
     )
     chunks = chunked(plain, "text", apart="held")
     bits = bucket_bits(chunks)
-    results = cut(reduced(send(chunks, _Sender(bits)), _sum_counts(bits), 2))
+    results = cut(reduced(send(chunks, _Sender(bits)), _sum_counts(bits)))
     totals = results.where(F.col("stats").isNotNull()).agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)).alias(c) for k, c in enumerate(("v", "na", "n"))]).first()
     rows = plain.agg(F.count_if("counted").alias("a"), F.count_if("held").alias("b")).first()
     v, n_a, n = int(totals.v), int(totals.na), int(totals.n)

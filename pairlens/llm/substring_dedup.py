@@ -7,13 +7,17 @@ depends on: wherever those words recur, the same symbol recurs (its "interior" p
 
 Spark round 1 (reveal): of the symbols after ``rounds`` rounds, those whose span fits in a window are
 keyed by name and span content, and the keys of all documents are compared; a key of one document
-only cannot lie in a repeat. Spark round 2 (verify): windows that hold a shared symbol, and those
-that hold no complete one at all, are compared by all their words; each learns the smallest document
-with that window. Words covered by a window that begins in a smaller document go.
-
-Words are named by 64 bits, windows compared by two independent 64-bit hashes of all their words. Both
-rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a passage in a third of
-all documents is one entry a chunk.
+only cannot lie in a repeat. Of the high-level symbols, after ``high_rounds`` rounds, those whose span
+holds a window are compared by all words of the span; each learns the smallest document with it.
+Where that is another, all windows of the span are repeats at once. Spark round 2 (verify): of the
+other windows, those that hold a shared symbol, and those that hold no complete one at all, are
+compared by all their words; each learns the smallest document with that window. (The smallest
+document that holds a window never leaves it out: a span that decides it lies in a smaller one.)
+Words covered by a window that begins in a smaller document go.
+
+Words are named by 64 bits; windows and spans are compared by two independent 64-bit hashes of all
+their words. Both rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a
+passage in a third of all documents is one entry a chunk.
 
 Defined results: null and empty texts have no words; a null id counts as larger than all others;
 rows of one id never remove each other's words, though rows of smaller id do; documents of any
@@ -37,6 +41,7 @@ from .exchange import aligned, bucket_bits, chunked, numbered, receive, reduced,
 
 _U = np.uint64
 LARGEST = 2**63 - 1
+LOW, HIGH, WINDOW = 0, 1, 2  # streams of keys
 
 
 class Symbols:
@@ -92,8 +97,7 @@ class Symbols:
         self.name, self.doc, self.low, self.high = name, self.doc[at], low, high
 
 
-_STEP = 0x9FB21C651E98DF25
-_BACK = pow(_STEP, -1, 1 << 64)
+_STEP, _OTHER_STEP = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -102,10 +106,31 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(steps, dtype=np.uint64)
 
 
+class _Contents:
+    """Hashes of the words of any spans."""
+
+    def __init__(self, names: np.ndarray, step: int):
+        self.sums = np.zeros(len(names) + 1, np.uint64)
+        np.cumsum(names * _powers(step, len(names)), out=self.sums[1:])
+        self.back = _powers(pow(step, -1, 1 << 64), len(names) + 1)
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (self.sums[high] - self.sums[low]) * self.back[low]
+
+
+def _distinct(names: np.ndarray, others: np.ndarray, ids: np.ndarray):
+    """Distinct keys of two halves in order, the key number of each entry, and (other half, smallest id) of each key."""
+    of, n = numbered(names, others)
+    keys, other, lowest = np.empty(n, np.uint64), np.empty(n, np.int64), np.full(n, LARGEST)
+    keys[of], other[of] = names, others
+    np.minimum.at(lowest, of, ids)
+    return keys, of, np.stack([other, lowest], axis=1)
+
+
 class Chunk:
     """Words, windows and complete symbols of a chunk of documents."""
 
-    def __init__(self, docs: pa.RecordBatch, width: int, rounds: int):
+    def __init__(self, docs: pa.RecordBatch, width: int, rounds: int, high_rounds: int):
         data, at = text_buffers(docs.column(docs.schema.get_field_index("text")))
         starts, ends, self.at = word_spans(data, at, WHITE)
         self.names = word_names(data, starts, ends)
@@ -117,22 +142,42 @@ class Chunk:
         # starts of whole windows
         begins = np.arange(n) + width <= self.at[1:][self.doc] if n else np.zeros(0, bool)
         self.windows = begins
+        content = _Contents(self.names, _STEP)
         s = Symbols(self.names, self.doc)
-        for k in range(rounds):
+        self._rounds(s, 0, rounds)
+        low, high, doc_low, doc_high, self.keys = self._complete(s, content)
+        # windows [first, last] that hold the whole span
+        self.first, self.last = np.maximum(high - width, doc_low), np.minimum(low, doc_high - width)
+        fits = (high - low <= width) & (self.last >= self.first)
+        self.keys, self.first, self.last = self.keys[fits], self.first[fits], self.last[fits]
+        self._rounds(s, rounds, high_rounds)
+        low, high, _, _, keys = self._complete(s, content)
+        long = high - low >= width
+        self.low, self.high = low[long], high[long]
+        other = mix(_Contents(mix(self.names), _OTHER_STEP).of(self.low, self.high)).view(np.int64)
+        self.spans = _distinct(keys[long], other, self.id_of[self.low])
+
+    @staticmethod
+    def _rounds(s: Symbols, first: int, end: int) -> None:
+        for k in range(first, end):
             s.runs()
             s.pairs(2 * k + 1)
+
+    def _complete(self, s: Symbols, content: _Contents):
+        """Spans of the symbols that depend on their own document only, its bounds, and keys of name and words."""
         doc_low, doc_high = self.at[:-1][s.doc], self.at[1:][s.doc]
-        whole = (s.low >= doc_low) & (s.high <= doc_high) & (s.high - s.low <= width)
-        self.low, self.high, doc_low, doc_high = s.low[whole], s.high[whole], doc_low[whole], doc_high[whole]
-        # windows [first, last] that hold the whole span
-        self.first = np.maximum(self.high - width, doc_low)
-        self.last = np.minimum(self.low, doc_high - width)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.names * _powers(_STEP, n), out=sums[1:])
-        content = (sums[self.high] - sums[self.low]) * _powers(_BACK, n + 1)[self.low]
-        self.keys = mix(content + s.name[whole] * _U(0xA24BAED4963EE407) + (self.high - self.low).astype(np.uint64))
-        fits = self.last >= self.first
-        self.keys, self.first, self.last = self.keys[fits], self.first[fits], self.last[fits]
+        own = (s.low >= doc_low) & (s.high <= doc_high)
+        low, high = s.low[own], s.high[own]
+        keys = mix(content.of(low, high) + s.name[own] * _U(0xA24BAED4963EE407) + (high - low).astype(np.uint64))
+        return low, high, doc_low[own], doc_high[own], keys
+
+    def decided(self, smallest: np.ndarray) -> np.ndarray:
+        """Window starts within spans that a smaller document holds, given the smallest of each distinct span."""
+        gone = self.id_of[self.low] > smallest[self.spans[1]]
+        edge = np.zeros(len(self.names) + 1, np.int64)
+        np.add.at(edge, self.low[gone], 1)
+        np.add.at(edge, self.high[gone] - self.width + 1, -1)
+        return np.cumsum(edge[:-1]) > 0
 
     def over(self, chosen: np.ndarray) -> np.ndarray:
         """Window starts that hold one of the chosen symbols."""
@@ -150,18 +195,15 @@ class Chunk:
         np.maximum.at(highest, of, owner)
         return keys, of, (lowest != highest).astype(np.int64)[:, None]
 
-    def candidates(self, shared: np.ndarray):
+    def candidates(self, shared: np.ndarray, decided: np.ndarray):
         """Distinct candidate windows, their occurrences, key numbers, and (other half of the key, smallest id in this chunk)."""
         held = self.over(np.ones(len(self.first), bool))
-        at = np.flatnonzero(self.windows & (self.over(shared) | ~held))
+        at = np.flatnonzero(self.windows & ~decided & (self.over(shared) | ~held))
         none = np.zeros(0, np.uint64)
         names = window_names(self.names, self.width)[at] if len(at) else none
         others = other_window_names(self.names, self.width)[at].view(np.int64) if len(at) else none.view(np.int64)
-        of, n = numbered(names, others)
-        keys, other, lowest = np.empty(n, np.uint64), np.empty(n, np.int64), np.full(n, LARGEST)
-        keys[of], other[of] = names, others
-        np.minimum.at(lowest, of, self.id_of[at])
-        return keys, at, of, np.stack([other, lowest], axis=1)
+        keys, of, values = _distinct(names, others, self.id_of[at])
+        return keys, at, of, values
 
 
 def _shared(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
@@ -175,7 +217,7 @@ def _smallest(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
     return (values[:, 0] - lowest[of])[:, None], [0.0]  # mostly 0, so it packs well
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 13, rounds: int = 2, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 13, rounds: int = 2, high_rounds: int = 8, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the text) plus n_words, n_removed and kept_text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"k{i}" for i in range(len(keep))]
@@ -184,27 +226,35 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     bits = bucket_bits(chunks)
 
     def reveal(number: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, _, several = Chunk(part, width, rounds).symbols()
-        yield slices(number, 0, keys, several, bits)
+        chunk = Chunk(part, width, rounds, high_rounds)
+        keys, _, several = chunk.symbols()
+        yield slices(number, LOW, keys, several, bits)
+        keys, _, values = chunk.spans
+        yield slices(number, HIGH, keys, values, bits)
+
+    def revealed_by(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
+        return (_smallest if bucket >> bits == HIGH else _shared)(bucket, of, values, n)
+
+    def open_windows(part: pa.RecordBatch, found: dict):
+        """The chunk, its windows that high-level symbols decide, and the candidates among the others."""
+        chunk = Chunk(part, width, rounds, high_rounds)
+        keys, of, _ = chunk.symbols()
+        shared = aligned(found, LOW, keys, bits, 1)[of, 0] > 0
+        keys, _, values = chunk.spans
+        decided = chunk.decided(values[:, 1] - aligned(found, HIGH, keys, bits, 1)[:, 0])
+        return chunk, decided, chunk.candidates(shared, decided)
 
     def verify(number: int, part: pa.RecordBatch, found: dict) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(part, width, rounds)
-        keys, of, _ = chunk.symbols()
-        shared = aligned(found, 0, keys, bits, 1)[of, 0] > 0
-        keys, _, _, values = chunk.candidates(shared)
-        yield slices(number, 0, keys, values, bits)
+        _, _, (keys, _, _, values) = open_windows(part, found)
+        yield slices(number, WINDOW, keys, values, bits)
 
     schema = T.StructType([*plain.select(*inner).schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
 
     def finish(number: int, part: pa.RecordBatch, found: dict) -> Iterator[pa.RecordBatch]:
-        shared_found = {b: v for b, v in found.items() if b >= 0}
-        window_found = {-1 - b: v for b, v in found.items() if b < 0}
-        chunk = Chunk(part, width, rounds)
-        keys, of, _ = chunk.symbols()
-        shared = aligned(shared_found, 0, keys, bits, 1)[of, 0] > 0
-        keys, at, of, values = chunk.candidates(shared)
-        lowest = values[:, 1] - aligned(window_found, 0, keys, bits, 1)[:, 0]
-        at = at[chunk.id_of[at] > lowest[of]]
+        chunk, decided, (keys, at, of, values) = open_windows(part, found)
+        lowest = values[:, 1] - aligned(found, WINDOW, keys, bits, 1)[:, 0]
+        decided[at[chunk.id_of[at] > lowest[of]]] = True
+        at = np.flatnonzero(decided)
         edge = np.zeros(len(chunk.names) + 1, np.int64)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + width, -1)
@@ -218,10 +268,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             kept.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in inner] + [pa.array(np.diff(chunk.at)), pa.array(removed), pa.array(kept, pa.string())], names=schema.names)
 
-    revealed = cut(reduced(send(chunks, reveal), _shared, 1))
+    revealed = cut(reduced(send(chunks, reveal), revealed_by, paired=lambda bucket: bucket >> bits == HIGH))
     candidates = receive(chunks, revealed, verify, "bucket int, chunk long, keys binary, values binary")
-    smallest = reduced(candidates, _smallest, 2, paired=True)
-    both = revealed.unionByName(smallest.withColumn("bucket", -1 - F.col("bucket")))
-    out = receive(chunks, both, finish, schema)
+    smallest = reduced(candidates, _smallest, paired=lambda bucket: True)
+    out = receive(chunks, revealed.unionByName(smallest), finish, schema)
     added = ["n_words", "n_removed", "kept_text"]
     return out.select(*[F.col(i).alias(c) for i, c in zip(inner, apart(keep, added))], *added)

@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import brute_components, brute_lines, brute_repeats
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from hypothesis import strategies as st
 
 from pairlens.llm import line_dedup, near_dedup, substring_dedup
 from pairlens.llm.components import components
-from pairlens.llm.substring_dedup import Symbols
+from pairlens.llm.substring_dedup import Chunk, Symbols
 
 def rows_of(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
@@ -57,6 +58,36 @@ def test_random_repeats(spark):
     assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == expected
 
 
+def long_passages(seed: int, vocabulary: int) -> list[tuple[int | None, str]]:
+    rng = np.random.default_rng(seed)
+    words = lambda n: " ".join(map(str, rng.integers(0, vocabulary, n)))
+    base = [words(n) for n in (60, 150, 400, 900)]
+    rows = []
+    for i in range(50):
+        parts = [base[rng.integers(4)].split()[rng.integers(40) :] for _ in range(2)]
+        rows.append((None if i % 17 == 3 else i // 2, " ".join([words(rng.integers(20)), *parts[0], words(rng.integers(20)), *parts[1]])))
+    return rows + [(100, base[2]), (101, base[2]), (102, " ".join(["a"] * 300)), (103, " ".join(["a"] * 500))]
+
+
+@pytest.mark.parametrize("vocabulary", [2, 5000])
+def test_long_repeats(spark, vocabulary):
+    rows = long_passages(8, vocabulary)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_repeats(rows)
+
+
+def test_high_level_symbols_decide_most_of_a_long_copy():
+    texts = [t for _, t in long_passages(9, 5000)[-4:-2]]
+    chunk = Chunk(pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "text": texts}), 13, 2, 8)
+    keys, of, values = chunk.spans
+    assert len(keys) < len(of) and set(values[:, 1]) == {1}
+    decided = chunk.decided(values[:, 1])
+    middle = chunk.at[1] // 2
+    assert not decided[: chunk.at[1]].any() and decided[chunk.at[1] :].sum() > middle
+    left = chunk.candidates(np.ones(len(chunk.keys), bool), decided)[1]
+    assert not set(left) & set(np.flatnonzero(decided)) and set(left) | set(np.flatnonzero(decided)) == set(np.flatnonzero(chunk.windows))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=3, max_size=25), st.lists(st.integers(0, 2), max_size=12), st.lists(st.integers(0, 2), max_size=12), st.lists(st.integers(0, 2), max_size=12))
 def test_symbols_of_a_passage_recur(passage, before, left, after):
