@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontaminate, langid, line_dedup, lm, near_dedup, packing, sharding, substring_dedup, warc
+from . import audio, decontaminate, langid, line_dedup, lm, merkle, near_dedup, packing, sharding, simhash, substring_dedup, warc, whitening
 from .common import crc32_mod, cut, shared_path
 
 
@@ -228,6 +228,81 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _merkle_levels(nodes: str, tag: str, levels: int = 6) -> str:
+    """CTEs of a tree over ``nodes`` (tree, idx, n, hash): ``{tag}r0``.. with runs, ``{tag}n1``.. with nodes, and ``{tag}ends`` with roots.
+
+    Unrolled for trees of at most 16 ** levels leaves.
+    """
+    out, now = [], nodes
+    for k in range(levels):
+        out.append(f"{tag}r{k} AS (SELECT tree, idx // 16 AS up, max(n) AS n, list(hash ORDER BY idx) AS run FROM {now} WHERE n > 1 GROUP BY tree, idx // 16)")
+        out.append(f"{tag}n{k + 1} AS (SELECT tree, up AS idx, CAST(ceil(n / 16) AS BIGINT) AS n, sha256(array_to_string(run, '')) AS hash FROM {tag}r{k})")
+        now = f"{tag}n{k + 1}"
+    ends = " UNION ALL ".join(f"SELECT tree, hash FROM {x} WHERE n = 1" for x in [nodes, *[f"{tag}n{k + 1}" for k in range(levels)]])
+    return ", ".join([*out, f"{tag}ends AS ({ends})"])
+
+
+def _merkle_path(rows: str, tag: str, levels: int = 6) -> str:
+    """CTEs that lead ``rows`` (doc_id, tree, idx, folded, proof) up a tree, ending in ``{tag}p{levels}``."""
+    out, now = [], rows
+    for k in range(levels):
+        slot = "CAST(p.at % 16 AS BIGINT)"
+        out.append(f"""{tag}p{k} AS (SELECT p.doc_id, p.tree, p.at // 16 AS at,
+  CASE WHEN r.run IS NULL THEN folded ELSE sha256(array_to_string(r.run[:{slot}], '') || folded || array_to_string(r.run[{slot} + 2:], '')) END AS folded,
+  CASE WHEN r.run IS NULL THEN proof ELSE proof || array_to_string(r.run[:{slot}], '') || array_to_string(r.run[{slot} + 2:], '') END AS proof
+  FROM {now} p LEFT JOIN {tag}r{k} r ON p.tree = r.tree AND p.at // 16 = r.up)""")
+        now = f"{tag}p{k}"
+    return ", ".join(out)
+
+
+_LEAF = lambda text: "sha256(" + " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS source, {_LEAF('text')} AS leaf, {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS altered FROM documents
+), s AS (
+  SELECT source, count(*) AS n, CAST(row_number() OVER (ORDER BY encode(source)) - 1 AS BIGINT) AS tree FROM d GROUP BY source
+), leaves AS (
+  SELECT doc_id, s.tree, s.n, CAST(row_number() OVER (PARTITION BY s.tree ORDER BY doc_id) - 1 AS BIGINT) AS idx, leaf, altered FROM d JOIN s ON d.source = s.source
+), l0 AS (SELECT tree, idx, n, leaf AS hash FROM leaves), {_merkle_levels('l0', 'a')},
+t0 AS (SELECT CAST(0 AS BIGINT) AS tree, tree AS idx, (SELECT count(*) FROM s) AS n, hash FROM aends), {_merkle_levels('t0', 't')},
+q0 AS (SELECT doc_id, tree, idx AS at, leaf AS folded, '' AS proof FROM leaves), {_merkle_path('q0', 'a')},
+q1 AS (SELECT doc_id, CAST(0 AS BIGINT) AS tree, tree AS at, folded, proof FROM ap5), {_merkle_path('q1', 't')}
+"""
+# the altered leaves go the same way, along the original siblings
+OP11_SQL = OP11_SQL + f""", b0 AS (SELECT doc_id, tree, idx AS at, altered AS folded, '' AS proof FROM leaves), {_merkle_path('b0', 'a').replace('ap', 'bp')},
+b1 AS (SELECT doc_id, CAST(0 AS BIGINT) AS tree, tree AS at, folded, proof FROM bp5), {_merkle_path('b1', 't').replace('tp', 'cp')},
+crc_table AS (SELECT i, list_reduce([i] || range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(i)), crc_list AS (SELECT list(c ORDER BY i) AS t FROM crc_table),
+tampered AS (SELECT doc_id, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8))) % 5 = 0 AS yes FROM d, crc_list)
+SELECT l.doc_id, l.leaf, e.hash AS subroot, r.hash AS root, sha256(o.proof) AS proof_sha256, CASE WHEN w.yes THEN b.folded ELSE o.folded END AS folded_root,
+  CASE WHEN w.yes THEN b.folded ELSE o.folded END = r.hash AS verified
+FROM leaves l JOIN aends e ON l.tree = e.tree, tends r, tp5 o, cp5 b, tampered w WHERE o.doc_id = l.doc_id AND b.doc_id = l.doc_id AND w.doc_id = l.doc_id
+"""
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, and which of them hold after every fifth text is tampered with."""
+    docs = _documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text")
+    columns = docs.columns
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(crc32_mod("doc_id", 5) == 0, merkle.leaf_of([lowered if c == "text" else F.col(c) for c in columns]))
+    out = merkle.build(docs.withColumn("altered", altered), columns, "source", "doc_id", keep=["doc_id", "altered"]).proofs()
+    folded = out.withColumn("folded_root", merkle.fold(F.coalesce("altered", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under fingerprints that differ in three bits or fewer."""
+    return simhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"), most=3, width=3)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 16 whitened components of every embedding, fitted on the distinct ones."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    out = whitening.whitened(rows, "embedding", keep=["vec_id"], components=16)
+    return out.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -240,6 +315,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_warc": op10_warc,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_simhash_near_dedup": op12_simhash_near_dedup,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
@@ -250,4 +328,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": OP5_SQL,
         "op7_substring_dedup": OP7_SQL,
         "op10_warc": OP10_SQL,
+        "op11_merkle_manifest": OP11_SQL,
     }
