@@ -238,6 +238,22 @@ def test_word_encoder_equals_the_tokenizer(documents):
     assert encoder.encode(texts) == whole.encode(texts)
 
 
+def test_word_encoder_on_every_code_point():
+    """Each code point after a letter and alone, before punctuation, and random mixes with marks and apostrophes."""
+    path = queries.word_tokenizer()
+    encoder, whole = packing.WordEncoder(path), packing.TextEncoder(path)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}! {c}." for c in points[k : k + 400]) for k in range(0, len(points), 400)]
+    rng = np.random.default_rng(8)
+    letters = [*"aZ\u00e9\u0130\u095c\u095d\u09df\u0a5b\ufb1d\ufb2a\u0301\u0307\u093c\u09bc\u1161\u11a8\uac00\u03a3\u200d\u20ac5\u0661\u2167", *"'!.,;-<=>", "'s", "'ll", "\u0338"]
+    texts += [" ".join("".join(rng.choice(letters, size=rng.integers(1, 7))) for _ in range(40)) for _ in range(500)]
+    texts += ["\u09b9\u09df, \u092a\u0939\u093e\u095c, \u0917\u095d. EV\u0130, \ufb2a!"]
+    for text, own, right in zip(texts, encoder.encode(texts), whole.encode(texts)):
+        if own != right:
+            bad = [w for w in text.split() if encoder.encode([w]) != whole.encode([w])]
+            raise AssertionError(bad[:5] or text[:80])
+
+
 def test_tokenizer_files_choose_their_encoder(spark):
     """A file whose tokens reach across blanks is not taken apart at blanks."""
     import public_tokenizers
