@@ -2,7 +2,7 @@
 
 Writing: payloads become HTTP responses with chunked transfer framing. Of records with equal payloads
 the one with the largest id is the ``response``; the others are ``revisit`` records that refer to its
-record id. Only the payload of a digest's winner leaves its task: the rest move as ids and digests.
+record id. The rest move as ids and digests.
 Record ids follow from the content (id, digest, url, number of the copy). A block longer than
 ``segment_bytes`` is cut: the first segment keeps the record's type, the rest are ``continuation``
 records with the origin's id, a segment number and, on the last, the total length. Every record is a
@@ -11,8 +11,9 @@ sink on any file system that Spark writes to, and named ``.warc.gz``; a task rol
 ``archive_records`` records.
 
 Reading: every archive file is parsed on its own, segments are grouped by origin, ordered by number,
-checked for gaps and against the total length, joined, and the chunked framing is taken off. A record
-that fails a check, and each damaged or cut-off stretch of a file, is a row with ``error`` set; what
+checked for gaps and against the total length, joined, and the HTTP framing is taken off: chunked if the
+head says so, else the stated length or the rest. A ``response`` that is no HTTP message is its
+own payload. A record that fails a check, and each damaged or cut-off stretch of a file, is a row with ``error`` set; what
 can be read around it is returned.
 
 Defined results: a null payload is the empty payload; null ids are written as ``null`` and never win
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +41,7 @@ STEP = 1 << 16
 GZIP = b"\x1f\x8b"
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
+CHUNK_SIZE, LENGTH = re.compile(rb"[0-9A-Fa-f]{1,16}"), re.compile(r"[0-9]{1,18}")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
@@ -53,11 +56,14 @@ def chunked(payload: bytes, size: int) -> bytes:
 
 
 def unchunked(body: bytes) -> bytes:
-    """The payload of a chunked body; chunk extensions and trailers are skipped."""
+    """The payload of a chunked body; chunk extensions and trailers are skipped. ValueError where it is none."""
     parts, at = [], 0
     while True:
         line = body.index(b"\r\n", at)
-        size = int(body[at:line].split(b";")[0], 16)
+        digits = body[at:line].split(b";")[0].rstrip(b" \t")
+        if not CHUNK_SIZE.fullmatch(digits):
+            raise ValueError("chunk without its size")
+        size = int(digits, 16)
         at = line + 2
         if not size:
             return b"".join(parts)
@@ -67,6 +73,23 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
+def http_payload(block: bytes) -> bytes:
+    """The body of an HTTP message as its head frames it: chunked, of a stated length, or up to the end."""
+    head, found, body = block.partition(END)
+    if not found:
+        raise ValueError("no HTTP head")
+    lines = head.decode("latin1").split("\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    if fields.get("transfer-encoding", "").split(",")[-1].strip().lower() == "chunked":
+        return unchunked(body)
+    length = fields.get("content-length", "")
+    if not LENGTH.fullmatch(length):
+        return body
+    if len(body) < int(length):
+        raise ValueError("body is shorter than its length")
+    return body[: int(length)]
+
+
 def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     """One WARC record without the two line ends that close it."""
     head = [("WARC-Type", kind), *fields, ("Content-Length", str(len(block)))]
@@ -86,7 +109,7 @@ def records(stream: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = stream[at:stop].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = fields.get("content-length", "")
-        if not size.isdecimal() or "warc-type" not in fields:
+        if not LENGTH.fullmatch(size) or "warc-type" not in fields:
             raise ValueError("record without length or type")
         at = stop + 4 + int(size)
         if at > len(stream):
@@ -185,13 +208,14 @@ _PART = "id string, type string, digest string, refers string, origin string, nu
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"id": pa.string(), "type": pa.string(), "digest": pa.string(), "refers": pa.string(), "origin": pa.string(), "number": pa.int32(), "total": pa.int64(), "block": pa.binary(), "error": pa.string()}
-    whole = lambda text: int(text) if text and text.isdecimal() else None
+    whole = lambda text: int(text) if text and LENGTH.fullmatch(text) else None
     for batch in batches:
         for content in batch.column(0):
             rows = []
             for f, block, error in entries(content.as_py()):
                 uid, number = f.get("warc-record-id"), whole(f.get("warc-segment-number"))
-                origin = f.get("warc-segment-origin-id", uid if number else None)
+                number = number if number is None or number < 1 << 31 else 0
+                origin = f.get("warc-segment-origin-id", uid if number is not None else None)
                 rows.append((uid, f.get("warc-type"), f.get("warc-payload-digest"), f.get("warc-refers-to"), origin, number, whole(f.get("warc-segment-total-length")), block, error))
                 if len(rows) == 256:
                     yield _batch(rows, kinds)
@@ -231,11 +255,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 if kind == "response" and error[i] is None:
                     block = b"".join(blocks.as_py())
                     try:
-                        value = unchunked(block[block.index(END) + 4 :])
+                        value = http_payload(block) if block.startswith(b"HTTP/") else block
                         if digest and digest != "sha1:" + base64.b32encode(hashlib.sha1(value).digest()).decode():
                             error[i] = "payload digest differs"
                     except ValueError as e:
-                        error[i] = f"broken chunked framing: {e}"
+                        error[i] = f"broken HTTP framing: {e}"
                 payload.append(value)
                 size.append(None if value is None else len(value))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(payload, pa.binary()), pa.array(size, pa.int64()), pa.array(error, pa.string())], names=["id", "type", "digest", "refers", "payload", "payload_bytes", "error"])

@@ -1,6 +1,7 @@
 """Audio, sharding, WARC and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import struct
 import zlib
@@ -9,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 from brute import brute_components, brute_hits, brute_lines
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -334,3 +337,45 @@ def test_pipeline_of_odd_rows(spark, odd_docs, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
     kept = {r.doc_id for r in docs.collect()}
     assert {1, 2} & kept and not kept & {4, 5, 11}
+
+
+@pytest.mark.parametrize("size", [b"-6", b"+2", b"0x2", b"1_0", b"", b"\xd9\xa2", b"f" * 17])
+def test_chunk_sizes_are_hexadecimal_digits(size):
+    with pytest.raises(ValueError):
+        warc.unchunked(b"2\r\nab\r\n" + size + b"\r\nxxxxxxxxxxxxxxxx\r\n0\r\n\r\n")
+
+
+@settings(max_examples=300, deadline=2000)
+@given(st.lists(st.sampled_from([b"\r\n", b"WARC/1.0", b"0", b"a", b"-6", b";x", b"Content-Length: 3", b"WARC-Type: response", b": ", b"HTTP/1.1 200", b"Transfer-Encoding: chunked", b"\x1f\x8b\x08\x00"]), max_size=30).map(b"".join))
+def test_reading_ends_on_any_bytes(data):
+    """Hostile bytes end in records or ValueError, never in a loop."""
+    list(warc.entries(data))
+    for read in (warc.unchunked, warc.http_payload):
+        try:
+            read(data)
+        except ValueError:
+            pass
+
+
+def test_reading_archives_of_others(spark, tmp_path):
+    """Responses framed by length, to the end, chunked after another coding's name, and one that is no HTTP message."""
+    rec = lambda k, block, *more: warc.record("response", [("WARC-Record-ID", f"<urn:page:{k}>"), *more], block) + warc.END
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    blocks = [
+        rec(1, b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello", ("WARC-Payload-Digest", digest)),
+        rec(2, b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"),
+        rec(3, b"HTTP/1.1 200 OK\r\ntransfer-encoding: gzip, Chunked\r\n\r\n5;ext=1\r\nhello\r\n0\r\nTrailer: x\r\n\r\n"),
+        rec(4, b"hello", ("WARC-Segment-Number", "99999999999999999")),
+        rec(5, b"hello"),
+        rec(6, b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nhello"),
+        rec(7, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nab\r\n-6\r\nxxxx"),
+        rec(8, b"HTTP/1.1 200 OK\r\nno end of the head"),
+        warc.record("request", [("WARC-Record-ID", "<urn:page:9>")], b"GET / HTTP/1.1\r\n\r\n") + warc.END,
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, blocks)))
+    rows = {r.id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert len(rows) == 9
+    for k in (1, 2, 3, 5):
+        assert bytes(rows[f"<urn:page:{k}>"].payload) == b"hello" and rows[f"<urn:page:{k}>"].error is None
+    assert all(rows[f"<urn:page:{k}>"].error for k in (4, 6, 7, 8))
+    assert rows["<urn:page:9>"].type == "request" and rows["<urn:page:9>"].error is None
