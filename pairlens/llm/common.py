@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,10 +179,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BLOCK = 1 << 19  # bytes hashed at a time; a longer word is hashed whole
+_LONG = 256  # bytes; words can be made whose polynomials agree from 1,024 bytes on
 
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit name of each word: a polynomial over its bytes (random byte values), then mixed."""
+    """64-bit name of each word: a polynomial over its bytes (random byte values), XXH64 for long words, then mixed."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -194,6 +196,8 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         first, last = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
         i = j
+    for k in np.flatnonzero(ends - starts > _LONG):
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]], 77)
     return mix(out)
 
 

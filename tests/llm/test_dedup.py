@@ -6,11 +6,12 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import brute_components, brute_lines, brute_repeats
+from brute import brute_components, brute_hits, brute_lines, brute_repeats
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from pairlens.llm import line_dedup, near_dedup, substring_dedup
+from pairlens.llm import decontaminate, line_dedup, lm, near_dedup, substring_dedup
 from pairlens.llm.components import components
 from pairlens.llm.substring_dedup import Chunk, Symbols
 
@@ -187,3 +188,23 @@ def test_hashes_are_whole(spark):
     assert docs.tolist() == [0, 2, 3, 3, 4] and names[0] == names[2] and len(set(names.tolist())) == 3
     assert hashlib.sha256(data[starts[3] : ends[3]].tobytes()).hexdigest() == hashlib.sha256("é".encode()).hexdigest()
     assert defaultdict(int)[0] == 0
+
+
+def thue_morse(n):
+    """Two different words of n letters whose polynomials modulo a power of two agree for any base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [2**10, 2**12, 2**14])
+def test_words_made_to_collide(spark, size):
+    one, other = thue_morse(size)
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_repeats(rows)
+    assert rows_of(near_dedup.near_duplicates(docs, percent=85), "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, 85)
+    found = decontaminate.find_spans(docs, spark.createDataFrame([("x", rows[0][1])], "item_id string, text string"))
+    assert rows_of(found.select("doc_id", "n_hit"), "doc_id", "n_hit") == sorted([(d, h) for d, _, h, _ in brute_hits(rows, [("x", rows[0][1])])], key=repr)
+    scored = lm.score(docs, "text", F.col("doc_id") == 1, F.col("doc_id") == 3, ["doc_id"])
+    assert rows_of(scored, "doc_id", "n_tokens", "n_known") == [(1, 14, 14), (2, 14, 13), (3, 15, 13)]
