@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, column, differs, label
-from .align import EXTRA, MATCHED, MISSING
+from .align import MATCHED
 
 
 def _keys(keys: list[str]) -> list[Column]:
@@ -31,11 +31,6 @@ def value_differences(aligned: DataFrame, keys: list[str], compared: list[str],
     return matched.select(*_keys(keys), F.explode(found).alias("__cell")).select(*[column(k) for k in keys], "__cell.*")
 
 
-def count_differences(aligned: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of rows of one side only, with ``side``."""
-    return aligned.where(F.col("side") != MATCHED).select(*_keys(keys), "side")
-
-
 def pass_report(aligned: DataFrame, keys: list[str], compared: list[str], tolerance: dict[str, int], only_failed: bool = False) -> DataFrame:
     """Matched rows wide: keys, ``Prod.c``, ``Dev.c`` and ``CompareResult_c`` for every compared column."""
     cells = _cells(compared, tolerance)
@@ -50,20 +45,9 @@ def differences_by_column(cells: DataFrame) -> DataFrame:
     return cells.groupBy("column").agg(F.count(F.lit(1)).alias("differences"))
 
 
-def match_counts(aligned: DataFrame, compared: list[str], tolerance: dict[str, int]) -> DataFrame:
-    """One row: totals of each side, matched passed and failed, missing, extra and differing cells."""
-    cells = _cells(compared, tolerance)
-    matched = F.col("side") == MATCHED
-    failed = any_of([bad for *_, bad in cells])
+def cell_measures(compared: list[str], tolerance: dict[str, int]) -> list[tuple[str, Column]]:
+    """Aggregates over aligned rows: matched rows that fail, and differing cells."""
+    cells, matched = _cells(compared, tolerance), F.col("side") == MATCHED
     bad_cells = sum((F.when(bad, 1).otherwise(0) for *_, bad in cells), F.lit(0))
-    rows = aligned.select("side", F.when(matched, failed).alias("failed"), F.when(matched, bad_cells).otherwise(0).alias("cells"))
-    count = lambda condition: F.count_if(condition)
-    return rows.agg(
-        count(F.col("side") != EXTRA).alias("total_prod"),
-        count(F.col("side") != MISSING).alias("total_dev"),
-        count(matched & ~F.col("failed")).alias("matched_passed"),
-        count(matched & F.col("failed")).alias("matched_failed"),
-        count(F.col("side") == EXTRA).alias("extra_dev"),
-        count(F.col("side") == MISSING).alias("missing_dev"),
-        F.coalesce(F.sum("cells"), F.lit(0)).cast("long").alias("total_diffs"),
-    )
+    failed = F.count_if(matched & any_of([bad for *_, bad in cells]))
+    return [("failed", failed), ("cells", F.coalesce(F.sum(F.when(matched, bad_cells).otherwise(0)), F.lit(0)).cast("long"))]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import column
@@ -17,15 +17,10 @@ def schema_differences(prod: DataFrame, dev: DataFrame, exclude: set[str] | froz
     return sorted([(c, EXTRA) for c in d - p] + [(c, MISSING) for c in p - d], key=lambda x: (x[1], x[0]))
 
 
-def schema_report(aligned: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
-    """``field``, ``side`` and ``count``: cells that are not blank, over matched rows."""
-    spark = aligned.sparkSession
-    if not fields:
-        return spark.createDataFrame([], "field string, side string, count long")
-    matched = aligned.where(F.col("side") == MATCHED)
-    counts = matched.agg(*[F.count_if(column(c, "d" if side == EXTRA else "p") != "").alias(f"n{i}") for i, (c, side) in enumerate(fields)])
-    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(side).alias("side"), F.col(f"n{i}").alias("count")) for i, (c, side) in enumerate(fields)])
-    return counts.select(F.inline(rows))
+def filled_measures(fields: list[tuple[str, str]]) -> list[tuple[str, Column]]:
+    """Aggregates over aligned rows: cells of each field that are not blank, over matched rows."""
+    matched = F.col("side") == MATCHED
+    return [(f"f{i}", F.count_if(matched & (column(c, "d" if side == EXTRA else "p") != ""))) for i, (c, side) in enumerate(fields)]
 
 
 def first_fields(report: DataFrame, limit: int = 8) -> DataFrame:

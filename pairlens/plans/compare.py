@@ -1,8 +1,10 @@
 """One comparison from two inputs to all result tables, and many comparisons from a control table.
 
-Single result tables are lazy. ``results`` and ``write`` run every step, store its tables and keep the
-aligned rows while they do, because several results read them. Only one-row summaries and control
-tables reach the driver.
+Rows are compared hash-first: the key table (``operators.keytable``) settles rows that are equal, and cells
+are fetched only for keys whose rows may differ. It is stored when a result first needs it. ``results`` and
+``write`` run every step, store its tables and keep the fetched rows while they do; what the summary,
+metrics, settings and alerts need of them is observed while the differences are stored, so none of them
+reads the rows again. Only one-row summaries and control tables reach the driver.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.storage import stored
-from ..functions.text import canonical, percent
+from ..functions.text import canonical, column, percent
 from ..operators import align as A
-from ..operators import diff, duplicates, profile, rules, schema_diff
+from ..operators import diff, keytable, profile, rules, schema_diff
 from ..sources import readers, sinks
 
 #: The order of the built-in steps.
@@ -43,6 +45,7 @@ class DiffConfig:
     prod_name: str = "prod"
     dev_name: str = "dev"
     enabled: frozenset[str] = frozenset(STEPS)
+    hash_first: bool = True  # rows of equal keys and digests are settled without their cells
     counted_sequence: bool = False  # keys with very many equal rows
     hot_rows: int = A.HOT_ROWS  # rows of a key from which on it is numbered by several tasks
     quality_checks: frozenset[str] = profile.CHECKS
@@ -69,21 +72,55 @@ class DiffResult:
             levels |= rules.tolerance_map(self.rules)
         self.tolerance = {c: d for c, d in levels.items() if c in self.compared} if "tolerance" in cfg.enabled else {}
         self._hooks: dict[str, Hook] = {}
+        self._watch: Observation | None = None
+        self._watching = False
+        self._quality: int | None = None  # columns of two types, once the quality report is stored
 
     @cached_property
+    def _sides(self) -> tuple[DataFrame, DataFrame, list[str]]:
+        """Both tables and their keys; without keys, rows are keyed by their place."""
+        if self.keys:
+            return self.prod, self.dev, self.keys
+        order = [F.col(f"`{c}`") for c in self.cfg.order] or None
+        return A.with_row_id(self.prod, order), A.with_row_id(self.dev, order), [A.ROW_ID]
+
+    @cached_property
+    def _same_columns(self) -> bool:
+        rest = lambda df: [c for c in df.columns if c not in self.keys]
+        return rest(self.prod) == rest(self.dev)
+
+    @cached_property
+    def keytable(self) -> DataFrame:
+        """The stored key table of the pair; see ``operators.keytable``."""
+        prod, dev, keys = self._sides
+        return keytable.key_table(prod, dev, keys, self.compared, self.schema_fields, self.cfg.hash_first)
+
+    @cached_property
+    def totals(self) -> Row:
+        """Row counts of the pair and sizes of its keys: one action over the key table."""
+        return keytable.totals(self.keytable, self._sides[2], self._same_columns, self.schema_fields)
+
+    @property
     def largest(self) -> list[int]:
-        """Rows of the most frequent repeated key of each side, 0 if none repeats (one action)."""
-        return A.largest_groups([self.prod, self.dev], self.keys) if self.keys else [0, 0]
+        """Rows of the most frequent repeated key of each side, 0 if none repeats."""
+        return [n if n > 1 else 0 for n in (self.totals.largest_prod, self.totals.largest_dev)]
 
     @property
     def using_sequence(self) -> bool:
         """Whether either side repeats a key."""
-        return max(self.largest) > 0
+        return bool(self.keys) and max(self.largest) > 0
 
-    def _numbered(self, df: DataFrame, largest: int) -> DataFrame:
+    def _numbered(self, df: DataFrame, side: str) -> DataFrame:
         if self.cfg.counted_sequence:
             return A.with_counted_sequence(df, self.keys)
-        return A.with_sequence(df, self.keys, A.hot_keys(df, self.keys, self.cfg.hot_rows) if largest > self.cfg.hot_rows else None)
+        rows = F.col(f"n_{side}")
+        hot = self.keytable.where(rows > self.cfg.hot_rows).select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(self.keys)])
+        return A.with_sequence(df, self.keys, hot if self.totals[f"largest_{side}"] > self.cfg.hot_rows else None)
+
+    def _aligned(self, prod: DataFrame, dev: DataFrame) -> DataFrame:
+        if self.using_sequence:
+            prod, dev = self._numbered(prod, "prod"), self._numbered(dev, "dev")
+        return A.align(prod, dev, self.align_keys)
 
     @cached_property
     def align_keys(self) -> list[str]:
@@ -93,23 +130,55 @@ class DiffResult:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        """The full outer join of both sides; see ``operators.align.align``."""
-        prod, dev = self.prod, self.dev
-        if not self.keys:
-            order = [F.col(f"`{c}`") for c in self.cfg.order] or None
-            prod, dev = A.with_row_id(prod, order), A.with_row_id(dev, order)
-        elif self.using_sequence:
-            prod, dev = self._numbered(prod, self.largest[0]), self._numbered(dev, self.largest[1])
-        return A.align(prod, dev, self.align_keys)
+        """All rows of both sides with all their cells, in a full outer join; see ``operators.align.align``."""
+        return self._aligned(*self._sides[:2])
+
+    def alignment(self) -> DataFrame:
+        """The align keys and ``side`` of all rows, from the key table alone."""
+        return keytable.alignment(self.keytable, self._sides[2], self.using_sequence)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Aligned rows that may differ: those of open keys, fetched by their keys; with ``hash_first=False`` all rows."""
+        if not self.cfg.hash_first:
+            return self.aligned
+        prod, dev, keys = self._sides
+        if not self.totals.open:
+            return self._aligned(prod.where(F.lit(False)), dev.where(F.lit(False)))
+        wanted = self.keytable.where(keytable.is_open(self._same_columns))
+        return self._aligned(*(keytable.rows_of(df, keys, wanted, self.totals.open_bytes) for df in (prod, dev)))
+
+    def _settled_rows(self) -> DataFrame:
+        """Aligned rows of settled keys: DEV's cells are PROD's, so only PROD is read."""
+        prod, _, keys = self._sides
+        if self.totals.rest:
+            rest = self.keytable.where((F.col("n_prod") > 0) & ~keytable.settled(self._same_columns))
+            prod = keytable.rows_of(prod, keys, rest, self.totals.rest_bytes, "left_anti")
+        prod = self._numbered(prod, "prod") if self.using_sequence else prod
+        row = F.struct(*[column(c) for c in prod.columns])
+        return prod.select(*[column(k).alias(f"__k{i}") for i, k in enumerate(self.align_keys)], row.alias("p"), row.alias("d"), F.lit(A.MATCHED).alias("side"))
+
+    @cached_property
+    def cells(self) -> dict[str, int]:
+        """Failed rows, differing cells and filled schema fields of ``rows``; a run observes them while it stores the differences."""
+        if not self.totals.open:
+            return {n: 0 for n, _ in self._measures()}
+        return self.rows.agg(*[m.alias(n) for n, m in self._measures()]).first().asDict()  # one row
+
+    def _measures(self) -> list[tuple[str, Column]]:
+        return diff.cell_measures(self.compared, self.tolerance) + schema_diff.filled_measures(self.schema_fields)
 
     def value_differences(self) -> DataFrame:
-        return diff.value_differences(self.aligned, self.align_keys, self.compared, self.tolerance)
+        return diff.value_differences(self.rows, self.align_keys, self.compared, self.tolerance)
 
     def count_differences(self) -> DataFrame:
-        return diff.count_differences(self.aligned, self.align_keys)
+        return keytable.one_sided(self.keytable, self._sides[2], self.using_sequence)
 
     def pass_report(self, only_failed: bool = False) -> DataFrame:
-        return diff.pass_report(self.aligned, self.align_keys, self.compared, self.tolerance, only_failed)
+        report = lambda rows: diff.pass_report(rows, self.align_keys, self.compared, self.tolerance, only_failed)
+        if only_failed or not self.cfg.hash_first or not self.totals.settled:
+            return report(self.rows)
+        return report(self.rows).unionByName(report(self._settled_rows()))
 
     def differences_by_column(self) -> DataFrame:
         return diff.differences_by_column(self.value_differences())
@@ -117,34 +186,38 @@ class DiffResult:
     def duplicates(self) -> DataFrame:
         if not self.keys:
             return self.spark.createDataFrame([], "duplicate_in_prod boolean, duplicate_in_dev boolean")
-        return duplicates.duplicates_summary(self.prod, self.dev, self.keys)
+        return keytable.duplicates(self.keytable, self.keys)
 
     @cached_property
     def schema_fields(self) -> list[tuple[str, str]]:
         return schema_diff.schema_differences(self.prod, self.dev, {*self.keys, *self.cfg.ignore})
 
     def schema_differences(self) -> DataFrame:
-        return schema_diff.schema_report(self.aligned, self.schema_fields)
+        """Fields of one side only, with their cells that are not blank over matched rows."""
+        counts = [(c, side, self.totals[f"f{i}"] + self.cells[f"f{i}"]) for i, (c, side) in enumerate(self.schema_fields)]
+        return self.spark.createDataFrame(counts, "field string, side string, count long")
 
     def quality_report(self, approx: bool = False) -> DataFrame:
         checks = self.cfg.quality_checks
         return profile.quality_report(*(profile.profile(x, approx, checks=checks) for x in (self.prod, self.dev)), checks)
 
     def counts(self) -> DataFrame:
-        """One row of all row and cell counts."""
-        base = diff.match_counts(self.aligned, self.compared, self.tolerance)
-        if self.keys and self.using_sequence:
-            dups = duplicates.duplicate_counts(self.prod, self.dev, self.keys)
-        else:
-            dups = self.spark.range(1).select(F.lit(0).cast("long").alias("duplicate_prod"), F.lit(0).cast("long").alias("duplicate_dev"))
-        return base.crossJoin(dups)  # single rows
+        """One row of all row and cell counts, from the key table and the rows that may differ."""
+        t, failed = self.totals, self.cells["failed"]
+        matched = t.total_prod - t.missing_dev
+        dups = (t.duplicate_prod, t.duplicate_dev) if self.keys else (0, 0)
+        row = (t.total_prod, t.total_dev, matched - failed, failed, t.extra_dev, t.missing_dev, self.cells["cells"], *dups)
+        names = ("total_prod", "total_dev", "matched_passed", "matched_failed", "extra_dev", "missing_dev", "total_diffs", "duplicate_prod", "duplicate_dev")
+        return self.spark.createDataFrame([row], ", ".join(f"{n} long" for n in names))
 
     def metrics(self) -> DataFrame:
         """``metric, value`` of the twelve metrics that alert rules may name."""
         side = lambda s: F.lit(float(sum(x == s for _, x in self.schema_fields)))
         mismatches = F.lit(0.0)
         counts = self.counts()
-        if "data_quality" in self.cfg.enabled:
+        if "data_quality" in self.cfg.enabled and self._quality is not None:
+            mismatches = F.lit(float(self._quality))
+        elif "data_quality" in self.cfg.enabled:
             found = profile.type_mismatches(*(profile.profile(x, checks=frozenset({"type_inference"})) for x in (self.prod, self.dev))).agg(F.count(F.lit(1)).alias("mismatches"))
             counts, mismatches = counts.crossJoin(found), F.col("mismatches")  # single rows
         row = counts.select(
@@ -230,7 +303,7 @@ class DiffResult:
         """The built-in steps and the result tables of each."""
 
         def comparison() -> dict[str, DataFrame]:
-            found = {"value_differences": self.value_differences(), "count_differences": self.count_differences()}
+            found = {"value_differences": self._observed_differences(), "count_differences": self.count_differences()}
             return found | ({"pass_report": self.pass_report()} if self.cfg.include_pass else {})
 
         return {
@@ -242,10 +315,31 @@ class DiffResult:
             "alerts": lambda: {"alerts": self.alerts(alert_rules)} if alert_rules is not None else {},
         }
 
-    def _run(self, keep: Callable[[str, DataFrame], DataFrame], alert_rules: DataFrame | None, order: list[str] | None) -> dict[str, DataFrame]:
-        """Run the enabled steps; ``keep(name, table)`` stores a table, so that a step is done when it says so."""
+    def _observed_differences(self) -> DataFrame:
+        """``value_differences`` that counts what ``cells`` holds while it is stored, unless that is known."""
+        if "cells" in self.__dict__ or not self.totals.open or not self._watching:
+            return self.value_differences()
+        self._watch = Observation()
+        watched = self.rows.observe(self._watch, *[m.alias(n) for n, m in self._measures()])
+        return diff.value_differences(watched, self.align_keys, self.compared, self.tolerance)
+
+    def _learn(self, step: str, tables: dict[str, DataFrame]) -> None:
+        """Keep what a built-in step has found out, so that later ones do not compute it again."""
+        if step == "comparison" and self._watch is not None and step not in self._hooks:
+            self.cells = self._watch.get
+            self._watch = None
+        elif step == "data_quality" and step not in self._hooks and "type_inference" in self.cfg.quality_checks:
+            self._quality = tables["quality_report"].where("type_mismatch = 'Yes'").count()
+
+    def _run(self, keep: Callable[[str, DataFrame], DataFrame], alert_rules: DataFrame | None, order: list[str] | None, once: bool) -> dict[str, DataFrame]:
+        """Run the enabled steps; ``keep(name, table)`` stores a table, so that a step is done when it says so.
+
+        ``once`` says that storing a table computes it once, in one stage after the join, so that what is
+        observed then is exact. Otherwise the kept rows are counted on their own.
+        """
+        self._watching = once
         built_in, out = self._steps(alert_rules), {}
-        self.aligned.persist(StorageLevel.MEMORY_AND_DISK)
+        self.rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for name in order or [*STEPS, *(h for h in self._hooks if h not in STEPS)]:
                 if name in STEPS and name not in self.cfg.enabled:
@@ -256,6 +350,7 @@ class DiffResult:
                 try:
                     made = {name: self._hooks[name](self)} if name in self._hooks else built_in[name]()
                     out |= {table: keep(table, df) for table, df in made.items()}
+                    self._learn(name, out)
                     self.events.append((time.time(), name, "DONE", time.time() - began))
                 except Exception as e:  # a hook's failure, also in its job, is a result of the run
                     if name not in self._hooks:
@@ -263,12 +358,12 @@ class DiffResult:
                     self.events.append((time.time(), name, f"FAILED: {e}", time.time() - began))
             out["settings"] = keep("settings", self.settings())
         finally:
-            self.aligned.unpersist()
+            self.rows.unpersist()
         return out
 
     def results(self, alert_rules: DataFrame | None = None, order: list[str] | None = None) -> dict[str, DataFrame]:
         """All result tables of the enabled steps, by name, each stored in the checkpoint folder. A failing hook becomes an audit event."""
-        return self._run(lambda name, df: stored(df), alert_rules, order)
+        return self._run(lambda name, df: stored(df), alert_rules, order, False)
 
     def write(self, root: str, run_id: str, alert_rules: DataFrame | None = None, order: list[str] | None = None, ordered: bool = False) -> dict[str, DataFrame]:
         """``results`` as Parquet tables under ``root``, which must not hold the run yet; ``ordered`` sorts them by the align keys."""
@@ -278,7 +373,7 @@ class DiffResult:
             sinks.write_table(df, path, self.align_keys if ordered else None)
             return self.spark.read.parquet(path)
 
-        return self._run(keep, alert_rules, order)
+        return self._run(keep, alert_rules, order, not ordered)
 
     def audit(self) -> DataFrame:
         """``timestamp, capability, event, elapsed`` of the steps so far."""

@@ -161,7 +161,7 @@ def test_hot_key_alignment(spark):
 
 
 def test_one_exchange_for_each_side_and_no_python(spark):
-    result = pair(spark, "1,A|2,B", "1,A|2,X")
+    result = pair(spark, "1,A|2,B", "1,A|2,X", hash_first=False)
     result.aligned  # noqa: B018  settles the sequence question
     plan = result.value_differences()._jdf.queryExecution().sparkPlan().toString()
     assert "Python" not in plan and plan.count("Join") == 1
