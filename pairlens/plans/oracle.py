@@ -48,6 +48,8 @@ p AS (SELECT *, {_SEQ} FROM prod), d AS (SELECT *, {_SEQ} FROM dev)
 _ON = "p.l_orderkey = d.l_orderkey AND p.l_linenumber = d.l_linenumber AND p.seq = d.seq"
 _SIDES = f"""SELECT coalesce(p.l_orderkey, d.l_orderkey) AS l_orderkey, coalesce(p.l_linenumber, d.l_linenumber) AS l_linenumber, coalesce(p.seq, d.seq) AS seq,
   CASE WHEN d.seq IS NULL THEN 'Missing in Dev' WHEN p.seq IS NULL THEN 'Extra in Dev' ELSE 'Matched' END AS side FROM p FULL JOIN d ON {_ON}"""
+_LINE_CELLS = " UNION ALL ".join(f"SELECT p.l_orderkey, p.l_linenumber, p.seq, '{c}' AS \"column\", p.{c} AS prod_value, d.{c} AS dev_value FROM p JOIN d ON {_ON} WHERE p.{c} <> d.{c}" for c in _LINE.split(", ")[2:])
+_ROW = "concat_ws('|', l_partkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_shipdate)"
 _DUP = "SELECT l_orderkey, l_linenumber FROM {} GROUP BY 1, 2 HAVING count(*) > 1"
 
 CUSTOMER = """prod AS (SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer),
@@ -128,7 +130,14 @@ SQL = {
     "duplicate_summary": f"""{LINES}, a AS ({_DUP.format('prod')}), b AS ({_DUP.format('dev')}) SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber,
       a.l_orderkey IS NOT NULL AS duplicate_in_prod, b.l_orderkey IS NOT NULL AS duplicate_in_dev FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""",
     "seq_alignment": f"{LINES} {_SIDES}",
-    "seq_value_differences": LINES + " UNION ALL ".join(f"SELECT p.l_orderkey, p.l_linenumber, p.seq, '{c}' AS \"column\", p.{c} AS prod_value, d.{c} AS dev_value FROM p JOIN d ON {_ON} WHERE p.{c} <> d.{c}" for c in _LINE.split(", ")[2:]),
+    "seq_value_differences": LINES + _LINE_CELLS,
+    "key_alignment": f"{LINES} {_SIDES}",
+    "key_states": f"""{LINES}, k AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS o, coalesce(a.np, 0) AS np, coalesce(b.nd, 0) AS nd, a.rows = b.rows AS same FROM
+      (SELECT l_orderkey, l_linenumber, count(*) AS np, string_agg({_ROW}, chr(10) ORDER BY {_ROW}) AS rows FROM prod GROUP BY ALL) a FULL JOIN
+      (SELECT l_orderkey, l_linenumber, count(*) AS nd, string_agg({_ROW}, chr(10) ORDER BY {_ROW}) AS rows FROM dev GROUP BY ALL) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)
+      SELECT CASE WHEN nd = 0 THEN 'missing' WHEN np = 0 THEN 'extra' WHEN same THEN 'settled' ELSE 'open' END AS state, count(*) AS keys, CAST(sum(np) AS BIGINT) AS rows_prod, CAST(sum(nd) AS BIGINT) AS rows_dev FROM k GROUP BY 1""",
+    "hash_first_differences": f"""{LINES}, s AS ({_SIDES}), x AS ({_LINE_CELLS}), r AS (SELECT "column" AS result, count(*) AS rows FROM x GROUP BY 1 UNION ALL SELECT side, count(*) FROM s WHERE side <> 'Matched' GROUP BY 1
+      UNION ALL SELECT CASE WHEN p.l_returnflag = d.l_returnflag THEN 'flag Pass' ELSE 'flag Fail' END, count(*) FROM p JOIN d ON {_ON} GROUP BY 1) SELECT path, result, rows FROM r, (VALUES ('digests'), ('cells')) AS v(path)""",
     "seq_counted_alignment": f"{LINES}, s AS ({_SIDES}) SELECT side, count(*) AS rows, CAST(sum(seq) AS BIGINT) AS seq_sum FROM s GROUP BY side",
     "schema_differences": f"{ORDERS} SELECT * FROM fields",
     "schema_items": f"{ORDERS} SELECT side, field AS fields, CAST(0 AS INT) AS more FROM fields",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.storage import checkpoint_dir
 from ..functions.text import canonical, clean_name, column, parsed, rounded
 from ..operators import align as A
-from ..operators import history, profile, rules, schema_diff
+from ..operators import history, keytable, profile, rules, schema_diff
 from ..sources import readers, sinks
 from . import synth
 from .compare import DiffConfig, DiffResult, audit_timings, compare, compare_control, compare_many, overall_pass, union_all
@@ -83,6 +83,30 @@ def seq_alignment(spark, sf_dir):
     return result.aligned.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(("l_orderkey", "l_linenumber", "seq"))], "side")
 
 
+def key_alignment(spark, sf_dir):
+    """The same alignment from the key table alone: no cell moves, no row is numbered."""
+    return _lineitem(spark, sf_dir).alignment().withColumnRenamed(A.SEQ, "seq")
+
+
+def key_states(spark, sf_dir):
+    """How the key table settles the keys of the lineitem pair: keys and rows of each state."""
+    result = _lineitem(spark, sf_dir)
+    state = F.when(F.col("n_dev") == 0, "missing").when(F.col("n_prod") == 0, "extra").when(keytable.settled(True), "settled").otherwise("open")
+    rows = result.keytable.groupBy(state.alias("state"))
+    return rows.agg(F.count(F.lit(1)).alias("keys"), F.sum("n_prod").alias("rows_prod"), F.sum("n_dev").alias("rows_dev"))
+
+
+def hash_first_differences(spark, sf_dir):
+    """Results of the lineitem pair by digests and by all cells: differing cells of each column, rows of one side, passed and failed rows."""
+    found = []
+    for path, first in (("digests", True), ("cells", False)):
+        result = compare(*synth.lineitem_pair(spark, sf_dir), replace(LINEITEM, hash_first=first))
+        count = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
+        tables = [count(result.value_differences(), F.col("column").alias("result")), count(result.count_differences(), F.col("side").alias("result")), count(result.pass_report(), F.concat(F.lit("flag "), F.col("CompareResult_l_returnflag")).alias("result"))]
+        found += [t.select(F.lit(path).alias("path"), "result", "rows") for t in tables]
+    return union_all(found)
+
+
 def seq_value_differences(spark, sf_dir):
     return _lineitem(spark, sf_dir).value_differences().withColumnRenamed(A.SEQ, "seq")
 
@@ -549,7 +573,7 @@ def queries() -> dict[str, Query]:
         seq_counted_alignment, schema_differences, schema_items, schema_audit, null_rates, distinct_counts, numeric_stats, type_mismatches, quality_report, approx_distinct_error, tolerance_rules,
         tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, control_issues, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
         clean_names, csv_roundtrip, delimited_roundtrip, delimited_mixed, mixed_formats, delimiter_detect, encoding_detect, fixed_width, fixed_width_late, blank_separated, parquet_scan, inventory, stored_results,
-        quality_switches, control_batch, run_summary, audit_log, ignored_fields, missing_keys, empty_side, rule_issues, step_switches, row_counts, header_columns, ordered_results,
+        quality_switches, control_batch, run_summary, audit_log, ignored_fields, missing_keys, empty_side, rule_issues, step_switches, row_counts, header_columns, ordered_results, key_alignment, key_states, hash_first_differences,
     ]
     return {f.__name__: f for f in found} | {"overall_pass": overall}
 
