@@ -222,6 +222,13 @@ SQL = {
     "delimiter_detect": f"SELECT unnest({_LIST(['|', ',', ';', '~', '^'])} || [chr(9)]) AS written, unnest({_LIST(['|', ',', ';', '~', '^'])} || [chr(9)]) AS delimiter",
     "encoding_detect": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, '“é€ ' || s_name AS s_name FROM supplier",
     "fixed_width": _SUPPLIER_TEXT,
+    "layout_mix": _SUPPLIER_TEXT,
+    "fixed_width_trailer": f"SELECT 'kept' AS reason, * FROM ({_SUPPLIER_TEXT}) UNION ALL SELECT 'text between columns', 'TOTAL NUMBER OF SUPPLIERS IN THIS FILE: ' || count(*), '', '' FROM supplier",
+    "rejected_rows": f"""WITH s AS ({_SUPPLIER_TEXT}), n AS (SELECT *, CAST(s_suppkey AS BIGINT) % 10 AS k FROM s),
+      l AS (SELECT *, CAST(1 + sum(CASE WHEN k IN (3, 7) THEN 1 ELSE 2 END) OVER (ORDER BY CAST(s_suppkey AS BIGINT)) AS BIGINT) AS line FROM n)
+      SELECT CASE WHEN k = 3 THEN 'too many cells' ELSE 'too few cells' END AS reason, s_suppkey, s_suppkey || CASE WHEN k = 3 THEN ',' || s_name || ',' || s_nationkey || ',EXTRA' ELSE '' END AS "text", line FROM l WHERE k IN (3, 7)
+      UNION ALL SELECT 'kept', s_suppkey, CASE WHEN k = 7 THEN '' ELSE s_name || chr(10) || 'branch' END, CAST(0 AS BIGINT) FROM l WHERE k <> 3""",
+    "quoted_breaks": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN chr(10) || '"second", line' WHEN 1 THEN ', and' ELSE '' END AS p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""",
     "blank_separated": _SUPPLIER_TEXT,
     "parquet_scan": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 49",
     "inventory": "SELECT count(*) > 0 AS is_parquet, 'o_orderstatus,y' AS partitions, TRUE AS found FROM orders UNION ALL SELECT count(*) < 0, '', TRUE FROM orders",

@@ -526,6 +526,51 @@ def _fixed(spark, rows: DataFrame, name: str, widths: tuple[int, ...]) -> str:
     return path
 
 
+def rejected_rows(spark, sf_dir):
+    """Suppliers as CSV of which some have a cell too many or too few: rows kept and rows rejected, with their lines."""
+    path, key = _scratch(spark, "rejects"), F.col("s_suppkey").cast("long")
+    line = F.when(key % 10 == 3, F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", F.lit("EXTRA"))).when(key % 10 == 7, F.col("s_suppkey")).otherwise(F.concat_ws(",", "s_suppkey", F.concat(F.lit('"'), F.col("s_name"), F.lit('\nbranch"')), "s_nationkey"))
+    lines = _suppliers(spark, sf_dir).select(key.alias("k"), line.alias("line"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit("s_suppkey,s_name,s_nationkey").alias("line"))
+    lines.unionByName(header).repartition(1).sortWithinPartitions("k").select("line").write.text(path)
+    kept, rejected = readers.read_delimited_checked(spark, path, sep=",")
+    kept = kept.select(F.lit("kept").alias("reason"), "s_suppkey", F.coalesce("s_name", F.lit("")).alias("text"), F.lit(0).cast("long").alias("line"))
+    return kept.unionByName(rejected.select("reason", F.substring_index("text", ",", 1).alias("s_suppkey"), "text", "line"))
+
+
+def fixed_width_trailer(spark, sf_dir):
+    """Fixed-width suppliers with a closing line across the columns, which is rejected."""
+    rows = _suppliers(spark, sf_dir).coalesce(1).sortWithinPartitions(F.col("s_suppkey").cast("long"))
+    widths = (12, 24, 12)
+    lines = rows.select(F.concat(*[F.rpad(column(c), w, " ") for c, w in zip(rows.columns, widths)]).alias("line"))
+    closing = rows.agg(F.concat(F.lit("TOTAL NUMBER OF SUPPLIERS IN THIS FILE: "), F.count(F.lit(1)).cast("string")).alias("line"))
+    path = _scratch(spark, "trailer")
+    _text_files(lines.unionByName(closing).coalesce(1), F.col("line"), "".join(c.ljust(w) for c, w in zip(rows.columns, widths)), path)
+    kept, rejected = readers.read_fixed_width_checked(spark, path)
+    kept = canonical(kept).select(F.lit("kept").alias("reason"), *rows.columns)
+    return kept.unionByName(rejected.select("reason", F.col("text").alias("s_suppkey"), F.lit("").alias("s_name"), F.lit("").alias("s_nationkey")))
+
+
+def layout_mix(spark, sf_dir):
+    """One folder of delimited, fixed-width and blank-separated files, the columns of each in another order."""
+    root, rows = _scratch(spark, "layouts"), _suppliers(spark, sf_dir)
+    part = lambda k: rows.where(F.col("s_suppkey").cast("long") % 3 == k)
+    _text_files(part(0), F.concat_ws("|", *rows.columns), "|".join(rows.columns), f"{root}/0")
+    names, widths = rows.columns[::-1], (14, 26, 10)
+    _text_files(part(1), F.concat(*[F.rpad(column(c), w, " ") for c, w in zip(names, widths)]), "".join(c.ljust(w) for c, w in zip(names, widths)), f"{root}/1")
+    names = ["s_nationkey", "s_suppkey", "s_name"]
+    _text_files(part(2), F.concat_ws(" ", *names), " ".join(names), f"{root}/2")
+    return canonical(readers.read_any(spark, f"{root}/*")).select(*rows.columns)
+
+
+def quoted_breaks(spark, sf_dir):
+    """Part names with line breaks, separators and quotes in quoted cells, cut into records by all scan tasks."""
+    path, key = _scratch(spark, "breaks"), F.col("p_partkey")
+    name = F.concat(F.col("p_name"), F.when(key % 3 == 0, F.lit('\n"second", line')).when(key % 3 == 1, F.lit(", and")).otherwise(F.lit("")))
+    sinks.write_csv(canonical(synth.table(spark, sf_dir, "part").select("p_partkey", name.alias("p_name"), "p_size")), path)
+    return canonical(readers.read_delimited(spark, path, sep=","))
+
+
 def fixed_width(spark, sf_dir):
     path = _fixed(spark, _suppliers(spark, sf_dir), "fixed", (12, 24, 12))
     return canonical(readers.read_fixed_width(spark, path))
@@ -574,6 +619,7 @@ def queries() -> dict[str, Query]:
         tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, control_issues, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
         clean_names, csv_roundtrip, delimited_roundtrip, delimited_mixed, mixed_formats, delimiter_detect, encoding_detect, fixed_width, fixed_width_late, blank_separated, parquet_scan, inventory, stored_results,
         quality_switches, control_batch, run_summary, audit_log, ignored_fields, missing_keys, empty_side, rule_issues, step_switches, row_counts, header_columns, ordered_results, key_alignment, key_states, hash_first_differences,
+        rejected_rows, fixed_width_trailer, layout_mix, quoted_breaks,
     ]
     return {f.__name__: f for f in found} | {"overall_pass": overall}
 

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 
 from pairlens.plans.compare import DiffConfig, compare
-from pairlens.sources import readers, sinks
+from pairlens.sources import layout, readers, sinks
+from pairlens.sources.records import block_traits, composed, ends_inside, records
 
 
 def write(path, text, encoding="utf-8"):
@@ -59,7 +62,7 @@ def test_blank_cells(spark, tmp_path):
 def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
     write(tmp_path / "in/a.csv", 'ID,V\n1,"two\nlines"\n')
     write(tmp_path / "in/b.csv", 'ID,V\n2,"one ""line"""\n')
-    assert {r.file[-5:]: r.broken for r in readers._traits(spark, str(tmp_path / "in")).collect()} == {"a.csv": True, "b.csv": False}
+    assert {r.file[-5:]: r.broken for r in block_traits(spark, str(tmp_path / "in"), {}).collect()} == {"a.csv": True, "b.csv": False}
     assert {(r.ID, r.V) for r in readers.read_delimited(spark, str(tmp_path / "in"), sep=",").collect()} == {("1", "two\nlines"), ("2", 'one "line"')}
 
 
@@ -83,8 +86,6 @@ def test_detection_reads_beginnings_only(spark, tmp_path):
     assert not readers.is_parquet(spark, str(tmp_path / "no.csv"))  # its ending says so, nothing is opened
     plan = readers._files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
-    head = readers._head(spark, str(tmp_path / "b"), 5)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in head
     with pytest.raises(Exception, match="(?i)exist"):
         readers.read_any(spark, str(tmp_path / "absent"))
     write(tmp_path / "e/x.txt", "")
@@ -124,3 +125,154 @@ def test_sinks_never_overwrite(spark, tmp_path):
     sinks.append_audit(events, str(tmp_path / "audit"))
     sinks.append_audit(events, str(tmp_path / "audit"))
     assert spark.read.json(str(tmp_path / "audit")).count() == 2
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Scan tasks of a few hundred bytes, as a large file has them of 128 MB."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def random_csv(seed, rows=150):
+    """Cells with breaks, separators, doubled and stray quotes, blanks and text behind a closing quote."""
+    rng = random.Random(seed)
+    cells = ["x", "", "plain text", '"quoted"', '"two\nlines"', '"a ""b"" c"', '"sep, in"', '5" pipe', ' "blank before"', '"closed" and more', '"' + "long\n\n" * 30 + '"', '""', "é€", '"\r\n"', '"ends with quote"""']
+    return "k,a,b\n" + "".join(f"{i},{rng.choice(cells)},{rng.choice(cells)}\n" for i in range(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_many_tasks_read_what_one_reads(spark, tmp_path, small_blocks, seed):
+    path = write(tmp_path / "in/x.csv", random_csv(seed))
+    write(tmp_path / "in/y.csv", random_csv(seed + 10, 40))
+    found = readers._groups(spark, str(tmp_path / "in"), ",", None, None, True, False)
+    assert len(found) == 1 and found[0].blocks is not None and len(found[0].blocks) > 20 and any(b.inside for b in found[0].blocks.values())
+    assert found[0].records().rdd.getNumPartitions() > 20
+    for where in (path, str(tmp_path / "in")):
+        one = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(where)
+        many = readers.read_delimited(spark, where, sep=",", na_values=())
+        assert many.columns == one.columns
+        assert sorted(map(tuple, many.collect()), key=repr) == sorted(map(tuple, one.collect()), key=repr)
+
+
+def test_records_know_their_lines(spark, tmp_path, small_blocks):
+    text = random_csv(7, 80)
+    path = write(tmp_path / "x.csv", "\n" + text)
+    blocks = composed(block_traits(spark, path, {}).collect())
+    rows = sorted((r.line, r.text) for r in records(spark, path, ",", blocks).collect())
+    lines = ("\n" + text).split("\n")
+    assert len(rows) == 80 and all(lines[line - 1].startswith(t.split("\n")[0].rstrip("\r")) for line, t in rows)
+    assert [t.split(",")[0] for _, t in rows] == [str(i) for i in range(80)]
+
+
+@pytest.mark.parametrize(
+    ("line", "inside", "expected"),
+    [
+        (b"a,b", False, False), (b'"a', False, True), (b'a"b,"c', False, True), (b'a"b', False, False), (b'"a""', False, True), (b'"a"""', False, False),
+        (b'"a"x"y,z', False, False), (b'text",b', True, False), (b"text", True, True), (b'text"",x', True, True), (b'x","y', True, True), (b' "a', False, False), (b"", True, True), (b'"', True, False),
+    ],
+)
+def test_states_of_quotes(line, inside, expected):
+    assert ends_inside(line, inside, b",") is expected
+
+
+def test_unclosed_quotes_and_other_encodings(spark, tmp_path, small_blocks):
+    body = "".join(f'{i},"é\nline {i}"\n' for i in range(60))
+    write(tmp_path / "in/a.csv", "k,v\n" + body, "cp1252")
+    rows = {r.k: r.v for r in readers.read_delimited(spark, str(tmp_path / "in"), sep=",").collect()}
+    assert rows == {str(i): f"é\nline {i}" for i in range(60)}
+    path = write(tmp_path / "open.csv", "k,v\n" + "1,x\n" * 50 + '2,"never closed\n' + "3,y\n" * 90)
+    rows = readers.read_delimited(spark, path, sep=",").collect()
+    assert len(rows) == 51 and rows[-1].v.count("\n") >= 90
+
+
+def test_rejected_rows(spark, tmp_path):
+    text = 'ID,V\n1,a,EXTRA\n2\n3,"two\nlines"\n\n4,"x,y","z",\n5,b\n'
+    path = write(tmp_path / "x.csv", text)
+    rows, rejected = readers.read_delimited_checked(spark, path, sep=",")
+    assert sorted(map(tuple, rows.collect())) == [("2", None), ("3", "two\nlines"), ("5", "b")]
+    assert sorted((r.line, r.text, r.reason) for r in rejected.collect()) == [(2, "1,a,EXTRA", "too many cells"), (3, "2", "too few cells"), (7, '4,"x,y","z",', "too many cells")]
+    assert {r.file.rsplit("/", 1)[1] for r in rejected.collect()} == {"x.csv"}
+    with pytest.raises(Exception, match="more cells than the header"):
+        readers.read_delimited(spark, path, sep=",").count()
+    plain = write(tmp_path / "y.csv", "ID,V\n1,a\n2\n3,c,\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        readers.read_delimited(spark, plain, sep=",").select("ID").collect()
+    short = write(tmp_path / "z.csv", "ID,V,W\n1,a\n2\n,,\n")
+    assert sorted(map(tuple, readers.read_delimited(spark, short, sep=",").collect()), key=repr) == [("1", "a", None), ("2", None, None), (None, None, None)]
+    rows, rejected = readers.read_delimited_checked(spark, write(tmp_path / "none.csv", ""))
+    assert rows.columns == [] and rejected.collect() == []
+
+
+def test_repeated_and_blank_header_names(spark, tmp_path):
+    path = write(tmp_path / "x.csv", 'id,v,v,"a\nb",,v.1\n1,2,3,4,5,6\n')
+    df = readers.read_delimited(spark, path, sep=",")
+    assert df.columns == ["id", "v", "v.1", "a\nb", "_c4", "v.1.1"] and tuple(df.first()) == ("1", "2", "3", "4", "5", "6")
+
+
+def test_layouts_of_one_folder(spark, tmp_path):
+    write(tmp_path / "in/a.txt", "id|name|city\n1|Ann B|Oslo\n")
+    write(tmp_path / "in/b.txt", "id   name      city\n2    Ann C     New York\n3    D         Rome\n")
+    write(tmp_path / "in/c.txt", "city name id\nRome Eve 4\nOslo   Fay\t5\n")
+    write(tmp_path / "in/d.txt", "name id\nGus 6\n")
+    kinds = {r.file[-5:]: r.kind for r in layout.layouts(spark, str(tmp_path / "in")).collect()}
+    assert kinds == {"a.txt": "delimited", "b.txt": "fixed", "c.txt": "blank", "d.txt": "blank"}
+    rows = {(r.id, r.name, r.city) for r in readers.read_any(spark, str(tmp_path / "in")).collect()}
+    assert rows == {("1", "Ann B", "Oslo"), ("2", "Ann C", "New York"), ("3", "D", "Rome"), ("4", "Eve", "Rome"), ("5", "Fay", "Oslo"), ("6", "Gus", None)}
+
+
+def test_blank_separated_files_of_other_headers(spark, tmp_path):
+    write(tmp_path / "in/a.txt", "id name\n1 x\n")
+    write(tmp_path / "in/b.txt", "name id\ny 2\n")
+    assert {(r.id, r.name) for r in readers.read_blank_separated(spark, str(tmp_path / "in")).collect()} == {("1", "x"), ("2", "y")}
+    path = write(tmp_path / "w.txt", "id name\n1 a b c\n2\n")
+    assert {tuple(r) for r in readers.read_blank_separated(spark, path).collect()} == {("1", "a b c"), ("2", None)}
+
+
+def test_fixed_width_files_of_other_headers(spark, tmp_path):
+    write(tmp_path / "in/a.txt", "id   name      \n1    Ann B\n")
+    write(tmp_path / "in/b.txt", "name      id\nAnn C     2\n")
+    assert {(r.id, r.name) for r in readers.read_fixed_width(spark, str(tmp_path / "in")).collect()} == {("1", "Ann B"), ("2", "Ann C")}
+
+
+def test_trailer_line_is_rejected(spark, tmp_path):
+    lines = [f"{k:<5}{'n' + str(k):<10}{k}" for k in range(10, 99)]
+    trailer = "TOTAL of 89 lines in this file"
+    path = write(tmp_path / "f.txt", "\n".join(["ID   Name      N", *lines, trailer, ""]))
+    rows, rejected = readers.read_fixed_width_checked(spark, path)
+    assert rows.columns == ["ID", "Name", "N"] and rows.count() == 89
+    assert [(r.line, r.text, r.reason) for r in rejected.collect()] == [(91, trailer, "text between columns")]
+    kept = readers.read_fixed_width(spark, path)
+    assert kept.columns == ["ID", "Name", "N"] and "".join(kept.where("ID = 'TOTAL'").first()).replace(" ", "") == trailer.replace(" ", "")
+
+
+def test_right_aligned_numbers_that_grow(spark, tmp_path):
+    lines = [f"{'n' + str(k):<8}{k * k:>10}  z" for k in range(200)]
+    path = write(tmp_path / "f.txt", "\n".join([f"{'name':<8}{'number':>10}  q", *lines, f"{'last':<8}{10**9:>10}  z", ""]))
+    rows = readers.read_fixed_width(spark, path).collect()
+    assert len(rows) == 201 and tuple(rows[-1]) == ("last", "1000000000", "z") and tuple(rows[5]) == ("n5", "25", "z")
+
+
+def test_detection_reads_the_beginning_of_large_files(spark, tmp_path):
+    """Of a file larger than a scan partition only the beginning is read for its layout."""
+    path = write(tmp_path / "big.txt", "id|v\n" + "".join(f"{i}|{'z' * 400}\n" for i in range(150_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        store = spark.sparkContext._jsc.sc().statusStore()
+        (row,) = layout.layouts(spark, path).collect()
+        stage = max(s for job in spark.sparkContext.statusTracker().getJobIdsForGroup() for s in spark.sparkContext.statusTracker().getJobInfo(job).stageIds)
+        assert (row.kind, row.delimiter, row.header) == ("delimited", "|", "id|v")
+        assert 0 < store.lastStageAttempt(stage).inputBytes() < 45_000_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_known_options_need_no_detection(spark, tmp_path, monkeypatch):
+    path = write(tmp_path / "x.csv", "ID,V\n1,a\n")
+    monkeypatch.setattr(readers, "block_traits", None)  # not called
+    assert readers.read_delimited(spark, path, sep=",", encoding="utf-8", multiline=False).collect() == [("1", "a")]
