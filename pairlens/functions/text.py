@@ -28,19 +28,63 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, NBSP, " "), r"(?U)^\s+|\s+$", "")
 
 
-def as_text(c: Column, kind: T.DataType, scale: int = 6, na_values: tuple[str, ...] = ()) -> Column:
-    """Canonical text of a column of any type; null becomes the empty string."""
+def plain_number(c: Column) -> Column:
+    """The shortest decimal text of a double or float without exponent and closing zeros: ``1E7`` is ``10000000``, ``-0.0`` is ``0``.
+
+    All digits that tell the value from its neighbours are kept. NaN and infinities stay words.
+    """
+    said = c.cast("string")
+
+    def spread(p: Column) -> Column:  # digit, fraction, exponent
+        fraction = F.when(p[1] == "0", "").otherwise(p[1])
+        digits, point = F.concat(F.ltrim(p[0], F.lit("-")), fraction), p[2].cast("int") + 1
+        zeros = lambda n: F.repeat(F.lit("0"), n)
+        small = F.concat(F.lit("0."), zeros(-point), digits)
+        large = F.concat(F.substring(digits, F.lit(1), point), zeros(point - F.length(digits)))
+        rest = F.substring(digits, point + 1, F.length(digits))
+        whole = F.when(F.length(digits) > point, F.concat(large, F.lit("."), rest)).otherwise(large)
+        return F.concat(F.when(F.startswith(p[0], F.lit("-")), "-").otherwise(""), F.when(point <= 0, small).otherwise(whole))
+
+    plain = F.regexp_replace(F.regexp_replace(said, r"\.0$", ""), "^-0$", "0")
+    return F.when(F.contains(said, F.lit("E")), F.transform(F.array(F.split(said, "[.E]")), spread)[0]).otherwise(plain)
+
+
+def _ordered(c: Column, kind: T.DataType) -> Column:
+    """A nested value with the entries of its maps in the order of their keys."""
+    if isinstance(kind, T.MapType):
+        by_key = F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        out = F.map_from_entries(by_key)
+        return F.transform_values(out, lambda _, v: _ordered(v, kind.valueType)) if _has_map(kind.valueType) else out
+    if not _has_map(kind):
+        return c
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_ordered(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields))
+
+
+def as_text(c: Column, kind: T.DataType, scale: int | None = None, na_values: tuple[str, ...] = ()) -> Column:
+    """Canonical text of a column of any type; null becomes the empty string.
+
+    Doubles and floats keep all their digits unless a ``scale`` is given, to which they are rounded.
+    Maps are written in the order of their keys.
+    """
     if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
         text = F.when(~c.isin(*na_values), c) if na_values else c
         text = strip(text)
     elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        text = F.coalesce(c.try_cast(T.DecimalType(38, scale)).cast("string"), c.cast("string"))
+        text = plain_number(c) if scale is None else F.coalesce(c.try_cast(T.DecimalType(38, scale)).cast("string"), plain_number(c))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         whole = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         micros = F.date_format(c, "SSSSSS")
         text = F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
     elif isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        text = F.to_json(c)
+        text = F.to_json(_ordered(c, kind))
     elif isinstance(kind, T.BinaryType):
         text = F.lower(F.hex(c))
     else:
@@ -51,7 +95,7 @@ def as_text(c: Column, kind: T.DataType, scale: int = 6, na_values: tuple[str, .
 def canonical(df: DataFrame, ignore: list[str] | tuple[str, ...] = (), scales: dict[str, int] | None = None, na_values: tuple[str, ...] = ()) -> DataFrame:
     """All columns but the ignored ones as canonical text, in one projection."""
     scales = scales or {}
-    return df.select(*[as_text(column(f.name), f.dataType, scales.get(f.name, 6), na_values).alias(f.name) for f in df.schema.fields if f.name not in set(ignore)])
+    return df.select(*[as_text(column(f.name), f.dataType, scales.get(f.name), na_values).alias(f.name) for f in df.schema.fields if f.name not in set(ignore)])
 
 
 def rounded(c: Column, decimals: int) -> Column:
@@ -65,6 +109,20 @@ def rounded(c: Column, decimals: int) -> Column:
     return F.coalesce(F.round(number, decimals).cast("string"), trimmed)
 
 
+def apart_by_case(*tables: DataFrame) -> dict[str, str]:
+    """New names for columns that some table has in several spellings which differ in case only.
+
+    The first spelling of such a name (in binary order) stays; the others get ``~1``, ``~2`` and so on,
+    the same in all tables, whatever the order of their columns.
+    """
+    out: dict[str, str] = {}
+    for lower in sorted({c.lower() for df in tables for c in df.columns}):
+        spelt = [{c for c in df.columns if c.lower() == lower} for df in tables]
+        if any(len(some) > 1 for some in spelt):
+            out |= {c: f"{c}~{k}" for k, c in enumerate(sorted(set().union(*spelt))) if k}
+    return out
+
+
 def differs(prod: Column, dev: Column, decimals: int | None = None) -> Column:
     """True where two canonical cells differ, after rounding if decimals are given."""
     return rounded(prod, decimals) != rounded(dev, decimals) if decimals is not None else prod != dev

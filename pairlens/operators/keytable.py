@@ -42,14 +42,20 @@ def _side(df: DataFrame, keys: list[str], compared: list[str], fields: list[tupl
     return df.select(*[column(k).alias(n) for k, n in zip(keys, _names(keys))], *one, *digests, *filled)
 
 
-def key_table(prod: DataFrame, dev: DataFrame, keys: list[str], compared: list[str], fields: list[tuple[str, str]] = [], hashed: bool = True) -> DataFrame:
-    """The stored key table of a pair, in one pre-aggregated exchange; without ``hashed`` no key is settled.
+def key_rows(prod: DataFrame, dev: DataFrame, keys: list[str], compared: list[str], fields: list[tuple[str, str]] = [], hashed: bool = True) -> DataFrame:
+    """The key table of a pair, in one pre-aggregated exchange; without ``hashed`` no key is settled.
 
-    ``fields`` are (name, side) of columns that the other side lacks.
+    ``fields`` are (name, side) of columns that the other side lacks. Tables that are bucketed alike by
+    their keys need no exchange.
     """
     both = _side(prod, keys, compared, fields, MISSING, hashed).unionByName(_side(dev, keys, compared, fields, EXTRA, hashed))
     sums = [F.sum(c).alias(c) for c in ("n_prod", "n_dev", *[f"s{k}" for k in _HALVES], *[f"f{i}" for i in range(len(fields))])]
-    return stored(both.groupBy(*_names(keys)).agg(*sums))
+    return both.groupBy(*_names(keys)).agg(*sums)
+
+
+def key_table(*args, **kwargs) -> DataFrame:
+    """``key_rows``, stored."""
+    return stored(key_rows(*args, **kwargs))
 
 
 def settled(same_columns: bool) -> Column:

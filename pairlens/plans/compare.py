@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.storage import stored
-from ..functions.text import canonical, column, percent
+from ..functions.text import apart_by_case, canonical, column, percent
 from ..operators import align as A
 from ..operators import diff, keytable, profile, rules, schema_diff
+from ..operators.history import overall_pass  # noqa: F401
 from ..sources import readers, sinks
 
 #: The order of the built-in steps.
@@ -45,6 +46,7 @@ class DiffConfig:
     prod_name: str = "prod"
     dev_name: str = "dev"
     enabled: frozenset[str] = frozenset(STEPS)
+    canonical_inputs: bool = False  # the inputs are canonical text already, as ``sinks.write_keyed`` stores it
     hash_first: bool = True  # rows of equal keys and digests are settled without their cells
     counted_sequence: bool = False  # keys with very many equal rows
     hot_rows: int = A.HOT_ROWS  # rows of a key from which on it is numbered by several tasks
@@ -59,10 +61,15 @@ class DiffResult:
     """All results of one pair. Build it with ``compare``."""
 
     def __init__(self, prod: DataFrame, dev: DataFrame, cfg: DiffConfig, tolerance_rules: DataFrame | None = None):
+        if twins := apart_by_case(prod, dev):
+            name = lambda c: twins.get(c, c)
+            named = lambda d: {name(c): v for c, v in d.items()}
+            prod, dev = (df.toDF(*map(name, df.columns)) for df in (prod, dev))
+            cfg = replace(cfg, keys=tuple(map(name, cfg.keys)), ignore=tuple(map(name, cfg.ignore)), order=tuple(map(name, cfg.order)), tolerance=named(cfg.tolerance), scales=named(cfg.scales))
         self.cfg, self.run_id, self.events = cfg, uuid.uuid4().hex, []
         self.spark = prod.sparkSession
-        self.prod = canonical(prod, cfg.ignore, cfg.scales, cfg.na_values)
-        self.dev = canonical(dev, cfg.ignore, cfg.scales, cfg.na_values)
+        texts = lambda df: df.drop(*cfg.ignore) if cfg.canonical_inputs else canonical(df, cfg.ignore, cfg.scales, cfg.na_values)
+        self.prod, self.dev = texts(prod), texts(dev)
         self.keys, self.missing_keys = A.resolve_keys(self.prod, self.dev, list(cfg.keys))
         self.compared = A.common_columns(self.prod, self.dev, self.keys, set(cfg.ignore))
         self.rules = None  # field, decimals, reason of this pair's rules
@@ -385,7 +392,10 @@ def audit_timings(audit: DataFrame) -> DataFrame:
 
 
 def compare(prod: DataFrame, dev: DataFrame, cfg: DiffConfig = DiffConfig(), tolerance_rules: DataFrame | None = None) -> DiffResult:
-    """Compare two versions of a dataset. ``tolerance_rules`` (see ``rules.tolerance_rules``) add to the configured tolerances."""
+    """Compare two versions of a dataset. ``tolerance_rules`` (see ``rules.tolerance_rules``) add to the configured tolerances.
+
+    Columns of a table that differ in case only are told apart by ``functions.text.apart_by_case``.
+    """
     return DiffResult(prod, dev, cfg, tolerance_rules)
 
 
@@ -435,14 +445,5 @@ def compare_control(spark: SparkSession, control: DataFrame, tolerance: DataFram
     return compare_many(spark, pairs, alert_rules, workers, parsed, root, run_id)
 
 
-def overall_pass(summaries: DataFrame, strict: bool = False) -> DataFrame:
-    """One row: whether every pair has no failed row, error or alert (and, if strict, no row on one side only)."""
-    zero = lambda c: F.coalesce(c, F.lit(0)) == 0
-    ok = zero(F.col("matched_failed")) & F.col("error").isNull() & zero(F.col("alerts_triggered"))
-    if strict:
-        ok = ok & zero(F.col("missing_dev")) & zero(F.col("extra_dev"))
-    return summaries.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("overall_pass"))
-
-
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

@@ -119,6 +119,8 @@ _TEXT = """CASE o_orderkey % 5 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(18,
   ELSE '-0.00' || CAST(o_orderkey % 10 AS VARCHAR) END"""
 _ROUND = lambda n: f"coalesce(CAST(CAST(round(TRY_CAST(nullif(replace(t, ',', ''), '') AS DECIMAL(38,18)), {n}) AS DECIMAL(38,{n})) AS VARCHAR), t)"
 
+DOUBLES = tuple(f"0.{'0' * (e - len(k))}{k}" for k in ("1", "2", "35") for e in (7, 12, 20))
+
 SQL = {
     "value_differences": f"{ORDERS} SELECT * FROM cells",
     "missing_extra": f"{ORDERS} SELECT * FROM sides",
@@ -132,6 +134,8 @@ SQL = {
     "seq_alignment": f"{LINES} {_SIDES}",
     "seq_value_differences": LINES + _LINE_CELLS,
     "key_alignment": f"{LINES} {_SIDES}",
+    "keyed_tables": f"""{ORDERS}, r AS (SELECT "column" AS result, count(*) AS rows FROM cells GROUP BY 1 UNION ALL SELECT side, count(*) FROM sides GROUP BY 1) SELECT result, rows, CAST(0 AS BIGINT) AS exchanges FROM r""",
+    "dealt_scan": "SELECT l_orderkey, count(*) AS lines, CAST(1 AS BIGINT) AS exchanges FROM lineitem WHERE l_quantity > 10 GROUP BY 1",
     "key_states": f"""{LINES}, k AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS o, coalesce(a.np, 0) AS np, coalesce(b.nd, 0) AS nd, a.rows = b.rows AS same FROM
       (SELECT l_orderkey, l_linenumber, count(*) AS np, string_agg({_ROW}, chr(10) ORDER BY {_ROW}) AS rows FROM prod GROUP BY ALL) a FULL JOIN
       (SELECT l_orderkey, l_linenumber, count(*) AS nd, string_agg({_ROW}, chr(10) ORDER BY {_ROW}) AS rows FROM dev GROUP BY ALL) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber)
@@ -152,6 +156,10 @@ SQL = {
     "quality_report": _CUSTOMER_PROFILE + ' SELECT a."column", a.null_rate AS null_rate_prod, b.null_rate AS null_rate_dev, a.distinct_count AS distinct_count_prod, b.distinct_count AS distinct_count_dev, '
       + ", ".join(f"{_NUM(c, s)} AS {n}_{side}" for c, n in (("lo", "min"), ("hi", "max"), ("mean", "mean"), ("std", "std")) for s, side in (("a", "prod"), ("b", "dev")))
       + ", CASE WHEN a.is_num <> b.is_num THEN 'Yes' ELSE 'No' END AS type_mismatch FROM pr a JOIN pr b ON a.\"column\" = b.\"column\" AND a.side = 'prod' AND b.side = 'dev'",
+    "profile_merge": """WITH o AS (SELECT o_orderstatus, CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o_totalprice, o_orderpriority FROM orders),
+      l AS (UNPIVOT o ON o_orderkey, o_custkey, o_totalprice, o_orderpriority INTO NAME "column" VALUE v), c AS (SELECT *, TRY_CAST(v AS DOUBLE) AS n FROM l),
+      p AS (SELECT o_orderstatus, "column", count(n) > 0 AS is_num, min(n) AS lo, max(n) AS hi, avg(n) AS m, stddev_samp(n) AS s, count(n) AS k FROM c GROUP BY ALL UNION ALL SELECT 'all', "column", count(n) > 0, min(n), max(n), avg(n), stddev_samp(n), count(n) FROM c GROUP BY ALL)
+      SELECT o_orderstatus, "column", CAST(0 AS DOUBLE) AS null_rate, round(lo, 4) AS "min", round(hi, 4) AS "max", round(m, 4) AS mean, round(s, 4) AS std, CASE WHEN is_num THEN k END AS "count", CASE WHEN o_orderstatus = 'all' THEN TRUE END AS near FROM p""",
     "approx_distinct_error": "SELECT c AS \"column\", n AS exact, TRUE AS within FROM (SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS c, unnest([count(DISTINCT p_partkey), count(DISTINCT p_name), count(DISTINCT p_brand), count(DISTINCT p_type), count(DISTINCT p_size), count(DISTINCT p_retailprice)]) AS n FROM part)",
     "quality_switches": _CUSTOMER_PROFILE + ' SELECT a."column", a.null_rate AS null_rate_prod, b.null_rate AS null_rate_dev, CAST(NULL AS BIGINT) AS distinct_count_prod, CAST(NULL AS BIGINT) AS distinct_count_dev, '
       + ", ".join(f"CAST(NULL AS DOUBLE) AS {n}_{side}" for n in ("min", "max", "mean", "std") for side in ("prod", "dev"))
@@ -213,6 +221,10 @@ SQL = {
       (VALUES ('tolerance'), ('comparison'), ('duplicate'), ('schema'), ('data_quality'), ('alerts'), ('late_orders'), ('broken')) AS v(capability)""",
     "custom_check": f"{ORDERS} SELECT o_orderkey, prod_value, dev_value FROM cells WHERE \"column\" = 'o_totalprice'",
     "rounding": f"SELECT o_orderkey, {_ROUND(0)} AS r0, {_ROUND(2)} AS r2, {_ROUND(4)} AS r4, CASE WHEN regexp_full_match(t, '{NUMBER}') THEN TRY_CAST(t AS DOUBLE) END AS number FROM (SELECT o_orderkey, {_TEXT} AS t FROM orders)",
+    "double_text": f"""SELECT o_orderkey, v AS "value", CASE WHEN k = 2 THEN v ELSE NULL END AS short, v = CAST(CAST(o_orderkey AS BIGINT) * 10000000 AS VARCHAR) AS same FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderkey % 4 AS k, CASE o_orderkey % 4
+      WHEN 0 THEN {_LIST(DOUBLES)}[o_orderkey % 9 + 1] WHEN 1 THEN CAST(CAST(o_orderkey AS BIGINT) * 10000000 AS VARCHAR)
+      WHEN 2 THEN regexp_replace(CAST(CAST((o_orderkey - 9000) / 8.0 AS DECIMAL(18,3)) AS VARCHAR), '\\.?0+$', '') ELSE CAST(o_orderkey AS VARCHAR) END AS v FROM orders)""",
+    "case_twins": "SELECT CAST(s_suppkey AS VARCHAR) AS \"ID\", 'id~2' AS \"column\", s_name AS prod_value, s_name || '!' AS dev_value FROM supplier WHERE s_suppkey % 9 = 0",
     "clean_names": "SELECT '_' || p_type || '_' || p_name || '_' AS name, count(*) AS rows FROM part GROUP BY 1",
     "csv_roundtrip": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || ', "' || p_brand || '"' AS p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""",
     "delimited_roundtrip": _SUPPLIER_TEXT,

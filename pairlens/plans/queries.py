@@ -107,6 +107,28 @@ def hash_first_differences(spark, sf_dir):
     return union_all(found)
 
 
+def keyed_tables(spark, sf_dir):
+    """Both versions of orders stored by their keys: results of their comparison, and the exchanges that its plans hold."""
+    names, root = [f"keyed_{side}_{uuid.uuid4().hex}" for side in ("prod", "dev")], _scratch(spark, "keyed")
+    for name, df in zip(names, synth.orders_pair(spark, sf_dir)):
+        sinks.write_keyed(df, name, list(ORDERS.keys), 8, f"{root}/{name}")
+    result = compare(*map(spark.table, names), replace(ORDERS, canonical_inputs=True))
+    rows = keytable.key_rows(result.prod, result.dev, result.keys, result.compared)
+    exchanges = sum(df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (rows, result.aligned))
+    found = [(result.value_differences(), F.col("column")), (result.count_differences(), F.col("side"))]
+    counts = union_all([df.groupBy(by.alias("result")).agg(F.count(F.lit(1)).alias("rows")) for df, by in found])
+    return counts.withColumn("exchanges", F.lit(exchanges).cast("long"))
+
+
+def dealt_scan(spark, sf_dir):
+    """Lineitem read dealt by order, then grouped and joined by it: the exchanges of that plan."""
+    lines = readers.read_parquet(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"], F.col("l_quantity") > 10, ["l_orderkey"], 8)
+    counted = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"))
+    largest = counted.groupBy("l_orderkey").agg(F.max("lines").alias("lines"))
+    exchanges = largest._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    return largest.withColumn("exchanges", F.lit(exchanges).cast("long"))
+
+
 def seq_value_differences(spark, sf_dir):
     return _lineitem(spark, sf_dir).value_differences().withColumnRenamed(A.SEQ, "seq")
 
@@ -160,6 +182,22 @@ def quality_report(spark, sf_dir):
     return report.withColumns({c: F.round(c, 4) for c in ("mean_prod", "mean_dev", "std_prod", "std_dev")})
 
 
+def profile_merge(spark, sf_dir):
+    """Profiles of orders stored for each status and year, merged to one for each status and one of all."""
+    orders = synth.table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    rows = canonical(orders.withColumn("year", F.year("o_orderdate")).drop("o_orderdate"))
+    path = _scratch(spark, "parts")
+    profile.profile_parts(rows, ["o_orderstatus", "year"]).write.parquet(path)
+    parts = spark.read.parquet(path)
+    by_status = profile.merge_parts(parts, ["o_orderstatus"])
+    every = profile.profile_of_parts(profile.merge_parts(by_status)).withColumn("o_orderstatus", F.lit("all"))
+    found = profile.profile_of_parts(by_status, ["o_orderstatus"]).unionByName(every)
+    exact = profile.profile(rows.drop("o_orderstatus", "year")).select(F.col("column").alias("of"), F.col("distinct_count").alias("exact"))
+    near = F.when(F.col("o_orderstatus") == "all", F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near")
+    figures = [F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")]
+    return found.join(exact, F.col("column") == F.col("of")).select("o_orderstatus", "column", "null_rate", *figures, "count", near)
+
+
 def approx_distinct_error(spark, sf_dir):
     """Exact distinct counts, and whether the sketch is within a tenth of them."""
     part = canonical(synth.table(spark, sf_dir, "part"))
@@ -445,6 +483,23 @@ def rounding(spark, sf_dir):
     return rows.select("o_orderkey", rounded(F.col("text"), 0).alias("r0"), rounded(F.col("text"), 2).alias("r2"), rounded(F.col("text"), 4).alias("r4"), parsed(F.col("text")).alias("number"))
 
 
+def double_text(spark, sf_dir):
+    """Canonical texts of doubles that are very small, whole and large, fractions and halves, and whether a double equals its integer."""
+    key = F.col("o_orderkey")
+    small = F.element_at(F.array(*[F.lit(k * 10.0**-e) if k * 10.0**-e == float(f"{k}e-{e}") else F.lit(float(f"{k}e-{e}")) for k in (1, 2, 35) for e in (7, 12, 20)]), (key % 9 + 1).cast("int"))
+    value = F.when(key % 4 == 0, small).when(key % 4 == 1, key * F.lit(1e7)).when(key % 4 == 2, (key - 9000) / 8).otherwise(key.cast("double"))
+    rows = canonical(synth.table(spark, sf_dir, "orders").select("o_orderkey", value.alias("value"), value.cast("float").alias("short"), (key * 10_000_000).alias("whole")))
+    return rows.select("o_orderkey", "value", F.when(key % 4 == 2, F.col("short")).alias("short"), (F.col("value") == F.col("whole")).alias("same"))
+
+
+def case_twins(spark, sf_dir):
+    """Columns that differ in case only, in another order on each side, and one of them the key."""
+    base = synth.table(spark, sf_dir, "supplier")
+    prod = base.selectExpr("s_suppkey as ID", "s_name as id", "s_nationkey as Id")
+    dev = base.selectExpr("s_nationkey as Id", "if(s_suppkey % 9 = 0, concat(s_name, '!'), s_name) as id", "s_suppkey as ID")
+    return compare(prod, dev, DiffConfig(keys=("ID",))).value_differences()
+
+
 def clean_names(spark, sf_dir):
     bad = F.concat(F.lit("<"), F.col("p_type"), F.lit(":"), F.col("p_name"), F.lit("?. "))
     return synth.table(spark, sf_dir, "part").groupBy(clean_name(bad).alias("name")).agg(F.count(F.lit(1)).alias("rows"))
@@ -619,7 +674,7 @@ def queries() -> dict[str, Query]:
         tolerance_rejects, pair_tolerance, alerts, row_order_diff, chunk_counts, preflight_issues, active_pairs, control_issues, batch_summary, run_history, batch_totals, settings, audit_steps, custom_check, rounding,
         clean_names, csv_roundtrip, delimited_roundtrip, delimited_mixed, mixed_formats, delimiter_detect, encoding_detect, fixed_width, fixed_width_late, blank_separated, parquet_scan, inventory, stored_results,
         quality_switches, control_batch, run_summary, audit_log, ignored_fields, missing_keys, empty_side, rule_issues, step_switches, row_counts, header_columns, ordered_results, key_alignment, key_states, hash_first_differences,
-        rejected_rows, fixed_width_trailer, layout_mix, quoted_breaks,
+        keyed_tables, dealt_scan, profile_merge, double_text, case_twins, rejected_rows, fixed_width_trailer, layout_mix, quoted_breaks,
     ]
     return {f.__name__: f for f in found} | {"overall_pass": overall}
 

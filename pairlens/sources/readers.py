@@ -298,11 +298,19 @@ def read_blank_separated(spark: SparkSession, path: str, na_values: tuple[str, .
     return _blank(_united(parts), na_values) if parts else spark.createDataFrame([], "value string").select()
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None) -> DataFrame:
-    """Parquet with only the wanted columns and rows; both reach the scan."""
+def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, where: Column | str | None = None, partition_keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Parquet with only the wanted columns and rows; both reach the scan.
+
+    With ``partition_keys`` rows of equal keys are dealt to one partition (of ``partitions``), and what
+    follows by these keys needs no exchange of its own. For many comparisons see ``sinks.write_keyed``.
+    """
     df = spark.read.parquet(path)
     df = df.where(where) if where is not None else df
-    return df.select(*[column(c) for c in columns]) if columns else df
+    df = df.select(*[column(c) for c in columns]) if columns else df
+    if not partition_keys:
+        return df.repartition(partitions) if partitions else df
+    by = [column(k) for k in partition_keys]
+    return df.repartition(partitions, *by) if partitions else df.repartition(*by)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_name, column
+from ..functions.text import canonical, clean_name, column
+from ..operators.history import overall_pass
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -25,6 +26,19 @@ def write_table(df: DataFrame, path: str, order: list[str] | None = None) -> Non
     (df.orderBy(*by) if by else df).write.mode("errorifexists").parquet(path)
 
 
+def write_keyed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None, **texts) -> None:
+    """The canonical text of ``df`` as a catalog table that must not exist yet, bucketed and sorted by its keys.
+
+    Two such tables of one number of buckets are compared (``DiffConfig(canonical_inputs=True)``) without an
+    exchange of either: a version that many others are compared with is shuffled once, when it is written.
+    ``texts`` are options of ``canonical``; ``path`` puts the files outside the warehouse. All rows of a key
+    are in one bucket.
+    """
+    rows = canonical(df, **texts)
+    writer = rows.repartition(buckets, *[column(k) for k in keys]).write.format("parquet").mode("errorifexists").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_results(tables: dict[str, DataFrame], root: str, result_name: str, run_id: str, order: list[str] | None = None) -> dict[str, str]:
     """Every result table as Parquet under ``root/table/run_id=.../result_name=...``; {table: path}.
 
@@ -40,8 +54,6 @@ def write_results(tables: dict[str, DataFrame], root: str, result_name: str, run
 
 def write_summary(summaries: DataFrame, root: str, run_id: str) -> None:
     """Summary rows with ``overall_pass`` repeated on each, as JSON."""
-    from ..plans.compare import overall_pass
-
     summaries.crossJoin(overall_pass(summaries).select("overall_pass")).write.mode("errorifexists").json(f"{root}/run_id={run_id}")  # one row
 
 

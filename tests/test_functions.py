@@ -4,7 +4,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.functions.text import CSV_NA, canonical, clean_name, parsed, percent, rounded
+from pairlens.functions.text import CSV_NA, apart_by_case, canonical, clean_name, parsed, percent, rounded
+from pairlens.plans.compare import DiffConfig, compare
 
 
 @pytest.mark.parametrize(
@@ -29,7 +30,7 @@ def test_canonical_types(spark):
     rows = [(" a  ", 1e7, Decimal("1.50"), when, True, [1, 2], None), (None, None, None, when.replace(microsecond=5), None, None, b"\x01")]
     df = spark.createDataFrame(rows, "s string, d double, n decimal(5,2), t timestamp, b boolean, a array<int>, x binary")
     first, second = canonical(df).collect()
-    assert tuple(first) == ("a", "10000000.000000", "1.50", "2024-01-15 01:02:03", "true", "[1,2]", "")
+    assert tuple(first) == ("a", "10000000", "1.50", "2024-01-15 01:02:03", "true", "[1,2]", "")
     assert tuple(second) == ("", "", "", "2024-01-15 01:02:03.000005", "", "", "01")
 
 
@@ -47,3 +48,37 @@ def test_parsed(spark, text, number):
 def test_percent_and_names(spark):
     row = spark.range(1).select(percent(F.lit(1), F.lit(3)), percent(F.lit(1), F.lit(0)), clean_name(F.lit(' a<b>:"c. ')), clean_name(F.lit(" .. "))).first()
     assert tuple(row) == (33.3333, 0.0, "a_b___c", "CompareRecords")
+
+
+def test_doubles_keep_their_digits(spark):
+    import random
+    import struct
+    from decimal import Decimal
+
+    rng = random.Random(1)
+    values = [0.0, -0.0, 1e7, -1e7, 1e-7, 2e-7, 123456789.125, 0.001, 1e22, 1.5e300, 5e-324, 100.0, -2.5, 12345678.9] + [struct.unpack("d", rng.randbytes(8))[0] for _ in range(400)]
+    values = [v for v in values if v == v and abs(v) != float("inf")]
+    out = canonical(spark.createDataFrame([(v,) for v in values], "v double")).collect()
+    for v, r in zip(values, out):
+        assert "E" not in r.v and float(r.v) == v and "." not in r.v[-1:] and not (("." in r.v) and r.v.endswith("0"))
+    said = dict(zip(values, (r.v for r in out)))
+    assert {v: said[v] for v in (1e7, 1e-7, 100.0, -2.5, 123456789.125, 0.0)} == {1e7: "10000000", 1e-7: "0.0000001", 100.0: "100", -2.5: "-2.5", 123456789.125: "123456789.125", 0.0: "0"}
+    assert all(said[v] == format(Decimal(repr(v)), "f") for v in (1e22, 0.001, 12345678.9))
+    odd = canonical(spark.createDataFrame([(float("nan"), 0.1), (float("inf"), 1e10), (None, None)], "v double, f float")).collect()
+    assert [tuple(r) for r in odd] == [("NaN", "0.1"), ("Infinity", "10000000000"), ("", "")]
+    assert canonical(spark.createDataFrame([(2.345678912,)], "v double"), scales={"v": 2}).first().v == "2.35"
+
+
+def test_maps_are_equal_in_any_order(spark):
+    rows = spark.sql("select map('b', 1, 'a', 2) as m, array(map('y', map(2, 'x', 1, 'w'), 'x', null)) as n, named_struct('m', map('b', 1, 'a', 2)) as s union all select map('a', 2, 'b', 1), array(map('x', null, 'y', map(1, 'w', 2, 'x'))), named_struct('m', map('a', 2, 'b', 1))")
+    one, other = canonical(rows).collect()
+    assert one == other and one.m == '{"a":2,"b":1}'
+
+
+def test_names_that_differ_in_case_only(spark):
+    one = spark.createDataFrame([("1", "a", "x")], "k string, Val string, val string")
+    other = spark.createDataFrame([("y", "1", "a")], "val string, k string, Val string")
+    assert apart_by_case(one, other) == {"val": "val~1"} and apart_by_case(one.select("k"), other.select("k")) == {}
+    result = compare(one, other, DiffConfig(keys=("k",), ignore=("Val",)))
+    assert [(r.column, r.prod_value, r.dev_value) for r in result.value_differences().collect()] == [("val~1", "x", "y")]
+    assert compare(one, other, DiffConfig(keys=("k",), ignore=("val",))).value_differences().isEmpty()

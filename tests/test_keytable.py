@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.operators import keytable
 from pairlens.plans import compare as C
 from pairlens.plans.compare import DiffConfig, compare
+from pairlens.sources import sinks
 
 
 def frame(spark, rows, columns):
@@ -131,3 +132,24 @@ def test_one_alignment_serves_all_results(spark, tmp_path, monkeypatch, how):
     stored = {r.setting: r["value"] for r in tables["settings"].collect()}
     assert stored["Total Cell Differences"] == str(fresh[0].total_diffs) and stored["Matched Failed"] == str(fresh[0].matched_failed)
     assert summary.first().alerts_triggered == 1
+
+
+def test_tables_stored_by_key_are_compared_without_an_exchange(spark, tmp_path):
+    prod, dev = (frame(spark, [(str(i), "a", f"{i}.0{s}", "x") for i in range(k, 200)], "kabc") for k, s in ((0, 0), (3, 1)))
+    plain = compare(prod, dev, DiffConfig(keys=("k",), tolerance={"b": 1}))
+    expected = everything(plain)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, df in (("keyed_prod", prod), ("keyed_dev", dev)):
+            sinks.write_keyed(df, name, ["k"], 4, str(tmp_path / name))
+        result = compare(spark.table("keyed_prod"), spark.table("keyed_dev"), DiffConfig(keys=("k",), tolerance={"b": 1}, canonical_inputs=True))
+        for df in (keytable.key_rows(result.prod, result.dev, ["k"], result.compared), result.aligned):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert everything(result) == expected
+        with pytest.raises(Exception, match="(?i)exist"):
+            sinks.write_keyed(prod, "keyed_prod", ["k"], 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table if exists keyed_prod")
+        spark.sql("drop table if exists keyed_dev")

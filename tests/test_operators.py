@@ -47,6 +47,28 @@ def test_profile(spark):
     assert profile.profile(df.limit(0)).count() == 0
 
 
+def test_merged_profiles_equal_those_of_all_rows(spark):
+    """Also where sums of squares would cancel out: values far from zero that vary little."""
+    rows = [(str(i % 7), str(10**9 + (i * 37 % 101) / 100), ["", "x", "y"][i % 3], str(i)) for i in range(500)]
+    df = spark.createDataFrame(rows, "day string, n string, t string, id string")
+    parts = profile.profile_parts(df, ["day"])
+    merged = {r.column: r for r in profile.profile_of_parts(profile.merge_parts(parts)).collect()}
+    whole = {r.column: r for r in profile.profile(df.drop("day")).collect()}
+    assert set(merged) == set(whole) == {"n", "t", "id"}
+    for c, r in whole.items():
+        assert abs(merged[c].distinct_count - r.distinct_count) <= 0.05 * r.distinct_count
+        a, b = (tuple(x[n] for n in ("null_rate", "numeric", "min", "max", "mean", "std", "count")) for x in (merged[c], r))
+        assert all(x == y or abs(x - y) <= 1e-5 for x, y in zip(a, b))
+    days = {(r.day, r.column): r for r in profile.profile_of_parts(parts, ["day"]).collect()}
+    assert len(days) == 21 and days["3", "id"]["count"] == 71
+    assert profile.merge_parts(parts.where("false")).collect() == []
+
+
+def test_a_profile_is_one_pass(spark):
+    plan = profile.profile(spark.createDataFrame([("1", "x")], "a string, b string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Join" not in plan
+
+
 def test_quality_report_of_differing_columns(spark):
     p = profile.profile(spark.createDataFrame([("1",), ("2",)], "a string"))
     d = profile.profile(spark.createDataFrame([("x", "1")], "a string, b string"))
