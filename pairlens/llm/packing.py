@@ -36,7 +36,7 @@ class WordEncoder:
     """Token ids by a tokenizer that never joins characters across white space.
 
     Ids are remembered by word (ASCII white space parts words, A-Z is lower-cased as the tokenizer
-    does). ASCII punctuation at the end of a word is a token run of its own if an ASCII letter or digit
+    does). ASCII punctuation at the end of a word is a token run of its own if a letter or digit
     stands before it, so words are learned without it. Unknown words of a slice are tokenized
     together, parted by a character that is a token of its own between blanks; words that hold that
     character, and texts that hold the opening characters of a special token, are tokenized alone.
@@ -56,6 +56,7 @@ class WordEncoder:
         self.mark, self.parting = special.encode(), self.PARTING.encode()
         self.parting_ids = self.tokenizer.encode(self.PARTING, add_special_tokens=False).ids
         self.memo: dict[bytes, bytes] = {}
+        self.letters: dict[str, bool] = {}
         self.model = self.tokenizer.model
         probes = ("a", "probe", "abcdefghijklmnopqrstuvwxyz", "zq" * 20)
         self.direct = all([t.id for t in self.model.tokenize(p)] == self.tokenizer.encode(p, add_special_tokens=False).ids for p in probes)
@@ -67,8 +68,16 @@ class WordEncoder:
     def _tail(self, word: bytes) -> bytes:
         """Punctuation at the end of the word that is a token run of its own."""
         stem = word.rstrip(self.PUNCTUATION)
-        # other letters may normalise to a letter and a mark, and marks run together with punctuation
-        return word[len(stem) :] if len(stem) < len(word) and stem[-1:].isalnum() else b""
+        if len(stem) == len(word) or not stem:
+            return b""
+        alone = stem[-1:].isalnum() if stem[-1] < 128 else self._ends_alone(stem[-4:].decode(errors="ignore")[-1:])
+        return word[len(stem) :] if alone else b""
+
+    def _ends_alone(self, letter: str) -> bool:
+        """Whether the letter still ends in a letter once it is normalised: a mark would run together with punctuation."""
+        if letter not in self.letters:
+            self.letters[letter] = self.tokenizer.normalizer.normalize_str(letter)[-1:].isalpha()
+        return self.letters[letter]
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.parting_ids) > 1:  # the character is no single token here
