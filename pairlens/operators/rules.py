@@ -97,7 +97,7 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
         F.btrim("metric").alias("metric"),
         F.coalesce(F.btrim("operator"), F.lit(">")).alias("operator"),
         threshold.alias("threshold"),
-        F.coalesce("message", F.concat(F.lit("Alert: "), F.col("metric"))).alias("message"),
+        F.coalesce("message", F.concat(F.lit("Alert: "), F.col("metric"))).alias("message"),  # fixed value: the default text
     )
     values = metrics.select(F.col("metric").alias("__m"), F.col("value").alias("actual_value"))
     v, t = F.col("actual_value"), F.col("threshold")
@@ -182,7 +182,7 @@ def preflight_issues(specs: DataFrame, columns: DataFrame) -> DataFrame:
         found.append(issue(rows.where("__path <> '' and names is null"), f"{side}_path", F.concat(F.lit("No columns are known of input "), F.col("__path"))))
         missing = rows.where("names is not null").select("job", "__path", "names", F.explode("keys").alias("key")).where(~F.array_contains("names", F.col("key")))
         found.append(issue(missing, "keys", F.concat(F.lit(f"{side.upper()} input "), F.col("__path"), F.lit(" has no column for key "), F.col("key"))))
-    found.append(issue(specs.where("coalesce(size(keys), 0) <= 0"), "keys", "No key columns specified; rows are compared by position.", "WARNING"))
+    found.append(issue(specs.where("coalesce(size(keys), 0) <= 0"), "keys", "The job names no key, so rows are compared by their places.", "WARNING"))
     levels = specs.select("job", F.explode("tolerance").alias("name", "level"))
     number = F.btrim("level").try_cast("int")
     bad = levels.where(number.isNull() | (number < 0) | (number > MAX_DECIMALS))

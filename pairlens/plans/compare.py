@@ -245,6 +245,7 @@ class DiffResult:
     def _described(self) -> dict[str, Column]:
         listed = lambda names: F.lit(", ".join(names) or "-")
         fields = lambda s: listed(sorted(f for f, x in self.schema_fields if x == s))
+        # fixed values: the texts for no key and of a tolerance
         return {
             "used_keys": F.lit(", ".join(self.keys) or "(row-order fallback)"),
             "missing_key_columns": listed(self.missing_keys),

@@ -99,7 +99,7 @@ _SUPPLIER_ISSUES = """WITH s AS (SELECT CAST(s_suppkey + 1 AS INT) AS job, s_sup
 SELECT job, 'prod_path' AS field, 'No PROD input is named.' AS message, 'ERROR' AS severity FROM s WHERE k % 7 = 0
 UNION ALL SELECT job, 'dev_path', 'No columns are known of input nowhere', 'ERROR' FROM s WHERE k % 5 = 0
 UNION ALL SELECT job, 'keys', 'DEV input customer has no column for key o_orderkey', 'ERROR' FROM s WHERE k % 5 <> 0 AND k % 3 <> 0
-UNION ALL SELECT job, 'keys', 'No key columns specified; rows are compared by position.', 'WARNING' FROM s WHERE k % 3 = 0
+UNION ALL SELECT job, 'keys', 'The job names no key, so rows are compared by their places.', 'WARNING' FROM s WHERE k % 3 = 0
 UNION ALL SELECT job, 'tolerance', 'Tolerance of ''price'' must be a whole number from 0 to 18.', 'ERROR' FROM s WHERE k % 4 = 0"""
 
 _PAIRS = f"""{ORDERS}, c AS (SELECT {_COUNTS}),
@@ -243,6 +243,7 @@ SQL = {
     "quoted_breaks": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN chr(10) || '"second", line' WHEN 1 THEN ', and' ELSE '' END AS p_name, CAST(p_size AS VARCHAR) AS p_size FROM part""",
     "blank_separated": _SUPPLIER_TEXT,
     "parquet_scan": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 49",
-    "inventory": "SELECT count(*) > 0 AS is_parquet, 'o_orderstatus,y' AS partitions, TRUE AS found FROM orders UNION ALL SELECT count(*) < 0, '', TRUE FROM orders",
+    "inventory": """SELECT TRUE AS is_parquet, 'o_orderstatus,y' AS partitions, '.parquet' AS ending, count(DISTINCT (o_orderstatus, year(o_orderdate))) AS folders FROM orders
+      UNION ALL SELECT FALSE, '', '.csv', 1 UNION ALL SELECT TRUE, '', '', 1 UNION ALL SELECT FALSE, '', '', 1""",
     "stored_results": f"{ORDERS} SELECT 'value_differences' AS result, count(*) AS rows FROM cells UNION ALL SELECT 'count_differences', count(*) FROM sides UNION ALL SELECT 'schema_differences', count(*) FROM fields",
 }

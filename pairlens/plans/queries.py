@@ -435,14 +435,17 @@ def header_columns(spark, sf_dir):
 
 
 def ordered_results(spark, sf_dir):
-    """Result tables written in the order of the align keys: rows, and rows that stand before a smaller key of their file."""
+    """Result tables written in the order of the align keys: rows, and rows that stand behind a larger key of their file or an earlier one."""
     result = _orders(spark, sf_dir)
     tables = result.write(_scratch(spark, "ordered"), "r1", ordered=True)
     found = []
     for name in ("value_differences", "count_differences"):
         rows = tables[name].select("o_orderkey", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
         before = F.lag("o_orderkey").over(Window.partitionBy("file").orderBy("at"))
-        found.append(rows.withColumn("before", before).agg(F.lit(name).alias("result"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") > F.col("o_orderkey")).alias("out_of_order")))
+        files = rows.withColumn("before", before).groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") > F.col("o_orderkey")).alias("wrong"), F.min_by("o_orderkey", "at").alias("first"), F.max_by("o_orderkey", "at").alias("last"))
+        earlier = F.lag("last").over(Window.orderBy("file"))  # a row for each file, whose names are in order
+        joints = files.withColumn("earlier", earlier)
+        found.append(joints.agg(F.lit(name).alias("result"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), (F.sum("wrong") + F.count_if(F.col("earlier") > F.col("first"))).alias("out_of_order")))
     return union_all(found)
 
 
@@ -651,13 +654,26 @@ def parquet_scan(spark, sf_dir):
 
 
 def inventory(spark, sf_dir):
-    """Formats and partition columns of a partitioned table and a CSV folder written from orders."""
+    """Formats, endings and partition columns of a partitioned table, a CSV folder, and copies of files of either kind under names that tell nothing."""
     root = _scratch(spark, "inventory")
     orders = synth.table(spark, sf_dir, "orders")
     orders.withColumn("y", F.year("o_orderdate")).write.partitionBy("o_orderstatus", "y").parquet(f"{root}/a")
     sinks.write_csv(canonical(orders), f"{root}/b")
-    files = readers.source_inventory(spark, root)
-    return files.groupBy("is_parquet", F.array_join("partition_columns", ",").alias("partitions")).agg((F.count(F.lit(1)) > 0).alias("found"))
+    for name, source in (("c", f"{root}/a"), ("d", f"{root}/b")):
+        first = readers.source_inventory(spark, source).where("endswith(file, '.parquet') or endswith(file, '.csv')").orderBy("file").first()
+        _unnamed(spark, first.file, f"{root}/{name}/data")
+    files = readers.source_inventory(spark, root).where("not endswith(file, '_SUCCESS') and not endswith(file, '.crc')")
+    ending = F.regexp_extract(F.regexp_extract("file", "[^/]*$", 0), r"(\.csv|\.parquet)$", 1)
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    return files.groupBy("is_parquet", F.array_join("partition_columns", ",").alias("partitions"), ending.alias("ending")).agg(F.count_distinct(folder).alias("folders"))
+
+
+def _unnamed(spark, source: str, target: str) -> None:
+    """A copy of one file under another name."""
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = place(target).getFileSystem(conf)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(place(source).getFileSystem(conf), place(source), files, place(target), False, conf)
 
 
 def stored_results(spark, sf_dir):

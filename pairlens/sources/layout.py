@@ -29,6 +29,27 @@ def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.encode("value", "ISO-8859-1").alias("value"))
 
 
+def first_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """``file`` and ``value``, the bytes up to the first line end, of each file; of a large file no more is read."""
+    alone = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows = []
+            for file, size, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if file not in seen:
+                    seen.add(file)
+                    rows.append((file, value))
+                elif size >= alone:
+                    break
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["file", "value"])
+            if size >= alone:
+                return
+
+    return raw_lines(spark, files).mapInArrow(run, "file string, value binary")
+
+
 def text_of(line: bytes) -> str:
     """A line of unknown encoding as text, for looking at it."""
     try:

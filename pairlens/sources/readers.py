@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CSV_NA, column
-from .layout import BOM, DELIMITERS, SAMPLE_LINES, cuts_of, layouts, stray  # noqa: F401
+from .layout import DELIMITERS, SAMPLE_LINES, cuts_of, first_lines, layouts, stray  # noqa: F401
 from .records import Block, block_traits, composed, records
 
 #: The cp1252 characters of bytes 80 to 9F.
@@ -318,27 +318,21 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
 
 
-def _begins_as_parquet(spark: SparkSession, file: str) -> bool:
-    """Whether the first four bytes say Parquet; four bytes are read through the file's own file system."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(file)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return bytes(stream.read() & 0xFF for _ in range(4)) == b"PAR1"
-    finally:
-        stream.close()
+def _parquet_by_look(spark: SparkSession, files: list[str]) -> set[str]:
+    """Those of ``files`` whose first four bytes say Parquet, looked at by tasks: a row for each file comes back."""
+    return {r.file for r in first_lines(spark, files).where(F.startswith(F.col("value"), F.lit(b"PAR1"))).select("file").collect()} if files else set()
 
 
 def source_inventory(spark: SparkSession, path: str) -> DataFrame:
     """``file, length, is_parquet, partition_columns`` of all files below a path.
 
-    The ending tells the format; of files with an unknown ending the first four bytes are looked at.
+    The ending tells the format; the beginnings of files with an unknown ending are looked at by tasks.
     Partition columns come from key=value folders.
     """
     files = _files(spark, path)
     ending = lambda endings: reduce(lambda a, b: a | b, (F.lower("file").endswith(e) for e in endings))
-    unknown = files.where((F.col("length") >= 4) & ~ending(PARQUET_ENDINGS) & ~ending(OTHER_ENDINGS)).select("file").collect()  # the files to look into
-    found = [r.file for r in unknown if _begins_as_parquet(spark, r.file)]
-    by_look = spark.createDataFrame([(f,) for f in found], "known string")
+    unknown = [r.file for r in files.where((F.col("length") >= 4) & ~ending(PARQUET_ENDINGS) & ~ending(OTHER_ENDINGS)).select("file").collect()]  # the files to look into
+    by_look = spark.createDataFrame([(f,) for f in sorted(_parquet_by_look(spark, unknown))], "known string")
     marked = files.join(by_look, F.col("file") == F.col("known"), "left")
     return marked.select("file", "length", (ending(PARQUET_ENDINGS) | F.col("known").isNotNull()).alias("is_parquet"), F.expr(r"regexp_extract_all(file, '([^/=]+)=[^/]*/', 1)").alias("partition_columns"))
 
@@ -352,7 +346,7 @@ def is_parquet(spark: SparkSession, path: str) -> bool:
     first = files.orderBy("file").first()
     if first is None:
         return False
-    return first.file.lower().endswith(PARQUET_ENDINGS) or (not first.file.lower().endswith(OTHER_ENDINGS) and _begins_as_parquet(spark, first.file))
+    return first.file.lower().endswith(PARQUET_ENDINGS) or (not first.file.lower().endswith(OTHER_ENDINGS) and bool(_parquet_by_look(spark, [first.file])))
 
 
 def row_count(spark: SparkSession, path: str) -> int:
