@@ -259,7 +259,7 @@ def test_right_aligned_numbers_that_grow(spark, tmp_path):
 
 def test_detection_reads_the_beginning_of_large_files(spark, tmp_path):
     """Of a file larger than a scan partition only the beginning is read for its layout."""
-    path = write(tmp_path / "big.txt", "id|v\n" + "".join(f"{i}|{'z' * 400}\n" for i in range(150_000)))
+    path = write(tmp_path / "big.txt", "id|v\n" + "".join(f"{i}|{'z' * 400}\n" for i in range(500_000)))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
     try:
@@ -267,7 +267,7 @@ def test_detection_reads_the_beginning_of_large_files(spark, tmp_path):
         (row,) = layout.layouts(spark, path).collect()
         stage = max(s for job in spark.sparkContext.statusTracker().getJobIdsForGroup() for s in spark.sparkContext.statusTracker().getJobInfo(job).stageIds)
         assert (row.kind, row.delimiter, row.header) == ("delimited", "|", "id|v")
-        assert 0 < store.lastStageAttempt(stage).inputBytes() < 45_000_000
+        assert 0 < store.lastStageAttempt(stage).inputBytes() < 120_000_000  # of 203 MB; what is on its way when the task stops is read in vain
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
