@@ -25,7 +25,7 @@ def odd_docs(spark):
         (13, "ONE  two", "en", 13),
         (14, " ".join(f"L{i % 977}" for i in range(30000)), "de", 14),
         (15, "é ü  x \x0b\x0c\r y <|endoftext|> don't!! €5", "de", 15),
-        (16, "\u09b9\u09df, \u092a\u0939\u093e\u095c, \u0917\u095d. EV\u0130, \u0a5b! \ufb1d\ufb2a.", "tr", 16),
+        (16, "\u09b9\u09df, \u092a\u0939\u093e\u095c, \u0917\u095d. EV\u0130, \u0a5b! \ufb1d\ufb2a.", "de", 16),
     ]
     tags = [(r[0], r[1], r[2], "src", r[3], f"extra{k}", k, 0.5, k % 2 == 0) for k, r in enumerate(rows)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, id string, tag long, size double, `__text` boolean"
