@@ -30,6 +30,12 @@ from ..sources import readers, sinks
 
 #: The order of the built-in steps.
 STEPS = ("tolerance", "comparison", "duplicate", "schema", "data_quality", "alerts")
+#: The names of a summary's fields.
+SUMMARY = (
+    "result_name string, prod_file string, dev_file string, total_prod long, total_dev long, matched_passed long, matched_failed long, extra_dev long, missing_dev long, duplicate_prod long, "
+    "duplicate_dev long, used_keys array<string>, missing_key_columns array<string>, ignored_fields array<string>, tolerance_used map<string,int>, report_path string, elapsed_seconds double, "
+    "alerts_triggered long, schema_extra_count long, schema_missing_count long, error string"
+)
 
 
 @dataclass(frozen=True)
@@ -422,10 +428,9 @@ def compare_many(spark: SparkSession, pairs: list[Pair], alert_rules: DataFrame
         except Exception as e:
             return [{"result_name": name, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}]
 
-    schema = compare(spark.createDataFrame([], "k string"), spark.createDataFrame([], "k string"), DiffConfig(keys=("k",))).summary().schema
     with ThreadPoolExecutor(workers) as pool:
         rows = [r for found in pool.map(one, pairs) for r in found]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    schema = T.StructType.fromDDL(SUMMARY)
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
 
 
