@@ -4,8 +4,8 @@ Every row sends its key, a 128-bit digest of its compared cells and nothing else
 up before the exchange, so a key of very many rows is a few rows of it. The table has a row for each key:
 
 * ``__k0`` .. the key, ``n_prod`` and ``n_dev`` its rows on each side;
-* ``s1``, ``s2`` the two halves of PROD's digests, summed, minus DEV's: zero if both sides hold the same
-  rows as often;
+* ``s0`` .. ``s3`` the four quarters of PROD's digests, summed, minus DEV's: zero if both sides hold the
+  same rows as often (null, which settles nothing, beyond two thousand million rows of a key);
 * ``f0`` .. cells that are not blank, of the fields that one side lacks.
 
 A key is *settled* if both sides have as many rows of it and the sums are zero: its rows pair off without a
@@ -15,6 +15,8 @@ Missing and extra rows, duplicate keys, hot keys and all row counts follow from
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .align import EXTRA, MATCHED, MISSING, SEQ
 
 BROADCAST_BYTES = 32 << 20  # of keys that are sent to all tasks
 _PLACES = 1 << 14  # rows of a key that are listed at a time
-_HALVES = (1, 2)
+_QUARTERS = tuple(f"s{k}" for k in range(4))
 
 
 def _names(keys: list[str]) -> list[str]:
@@ -34,9 +36,9 @@ def _names(keys: list[str]) -> list[str]:
 def _side(df: DataFrame, keys: list[str], compared: list[str], fields: list[tuple[str, str]], own: str, hashed: bool) -> DataFrame:
     """Keys, counts, signed digests and filled fields of one side."""
     prod = own == MISSING
-    sign = 1 if prod else -1
-    half = lambda seed: (F.xxhash64(F.lit(seed), *[column(c) for c in compared]).cast("decimal(20,0)") * sign).cast("decimal(20,0)")
-    digests = [(half(k) if hashed else F.lit(None).cast("decimal(20,0)")).alias(f"s{k}") for k in _HALVES]
+    names = [column(c) for c in compared]
+    quarters = [q for seed in (1, 2) for h in [F.xxhash64(F.lit(seed), *names)] for q in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    digests = [((q if prod else -q) if hashed else F.lit(None)).cast("long").alias(n) for q, n in zip(quarters, _QUARTERS)]
     filled = [(column(c) != "" if side == own else F.lit(False)).cast("long").alias(f"f{i}") for i, (c, side) in enumerate(fields)]
     one = [F.lit(int(prod)).cast("long").alias("n_prod"), F.lit(int(not prod)).cast("long").alias("n_dev")]
     return df.select(*[column(k).alias(n) for k, n in zip(keys, _names(keys))], *one, *digests, *filled)
@@ -49,7 +51,7 @@ def key_rows(prod: DataFrame, dev: DataFrame, keys: list[str], compared: list[st
     their keys need no exchange.
     """
     both = _side(prod, keys, compared, fields, MISSING, hashed).unionByName(_side(dev, keys, compared, fields, EXTRA, hashed))
-    sums = [F.sum(c).alias(c) for c in ("n_prod", "n_dev", *[f"s{k}" for k in _HALVES], *[f"f{i}" for i in range(len(fields))])]
+    sums = [F.sum(c).alias(c) for c in ("n_prod", "n_dev", *[f"f{i}" for i in range(len(fields))])] + [F.try_sum(q).alias(q) for q in _QUARTERS]
     return both.groupBy(*_names(keys)).agg(*sums)
 
 
@@ -60,7 +62,7 @@ def key_table(*args, **kwargs) -> DataFrame:
 
 def settled(same_columns: bool) -> Column:
     """Rows of repeated keys are paired in the order of all their columns, so those settle only if both sides have the same columns."""
-    equal = (F.col("n_prod") == F.col("n_dev")) & (F.col("s1") == 0) & (F.col("s2") == 0)
+    equal = reduce(lambda a, b: a & b, (F.col(q) == 0 for q in _QUARTERS), F.col("n_prod") == F.col("n_dev"))
     equal = equal if same_columns else equal & (F.col("n_prod") == 1)
     return F.coalesce(equal, F.lit(False))
 

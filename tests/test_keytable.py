@@ -79,7 +79,7 @@ def test_unchanged_pairs_move_keys_and_digests_only(spark):
     result = compare(frame(spark, rows, "kab"), frame(spark, rows[::-1], "kab"), DiffConfig(keys=("k",)))
     prod, dev, keys = result._sides
     sides = [keytable._side(df, keys, result.compared, [], own, True) for df, own in ((prod, "Missing in Dev"), (dev, "Extra in Dev"))]
-    assert all(s.columns == ["__k0", "n_prod", "n_dev", "s1", "s2"] for s in sides)
+    assert all(s.columns == ["__k0", "n_prod", "n_dev", "s0", "s1", "s2", "s3"] for s in sides)
     assert result.totals.open == 0 and result.totals.settled == 140
     for table in (result.value_differences(), result.pass_report(only_failed=True)):
         assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString() and table.isEmpty()
