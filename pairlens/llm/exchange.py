@@ -3,11 +3,15 @@
 Documents are stored in chunks (one binary row each, some megabytes of text). A chunk sends the
 distinct 64-bit keys of its n-grams, sorted and pre-aggregated, in slices by key range ("buckets");
 Spark groups the slices of a bucket, the reducer combines equal keys of all chunks, and each chunk
-gets back one value for each key it sent. A key that every chunk holds costs one entry a chunk, so
-no key is hot. A bucket's mean size is fixed, so as input grows there are more buckets and fewer keys
-in a slice. A chunk does work only for the buckets it has keys in, so slices, bytes and work are
-bounded by the distinct keys of all chunks, which grow with the input and are what a plain ``groupBy``
-would move as rows. Small slices are stored without a compressor's frame.
+gets back one value for each key it sent. A bucket's mean size is fixed, so as input grows there are
+more buckets and fewer keys in a slice. A chunk does work only for the buckets it has keys in, so
+slices, bytes and work are bounded by the distinct keys of all chunks, which grow with the input and
+are what a plain ``groupBy`` would move as rows. Small slices are stored without a compressor's frame.
+
+A key that every chunk holds costs one entry a chunk, all in one bucket. Beyond ``FAN`` chunks the
+chunks are therefore dealt into groups of at most about ``FAN``: the slices of a bucket are combined
+for each group, the groups' slices for the bucket, and the values go back the same way. No group of
+rows then holds more than about ``FAN`` slices, up to ``FAN`` * ``FAN`` chunks (some 250 TB of text).
 
 Where a key of 64 bits is not enough, its other half is sent as the first value, and equal keys are
 those that agree in both halves (buckets that are ``paired``).
@@ -16,6 +20,7 @@ those that agree in both halves (buckets that are ``paired``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from .common import cut, lean, pack_sorted, sliced, unpack_sorted
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20  # of text for each bucket, twice that at most
-
+FAN = 8192  # chunks whose slices of a bucket are combined by one call
 
 FRAMED = 64  # bytes from which on compression pays
 
@@ -87,10 +92,16 @@ def chunked(docs: DataFrame, text: str, apart: str | None = None) -> DataFrame:
     return cut(docs.mapInArrow(lean(run), "chunk long, apart boolean, bytes long, payload binary"))
 
 
-def bucket_bits(chunks: DataFrame) -> int:
-    """Number of leading key bits that choose the bucket."""
-    total = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first().n
-    return max(2, int(total // BUCKET_BYTES).bit_length())
+class Shape(NamedTuple):
+    """Number of leading key bits that choose the bucket, and of groups of chunks."""
+
+    bits: int
+    groups: int
+
+
+def shape(chunks: DataFrame) -> Shape:
+    total = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n"), F.count("*").alias("chunks")).first()
+    return Shape(max(2, int(total.n // BUCKET_BYTES).bit_length()), max(1, -(-total.chunks // FAN)))
 
 
 SLICES = "bucket int, chunk long, keys binary, values binary"
@@ -140,32 +151,95 @@ def numbered(keys: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndar
     return inverse, int(new.sum())
 
 
-def reduced(sent: DataFrame, combine: Callable[[int, np.ndarray, np.ndarray, int], tuple[np.ndarray, list[float]]], paired: Callable[[int], bool] = lambda bucket: False) -> DataFrame:
-    """One result row for each slice.
+class Combine:
+    """How the values (entries x k int64) of equal keys become an answer for each entry."""
+
+    def paired(self, bucket: int) -> bool:
+        """Whether the first value is the second half of the key."""
+        return False
+
+    def merge(self, bucket: int, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """The merged values of keys 0 .. n - 1 (n x k), where entry i has key ``of[i]``; may be applied to merged values again."""
+        raise NotImplementedError
+
+    def settle(self, bucket: int, merged: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        """What all chunks are to know of the keys (n x m), and the bucket's statistics."""
+        return merged, [0.0]
+
+    def answer(self, bucket: int, values: np.ndarray, settled: np.ndarray) -> np.ndarray:
+        """The answer to each entry, given its own values and what was settled of its key."""
+        return settled
+
+
+def _entries(table: pa.Table, combine: Combine):
+    """Bucket, keys, second halves (or none) and values of the slices of a table, and where each slice begins."""
+    bucket = table.column("bucket")[0].as_py()
+    keys = [unpack_sorted(_expand(k.as_py())) for k in table.column("keys")]
+    values = np.concatenate([_numbers(v.as_py(), len(k)) for k, v in zip(keys, table.column("values"))])
+    at = np.cumsum([0, *map(len, keys)])
+    other, values = (values[:, 0], values[:, 1:]) if combine.paired(bucket) else (None, values)
+    return bucket, np.concatenate(keys), other, values, at
+
+
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(_expand(blob), np.int64).reshape(-1, n).T
+
+
+def _blob(values: np.ndarray) -> bytes:
+    return _squeeze(np.ascontiguousarray(values.T).tobytes())
+
+
+def _answers(owner: pa.Array, bucket: int, values: np.ndarray, at: np.ndarray, stats: list[float] | None, name: str = "chunk") -> pa.Table:
+    n = len(owner)
+    return pa.table({
+        name: owner,
+        "bucket": pa.array([bucket] * n, pa.int32()),
+        "values": pa.array([_blob(values[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
+        "stats": pa.array([stats] + [None] * (n - 1), pa.list_(pa.float64())),
+    })
+
+
+def reduced(sent: DataFrame, combine: Combine, groups: int = 1) -> DataFrame:
+    """One result row for each slice; one row of each bucket carries the bucket's statistics.
 
-    ``combine(bucket, inverse, values, n)`` gets, of all entries of a bucket, the number of the
-    distinct key (0 .. n - 1) and the values (entries x their number), and returns a value for each entry
-    (entries x m int64) and the bucket's statistics, which one row of the bucket carries.
+    With more than one group of chunks, what is sent is stored, since it is read on both ways.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        owners, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-        keys = [unpack_sorted(_expand(k.as_py())) for k in table.column("keys")]
-        values = [np.frombuffer(_expand(v.as_py()), np.int64).reshape(-1, len(k)).T for k, v in zip(keys, table.column("values"))]
-        entries, halves = np.concatenate(values), paired(bucket)
-        inverse, n = numbered(np.concatenate(keys), entries[:, 0] if halves else None)
-        out, stats = combine(bucket, inverse, entries[:, int(halves) :], n)
-        at = np.cumsum([0, *map(len, keys)])
-        blobs = [_squeeze(np.ascontiguousarray(out[a:b].T).tobytes()) for a, b in zip(at[:-1], at[1:])]
-        return pa.table({
-            "chunk": pa.array(owners, pa.int64()),
-            "bucket": pa.array([bucket] * len(owners), pa.int32()),
-            "values": pa.array(blobs, pa.binary()),
-            "stats": pa.array([stats] + [None] * (len(owners) - 1), pa.list_(pa.float64())),
-        })
-
-    return sent.groupBy("bucket").applyInArrow(run, RESULTS)
+    def whole(table: pa.Table) -> pa.Table:
+        bucket, keys, other, values, at = _entries(table, combine)
+        of, n = numbered(keys, other)
+        settled, stats = combine.settle(bucket, combine.merge(bucket, of, values, n))
+        return _answers(table.column("chunk").combine_chunks(), bucket, combine.answer(bucket, values, settled[of]), at, stats)
+
+    def up(table: pa.Table) -> pa.Table:
+        bucket, keys, other, values, _ = _entries(table, combine)
+        of, n = numbered(keys, other)
+        first = np.zeros(n, np.int64)
+        first[of] = np.arange(len(of))
+        merged = combine.merge(bucket, of, values, n)
+        if other is not None:
+            merged = np.column_stack([other[first], merged])
+        columns = [[bucket], [table.column("part")[0].as_py()], [_squeeze(pack_sorted(keys[first]))], [_blob(merged)]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "part", "keys", "values"])
+
+    def top(table: pa.Table) -> pa.Table:
+        bucket, keys, other, values, at = _entries(table, combine)
+        of, n = numbered(keys, other)
+        settled, stats = combine.settle(bucket, combine.merge(bucket, of, values, n))
+        return _answers(table.column("part").combine_chunks(), bucket, settled[of], at, stats, "part")
+
+    def down(slices_: pa.Table, settled: pa.Table) -> pa.Table:
+        bucket, keys, other, values, at = _entries(slices_, combine)
+        of, n = numbered(keys, other)  # the same order of keys as on the way up
+        known = _numbers(settled.column("values")[0].as_py(), n)[of]
+        return _answers(slices_.column("chunk").combine_chunks(), bucket, combine.answer(bucket, values, known), at, settled.column("stats")[0].as_py())
+
+    if groups == 1:
+        return sent.groupBy("bucket").applyInArrow(whole, RESULTS)
+    stored = cut(sent.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int")))
+    merged = stored.groupBy("bucket", "part").applyInArrow(up, "bucket int, part int, keys binary, values binary")
+    settled = merged.groupBy("bucket").applyInArrow(top, "part int, bucket int, values binary, stats array<double>")
+    return stored.groupBy("bucket", "part").cogroup(settled.groupBy("bucket", "part")).applyInArrow(down, RESULTS)
 
 
 def receive(chunks: DataFrame, results: DataFrame, finish: Callable[[int, pa.RecordBatch, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

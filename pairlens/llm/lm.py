@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, WHITE, apart, col, cut, mix, text_buffers, word_names, word_spans
-from .exchange import aligned, bucket_bits, chunked, receive, reduced, send, slices
+from .exchange import Combine, aligned, chunked, receive, reduced, send, shape, slices
 
 _U = np.uint64
 END, BEGIN = _U(0x9D3F5C1B7A2E4D61), _U(0x1F83D9ABFB41BD6B)
@@ -77,14 +77,17 @@ class _Sender:
             yield slices(chunk, stream, keys, np.stack(counts, axis=1), self.bits)
 
 
-def _sum_counts(bits: int):
-    def combine(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
-        sums = np.stack([np.bincount(of, weights=values[:, k], minlength=n) for k in (0, 1)], axis=1).astype(np.int64)
-        unigram = bucket >> bits == UNIGRAM
-        stats = [float((sums.sum(axis=1) > 0).sum()), float(sums[:, 0].sum()), float(sums.sum())] if unigram else [0.0, 0.0, 0.0]
-        return sums[of], stats
+class _SumCounts(Combine):
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def merge(self, bucket, of, values, n):
+        return np.stack([np.bincount(of, weights=values[:, k], minlength=n) for k in (0, 1)], axis=1).astype(np.int64)
 
-    return combine
+    def settle(self, bucket, merged):
+        if bucket >> self.bits != UNIGRAM:
+            return merged, [0.0, 0.0, 0.0]
+        return merged, [float((merged.sum(axis=1) > 0).sum()), float(merged[:, 0].sum()), float(merged.sum())]
 
 
 def _found(docs: pa.RecordBatch, found: dict, bits: int):
@@ -141,8 +144,8 @@ def score(docs: DataFrame, text: str, train, held, keep: list[str]) -> DataFrame
         *[col(c).alias(n) for c, n in zip(keep, inner)], (train & ~held).alias("counted"), (train & held).alias("held"), col(text).alias("text")
     )
     chunks = chunked(plain, "text", apart="held")
-    bits = bucket_bits(chunks)
-    results = cut(reduced(send(chunks, _Sender(bits)), _sum_counts(bits)))
+    bits, groups = shape(chunks)
+    results = cut(reduced(send(chunks, _Sender(bits)), _SumCounts(bits), groups))
     totals = results.where(F.col("stats").isNotNull()).agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0.0)).alias(c) for k, c in enumerate(("v", "na", "n"))]).first()
     rows = plain.agg(F.count_if("counted").alias("a"), F.count_if("held").alias("b")).first()
     v, n_a, n = int(totals.v), int(totals.na), int(totals.n)
@@ -162,7 +165,7 @@ def score(docs: DataFrame, text: str, train, held, keep: list[str]) -> DataFrame
     cells = receive(chunks.where(some), held_results, count_cells, "o long, c2 long, c1 long, n long").groupBy("o", "c2", "c1").agg(F.sum("n").alias("n"))
     weights = learn([tuple(r) for r in cells.collect()], 1.0 / (v + 1))  # a cell for each bucket and probability step
 
-    schema = T.StructType([*plain.select(*inner).schema.fields, *T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields])
+    schema = T.StructType([*plain.select(*inner).schema.fields, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
 
     def finish(chunk: int, part: pa.RecordBatch, found: dict) -> Iterator[pa.RecordBatch]:
         own, context, bi, at, begins = _found(part, found, bits)

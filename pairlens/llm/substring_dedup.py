@@ -1,22 +1,26 @@
 """Substring dedup by recompression.
 
 A round names maximal runs of one symbol, then pairs of a left and a right symbol (a symbol's side is
-a hash bit of its name). A name is a hash of what it stands for, so equal symbols have equal names in
-all documents without a dictionary. With each symbol goes the span of words that its existence
-depends on: wherever those words recur, the same symbol recurs (its "interior" part of a repeat).
-
-Spark round 1 (reveal): of the symbols after ``rounds`` rounds, those whose span fits in a window are
-keyed by name and span content, and the keys of all documents are compared; a key of one document
-only cannot lie in a repeat. Of the high-level symbols, after ``high_rounds`` rounds, those whose span
-holds a window are compared by all words of the span; each learns the smallest document with it.
-Where that is another, all windows of the span are repeats at once. Spark round 2 (verify): of the
-other windows, those that hold a shared symbol, and those that hold no complete one at all, are
-compared by all their words; each learns the smallest document with that window. (The smallest
-document that holds a window never leaves it out: a span that decides it lies in a smaller one.)
-Words covered by a window that begins in a smaller document go.
-
-Words are named by 64 bits; windows and spans are compared by two independent 64-bit hashes of all
-their words. Both rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a
+a hash bit of its name). Within a chunk of documents a name is a hash of what it stands for. With each
+symbol goes the span of words that its existence depends on: wherever those words recur, the same
+symbol recurs (its "interior" part of a repeat).
+
+Spark round 1 (name): the symbols after ``levels[0]`` rounds are named for all documents: equal ones,
+by two independent hashes of 64 bits, get one number, and one that a single chunk holds in a single
+document gets none. Further rounds build on these numbers, and a symbol made of parts without number
+cannot recur. The same round reveals, of the symbols after ``rounds`` rounds whose span fits in a
+window, those that several documents hold.
+Spark round 2 (shared high levels): of the symbols after ``levels[0]`` and after ``levels[1]`` rounds,
+those made of numbered parts only whose span holds a window are compared by all words of the span;
+each learns the smallest document with it. Where that is another, all windows of the span are repeats
+at once.
+Spark round 3 (verify): of the other windows, those that hold a shared low symbol, and those that hold
+no complete one at all, are compared by all their words; each learns the smallest document with that
+window. (The smallest document that holds a window never leaves it out: a span that decides it lies
+in a smaller one.) Words covered by a window that begins in a smaller document go.
+
+Words are named by 64 bits; symbols, windows and spans are compared by two independent 64-bit hashes of
+all their words. All rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a
 passage in a third of all documents is one entry a chunk.
 
 Defined results: null and empty texts have no words; a null id counts as larger than all others;
@@ -37,19 +41,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WHITE, apart, col, cut, mix, other_window_names, text_buffers, window_names, word_names, word_spans
-from .exchange import aligned, bucket_bits, chunked, numbered, receive, reduced, send, slices
+from .exchange import Combine, aligned, chunked, numbered, receive, reduced, send, shape, slices
 
 _U = np.uint64
 LARGEST = 2**63 - 1
-LOW, HIGH, WINDOW = 0, 1, 2  # streams of keys
+LOW, NAME, HIGH, WINDOW = 0, 1, 2, 3  # streams of keys
 
 
 class Symbols:
-    """Consecutive symbols of all documents of a chunk; ``low`` and ``high`` bound what each depends on."""
+    """Consecutive symbols of all documents of a chunk.
+
+    ``start`` is the first word of each, ``low`` and ``high`` bound what it depends on; ``shared``:
+    all its parts may recur in other documents.
+    """
 
     def __init__(self, names: np.ndarray, doc: np.ndarray):
         at = np.arange(len(names))
-        self.name, self.doc, self.low, self.high = names, doc, at, at + 1
+        self.name, self.doc, self.low, self.high, self.start = names, doc, at, at + 1, at
+        self.shared = np.ones(len(names), bool)
 
     def _reach(self, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> None:
         """Widen spans by those of neighbours; a missing neighbour (document edge) makes them reach outside."""
@@ -74,7 +83,8 @@ class Symbols:
         low = np.minimum.reduceat(self.low, first)
         high = np.maximum.reduceat(self.high, first)
         self._reach(low, high, first - 1, last + 1, self.doc[first])
-        self.name, self.doc, self.low, self.high = name, self.doc[first], low, high
+        self.shared = np.logical_and.reduceat(self.shared, first)
+        self.name, self.doc, self.low, self.high, self.start = name, self.doc[first], low, high, self.start[first]
 
     def pairs(self, salt: int) -> None:
         """Name neighbours (left side, right side); that a symbol stays alone depends on one neighbour."""
@@ -94,7 +104,8 @@ class Symbols:
         high = np.where(two, np.maximum(self.high[at], self.high[other]), self.high[at])
         alone_left, alone_right = ~two & ~right[at], ~two & right[at]
         self._reach(low, high, np.where(alone_right, at - 1, -2), np.where(alone_left, at + 1, -2), self.doc[at])
-        self.name, self.doc, self.low, self.high = name, self.doc[at], low, high
+        self.shared = self.shared[at] & (self.shared[other] | ~two)
+        self.name, self.doc, self.low, self.high, self.start = name, self.doc[at], low, high, self.start[at]
 
 
 _STEP, _OTHER_STEP = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
@@ -127,10 +138,18 @@ def _distinct(names: np.ndarray, others: np.ndarray, ids: np.ndarray):
     return keys, of, np.stack([other, lowest], axis=1)
 
 
+def _several(of: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Whether several ids hold each of the keys 0 .. n - 1, of which entry i has ``of[i]``."""
+    lowest, highest = np.full(n, LARGEST), np.full(n, -LARGEST - 1)
+    np.minimum.at(lowest, of, ids)
+    np.maximum.at(highest, of, ids)
+    return (lowest != highest).astype(np.int64)
+
+
 class Chunk:
     """Words, windows and complete symbols of a chunk of documents."""
 
-    def __init__(self, docs: pa.RecordBatch, width: int, rounds: int, high_rounds: int):
+    def __init__(self, docs: pa.RecordBatch, width: int, rounds: int, levels: tuple[int, int]):
         data, at = text_buffers(docs.column(docs.schema.get_field_index("text")))
         starts, ends, self.at = word_spans(data, at, WHITE)
         self.names = word_names(data, starts, ends)
@@ -150,12 +169,31 @@ class Chunk:
         self.first, self.last = np.maximum(high - width, doc_low), np.minimum(low, doc_high - width)
         fits = (high - low <= width) & (self.last >= self.first)
         self.keys, self.first, self.last = self.keys[fits], self.first[fits], self.last[fits]
-        self._rounds(s, rounds, high_rounds)
-        low, high, _, _, keys = self._complete(s, content)
-        long = high - low >= width
-        self.low, self.high = low[long], high[long]
-        other = mix(_Contents(mix(self.names), _OTHER_STEP).of(self.low, self.high)).view(np.int64)
-        self.spans = _distinct(keys[long], other, self.id_of[self.low])
+        # symbols to be named in Spark: two halves of each one's key, from its parts and from its words
+        self._rounds(s, rounds, levels[0])
+        self.content, self.other = content, _Contents(mix(self.names), _OTHER_STEP)
+        end = np.append(s.start[1:], n)[: len(s.name)]
+        other = mix(self.other.of(s.start, end)).view(np.int64)
+        keys, of, values = _distinct(s.name, other, self.id_of[s.start])
+        values[:, 1] = _several(of, self.id_of[s.start], len(keys))
+        self.symbols_, self.titles, self.levels = s, (keys, of, values), levels
+
+    def named(self, numbers: np.ndarray) -> None:
+        """Go on from the numbers that the distinct symbols got in Spark (0: none) to the spans to compare."""
+        s, given = self.symbols_, numbers[self.titles[1]]
+        s.shared = given > 0
+        s.name = np.where(s.shared, given.view(np.uint64), s.name)
+        spans = [self._long(s)]
+        self._rounds(s, *self.levels)
+        spans.append(self._long(s))
+        self.low, self.high = (np.concatenate(x) for x in zip(*spans))
+        keys, other = (mix(c.of(self.low, self.high) + (self.high - self.low).astype(np.uint64)) for c in (self.content, self.other))
+        self.spans = _distinct(keys, other.view(np.int64), self.id_of[self.low])
+
+    def _long(self, s: Symbols) -> tuple[np.ndarray, np.ndarray]:
+        """Spans, of a window at least, of complete symbols whose parts may all recur."""
+        own = s.shared & (s.low >= self.at[:-1][s.doc]) & (s.high <= self.at[1:][s.doc]) & (s.high - s.low >= self.width)
+        return s.low[own], s.high[own]
 
     @staticmethod
     def _rounds(s: Symbols, first: int, end: int) -> None:
@@ -190,10 +228,7 @@ class Chunk:
         """Distinct symbol keys, the key number of each symbol, and whether several documents hold the key."""
         keys, of = np.unique(self.keys, return_inverse=True)
         owner = self.id_of[self.first] if len(self.first) else np.zeros(0, np.int64)
-        lowest, highest = np.full(len(keys), LARGEST), np.full(len(keys), -LARGEST - 1)
-        np.minimum.at(lowest, of, owner)
-        np.maximum.at(highest, of, owner)
-        return keys, of, (lowest != highest).astype(np.int64)[:, None]
+        return keys, of, _several(of, owner, len(keys))[:, None]
 
     def candidates(self, shared: np.ndarray, decided: np.ndarray):
         """Distinct candidate windows, their occurrences, key numbers, and (other half of the key, smallest id in this chunk)."""
@@ -206,38 +241,62 @@ class Chunk:
         return keys, at, of, values
 
 
-def _shared(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
-    several = (np.bincount(of, minlength=n) > 1) | (np.bincount(of, weights=values[:, 0], minlength=n) > 0)
-    return several[of].astype(np.int64)[:, None], [0.0]
+class _Rounds(Combine):
+    """Low symbols: whether several documents hold them; named ones: their number; spans and windows: the smallest document."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def paired(self, bucket):
+        return bucket >> self.bits != LOW
 
+    def merge(self, bucket, of, values, n):
+        if bucket >> self.bits in (LOW, NAME):
+            several = (np.bincount(of, minlength=n) > 1) | (np.bincount(of, weights=values[:, 0], minlength=n) > 0)
+            return several.astype(np.int64)[:, None]
+        lowest = np.full(n, LARGEST)
+        np.minimum.at(lowest, of, values[:, 0])
+        return lowest[:, None]
 
-def _smallest(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
-    lowest = np.full(n, LARGEST)
-    np.minimum.at(lowest, of, values[:, 0])
-    return (values[:, 0] - lowest[of])[:, None], [0.0]  # mostly 0, so it packs well
+    def settle(self, bucket, merged):
+        if bucket >> self.bits == NAME:
+            place = (bucket & ((1 << self.bits) - 1)) << 32
+            merged = merged * (place + np.arange(1, len(merged) + 1))[:, None]
+        return merged, [0.0]
 
+    def answer(self, bucket, values, settled):
+        # mostly 0, so differences from the chunk's own smallest pack well
+        return settled if bucket >> self.bits in (LOW, NAME) else values[:, :1] - settled
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 13, rounds: int = 2, high_rounds: int = 8, keep: list[str] | None = None) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 13, rounds: int = 2, levels: tuple[int, int] = (8, 12), keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the text) plus n_words, n_removed and kept_text."""
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     inner = [f"k{i}" for i in range(len(keep))]
     plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, inner)], col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     chunks = chunked(plain, "text")
-    bits = bucket_bits(chunks)
+    bits, groups = shape(chunks)
+    combine, sent = _Rounds(bits), "bucket int, chunk long, keys binary, values binary"
 
-    def reveal(number: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        chunk = Chunk(part, width, rounds, high_rounds)
+    def name(number: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        chunk = Chunk(part, width, rounds, levels)
         keys, _, several = chunk.symbols()
         yield slices(number, LOW, keys, several, bits)
-        keys, _, values = chunk.spans
-        yield slices(number, HIGH, keys, values, bits)
+        keys, _, values = chunk.titles
+        yield slices(number, NAME, keys, values, bits)
 
-    def revealed_by(bucket: int, of: np.ndarray, values: np.ndarray, n: int):
-        return (_smallest if bucket >> bits == HIGH else _shared)(bucket, of, values, n)
+    def named(part: pa.RecordBatch, found: dict) -> Chunk:
+        chunk = Chunk(part, width, rounds, levels)
+        chunk.named(aligned(found, NAME, chunk.titles[0], bits, 1)[:, 0])
+        return chunk
+
+    def compare(number: int, part: pa.RecordBatch, found: dict) -> Iterator[pa.RecordBatch]:
+        keys, _, values = named(part, found).spans
+        yield slices(number, HIGH, keys, values, bits)
 
     def open_windows(part: pa.RecordBatch, found: dict):
         """The chunk, its windows that high-level symbols decide, and the candidates among the others."""
-        chunk = Chunk(part, width, rounds, high_rounds)
+        chunk = named(part, found)
         keys, of, _ = chunk.symbols()
         shared = aligned(found, LOW, keys, bits, 1)[of, 0] > 0
         keys, _, values = chunk.spans
@@ -248,7 +307,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         _, _, (keys, _, _, values) = open_windows(part, found)
         yield slices(number, WINDOW, keys, values, bits)
 
-    schema = T.StructType([*plain.select(*inner).schema.fields, *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
+    schema = T.StructType([*plain.select(*inner).schema.fields, *T.StructType.fromDDL("n_words long, n_removed long, kept_text string").fields])
 
     def finish(number: int, part: pa.RecordBatch, found: dict) -> Iterator[pa.RecordBatch]:
         chunk, decided, (keys, at, of, values) = open_windows(part, found)
@@ -268,9 +327,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             kept.append(b" ".join(words).decode())
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(k)) for k in inner] + [pa.array(np.diff(chunk.at)), pa.array(removed), pa.array(kept, pa.string())], names=schema.names)
 
-    revealed = cut(reduced(send(chunks, reveal), revealed_by, paired=lambda bucket: bucket >> bits == HIGH))
-    candidates = receive(chunks, revealed, verify, "bucket int, chunk long, keys binary, values binary")
-    smallest = reduced(candidates, _smallest, paired=lambda bucket: True)
-    out = receive(chunks, revealed.unionByName(smallest), finish, schema)
+    first = cut(reduced(send(chunks, name), combine, groups))
+    names = first.where(F.shiftright("bucket", bits) == NAME)
+    second = cut(reduced(receive(chunks, names, compare, sent), combine, groups))
+    known = first.unionByName(second)
+    third = reduced(receive(chunks, known, verify, sent), combine, groups)
+    out = receive(chunks, known.unionByName(third), finish, schema)
     added = ["n_words", "n_removed", "kept_text"]
     return out.select(*[F.col(i).alias(c) for i, c in zip(inner, apart(keep, added))], *added)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairlens.llm import decontaminate, line_dedup, lm, near_dedup, substring_dedup
+from pairlens.llm import decontaminate, exchange, line_dedup, lm, near_dedup, substring_dedup
 from pairlens.llm.components import components
 from pairlens.llm.substring_dedup import Chunk, Symbols
 
@@ -77,9 +77,43 @@ def test_long_repeats(spark, vocabulary):
     assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_repeats(rows)
 
 
+def test_symbols_of_one_document_are_not_compared_further():
+    one, other = (" ".join(f"{k}{i}" for i in range(900)) for k in "xy")
+    chunk = Chunk(pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "text": [one, other]}), 13, 2, (8, 12))
+    keys, _, values = chunk.titles
+    assert len(keys) > 50 and not values[:, 1].any()
+    chunk.named(np.zeros(len(keys), np.int64))
+    assert not len(chunk.spans[0]) and not chunk.decided(np.zeros(0, np.int64)).any()
+
+
+def test_chunks_combined_in_groups(spark, monkeypatch):
+    """Results do not depend on how many chunks one call combines; a word that all chunks hold is one entry a group."""
+    rows = [(d, f"every {t}") for d, t in long_passages(8, 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    score = lambda: rows_of(lm.score(docs, "text", F.col("doc_id") % 2 == 0, F.col("doc_id") % 4 == 0, ["doc_id"]), "doc_id", "n_tokens", "n_known", "train_tokens", "score")
+    whole = score()
+    sizes, plain = [], exchange.reduced
+    monkeypatch.setattr(exchange, "FAN", 2)
+
+    def counted(sent, combine, groups=1):
+        assert groups > 1
+        part = F.pmod(F.xxhash64("chunk"), F.lit(groups))
+        sizes.append((groups, sent.groupBy("bucket", part).count().agg(F.max("count")).first()[0], sent.groupBy("bucket").count().agg(F.max("count")).first()[0]))
+        return plain(sent, combine, groups)
+
+    monkeypatch.setattr(lm, "reduced", counted)
+    assert score() == whole
+    groups, largest, undivided = sizes[0]
+    assert groups >= 5 and largest < undivided and undivided >= 9
+    assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_repeats(rows)
+
+
 def test_high_level_symbols_decide_most_of_a_long_copy():
     texts = [t for _, t in long_passages(9, 5000)[-4:-2]]
-    chunk = Chunk(pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "text": texts}), 13, 2, 8)
+    chunk = Chunk(pa.RecordBatch.from_pydict({"id": pa.array([1, 2]), "text": texts}), 13, 2, (8, 12))
+    keys, of, values = chunk.titles
+    assert len(keys) < len(of) and values[:, 1].sum() > 0.8 * len(keys)
+    chunk.named(values[:, 1] * np.arange(1, len(keys) + 1))
     keys, of, values = chunk.spans
     assert len(keys) < len(of) and set(values[:, 1]) == {1}
     decided = chunk.decided(values[:, 1])
