@@ -10,7 +10,9 @@ are taken until its dictionary holds ``dict_bytes``, so copies of a text do not
 there are; of a training text longer than
 ``dict_bytes // 8`` one piece of that length is taken, at a hashed place, so that one text cannot be
 the dictionary and every label has one. This bounded sample is the only thing sent to the driver: at
-most ``dict_bytes`` for each distinct label.
+most ``dict_bytes`` for each distinct label. Every label costs a dictionary on the driver and in each
+task, and a compression of each text, so a column of more than ``max_labels`` distinct labels is refused
+with a ValueError: it holds something else than languages.
 
 Defined results: a null text, an empty one and one without a letter get ``und`` (size ratio 0,
 rejected). Ties go to the label with the most training rows, then to the one that sorts first. If no
@@ -38,6 +40,7 @@ from .common import apart, col, lean
 
 UNKNOWN = "und"
 DICT_BYTES = 96 << 10
+MAX_LABELS = 1000
 PIECE = 32 << 10
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
@@ -90,8 +93,11 @@ def _sampler(dict_bytes: int):
     return run
 
 
-def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text", lang: str = "lang", seed: int = 17) -> dict[str, bytes]:
+def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text", lang: str = "lang", seed: int = 17, max_labels: int = MAX_LABELS) -> dict[str, bytes]:
     """{language: dictionary content}, most frequent first, from a bounded sample of the labelled rows."""
+    labels = labelled.agg(F.count_distinct(col(lang).cast("string")).alias("n")).first().n
+    if labels > max_labels:
+        raise ValueError(f"{labels} distinct labels in column {lang}, at most {max_labels} are taken as languages")
     own, most = col(text), dict_bytes // 8
     rank = F.xxhash64(F.lit(seed), own)
     # a piece of a long text, cut by characters; at four bytes each it stays below `most` bytes

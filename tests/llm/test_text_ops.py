@@ -4,7 +4,7 @@ import math
 import re
 import time
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -135,6 +135,35 @@ def test_copies_do_not_fill_a_dictionary(spark):
         assert sorted(model["aa"].split(b"\n")) == sorted(langid.plain(t) for t in texts)
 
 
+def test_training_against_brute_force(documents):
+    """A dictionary is the first distinct texts in hash order that fill it, the first one last."""
+    size = 8 << 10
+    rows = documents.where("lang is not null and octet_length(text) between 1 and 1024").select("lang", "text", F.xxhash64(F.lit(17), "text").alias("rank"))
+    expected, count = {}, defaultdict(int)
+    texts = defaultdict(set)
+    for r in rows.collect():
+        count[r.lang] += 1
+        texts[r.lang].add((r.rank, r.text))
+    for lang, ranked in texts.items():
+        taken, held = [], 0
+        for _, text in sorted(ranked):
+            if held >= size:
+                break
+            taken.append(text)
+            held += len(text.encode())
+        expected[lang] = b"\n".join(langid.plain(x) for x in reversed(taken))[-size:]
+    model = langid.train(rows.repartition(7), dict_bytes=size)
+    assert len(expected) > 1 and model == expected
+    assert list(model) == sorted(model, key=lambda k: (-count[k], k))
+
+
+def test_columns_that_are_no_languages_are_refused(spark):
+    docs = spark.range(30).selectExpr("id as doc_id", "'some text' as text", "concat('l', id) as lang")
+    assert len(langid.train(docs, max_labels=30)) == 30
+    with pytest.raises(ValueError, match="30 distinct labels"):
+        langid.train(docs, max_labels=29)
+
+
 def test_language_id_of_odd_rows(spark, odd_docs):
     model = langid.train(odd_docs)
     assert set(model) == {"en", "de"}
