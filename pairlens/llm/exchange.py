@@ -143,9 +143,12 @@ def numbered(keys: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndar
     if other is None:
         distinct, inverse = np.unique(keys, return_inverse=True)
         return inverse, len(distinct)
-    order = np.lexsort((other, keys))
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+    order = np.argsort(keys)
+    new, differ = np.ones(len(keys), bool), other[order][1:] != other[order][:-1]
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    if (differ & ~new[1:]).any():  # keys that agree in their first half only
+        order = np.lexsort((other, keys))
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
     inverse = np.empty(len(keys), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return inverse, int(new.sum())
@@ -202,7 +205,7 @@ def _answers(owner: pa.Array, bucket: int, values: np.ndarray, at: np.ndarray, s
 def reduced(sent: DataFrame, combine: Combine, groups: int = 1) -> DataFrame:
     """One result row for each slice; one row of each bucket carries the bucket's statistics.
 
-    With more than one group of chunks, what is sent is stored, since it is read on both ways.
+    With more than one group of chunks, what is sent is exchanged once for both ways (ReusedExchange).
     """
 
     def whole(table: pa.Table) -> pa.Table:
@@ -236,10 +239,10 @@ def reduced(sent: DataFrame, combine: Combine, groups: int = 1) -> DataFrame:
 
     if groups == 1:
         return sent.groupBy("bucket").applyInArrow(whole, RESULTS)
-    stored = cut(sent.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int")))
-    merged = stored.groupBy("bucket", "part").applyInArrow(up, "bucket int, part int, keys binary, values binary")
+    dealt = sent.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(groups)).cast("int"))
+    merged = dealt.groupBy("bucket", "part").applyInArrow(up, "bucket int, part int, keys binary, values binary")
     settled = merged.groupBy("bucket").applyInArrow(top, "part int, bucket int, values binary, stats array<double>")
-    return stored.groupBy("bucket", "part").cogroup(settled.groupBy("bucket", "part")).applyInArrow(down, RESULTS)
+    return dealt.groupBy("bucket", "part").cogroup(settled.groupBy("bucket", "part")).applyInArrow(down, RESULTS)
 
 
 def receive(chunks: DataFrame, results: DataFrame, finish: Callable[[int, pa.RecordBatch, dict[int, bytes]], Iterator[pa.RecordBatch]], schema) -> DataFrame:

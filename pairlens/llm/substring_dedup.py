@@ -19,8 +19,9 @@ no complete one at all, are compared by all their words; each learns the smalles
 window. (The smallest document that holds a window never leaves it out: a span that decides it lies
 in a smaller one.) Words covered by a window that begins in a smaller document go.
 
-Words are named by 64 bits; symbols, windows and spans are compared by two independent 64-bit hashes of
-all their words. All rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a
+Words are named by 64 bits; named symbols, windows and spans are compared by two independent 64-bit
+hashes of all their words, low symbols by the bits that choose their bucket and ``LOW_BITS`` more: two
+that agree by chance only add windows to verify. All rounds use ``exchange``: equal keys of a chunk of documents are one entry, so a
 passage in a third of all documents is one entry a chunk.
 
 Defined results: null and empty texts have no words; a null id counts as larger than all others;
@@ -45,7 +46,9 @@ from .exchange import Combine, aligned, chunked, numbered, receive, reduced, sen
 
 _U = np.uint64
 LARGEST = 2**63 - 1
+OUTSIDE = 2**31 - 1  # beyond the words of a chunk
 LOW, NAME, HIGH, WINDOW = 0, 1, 2, 3  # streams of keys
+LOW_BITS = 32  # of a low symbol's key that are compared within a bucket, whose mean size is fixed
 
 
 class Symbols:
@@ -56,18 +59,19 @@ class Symbols:
     """
 
     def __init__(self, names: np.ndarray, doc: np.ndarray):
-        at = np.arange(len(names))
-        self.name, self.doc, self.low, self.high, self.start = names, doc, at, at + 1, at
+        at = np.arange(len(names) + 1, dtype=np.int32)
+        self.name, self.doc, self.low, self.high, self.start = names, doc.astype(np.int32), at[:-1], at[1:], at[:-1]
         self.shared = np.ones(len(names), bool)
 
-    def _reach(self, low: np.ndarray, high: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> None:
-        """Widen spans by those of neighbours; a missing neighbour (document edge) makes them reach outside."""
-        n = len(self.name)
-        lo = np.where((left >= 0) & (self.doc[np.maximum(left, 0)] == doc), self.low[np.maximum(left, 0)], -1)
-        r = np.clip(right, 0, n - 1)
-        hi = np.where((right < n) & (self.doc[r] == doc), self.high[r], LARGEST)
-        np.minimum(low, np.where(left == -2, low, lo), out=low)
-        np.maximum(high, np.where(right == -2, high, hi), out=high)
+    def _neighbours(self) -> tuple[np.ndarray, np.ndarray]:
+        """``low`` of each symbol's left and ``high`` of its right neighbour; a missing one (document edge) makes spans reach outside."""
+        edge = self.doc[1:] != self.doc[:-1]
+        low, high = np.full(len(self.doc), -1, np.int32), np.full(len(self.doc), OUTSIDE, np.int32)
+        np.copyto(low[1:], self.low[:-1], where=~edge)
+        np.copyto(high[:-1], self.high[1:], where=~edge)
+        return low, high
+
+    # Within a document neither ``low`` nor ``high`` ever falls, so the outermost parts of a symbol bound its span.
 
     def runs(self) -> None:
         """Name maximal runs; that a run ends depends on both neighbours."""
@@ -78,13 +82,12 @@ class Symbols:
         new[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], n) - 1
-        size = (last - first + 1).astype(np.uint64)
-        name = np.where(size > 1, mix(self.name[first] * _U(0xE7037ED1A0B428DB) + size), self.name[first])
-        low = np.minimum.reduceat(self.low, first)
-        high = np.maximum.reduceat(self.high, first)
-        self._reach(low, high, first - 1, last + 1, self.doc[first])
+        long = np.flatnonzero(last > first)
+        name = self.name[first]
+        name[long] = mix(name[long] * _U(0xE7037ED1A0B428DB) + (last - first + 1)[long].astype(np.uint64))
+        low, high = self._neighbours()
         self.shared = np.logical_and.reduceat(self.shared, first)
-        self.name, self.doc, self.low, self.high, self.start = name, self.doc[first], low, high, self.start[first]
+        self.name, self.doc, self.low, self.high, self.start = name, self.doc[first], low[first], high[last], self.start[first]
 
     def pairs(self, salt: int) -> None:
         """Name neighbours (left side, right side); that a symbol stays alone depends on one neighbour."""
@@ -96,16 +99,15 @@ class Symbols:
         joins[:-1] = ~right[:-1] & right[1:] & (self.doc[1:] == self.doc[:-1])
         head = np.ones(n, bool)
         head[1:] = ~joins[:-1]
-        at = np.flatnonzero(head)
-        two = joins[at]
-        other = np.minimum(at + 1, n - 1)
-        name = np.where(two, mix(self.name[at] * _U(0x8EBC6AF09C88C6E3) + self.name[other] * _U(0x589965CC75374CC3) + _U(salt)), self.name[at])
-        low = np.where(two, np.minimum(self.low[at], self.low[other]), self.low[at])
-        high = np.where(two, np.maximum(self.high[at], self.high[other]), self.high[at])
-        alone_left, alone_right = ~two & ~right[at], ~two & right[at]
-        self._reach(low, high, np.where(alone_right, at - 1, -2), np.where(alone_left, at + 1, -2), self.doc[at])
-        self.shared = self.shared[at] & (self.shared[other] | ~two)
-        self.name, self.doc, self.low, self.high, self.start = name, self.doc[at], low, high, self.start[at]
+        at, two = np.flatnonzero(head), np.flatnonzero(joins)
+        name = self.name.copy()
+        name[two] = mix(name[two] * _U(0x8EBC6AF09C88C6E3) + name[two + 1] * _U(0x589965CC75374CC3) + _U(salt))
+        low, high = self._neighbours()  # of a left one's right neighbour, joined or not; of a right one alone, its left neighbour
+        np.copyto(low, self.low, where=~right)
+        np.copyto(high, self.high, where=right)
+        shared = self.shared.copy()
+        shared[two] &= shared[two + 1]
+        self.name, self.doc, self.low, self.high, self.start, self.shared = name[at], self.doc[at], low[at], high[at], self.start[at], shared[at]
 
 
 _STEP, _OTHER_STEP = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
@@ -224,9 +226,10 @@ class Chunk:
         np.add.at(edge, self.last[chosen] + 1, -1)
         return np.cumsum(edge[:-1]) > 0
 
-    def symbols(self):
-        """Distinct symbol keys, the key number of each symbol, and whether several documents hold the key."""
-        keys, of = np.unique(self.keys, return_inverse=True)
+    def symbols(self, bits: int):
+        """Distinct first ``bits`` of symbol keys, the key number of each symbol, and whether several documents hold the key."""
+        unsent = _U(max(0, 64 - bits))
+        keys, of = np.unique(self.keys >> unsent << unsent, return_inverse=True)
         owner = self.id_of[self.first] if len(self.first) else np.zeros(0, np.int64)
         return keys, of, _several(of, owner, len(keys))[:, None]
 
@@ -276,11 +279,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     plain = docs.select(*[col(c).alias(n) for c, n in zip(keep, inner)], col(doc_id).cast("long").alias("id"), col(text).alias("text"))
     chunks = chunked(plain, "text")
     bits, groups = shape(chunks)
-    combine, sent = _Rounds(bits), "bucket int, chunk long, keys binary, values binary"
+    combine, sent, sent_bits = _Rounds(bits), "bucket int, chunk long, keys binary, values binary", bits + LOW_BITS
 
     def name(number: int, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         chunk = Chunk(part, width, rounds, levels)
-        keys, _, several = chunk.symbols()
+        keys, _, several = chunk.symbols(sent_bits)
         yield slices(number, LOW, keys, several, bits)
         keys, _, values = chunk.titles
         yield slices(number, NAME, keys, values, bits)
@@ -297,7 +300,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def open_windows(part: pa.RecordBatch, found: dict):
         """The chunk, its windows that high-level symbols decide, and the candidates among the others."""
         chunk = named(part, found)
-        keys, of, _ = chunk.symbols()
+        keys, of, _ = chunk.symbols(sent_bits)
         shared = aligned(found, LOW, keys, bits, 1)[of, 0] > 0
         keys, _, values = chunk.spans
         decided = chunk.decided(values[:, 1] - aligned(found, HIGH, keys, bits, 1)[:, 0])
@@ -329,7 +332,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     first = cut(reduced(send(chunks, name), combine, groups))
     names = first.where(F.shiftright("bucket", bits) == NAME)
-    second = cut(reduced(receive(chunks, names, compare, sent), combine, groups))
+    # not stored: the last query exchanges the chunks once for all that receive them, and what is sent once (ReusedExchange)
+    second = reduced(receive(chunks, names, compare, sent), combine, groups)
     known = first.unionByName(second)
     third = reduced(receive(chunks, known, verify, sent), combine, groups)
     out = receive(chunks, known.unionByName(third), finish, schema)

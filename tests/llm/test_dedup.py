@@ -123,6 +123,50 @@ def test_high_level_symbols_decide_most_of_a_long_copy():
     assert not set(left) & set(np.flatnonzero(decided)) and set(left) | set(np.flatnonzero(decided)) == set(np.flatnonzero(chunk.windows))
 
 
+@pytest.mark.parametrize("fan", [8192, 2])
+def test_chunks_and_what_they_send_are_exchanged_once(spark, monkeypatch, fan):
+    """Beside the chunks and the first round's results nothing is stored, with one or several groups of chunks."""
+    rows = long_passages(8, 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    stored = []
+    for module in (exchange, substring_dedup):
+        monkeypatch.setattr(module, "cut", lambda df, plain=module.cut: stored.append(df.columns) or plain(df))
+    monkeypatch.setattr(exchange, "FAN", fan)
+    out = substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert rows_of(out, *out.columns) == brute_repeats(rows)
+    assert len(stored) == 2
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    ways = 1 if fan == 8192 else 2
+    assert sum("Scan ExistingRDD" in line and "payload" in line for line in plan) == 1
+    assert sum("ReusedExchange" in line and "payload" in line for line in plan) == 2
+    assert sum("ReusedExchange" in line and "keys" in line for line in plan) == 1 + 2 * (ways - 1)
+
+
+def test_low_symbols_send_part_of_their_keys(spark, monkeypatch):
+    """Half the bytes; keys that agree by chance change no result."""
+    texts = [" ".join(map(str, np.random.default_rng(k).integers(0, 10**9, 4000))) for k in range(5)]
+    chunk = Chunk(pa.RecordBatch.from_pydict({"id": pa.array(range(5)), "text": texts}), 13, 2, (8, 12))
+
+    def sent(bits):
+        keys, of, several = chunk.symbols(bits)
+        assert len(of) == len(chunk.keys)
+        return sum(len(k.as_py()) for k in exchange.slices(1, substring_dedup.LOW, keys, several, 2).column("keys"))
+
+    assert sent(2 + substring_dedup.LOW_BITS) < 0.65 * sent(64)
+    monkeypatch.setattr(substring_dedup, "LOW_BITS", 0)
+    rows = long_passages(8, 5000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert rows_of(substring_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_text") == brute_repeats(rows)
+
+
+def test_keys_of_two_halves_are_numbered():
+    rng = np.random.default_rng(4)
+    for keys, other in ((rng.integers(0, 9, 200), rng.integers(-2, 2, 200)), (np.arange(50) % 7, np.arange(50) % 7), (np.zeros(0, int), np.zeros(0, int))):
+        of, n = exchange.numbered(keys.astype(np.uint64), other)
+        place = {pair: k for k, pair in enumerate(sorted(set(zip(keys.tolist(), other.tolist()))))}
+        assert n == len(place) and of.tolist() == [place[pair] for pair in zip(keys.tolist(), other.tolist())]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=3, max_size=25), st.lists(st.integers(0, 2), max_size=12), st.lists(st.integers(0, 2), max_size=12), st.lists(st.integers(0, 2), max_size=12))
 def test_symbols_of_a_passage_recur(passage, before, left, after):
