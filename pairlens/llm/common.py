@@ -80,17 +80,41 @@ def crc32_mod(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
-def lean(run):
-    """A task function that gives freed memory back at its end: Python workers outlive their tasks."""
+_HELD: dict[str, dict] = {}
+
+
+def held(kind: str, key, make):
+    """``make(key)``, kept in a Python worker from task to task of this kind; a ``lean`` task of another kind drops it."""
+    own = _HELD.setdefault(kind, {})
+    if key not in own:
+        own[key] = make(key)
+    return own[key]
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _drop_others(kind: str | None) -> None:
+    others = [k for k in _HELD if k != kind]
+    for k in others:
+        del _HELD[k]
+    if others:
+        _give_back()
+
+
+def lean(run, kind: str | None = None):
+    """A task function that gives memory back, for Python workers outlive their tasks: before it, what tasks of another ``kind`` held; at its end, what it freed."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        _drop_others(kind)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            _give_back()
 
     return wrapped
 

@@ -105,10 +105,10 @@ def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES, text: str = "text",
     piece = F.when(F.octet_length(own) <= most, own).otherwise(F.substring(own, place, F.lit(most // 4)))
     rows = labelled.select(col(lang).cast("string").alias("lang"), rank.alias("rank"), piece.alias("text"), F.lit(1).cast("long").alias("n"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    few = rows.mapInArrow(_sampler(dict_bytes), _SAMPLE)
+    few = rows.mapInArrow(lean(_sampler(dict_bytes)), _SAMPLE)
     # the samples of very many tasks are merged by several tasks for each language, then by one
     for by in (["lang", F.pmod("rank", F.lit(64))], ["lang"]):
-        few = few.repartition(*by).mapInArrow(_sampler(dict_bytes), _SAMPLE)
+        few = few.repartition(*by).mapInArrow(lean(_sampler(dict_bytes)), _SAMPLE)
     found: dict[str, list] = {}
     total: Counter[str] = Counter()
     for row in few.collect():  # at most dict_bytes and one text more for each language

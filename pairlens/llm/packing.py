@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, col, cut, lean, sliced
+from .common import apart, col, cut, held, lean, sliced
 
 CAPACITY = 4096
 
@@ -157,13 +157,12 @@ def parts_at_blanks(path: str) -> bool:
     return special and stored["model"]["type"] == "BPE" and not stored["model"].get("dropout") and all(steps(stored.get(k)) == v for k, v in WORD_STEPS.items())
 
 
-_ENCODERS: dict = {}
+_TOKENIZING = "tokenizing"
 
 
 def _encoder(path: str):
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path) if parts_at_blanks(path) else TextEncoder(path)
-    return _ENCODERS[path]
+    """Kept with its words for the worker's next task of this kind: some 200 MB once ``MEMO`` words are remembered."""
+    return held(_TOKENIZING, path, lambda p: WordEncoder(p) if parts_at_blanks(p) else TextEncoder(p))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int = 1, capacity: int = CAPACITY, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -199,7 +198,7 @@ def tokenized(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int =
                     names=schema.names,
                 )
 
-    out = plain.mapInArrow(lean(run), schema)
+    out = plain.mapInArrow(lean(run, _TOKENIZING), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(inner, apart(keep, [*added.names, "sequence_id", "offset"]))], *added.names)
 
 
@@ -376,5 +375,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(key, (length << 44) + number, side="right") - 1
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base[at] + number - first[at]), pa.array(offset[at])], names=schema.names)
 
-    out = numbered.mapInArrow(place, schema)
+    out = numbered.mapInArrow(lean(place), schema)
     return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(pieces.columns)], "sequence_id", "offset")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairlens.llm import decontaminate, langid, lm, packing, queries
+from pairlens.llm.common import lean
 from pairlens.llm.fm_index import SEPARATOR, FMIndex
 
 
@@ -296,6 +297,27 @@ def test_tokenizer_files_choose_their_encoder(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == [*Tokenizer.from_file(byte_level).encode(text, add_special_tokens=False).ids, 50256]
 
 
+def test_workers_drop_the_tokenizer_before_other_tasks(spark, documents):
+    def probe(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from pairlens.llm.packing import WordEncoder
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, WordEncoder) for x in gc.get_objects())], pa.int64())], names=["n"])
+
+    def most(**kind):
+        return spark.range(0, 64, 1, 16).mapInArrow(lean(probe, **kind), "n long").agg(F.max("n").alias("n")).first().n
+
+    tokenize = lambda: packing.tokenized(documents.repartition(16), queries.word_tokenizer()).count()
+    tokenize()
+    assert most() == 0
+    tokenize()
+    assert most(kind="tokenizing") == 1  # kept for the next task of its own kind
+
+
 def test_packing(spark, odd_docs):
     from tokenizers import Tokenizer
 
