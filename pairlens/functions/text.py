@@ -31,7 +31,8 @@ def strip(c: Column) -> Column:
 def plain_number(c: Column) -> Column:
     """The shortest decimal text of a double or float without exponent and closing zeros: ``1E7`` is ``10000000``, ``-0.0`` is ``0``.
 
-    All digits that tell the value from its neighbours are kept. NaN and infinities stay words.
+    All digits that tell the value from its neighbours are kept. NaN and infinities stay words. A float's
+    text may be shorter than that of the equal double, as its neighbours are farther: ``1048594.2`` of 1048594.25.
     """
     said = c.cast("string")
 
