@@ -146,9 +146,16 @@ class DiffResult:
         """All rows of both sides with all their cells, in a full outer join; see ``operators.align.align``."""
         return self._aligned(*self._sides[:2])
 
-    def alignment(self) -> DataFrame:
-        """The align keys and ``side`` of all rows, from the key table alone."""
-        return keytable.alignment(self.keytable, self._sides[2], self.using_sequence)
+    def alignment(self, numbered: bool | None = None) -> DataFrame:
+        """The align keys and ``side`` of all rows, from the numbers of rows of each key alone.
+
+        ``numbered`` says whether ``_SEQ_`` is among the keys (default: if either side repeats a key); where
+        it is given no key table is stored for this.
+        """
+        numbered = self.using_sequence if numbered is None else numbered
+        prod, dev, keys = self._sides
+        table = self.keytable if "keytable" in self.__dict__ else keytable.key_counts(prod, dev, keys)
+        return keytable.alignment(table, keys, numbered)
 
     @cached_property
     def rows(self) -> DataFrame:
