@@ -1,8 +1,10 @@
-"""Checkpoints in the shared folder that the cluster names."""
+"""Checkpoints in the shared folder that the cluster names, and exchanges that are dropped once they were read."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,18 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def dropped_exchanges(spark: SparkSession) -> Iterator[None]:
+    """Within it Spark deletes what a job's exchanges have written when the job ends, not when the driver collects its garbage.
+
+    For jobs whose results are stored: a table that is computed again exchanges its rows again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

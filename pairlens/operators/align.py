@@ -109,11 +109,30 @@ def with_row_id(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return numbered.withColumn(ROW_ID, F.col("__before") + F.col("__at") - F.col("__first")).select(*[column(c) for c in df.columns], ROW_ID)
 
 
-def align(prod: DataFrame, dev: DataFrame, keys: list[str]) -> DataFrame:
+def _align_repeated(prod: DataFrame, dev: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of a key, of both sides, meet in one task, which numbers and pairs them."""
+    names, sides = [f"__k{i}" for i in range(len(keys))], (("p", prod), ("d", dev))
+    cells = {name: [c for c in df.columns if c not in keys] for name, df in sides}
+    packed = lambda df, name: F.struct(F.lit(True).alias("__here"), *[column(c) for c in cells[name]]).alias(name)
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(*[column(k).alias(n) for k, n in zip(keys, names)], packed(df, name)) for name, df in sides])
+    text = lambda name: F.concat_ws("|", *[column(c, name) for c in cells[name]])  # noqa: E731  as ``_order_text``
+    place = Window.partitionBy(*names, F.col("p").isNull()).orderBy(F.when(F.col("d").isNull(), text("p")).otherwise(text("d")))
+    seq = f"__k{len(keys)}"
+    numbered = both.repartition(*names).withColumn(seq, (F.row_number().over(place) - 1).cast("long"))
+    paired = numbered.groupBy(*names, seq).agg(*[F.first(name, ignorenulls=True).alias(name) for name, _ in sides])
+    side = F.when(F.col("d").isNull(), MISSING).when(F.col("p").isNull(), EXTRA).otherwise(MATCHED)
+    return paired.withColumn("side", side)
+
+
+def align(prod: DataFrame, dev: DataFrame, keys: list[str], repeated: bool = False) -> DataFrame:
     """One full outer join: ``__k0``.. (keys), ``p`` and ``d`` (rows as structs), ``side``.
 
-    One exchange for each input serves matched, missing and extra rows alike.
+    One exchange for each input serves matched, missing and extra rows alike. With ``repeated`` the rows of
+    a key are numbered as by ``with_sequence``, the numbers are the last key, ``p`` and ``d`` hold no keys, and
+    one exchange, by ``keys``, serves for numbers and pairs; keys of very many rows are to be numbered before.
     """
+    if repeated:
+        return _align_repeated(prod, dev, keys)
     names = [f"__k{i}" for i in range(len(keys))]
     packed = lambda df, name: df.select(*[column(k).alias(n) for k, n in zip(keys, names)], F.struct(*[column(c) for c in df.columns]).alias(name))
     joined = packed(prod, "p").join(packed(dev, "d"), names, "full_outer")

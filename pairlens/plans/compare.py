@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.storage import stored
+from ..functions.storage import dropped_exchanges, stored
 from ..functions.text import apart_by_case, canonical, column, percent
 from ..operators import align as A
 from ..operators import diff, keytable, profile, rules, schema_diff
@@ -131,6 +131,8 @@ class DiffResult:
         return A.with_sequence(df, self.keys, hot if self.totals[f"largest_{side}"] > self.cfg.hot_rows else None)
 
     def _aligned(self, prod: DataFrame, dev: DataFrame) -> DataFrame:
+        if self.using_sequence and not self.cfg.counted_sequence and max(self.largest) <= self.cfg.hot_rows:
+            return A.align(prod, dev, self.keys, True)
         if self.using_sequence:
             prod, dev = self._numbered(prod, "prod"), self._numbered(dev, "dev")
         return A.align(prod, dev, self.align_keys)
@@ -413,6 +415,23 @@ def compare(prod: DataFrame, dev: DataFrame, cfg: DiffConfig = DiffConfig(), tol
     return DiffResult(prod, dev, cfg, tolerance_rules)
 
 
+def in_passes(prod: DataFrame, dev: DataFrame, cfg: DiffConfig, passes: int, table: Callable[[DiffResult], DataFrame]) -> DataFrame:
+    """What ``table`` makes of the comparison of one part of the keys after the other, stored and united.
+
+    All rows of a key are in one part and each part is compared whole, so no row is left out; counts of the
+    parts are to be added up. Exchanges of a part are dropped before the next begins, so they never hold more
+    than a part of the rows, for the price of scans of both inputs in each pass. Without keys there is one pass.
+    """
+    whole = DiffResult(prod, dev, cfg)
+    cfg = replace(whole.cfg, canonical_inputs=True, tolerance=whole.tolerance)
+    found = []
+    with dropped_exchanges(whole.spark):
+        for k in range(passes if whole.keys else 1):
+            part = F.pmod(F.xxhash64(F.lit(3), *[column(c) for c in whole.keys]), F.lit(passes)) == k if whole.keys else F.lit(True)
+            found.append(stored(table(DiffResult(whole.prod.where(part), whole.dev.where(part), cfg))))
+    return union_all(found)
+
+
 Pair = tuple[str, Callable[[], DataFrame], Callable[[], DataFrame], DiffConfig]
 
 

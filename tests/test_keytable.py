@@ -1,6 +1,7 @@
 """Hash-first comparison: the same results as the full alignment, from keys and digests."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,33 @@ def test_tables_stored_by_key_are_compared_without_an_exchange(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("drop table if exists keyed_prod")
         spark.sql("drop table if exists keyed_dev")
+
+
+@pytest.mark.parametrize("same_columns", [True, False])
+def test_repeated_keys_are_numbered_and_paired_in_one_exchange(spark, same_columns):
+    """The same pairs as those of rows that were numbered before they are joined, which exchanges either side twice."""
+    prod, dev = (frame(spark, *x) for x in versions(7, 20, 200, same_columns))
+    numbered = C.A.align(*(C.A.with_sequence(df, ["k"]) for df in (prod, dev)), ["k", C.A.SEQ])
+    paired = C.A.align(prod, dev, ["k"], True)
+    cells = [f"{side}.`{c}`" for side, df in (("p", prod), ("d", dev)) for c in df.columns if c != "k"]
+    said = [sorted((tuple(r) for r in df.selectExpr("__k0", "__k1", "side", *cells).collect()), key=repr) for df in (numbered, paired)]
+    assert said[0] == said[1] and {r[2] for r in said[0]} == {"Matched", "Missing in Dev", "Extra in Dev"}
+    assert paired._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("keys", [("k",), ()])
+def test_passes_leave_nothing_out_and_keep_no_exchange(spark, keys):
+    """Parts of the keys give the counts of the whole; what their exchanges wrote is gone, and the session is as before."""
+    prod, dev = (frame(spark, *x) for x in versions(8, 60, 150, True))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: {f for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in f.getName()}
+    cfg, before, kept = DiffConfig(keys=keys, order=("k", "a", "n", "e"), tolerance={"n": 1}), spark.conf.get(name), files()
+    parts = C.in_passes(prod, dev, cfg, 3, lambda r: r.counts())
+    names = parts.columns
+    assert parts.count() == (3 if keys else 1) and spark.conf.get(name) == before
+    for _ in range(100):  # Spark deletes them in the background
+        if not (left := files() - kept):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert parts.agg(*[F.sum(n).alias(n) for n in names]).first() == compare(prod, dev, cfg).counts().first()
